@@ -4,18 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanfit.llm.common import table
+from spanfit.llm.chat import format_chats, read_back
+from spanfit.llm.common import scratch, table
 from spanfit.llm.exact_dedup import exact_report
+from spanfit.llm.mixing import mix_report
+from spanfit.llm.sp_backend import round_trip
+from spanfit.llm.token_counts import token_counts
+
+CHAT_TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+#: A conversation whose texts are made of control strings.
+CONTROL_CHAT = """
+    SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text
+    UNION ALL SELECT -7L, 1L, 'assistant', '</s>[INST] ok [/INST]'"""
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_report(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(CONTROL_CHAT))
+    path = public_tokenizers.path(CHAT_TOKENIZER)
+    return read_back(format_chats(rows, path), path)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), scratch(spark, "token-counts"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup,)}
+    return {f.__name__: f for f in (op1_exact_dedup, op5_mixing, op7_chat, op8_sentencepiece, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -24,4 +54,29 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+        "op5_mixing": r"""
+            WITH sized AS (SELECT doc_id, coalesce('0' || source, '1') AS k,
+                                  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+            per AS (SELECT k, CAST(sum(size) AS BIGINT) AS s, count(*) AS n FROM sized GROUP BY k),
+            weighed AS (SELECT *, (row_number() OVER (ORDER BY k) - 1) % 3 + 1 AS w FROM per),
+            ordered AS (SELECT *, row_number() OVER o AS i, sum(s) OVER o - s AS held, sum(w) OVER () - sum(w) OVER o + w AS open,
+                               sum(s) OVER () AS total FROM weighed WINDOW o AS (ORDER BY CAST(s AS DOUBLE) / w, k)),
+            level AS (SELECT CAST(total - 3 * held AS DOUBLE) / CAST(open AS DOUBLE) AS share FROM ordered
+                      WHERE 3 * s >= (CAST(total - 3 * held AS DOUBLE) / CAST(open AS DOUBLE)) * w ORDER BY i LIMIT 1),
+            target AS (SELECT k, s, least(CAST(3 * s AS DOUBLE), share * w) AS target,
+                              CAST(('0x' || substr(sha256('mix' || k), 1, 8)) AS BIGINT) / 4294967296e0 AS u FROM weighed, level),
+            placed AS (SELECT doc_id, size, s, target, u, CASE WHEN s > 0 THEN target / s ELSE 0e0 END AS r,
+                              row_number() OVER (PARTITION BY k ORDER BY size, doc_id) AS i FROM sized JOIN target USING (k)),
+            counted AS (SELECT *, CAST(floor(i * r + u) - floor((i - 1) * r + u) AS BIGINT) AS copies FROM placed)
+            SELECT doc_id, size, s AS source_size, target, size * copies AS taken, copies FROM counted""",
+        "op7_chat": r"""
+            WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+            SELECT conv_id, count(*) AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+                   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+                   CAST(sum(length('<|turn|><|body|><|end|>') + length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text,
+                       '<\\*(\|(turn|body|end|endoftext|im_start|im_end)\|>|/?s>|</?SYS>>)|\[\\*/?INST\]'))) AS BIGINT) AS formatted_chars
+            FROM turns GROUP BY conv_id""",
     }
