@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanfit.llm.chat import format_chats, read_back
 from spanfit.llm.common import scratch, table
+from spanfit.llm.embedding_dedup import embedding_report
 from spanfit.llm.exact_dedup import exact_report
 from spanfit.llm.mixing import mix_report
+from spanfit.llm.simhash import near_report
 from spanfit.llm.sp_backend import round_trip
 from spanfit.llm.token_counts import token_counts
 
@@ -26,6 +28,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_report(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_report(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
@@ -44,8 +50,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), scratch(spark, "token-counts"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op5_mixing, op7_chat, op8_sentencepiece, op9_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash, op5_mixing, op7_chat, op8_sentencepiece, op9_token_counts, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -79,4 +89,12 @@ def oracle_sql() -> dict[str, str]:
                    CAST(sum(length('<|turn|><|body|><|end|>') + length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text,
                        '<\\*(\|(turn|body|end|endoftext|im_start|im_end)\|>|/?s>|</?SYS>>)|\[\\*/?INST\]'))) AS BIGINT) AS formatted_chars
             FROM turns GROUP BY conv_id""",
+        "op10_embedding_dedup": """
+            WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, label IS NOT NULL AND embedding IS NOT NULL
+                    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0 AS good FROM embeddings),
+            links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.good AND b.good
+                      AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+            reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+            SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = vec_id) AS n_links, (SELECT min(b) FROM reach r WHERE r.a = vec_id) AS component_id,
+                   vec_id = (SELECT min(b) FROM reach r WHERE r.a = vec_id) AS kept FROM v""",
     }

@@ -128,7 +128,7 @@ class Backend:
         """What follows each marker that begins a piece of the text: further spaces, then a word (none at the end)."""
         if not text:
             return []
-        words = text.split(" ")
+        words = text.replace(MARK, " ").split(" ")  # the marker in a text and a space are one symbol to the model
         if "" not in words:
             return words
         found, run = [], 0

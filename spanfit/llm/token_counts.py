@@ -62,8 +62,8 @@ class Counter:
     def count(self, texts: list[str]) -> list[int]:
         if not self.apart:
             return self.whole(texts)
-        words = [[] if not x or "  " in x or x[0] == " " or x[-1] == " " else x.split(" ") for x in texts]
-        spaced = [k for k, w in enumerate(words) if not w]  # runs of spaces: counted whole
+        words = [[] if not x or "  " in x or MARK in x or x[0] == " " or x[-1] == " " else x.split(" ") for x in texts]
+        spaced = [k for k, w in enumerate(words) if not w]  # runs of spaces and markers: counted whole
         new = list(set().union(*words) - self.met.keys())
         if len(self.met) + len(new) > CACHE_ENTRIES and self.met:
             self.met = {}
