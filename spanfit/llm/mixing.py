@@ -54,41 +54,48 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return per.select("key", "source_size", F.least((F.lit(cap) * F.col("source_size")).cast("double"), F.lit(float(share)) * F.col("weight")).alias("target"))
 
 
-def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> tuple[DataFrame, dict[str, str]]:
-    """docs with size, source_size, target and copies, and the names under which these stand (they never clash)."""
-    n = {c: fresh(c, docs.columns) for c in ("size", "source_size", "target", "copies", "mix_key", "mix_id", "mix_n", "mix_total", "mix_at")}
-    key, size, doc = n["mix_key"], n["size"], n["mix_id"]
-    rows = docs.withColumns({size: n_words(F.col(text_col)), key: F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1")), doc: F.coalesce(F.col(id_col).cast("string"), F.lit(""))})
-
-    groups = rows.groupBy(F.col(key).alias("key"), F.col(size).alias("size"), F.col(doc).alias("doc")).agg(F.count("*").alias("n"), F.min(F.col(id_col)).alias("id"))
-    groups = stored(groups.repartitionByRange("key", "size", "id", "doc").withColumn("range", F.spark_partition_id()), "mix")
-    targets = source_targets(groups.select("key", (F.col("size") * F.col("n")).alias("size")), weights, cap)
-    before = groups.groupBy("key", "range").agg(F.sum("n").alias("n"))
-    before = before.select("key", "range", (F.sum("n").over(Window.partitionBy("key").orderBy("range")) - F.col("n")).alias("before"))
-    within = F.sum("n").over(Window.partitionBy("key", "range").orderBy("size", "id", "doc").rowsBetween(Window.unboundedPreceding, 0))
-    offset = F.conv(F.substring(F.sha2(F.concat(F.lit(seed), F.col("key")), 256), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+def _keys(id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    """What a row's place depends on: its source (a string that sorts by code point, null last), size and id."""
+    key = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
+    return {"mix_key": key, "size": n_words(F.col(text_col)), "mix_id": F.coalesce(F.col(id_col).cast("string"), F.lit(""))}
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], cap: int, seed: str) -> DataFrame:
+    """One row per (mix_key, size, mix_id): id, n (rows), source_size, target and total (copies of its rows together)."""
+    k = _keys(id_col, text_col, source_col)
+    groups = docs.select(F.col(id_col).alias("id"), *(c.alias(name) for name, c in k.items())).groupBy(*k).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    groups = stored(groups.repartitionByRange("mix_key", "size", "id", "mix_id").withColumn("range", F.spark_partition_id()), "mix")
+    targets = source_targets(groups.select(F.col("mix_key").alias("key"), (F.col("size") * F.col("n")).alias("size")), weights, cap).withColumnRenamed("key", "mix_key")
+    before = groups.groupBy("mix_key", "range").agg(F.sum("n").alias("n"))
+    before = before.select("mix_key", "range", (F.sum("n").over(Window.partitionBy("mix_key").orderBy("range")) - F.col("n")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("mix_key", "range").orderBy("size", "id", "mix_id").rowsBetween(Window.unboundedPreceding, 0))
+    offset = F.conv(F.substring(F.sha2(F.concat(F.lit(seed), F.col("mix_key")), 256), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    placed = groups.withColumn("within", within).join(before, ["key", "range"]).join(targets.withColumns({"rate": rate, "offset": offset}), "key")
+    placed = groups.withColumn("within", within).join(before, ["mix_key", "range"]).join(targets.withColumns({"rate": rate, "offset": offset}), "mix_key")
     upto = F.col("before") + F.col("within")
     crossed = F.floor(upto * F.col("rate") + F.col("offset")) - F.floor((upto - F.col("n")) * F.col("rate") + F.col("offset"))
-    placed = placed.select(F.col("key").alias(key), F.col("size").alias(size), F.col("doc").alias(doc), F.col("source_size").alias(n["source_size"]), F.col("target").alias(n["target"]), F.col("n").alias(n["mix_n"]), crossed.cast("long").alias(n["mix_total"]))
+    return placed.select(*k, "id", "n", "source_size", "target", crossed.cast("long").alias("total"))
 
-    both = rows.join(placed, [key, size, doc])
-    one = both.where(F.col(n["mix_n"]) == 1).withColumn(n["copies"], F.col(n["mix_total"]))
-    many = both.where(F.col(n["mix_n"]) > 1).withColumn(n["mix_at"], F.row_number().over(Window.partitionBy(key, size, doc).orderBy(F.xxhash64(text_col))))
-    many = many.withColumn(n["copies"], F.floor(F.col(n["mix_total"]) / F.col(n["mix_n"])) + (F.col(n["mix_at"]) <= F.col(n["mix_total"]) % F.col(n["mix_n"])).cast("long")).drop(n["mix_at"])
-    return one.unionByName(many), n
 
+def _share(at: Column, n: Column, total: Column) -> Column:
+    """Copies of the row at that place (from 1) among n rows that share total."""
+    return (F.floor(total / n) + (at <= total % n).cast("long")).cast("long")
 
-def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+
+def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), copies."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    rows, n = with_copies(slim, "doc_id", "text", "source", **how)
-    return rows.select("doc_id", n["size"], n["source_size"], n["target"], (F.col(n["size"]) * F.col(n["copies"])).alias("taken"), n["copies"])
+    placed = _placed(docs, id_col, text_col, source_col, weights, cap, seed)
+    rows = placed.withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("copies", _share(F.col("at"), F.col("n"), F.col("total")))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixed corpus: each row as often as it has copies, with the columns of docs."""
-    rows, n = with_copies(docs, id_col, text_col, source_col, **how)
-    again = fresh("mix_copy", rows.columns)
-    return rows.where(F.col(n["copies"]) > 0).withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n["copies"])))).select(*docs.columns)
+    k = _keys(id_col, text_col, source_col)
+    names = {c: fresh(f"mixing_{c}", docs.columns) for c in (*k, "n", "total", "at", "copies")}
+    places = _placed(docs, id_col, text_col, source_col, weights, cap, seed).select(*k, "n", "total").where("total > 0")
+    rows = docs.withColumns({names[c]: e for c, e in k.items()}).join(places.withColumnsRenamed(names), [names[c] for c in k])
+    n, total = F.col(names["n"]), F.col(names["total"])
+    at = F.row_number().over(Window.partitionBy(*(names[c] for c in k)).orderBy(F.xxhash64(text_col)))
+    rows = rows.withColumn(names["copies"], _share(at, n, total))
+    return rows.withColumn(names["at"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["copies"])))).where(F.col(names["copies"]) > 0).select(*docs.columns)
