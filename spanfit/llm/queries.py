@@ -14,6 +14,7 @@ from spanfit.llm.exact_dedup import exact_report
 from spanfit.llm.mixing import mix_report
 from spanfit.llm.simhash import near_report
 from spanfit.llm.sp_backend import round_trip
+from spanfit.llm.suffix_tree import suffix_tree_scores
 from spanfit.llm.token_counts import token_counts
 
 CHAT_TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +29,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_report(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_report(table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash, op5_mixing, op7_chat, op8_sentencepiece, op9_token_counts, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_suffix_tree, op4_simhash, op5_mixing, op7_chat, op8_sentencepiece, op9_token_counts, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -91,7 +96,7 @@ def oracle_sql() -> dict[str, str]:
             FROM turns GROUP BY conv_id""",
         "op10_embedding_dedup": """
             WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, label IS NOT NULL AND embedding IS NOT NULL
-                    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0 AS good FROM embeddings),
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS good FROM embeddings),
             links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.good AND b.good
                       AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
             reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
