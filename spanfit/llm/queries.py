@@ -12,6 +12,7 @@ from spanfit.llm.common import scratch, table
 from spanfit.llm.embedding_dedup import embedding_report
 from spanfit.llm.exact_dedup import exact_report
 from spanfit.llm.mixing import mix_report
+from spanfit.llm.quality import quality_report
 from spanfit.llm.simhash import near_report
 from spanfit.llm.sp_backend import round_trip
 from spanfit.llm.suffix_tree import suffix_tree_scores
@@ -29,6 +30,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_report(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_scores(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_suffix_tree, op4_simhash, op5_mixing, op7_chat, op8_sentencepiece, op9_token_counts, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_suffix_tree, op4_simhash, op5_mixing, op7_chat, op8_sentencepiece, op9_token_counts, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
