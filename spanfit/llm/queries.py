@@ -11,6 +11,7 @@ from spanfit.llm.chat import format_chats, read_back
 from spanfit.llm.common import scratch, table
 from spanfit.llm.embedding_dedup import embedding_report
 from spanfit.llm.exact_dedup import exact_report
+from spanfit.llm.line_dedup import line_report
 from spanfit.llm.mixing import mix_report
 from spanfit.llm.quality import quality_report
 from spanfit.llm.simhash import near_report
@@ -46,6 +47,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(CONTROL_CHAT))
     path = public_tokenizers.path(CHAT_TOKENIZER)
@@ -65,7 +70,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_suffix_tree, op4_simhash, op5_mixing, op7_chat, op8_sentencepiece, op9_token_counts, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_suffix_tree, op4_simhash, op5_mixing, op6_line_dedup, op7_chat, op8_sentencepiece, op9_token_counts, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
