@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanfit.plans import search
+from spanfit.plans import pages, search
 
-FAMILIES = (search,)
+FAMILIES = (search, pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
