@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanfit.plans import pages, search
+from spanfit.plans import etl, pages, search
 
-FAMILIES = (search, pages)
+FAMILIES = (search, pages, etl)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
