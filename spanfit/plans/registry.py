@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanfit.plans import etl, pages, search
+from spanfit.plans import etl, pages, search, signals
 
-FAMILIES = (search, pages, etl)
+FAMILIES = (search, pages, etl, signals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
