@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -110,6 +111,9 @@ def test_sentencepiece_parity(spark):
 def test_parts_and_whole_agree():
     model = backend(PIECES)
     assert model.falls_apart and model.encode(ODD) == model.whole(ODD)
+    assert model.encode(["a b", "a  b "]) == model.whole(["a b", "a  b "])
+    ids = [np.frombuffer(x, np.int32) for x in model.whole(ODD)] + [np.array(x, np.int32) for x in ([5], [200, 201], [300, 5, 6, 29871, 29871, 1], [29871, 29871, 300, 29871], [229, 230, 300, 231])]
+    assert model.decode(ids) == [model.library.decode(x.tolist(), skip_special_tokens=False) for x in ids]
     with open(PIECES, "rb") as f:
         pieces = parse_model(f.read())["pieces"]
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
