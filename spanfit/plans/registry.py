@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanfit.plans import etl, pages, search, signals
+from spanfit.plans import etl, pages, proof, search, signals
 
-FAMILIES = (search, pages, etl, signals)
+FAMILIES = (search, pages, etl, signals, proof)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
