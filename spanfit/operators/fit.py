@@ -120,9 +120,6 @@ def fits(products: DataFrame, q: FitQuery, rules: DataFrame | None = None) -> Da
     return rows.where(F.col("fit_score") >= -(q.tolerance_mm / min(q.cavity.values())))
 
 
-BEST_FIT = (("sort_score", False), ("priority", True))
-
-
 def best_first() -> list[Column]:
     """Tightest mean slack, then priority, then name; the ordinal settles the rest."""
     return [F.asc("sort_score"), F.coalesce("priority", F.lit(0)).desc(), F.coalesce("display_name", "brand", F.lit("")).asc(), F.asc("ord")]

@@ -56,7 +56,7 @@ def repeated_ngrams(docs: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), least:
     return ranked(per.where(F.col("n") >= least), [F.desc("n"), F.asc("gram")], most=most)
 
 
-def shingle_pairs(docs: DataFrame, size: int = 5, least: float = 0.8, rare: int | None = None) -> DataFrame:
+def shingle_pairs(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """Pairs of documents (a < b) with similarity: shared distinct shingles over the larger set, at least `least`.
 
     Prefix filtering keeps the join small and exact: with shingles in a global order (rarest first), two sets that share
