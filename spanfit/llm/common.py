@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch. Texts average a few kB, so a batch stays at a few MB beside Spark's own byte limit.
@@ -44,12 +43,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    """A record batch of that schema from columns in its order."""
-    arrays = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-
 def fresh(name: str, taken: list[str]) -> str:
     """name, with underscores before it until no column of the input has it (Spark ignores case)."""
     low = {c.lower() for c in taken}

@@ -162,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("int").alias("label"))
     sample = F.broadcast(known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_train))  # bounded by max_train
-    rows = docs.join(sample, docs[id_col] == sample["label_id"]).dropDuplicates([id_col])
-    rows = rows.select("label", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *(F.col(c).cast("double").alias(f"m{k}") for k, c in enumerate(meta)))
+    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *(F.col(c).cast("double").alias(f"m{k}") for k, c in enumerate(meta)))
+    rows = slim.join(sample, F.col("id") == F.col("label_id")).dropDuplicates(["id"]).drop("id", "label_id")
     found = rows.mapInArrow(_extract(len(meta)), "label int, buckets binary, stats binary").toArrow()
     if not found.num_rows:
         return None

@@ -20,7 +20,7 @@ def corpus(spark):
         rows.append((k, " ".join(f"{x}$$$" if bad else x for x in w) + ("" if bad else "."), k, "x"))
         labels.append((k, int(not bad)))
     rows += [(1000, None, None, "x"), (1001, "", None, "x"), (1002, "z " * 40_000, 1, None), (None, "w1 w2.", 1, "x")]
-    return spark.createDataFrame(rows, "doc_id long, text string, n_chars long, score string"), spark.createDataFrame([*labels, (None, 1), (3, None), (5, 1), (99999, 0)], "doc_id long, quality int")
+    return spark.createDataFrame(rows, "doc_id long, text string, n_chars long, score string").selectExpr("*", "1 AS label", "2 AS row", "3 AS label_id"), spark.createDataFrame([*labels, (None, 1), (3, None), (5, 1), (99999, 0)], "doc_id long, quality int")
 
 
 def test_identity_is_all_pairs():
