@@ -32,7 +32,9 @@ from spanfit.llm.common import small_batches
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 80_000
+#: Texts handed to the library at once, words joined to one such text, and rows decoded at once.
+AT_ONCE, WORDS_A_TEXT, ROWS_AT_ONCE = 2048, 50, 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -111,6 +113,24 @@ def build(model: dict):
     return t
 
 
+class Met:
+    """What has been worked out before, in two generations of at most CACHE_ENTRIES each."""
+
+    def __init__(self, work) -> None:
+        self.work, self.now, self.elder = work, {}, {}
+
+    def look_up(self, keys: set) -> dict:
+        """A table that has all keys, at least until the next call."""
+        if len(self.now) > CACHE_ENTRIES:
+            self.now, self.elder = {}, self.now
+        missing = keys - self.now.keys()
+        known = missing & self.elder.keys()
+        self.now.update((k, self.elder[k]) for k in known)
+        new = list(missing - known)
+        self.now.update(zip(new, self.work(new), strict=True))
+        return self.now
+
+
 class Backend:
     """A model with the ids of text pieces that have been met."""
 
@@ -119,10 +139,24 @@ class Backend:
             model = parse_model(f.read())
         self.library = build(model)
         self.falls_apart = model["dummy_prefix"] and not model["trim"] and not model["charsmap"] and not any(MARK in p.lstrip(MARK) for p, _, _ in model["pieces"])
-        self.met: dict[str, bytes] = {}
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in model["pieces"]])
+        self.met = Met(self._words)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.int32).tobytes() for at in range(0, len(texts), AT_ONCE) for e in self.library.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
+
+    def _words(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts of texts. Plain words go to the library many to a text, whose ids fall apart at the markers."""
+        found: dict[str, bytes] = {}
+        plain = [w for w in parts if w and w[0] != " "]
+        groups = [plain[at : at + WORDS_A_TEXT] for at in range(0, len(plain), WORDS_A_TEXT)]
+        for words, ids in zip(groups, self.whole([" ".join(g) for g in groups]), strict=True):
+            begins = np.flatnonzero(self.marked[np.frombuffer(ids, np.int32)]) * 4
+            found.update(zip(words, (ids[a:b] for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(ids)], strict=True)), strict=True))
+        spaced = [w for w in parts if w and w[0] == " "]
+        found.update(zip(spaced, self.whole(spaced), strict=True))
+        found[""] = np.array([self.library.token_to_id(MARK)], np.int32).tobytes()  # one space at the end: the marker alone
+        return [found[w] for w in parts]
 
     def apart(self, text: str) -> list[str]:
         """What follows each marker that begins a piece of the text: further spaces, then a word (none at the end)."""
@@ -145,45 +179,66 @@ class Backend:
         if not self.falls_apart:
             return self.whole(texts)
         parts = [self.apart(x) for x in texts]
-        new = list(set().union(*parts) - self.met.keys())
-        if len(self.met) + len(new) > CACHE_ENTRIES and self.met:
-            self.met = {}
-            new = list(set().union(*parts))
-        self.met.update(zip(new, self.whole(new), strict=True))
-        if "" in self.met:  # one space at the end: the marker alone
-            self.met[""] = np.array([self.library.token_to_id(MARK)], np.int32).tobytes()
-        got = self.met.__getitem__
+        got = self.met.look_up(set().union(*parts)).__getitem__
         ids = [b"".join(map(got, p)) for p in parts]
         if texts and ids[0] != self.whole(texts[:1])[0]:
             raise ValueError("ids of a text in parts differ from those of the whole text")
         return ids
 
+    def decode(self, rows: list[np.ndarray]) -> list[str]:
+        """Each row's text."""
+        return self.library.decode_batch([x.tolist() for x in rows], skip_special_tokens=False)
+
 
 @cache
 def backend(path: str) -> Backend:
     return Backend(path)
 
 
-def _encode(path: str, text_at: int):
+def _id_lists(found: list[bytes], null: pa.Array | None) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)), mask=null)
+
+
+def _encode(path: str, text_at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = backend(path)
         for b in batches:
             texts = b.column(text_at)
-            found = model.encode(texts.fill_null("").to_pylist())
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)), mask=texts.is_null() if texts.null_count else None)
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
+            ids = _id_lists(model.encode(texts.fill_null("").to_pylist()), texts.is_null() if texts.null_count else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, name])
 
     return run
 
 
-def _decode(path: str, ids_at: int):
+def _decode(path: str, ids_at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = backend(path).library
+        model = backend(path)
         for b in batches:
             ids = b.column(ids_at)
-            texts = library.decode_batch(ids.fill_null([]).to_pylist() if ids.null_count else ids.to_pylist(), skip_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))], names=[*b.schema.names, "decoded"])
+            ends = np.asarray(ids.offsets)
+            flat = ids.values.to_numpy(zero_copy_only=False)
+            texts: list[str] = []
+            for at in range(0, b.num_rows, ROWS_AT_ONCE):
+                texts += model.decode([flat[ends[k] : ends[k + 1]] for k in range(at, min(at + ROWS_AT_ONCE, b.num_rows))])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))], names=[*b.schema.names, name])
+
+    return run
+
+
+def _both(path: str, text_at: int):
+    """Encodes and decodes in one task, so that one model serves both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = backend(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                b = whole.slice(at, ROWS_AT_ONCE)
+                texts = b.column(text_at)
+                found = model.encode(texts.fill_null("").to_pylist())
+                null = texts.is_null()
+                decoded = pa.array(model.decode([np.frombuffer(x, np.int32) for x in found]), pa.string(), mask=null.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*b.columns, _id_lists(found, null if texts.null_count else None), decoded], names=[*b.schema.names, "ids", "decoded"])
 
     return run
 
@@ -192,18 +247,25 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
     """docs with the ids of each whole text, without begin or end ids."""
     small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(_encode(model_path, docs.columns.index(text_col)), schema)
+    return docs.mapInArrow(_encode(model_path, docs.columns.index(text_col), ids_col), schema)
 
 
 def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """docs with the text of each row's ids."""
     small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(text_col, T.StringType())])
-    return docs.mapInArrow(_decode(model_path, docs.columns.index(ids_col)), schema)
+    return docs.mapInArrow(_decode(model_path, docs.columns.index(ids_col), text_col), schema)
+
+
+def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """docs with `ids` of each whole text and `decoded`, the text that these give."""
+    small_batches(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return docs.mapInArrow(_both(model_path, docs.columns.index(text_col)), schema)
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_hash (of the ids in order), decoded_sha256 and same (the decoded text is the text)."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    back = decode(encode(slim, model_path), model_path)
+    back = encode_decode(slim, model_path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("same"))

@@ -98,7 +98,7 @@ def test_sentencepiece_parity(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = ODD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     df = spark.createDataFrame(list(enumerate([*texts, None])), "ids_of long, text string")
-    for r in decode(encode(df, PIECES), PIECES).collect():
+    for r in decode(encode(df, PIECES, ids_col="my_ids"), PIECES, "my_ids", "decoded").withColumnRenamed("my_ids", "ids").collect():
         if r.text is None:
             assert r.ids is None and r.decoded is None
         else:
