@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanfit.llm.common import stored, table
 from spanfit.llm.exact_dedup import exact_dedup
 from spanfit.llm.mixing import mix
 from spanfit.llm.quality import quality_filter
 from spanfit.llm.simhash import near_dedup
-from spanfit.llm.sp_backend import decode, encode
+from spanfit.llm.sp_backend import round_trip
 
 MODEL = "piece_bpe_32k.model"
 
@@ -38,10 +37,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether they decode to it: doc_id, n_tokens, ids_hash, decoded_sha256, same."""
-    path = public_tokenizers.path(MODEL)
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = decode(encode(slim, path), path)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("same"))
+    return round_trip(docs, public_tokenizers.path(MODEL))
 
 
 STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("SimHash near-dedup", near_stage), ("mixing", mix_stage), ("SentencePiece", token_stage)]
