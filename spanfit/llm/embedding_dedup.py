@@ -7,9 +7,9 @@ classes are compared if any of their cells agree. With the defaults, pairs at co
 0.9995 in simulation (0.93 to 1: more), unrelated ones with 0.005.
 
 Cells are counted before any vector moves: those of a single class are dropped. Vectors join the cells that are left;
-cells of more than BLOCK classes are dealt in pairs of blocks. Within a block pair cosines are exact (double precision,
-matrix products), a pair counts in the first table and cell that it shares only, and what leaves the task is one row per
-member: how many vectors it links with there, and the smallest member it reaches there. So links are counted in full but
+cells of more than BLOCK classes are dealt in pairs of blocks. Within a block pair cosines are exact (double precision),
+a pair counts in the first table and cell that it shares only, and what leaves the task is one row per member of a stretch
+of buckets: how many vectors it links with there, and the smallest member it reaches there. So links are counted in full but
 never listed, and components come from the reached members.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors without label,
@@ -32,6 +32,7 @@ from spanfit.llm.common import small_batches, stored
 from spanfit.llm.components import connected_components, stars
 
 COSINE, TABLES, PROBES, SCALE, SEED, BLOCK = 0.93, 8, 4, 1.0, 8, 2048
+SMALL, PAIRS, STRETCH_BYTES = 64, 20_000, 16 << 20
 
 
 def minimal_vectors() -> np.ndarray:
@@ -119,54 +120,88 @@ def _shared_first(ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
     return found
 
 
-def _verify(cosine: float, tables: int, probes: int, scale: float):
-    """From rows in order of (label, dim, cell, i, j): one row per member of a block pair that links there."""
-
-    def block(rows: pa.Table) -> pa.RecordBatch | None:
-        i, j, own = (rows.column(c)[0].as_py() if c != "own" else rows.column(c).to_numpy() for c in ("i", "j", "own"))
-        cell = np.int64(rows.column("cell")[0].as_py()).view(np.uint64)
-        cls, n = rows.column("cls").to_numpy(), rows.column("n").to_numpy()
-        x = unit(_vectors(rows.column("embedding").combine_chunks()))
-        a, b = (np.flatnonzero(own == i), np.flatnonzero(own == j))
-        c, count, pairs = None, np.zeros(len(cls), np.int64), []
-        for at in range(0, len(a), 512):
-            p, q = np.nonzero(x[a[at : at + 512]] @ x[b].T >= cosine)
-            p, q = a[at + p], b[q]
-            if i == j:
+def _close_pairs(bucket: np.ndarray, own: np.ndarray, one: np.ndarray, x: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows with equal buckets (in order) and cosine of at least that. Where a bucket is one of two blocks (not `one`), pairs across the blocks only."""
+    begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    sizes = np.diff(np.append(begins, len(bucket)))
+    of_row = np.repeat(sizes, sizes)
+    rows = np.flatnonzero((of_row > 1) & (of_row <= SMALL))
+    g = bucket[rows]
+    for step in range(1, int(of_row[rows].max(initial=1))):
+        at = np.flatnonzero(g[step:] == g[:-step])
+        p, q = rows[at], rows[at + step]
+        ok = one[p] | (own[p] != own[q])
+        p, q = p[ok], q[ok]
+        for k in range(0, len(p), PAIRS):
+            pk, qk = p[k : k + PAIRS], q[k : k + PAIRS]
+            near = np.einsum("ij,ij->i", x[pk], x[qk]) >= cosine
+            yield pk[near], qk[near]
+    for begin, size in zip(begins[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+        rows = np.arange(begin, begin + size)
+        a, b = (rows, rows) if one[begin] else (rows[own[rows] == own[begin]], rows[own[rows] != own[begin]])
+        for k in range(0, len(a), 512):
+            p, q = np.nonzero(x[a[k : k + 512]] @ x[b].T >= cosine)
+            p, q = a[k + p], b[q]
+            if one[begin]:
                 p, q = p[p < q], q[p < q]
-            if not len(p):
-                continue
-            c = cells(x, tables, probes, scale) if c is None else c
-            for k in range(0, len(p), 20_000):
-                pk, qk = p[k : k + 20_000], q[k : k + 20_000]
-                first = _shared_first(c[pk], c[qk]) == cell
-                pk, qk = pk[first], qk[first]
-                np.add.at(count, pk, n[qk])
-                np.add.at(count, qk, n[pk])
-                pairs += stars(zip(cls[pk].tolist(), cls[qk].tolist(), strict=True)).items()
+            for k2 in range(0, len(p), PAIRS):
+                yield p[k2 : k2 + PAIRS], q[k2 : k2 + PAIRS]
+
+
+def _verify(cosine: float, tables: int, probes: int, scale: float):
+    """From rows in order of (label, dim, cell, i, j): per class of a stretch of buckets, the vectors it links with there and the least class it reaches."""
+
+    def links(rows: pa.Table, bucket: np.ndarray) -> pa.RecordBatch:
+        dim = rows.column("dim").to_numpy()
+        cls, n, own = (rows.column(c).to_numpy() for c in ("cls", "n", "own"))
+        one = rows.column("i").to_numpy() == rows.column("j").to_numpy()
+        cell = rows.column("cell").to_numpy().view(np.uint64)
+        names, place = np.unique(cls, return_inverse=True)
+        count, reach = np.zeros(len(names), np.int64), {}
+        for length in np.unique(dim):
+            at = np.flatnonzero(dim == length)
+            first = np.unique(place[at], return_index=True)
+            x = unit(_vectors(rows.column("embedding").take(pa.array(at[first[1]])).combine_chunks()))
+            where = np.zeros(len(names), np.int64)
+            where[first[0]] = np.arange(len(first[0]))
+            each = where[place[at]]
+            known: dict[str, np.ndarray] = {}
+            found = []
+            for p, q in _close_pairs(bucket[at], own[at], one[at], x[each], cosine):
+                if not len(p):
+                    continue
+                if "cells" not in known:
+                    known["cells"] = cells(x, tables, probes, scale)
+                c = known["cells"]
+                ok = _shared_first(c[each[p]], c[each[q]]) == cell[at[p]]
+                p, q = at[p[ok]], at[q[ok]]
+                np.add.at(count, place[p], n[q])
+                np.add.at(count, place[q], n[p])
+                found += stars(zip(cls[p].tolist(), cls[q].tolist(), strict=True)).items()
+            reach |= stars(iter(found))
         has = np.flatnonzero(count)
-        if not len(has):
-            return None
-        least = stars(iter(pairs))
-        return pa.RecordBatch.from_arrays([pa.array(cls[has], pa.int64()), pa.array([least.get(k, k) for k in cls[has].tolist()], pa.int64()), pa.array(count[has])], names=["cls", "least", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(names[has], pa.int64()), pa.array([reach.get(k, k) for k in names[has].tolist()], pa.int64()), pa.array(count[has])], names=["cls", "least", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
+        held, size = [], 0
+
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            rows = pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([rows.column(c).to_numpy() for c in ("label_key", "dim", "cell", "i", "j")], axis=1)
+            bucket = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
+            end = len(bucket) if last else int(np.searchsorted(bucket, bucket[-1]))
+            if end:
+                yield links(rows.slice(0, end), bucket[:end])
+            held, size = rows.slice(end).to_batches(), 0
+
         for b in batches:
-            keys = np.stack([np.asarray(b.column(c).fill_null(0)).astype(np.int64) for c in ("label_key", "dim", "cell", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), b.num_rows]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi == lo:
-                    continue
-                key = tuple(keys[lo])
-                if key != at and held:
-                    if (out := block(pa.Table.from_batches(held))) is not None:
-                        yield out
-                    held = []
-                at = key
-                held.append(b.slice(lo, hi - lo))
-        if held and (out := block(pa.Table.from_batches(held))) is not None:
-            yield out
+            held.append(b)
+            size += b.column("embedding").nbytes + 64 * b.num_rows
+            if size > STRETCH_BYTES:
+                yield from cut(False)
+        if held and sum(b.num_rows for b in held):
+            yield from cut(True)
 
     return run
 
