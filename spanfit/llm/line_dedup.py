@@ -2,9 +2,10 @@
 
 A line is its tokens (runs of non-space); tokens that hold a digit are variable fields and read `<*>`. The tree has a fixed
 depth: a line descends by its number of tokens and its first LEAD tokens to a leaf. Within a leaf, a token is constant at
-its position if at least `min_docs` documents hold it there, else it reads `<*>`; the line so written is its template if
+its position if at least `least` documents hold it there, else it reads `<*>`; the line so written is its template if
 `constant` of its tokens are constant, otherwise the line is its own template. Templates of at least `min_tokens` tokens
-that occur in at least `min_docs` documents recur, and every line of theirs is dropped.
+that occur in at least `least` documents recur, and every line of theirs is dropped. `least` is `min_docs`, and LONG_DOCS
+from LONG_TOKENS tokens on: a long passage that stands in two documents is no coincidence.
 
 Each scan task joins its equal lines first (with their number of documents), so a line that all documents share leaves a
 task once. Leaves are read in order of their lines; a leaf of more than LEAF_LINES distinct lines is parsed in stretches of
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from spanfit.llm.common import fresh, small_batches, stored
 
 LEAD, MIN_DOCS, MIN_TOKENS, CONSTANT = 4, 5, 4, 0.7
+LONG_TOKENS, LONG_DOCS = 50, 2
 TASK_LINES, LEAF_LINES = 100_000, 50_000
 FIELD = b"<*>"
 _DIGITS = bytes.maketrans(b"0123456789", b"0" * 10)
@@ -52,6 +54,11 @@ def leaf(tokens: list[bytes]) -> int:
     return _digest(b"%d " % len(tokens) + b" ".join(tokens[:LEAD]))
 
 
+def least_docs(n_tokens: int, min_docs: int) -> int:
+    """Documents in which a line or template of so many tokens recurs."""
+    return min(min_docs, LONG_DOCS) if n_tokens >= LONG_TOKENS else min_docs
+
+
 def _lines(min_tokens: int):
     """Distinct lines of a task: leaf, line, number of documents."""
 
@@ -91,18 +98,19 @@ def templates(lines: dict[bytes, int], min_docs: int, constant: float) -> dict[b
 
 
 def _parse(min_docs: int, constant: float):
-    """From rows in order of (leaf, line): line and template digests with the line's number of documents."""
+    """From rows in order of (leaf, line): line and template digests with the line's number of documents and the number at which it recurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, rows = None, {}, []
 
         def parsed() -> list[tuple]:
-            if sum(held.values()) < min_docs:
+            least = least_docs(next(iter(held)).count(b" ") + 1, min_docs) if held else 0
+            if sum(held.values()) < least:
                 return []
-            return [(_digest(x), _digest(b"T" + t), held[x]) for x, t in templates(held, min_docs, constant).items()]
+            return [(_digest(x), _digest(b"T" + t), held[x], least) for x, t in templates(held, least, constant).items()]
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["line", "template", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["line", "template", "n", "least"])
 
         for b in batches:
             for where, x, n in zip(*(b.column(c).to_pylist() for c in ("leaf", "line", "n")), strict=True):
@@ -147,8 +155,8 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_D
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     lines = docs.select(text.alias("text")).mapInArrow(_lines(min_tokens), "leaf long, line binary, n long")
     ordered = lines.repartition("leaf").sortWithinPartitions("leaf", "line")
-    parsed = stored(ordered.mapInArrow(_parse(min_docs, constant), "line long, template long, n long"), "templates")
-    recurring = parsed.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("template")
+    parsed = stored(ordered.mapInArrow(_parse(min_docs, constant), "line long, template long, n long, least long"), "templates")
+    recurring = parsed.groupBy("template").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("template")
     bad = parsed.join(recurring, "template", "left_semi").select("line").distinct()
     numbered = docs.select(F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text")).mapInArrow(_numbered(min_tokens), "text_key binary, at int, line long")
     return numbered.join(bad, "line").groupBy("text_key").agg(F.array_sort(F.collect_set("at")).alias("dropped"))

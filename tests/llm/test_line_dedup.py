@@ -63,3 +63,13 @@ def test_drop_lines(docs):
     want = sorted(str((r.doc_id, r.text if not d else "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in d), r.dropped_lines)) for r, d in zip(rows, brute(rows), strict=True))
     assert sorted(str(tuple(r)) for r in got.collect()) == want
     assert line_report(docs.limit(0)).count() == 0 and drop_lines(docs.limit(0)).count() == 0
+
+
+def test_long_passages_recur_in_two_documents(spark):
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "uvwxyz"]
+    passage = {k: " ".join(words[k:] + words[:k] + ["once", "more"]) for k in (1, 2, 3)}  # 50 words
+    short = " ".join(words[:-1] + ["short"])
+    rows = [(k, f"text {k * 'x'}\n{passage[2]}\n{short}\n{passage[3] if k else passage[1]}") for k in range(2)] + [(k, passage[3]) for k in (2, 3)]
+    rows += [(k, f"{passage[1].replace('once', 'twice')} again") for k in (4,)]
+    got = {r.doc_id: r.dropped for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: [1], 1: [1, 3], 2: [0], 3: [0], 4: []}
