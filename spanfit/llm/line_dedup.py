@@ -8,9 +8,10 @@ that occur in at least `least` documents recur, and every line of theirs is drop
 from LONG_TOKENS tokens on: a long passage that stands in two documents is no coincidence.
 
 Each scan task joins its equal lines first (with their number of documents), so a line that all documents share leaves a
-task once. Leaves are read in order of their lines; a leaf of more than LEAF_LINES distinct lines is parsed in stretches of
-that order, so memory is bounded, and counts of a template from several stretches are added up. Which lines to drop comes
-back by line digest to (text digest, line number); texts are joined at most once, for the cleaned output.
+task once. Leaves are read in order of their lines; a leaf of up to LEAF_LINES distinct lines is parsed in its task. The
+lines of a larger leaf leave the task unparsed, so memory is bounded: its (position, token) pairs are counted by a group-by
+over all its lines and the constants are joined back, with the same result. Which lines to drop comes back by line digest
+to (text digest, line number); texts are joined at most once, for the cleaned output.
 
 Defined results: null text is empty; blank lines are kept and never templates; a document counts once for a line it
 repeats, rows that repeat a document count as documents; order of the lines that stay is kept; other columns pass through;
@@ -83,6 +84,10 @@ def _lines(min_tokens: int):
     return run
 
 
+def _template(x: bytes, tokens: list[bytes], fixed: list[bool], constant: float) -> bytes:
+    return b" ".join(t if f else FIELD for t, f in zip(tokens, fixed, strict=True)) if sum(fixed) >= constant * len(tokens) else x
+
+
 def templates(lines: dict[bytes, int], min_docs: int, constant: float) -> dict[bytes, bytes]:
     """Template of each line of a leaf, from the lines' numbers of documents."""
     split = {x: x.split(b" ") for x in lines}
@@ -93,29 +98,37 @@ def templates(lines: dict[bytes, int], min_docs: int, constant: float) -> dict[b
     found = {}
     for x, tokens in split.items():
         fixed = [t != FIELD and seen[k, t] >= min_docs for k, t in enumerate(tokens)]
-        found[x] = b" ".join(t if f else FIELD for t, f in zip(tokens, fixed, strict=True)) if sum(fixed) >= constant * len(tokens) else x
+        found[x] = _template(x, tokens, fixed, constant)
     return found
 
 
 def _parse(min_docs: int, constant: float):
-    """From rows in order of (leaf, line): line and template digests with the line's number of documents and the number at which it recurs."""
+    """From rows in order of (leaf, line): line and template digests with the line's number of documents and the number at which it recurs.
+
+    Of a leaf with more than LEAF_LINES lines: no template, but the leaf and the line itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, rows = None, {}, []
+        now, large, held, rows = None, False, {}, []
 
         def parsed() -> list[tuple]:
             least = least_docs(next(iter(held)).count(b" ") + 1, min_docs) if held else 0
+            if large:
+                return [(_digest(x), None, n, least, now, x) for x, n in held.items()]
             if sum(held.values()) < least:
                 return []
-            return [(_digest(x), _digest(b"T" + t), held[x], least) for x, t in templates(held, least, constant).items()]
+            return [(_digest(x), _digest(b"T" + t), held[x], least, None, None) for x, t in templates(held, least, constant).items()]
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["line", "template", "n", "least"])
+            types = [pa.int64()] * 5 + [pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["line", "template", "n", "least", "leaf", "tokens"])
 
         for b in batches:
             for where, x, n in zip(*(b.column(c).to_pylist() for c in ("leaf", "line", "n")), strict=True):
                 if where != now or (len(held) >= LEAF_LINES and x not in held):
+                    large = large or where == now
                     rows += parsed()
+                    large = where == now
                     now, held = where, {}
                     if len(rows) > 20_000:
                         yield out()
@@ -128,6 +141,37 @@ def _parse(min_docs: int, constant: float):
     return run
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of lines that may be constant: leaf, position, token digest, line digest, number of documents and at which it is constant."""
+    for b in batches:
+        rows = zip(*(b.column(c).to_pylist() for c in ("leaf", "line", "n", "least", "tokens")), strict=True)
+        placed = [(where, k, _digest(t), line, n, least) for where, line, n, least, x in rows for k, t in enumerate(x.split(b" ")) if t != FIELD]
+        for at in range(0, len(placed), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*placed[at : at + 50_000], strict=True)], names=["leaf", "at", "token", "line", "n", "least"])
+
+
+def _joined(constant: float):
+    """Line and template digests of lines, from the positions of their constants."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for x, fixed in zip(b.column("tokens").to_pylist(), b.column("fixed").to_pylist(), strict=True):
+                tokens, at = x.split(b" "), set(fixed or ())
+                found.append(_digest(b"T" + _template(x, tokens, [k in at for k in range(len(tokens))], constant)))
+            yield pa.RecordBatch.from_arrays([b.column("line"), pa.array(found, pa.int64()), b.column("n"), b.column("least")], names=["line", "template", "n", "least"])
+
+    return run
+
+
+def _large(lines: DataFrame, constant: float) -> DataFrame:
+    """What _parse gives, for the lines of large leaves: documents of each (leaf, position, token) are counted over all lines of the leaf."""
+    placed = lines.select("leaf", "line", "n", "least", "tokens").mapInArrow(_placed, "leaf long, at long, token long, line long, n long, least long")
+    seen = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("leaf", "at", "token")
+    fixed = placed.select("leaf", "at", "token", "line").join(seen, ["leaf", "at", "token"], "left_semi").groupBy("line").agg(F.collect_list("at").alias("fixed"))
+    return lines.select("line", "n", "least", "tokens").join(fixed, "line", "left").mapInArrow(_joined(constant), "line long, template long, n long, least long")
+
+
 def _numbered(min_tokens: int):
     """Line digests of each text: text digest, line number, line digest."""
 
@@ -155,7 +199,8 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_D
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     lines = docs.select(text.alias("text")).mapInArrow(_lines(min_tokens), "leaf long, line binary, n long")
     ordered = lines.repartition("leaf").sortWithinPartitions("leaf", "line")
-    parsed = stored(ordered.mapInArrow(_parse(min_docs, constant), "line long, template long, n long, least long"), "templates")
+    parsed = stored(ordered.mapInArrow(_parse(min_docs, constant), "line long, template long, n long, least long, leaf long, tokens binary"), "templates")
+    parsed = parsed.where("tokens is null").select("line", "template", "n", "least").unionByName(_large(parsed.where("tokens is not null"), constant))
     recurring = parsed.groupBy("template").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("template")
     bad = parsed.join(recurring, "template", "left_semi").select("line").distinct()
     numbered = docs.select(F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text")).mapInArrow(_numbered(min_tokens), "text_key binary, at int, line long")

@@ -73,3 +73,16 @@ def test_long_passages_recur_in_two_documents(spark):
     rows += [(k, f"{passage[1].replace('once', 'twice')} again") for k in (4,)]
     got = {r.doc_id: r.dropped for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: [1], 1: [1, 3], 2: [0], 3: [0], 4: []}
+
+
+@pytest.mark.parametrize("size", [1, 3, 10])
+def test_large_leaves_are_brute_force(spark, docs, size, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAF_LINES", size)
+    r = random.Random(7)
+    words = [f"w{chr(97 + k)}" for k in range(12)]
+    # One leaf whose constants stand in lines that sort far apart: a varying fifth token, then tokens shared by few.
+    spread = [(200 + k, f"all in one leaf {words[k % 12]} holds {r.choice(['this', 'that', 'rare' + words[k // 5]])} same tail of line") for k in range(60)]
+    more = docs.unionByName(spark.createDataFrame([(k, x, "x") for k, x in spread], docs.schema))
+    rows = more.collect()
+    want = sorted(str((r.doc_id, len((r.text or "").split("\n")), len(d), d)) for r, d in zip(rows, brute(rows), strict=True))
+    assert sorted(str((r.doc_id, r.n_lines, r.n_dropped, r.dropped)) for r in line_report(more).collect()) == want
