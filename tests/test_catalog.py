@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanfit.functions import columns as c
 from spanfit.operators import fit, resolve, telemetry
 from spanfit.operators.fit import FitQuery
-from spanfit.sources import files
+from spanfit.sources import adapters, files
 from spanfit.streaming import telemetry as streams
 
 PRODUCT = "ord int, id string, cat string, brand string, model string, display_name string, type string, w int, h int, d int, stars int, price int, unavailable boolean, priority int"
@@ -111,3 +111,10 @@ def test_streams_equal_batch(spark, tmp_path):
     streams.run_once(streams.window_limited(stream(), "user_id", 4, 600.0), f"{tmp_path}/lim", f"{tmp_path}/c3")
     want = sorted(map(tuple, telemetry.window_limited(events, "user_id", 4, 600.0).collect()))
     assert sorted((r.user_id, r.allowed, r.refused) for r in spark.read.parquet(f"{tmp_path}/lim").collect()) == want
+
+
+def test_offers_are_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    pairs = {(f"p{r.l_partkey}", r.l_suppkey) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    got = [(r.product_id, r.pos) for r in adapters.offers(spark, sf).collect()]
+    assert len(got) == len(pairs) and set(got) == pairs
