@@ -59,10 +59,14 @@ def repeated_ngrams(docs: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), least:
 def shingle_pairs(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """Pairs of documents (a < b) with similarity: shared distinct shingles over the larger set, at least `least`.
 
+    A text too short for shingles has its distinct words instead, a text without words one empty string.
+
     Prefix filtering keeps the join small and exact: with shingles in a global order (rarest first), two sets that share
     `least` of the larger one share a shingle among the first n - ceil(least * n) + 1 of each.
     """
-    sets = worded(docs).select("id", F.array_distinct(ngrams(F.col("words"), size)).alias("s")).where(F.size("s") > 0)
+    words = F.col("words")
+    shingles = F.when(F.size(words) >= size, F.array_distinct(ngrams(words, size))).when(F.size(words) > 0, F.array_distinct(words)).otherwise(F.array(F.lit("")))
+    sets = worded(docs).select("id", shingles.alias("s"))
     each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
     weight = each.groupBy("g").agg(F.count("*").alias("df"))
     ordered = each.join(weight, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanfit.functions import columns as c
-from spanfit.operators import fit, resolve, telemetry
+from spanfit.operators import fit, resolve, telemetry, text
 from spanfit.operators.fit import FitQuery
 from spanfit.sources import adapters, files
 from spanfit.streaming import telemetry as streams
@@ -118,3 +118,9 @@ def test_offers_are_all_pairs(spark):
     pairs = {(f"p{r.l_partkey}", r.l_suppkey) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
     got = [(r.product_id, r.pos) for r in adapters.offers(spark, sf).collect()]
     assert len(got) == len(pairs) and set(got) == pairs
+
+
+def test_short_texts_pair_by_words(spark):
+    texts = ["red fox", "Red fox!", "fox red fox", "", None, "a b c d e f", "a b c d e f", "a b c d", "a b c d e"]
+    got = {(r.a, r.b): r.similarity for r in text.shingle_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
+    assert got == {(0, 1): 1.0, (0, 2): 1.0, (1, 2): 1.0, (3, 4): 1.0, (5, 6): 1.0}
