@@ -46,7 +46,7 @@ def upsert_by_key(spark, sf_dir):
 
 def feed_match(spark, sf_dir):
     p = _p(spark, sf_dir)
-    feed = p.where("ord % 20 = 7").select(F.col("ord").alias("item"), F.concat(F.lit("New "), "brand", F.lit(" "), "model", F.lit(" now")).alias("name"), F.when(F.col("ord") % 40 == 7, F.col("brand")).alias("brand"), F.when(F.col("ord") % 40 == 7, F.col("model")).alias("model"))
+    feed = p.select(F.col("ord").alias("item"), F.concat(F.lit("New "), "brand", F.lit(" "), "model", F.lit(" now")).alias("name"), F.when(F.col("ord") % 40 == 7, F.col("brand")).alias("brand"), F.when(F.col("ord") % 40 == 7, F.col("model")).alias("model"))
     return r.feed_match(feed, p)
 
 

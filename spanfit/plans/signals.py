@@ -63,7 +63,7 @@ def bucket_limiter(spark, sf_dir):
 
 
 def plan_cap(spark, sf_dir):
-    return t.capped_plan(adapters.search_console(spark, sf_dir).where("ord % 9 = 0").select("ord", "page"))
+    return t.capped_plan(adapters.search_console(spark, sf_dir).select("ord", "page"))
 
 
 def text_lint(spark, sf_dir):
@@ -71,7 +71,7 @@ def text_lint(spark, sf_dir):
 
 
 def text_ngrams(spark, sf_dir):
-    return x.repeated_ngrams(_docs(spark, sf_dir).where("lang = 'en'"))
+    return x.repeated_ngrams(_docs(spark, sf_dir))
 
 
 def text_pairs(spark, sf_dir):
@@ -129,11 +129,11 @@ def keyword_gaps(spark, sf_dir):
 
 
 def _slugs(spark, sf_dir):
-    return adapters.products(spark, sf_dir).where("ord < 40").select(F.regexp_replace(F.lower("display_name"), "[^a-z0-9]+", "-").alias("slug")).distinct()
+    return adapters.products(spark, sf_dir).select(F.regexp_replace(F.lower("display_name"), "[^a-z0-9]+", "-").alias("slug")).distinct()
 
 
 def coverage_similarity(spark, sf_dir):
-    return x.coverage_similarity(adapters.search_console(spark, sf_dir).where("ord % 10 = 0"), _slugs(spark, sf_dir))
+    return x.coverage_similarity(adapters.search_console(spark, sf_dir), _slugs(spark, sf_dir))
 
 
 def candidate_cascade(spark, sf_dir):

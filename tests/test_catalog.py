@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanfit.functions import columns as c
 from spanfit.operators import fit, resolve, telemetry, text
 from spanfit.operators.fit import FitQuery
+from spanfit.plans import etl, search, signals
 from spanfit.sources import adapters, files
 from spanfit.streaming import telemetry as streams
 
@@ -124,3 +125,21 @@ def test_short_texts_pair_by_words(spark):
     texts = ["red fox", "Red fox!", "fox red fox", "", None, "a b c d e f", "a b c d e f", "a b c d", "a b c d e"]
     got = {(r.a, r.b): r.similarity for r in text.shingle_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
     assert got == {(0, 1): 1.0, (0, 2): 1.0, (1, 2): 1.0, (3, 4): 1.0, (5, 6): 1.0}
+
+
+def test_signal_queries_read_whole_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, parts = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "part"))
+    everyone = {r.doc_id for r in docs.select("doc_id").collect()}
+    similar = {r.ord: r.similarity for r in signals.coverage_similarity(spark, sf).collect()}
+    assert set(similar) == everyone == {r.ord for r in signals.plan_cap(spark, sf).collect()}
+    slugs = parts.selectExpr("regexp_replace(lower(concat(p_brand, ' ', p_name)), '[^a-z0-9]+', '-') AS slug").distinct()
+    one = adapters.search_console(spark, sf).selectExpr("ord", "replace(query, ' ', '-') AS q").crossJoin(slugs)
+    best = one.selectExpr("ord", "floor((1 - levenshtein(q, slug) / greatest(length(q), length(slug), 1)) * 1000 + 0.5) / 1000 AS s").groupBy("ord").agg(F.max("s").alias("s"))
+    assert all(abs(similar[r.ord] - float(r.s)) < 1e-9 for r in best.collect())
+    assert sum(r.n for r in signals.candidate_cascade(spark, sf).collect()) == len(everyone)
+    grams = signals.text_ngrams(spark, sf).collect()
+    assert grams == text.repeated_ngrams(docs.withColumn("id", F.col("doc_id"))).collect()
+    asked = {r.p_partkey for r in parts.select("p_partkey").collect()}
+    assert {r.item for r in etl.feed_match(spark, sf).collect()} == asked
+    assert len(search.replacement_sources(spark, sf).collect()) > len(asked) / 2
