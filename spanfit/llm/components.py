@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Each round is a handful of joins and group-bys over the edges, stored in the shared folder; the driver sees a count and a
-checksum. Before the first round every task replaces its own edges by stars (union-find over a bounded number of edges).
+checksum. A hub with many neighbours is dealt over many tasks. Before the first round every task replaces its own edges by stars (union-find over a bounded number of edges).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfit.llm.common import stored
+from spanfit.llm.common import spread_join, stored
 
 TASK_EDGES = 1_000_000
 
@@ -66,12 +66,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(spread_join(both, low, ["a"], "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = spread_join(large, low, ["a"], "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         then = stored(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), "edges")
         if (new := _state(then)) == state:
             break
         now, state = then, new
     roots = now.select("b").distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
+
+
+def least_names(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, least_id): the smallest first_id of each component, from labels (node, root) and names (node, first_id)."""
+    members = stored(labels.join(names, "node"), "members")
+    return spread_join(members, members.groupBy("root").agg(F.min("first_id").alias("least_id")), ["root"], "node").select("node", "least_id")

@@ -3,11 +3,13 @@
 Vectors with equal labels and cosine >= 0.93 link. Equal vectors of a label are first joined to one class with its size.
 Each of TABLES tables projects unit vectors by a random Gaussian matrix to 8 dimensions, shifts them, and decodes the
 nearest point of the E8 lattice; PROBES neighbouring lattice points, those nearest to the vector, are probed too. Two
-classes are compared if any of their cells agree. With the defaults, pairs at cosine 0.93 share a cell with probability
-0.9995 in simulation (0.93 to 1: more), unrelated ones with 0.005.
+classes are compared if any of their cells agree. As a label grows its cells would fill with chance meetings, so labels of
+more classes use cells of several lattice codes at once (CODES: classes, codes, tables, scale). In simulation at 64
+dimensions pairs at cosine 0.93 share a cell with probability 0.998 or more at each size (closer ones: more), unrelated
+ones with 6e-3 for one code, 8e-5 for two, 4e-7 for three: a class meets about a hundred others by chance at any size.
 
-Cells are counted before any vector moves: those of a single class are dropped. Vectors join the cells that are left;
-cells of more than BLOCK classes are dealt in pairs of blocks. Within a block pair cosines are exact (double precision),
+Cells are counted before any vector moves: those of a single class are dropped. Vectors join the cells that are left, hot
+cells dealt over many tasks; cells of more than BLOCK classes are dealt in pairs of blocks. Within a block pair cosines are exact (double precision),
 a pair counts in the first table and cell that it shares only, and what leaves the task is one row per member of a stretch
 of buckets: how many vectors it links with there, and the smallest member it reaches there. So links are counted in full but
 never listed, and components come from the reached members.
@@ -28,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfit.llm.common import small_batches, stored
-from spanfit.llm.components import connected_components, stars
+from spanfit.llm.common import small_batches, spread_join, stored
+from spanfit.llm.components import connected_components, least_names, stars
 
-COSINE, TABLES, PROBES, SCALE, SEED, BLOCK = 0.93, 8, 4, 1.0, 8, 2048
+COSINE, PROBES, SEED, BLOCK = 0.93, 4, 8, 512
+#: Classes of a label up to which a row holds, lattice codes of a cell, tables, scale of the projections.
+CODES = ((32_000, 1, 8, 1.0), (400_000, 2, 7, 0.8), (80_000_000, 3, 10, 0.8), (1 << 62, 4, 15, 0.8))
 SMALL, PAIRS, STRETCH_BYTES = 64, 20_000, 16 << 20
 
 
+@cache
 def minimal_vectors() -> np.ndarray:
     """The 240 shortest vectors of E8: pairs of +-1, and +-1/2 everywhere with an even number of minus signs."""
     whole = [v for v in product((-1, 0, 1), repeat=8) if np.abs(v).sum() == 2]
@@ -70,8 +75,18 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
-    """Of unit vectors: a 64-bit hash of each cell, shape (rows, tables, 1 + probes)."""
+def cells(x: np.ndarray, plan: int = 0, probes: int = PROBES, codes: tuple = CODES) -> np.ndarray:
+    """Of unit vectors: a 64-bit hash of each cell, shape (rows, tables, (1 + probes) ** codes of a cell)."""
+    _, n, tables, scale = codes[plan]
+    each = lattice_codes(x, n * tables, probes, scale).reshape(len(x), tables, n, 1 + probes)
+    out = each[:, :, 0]
+    for k in range(1, n):
+        out = (out[:, :, :, None] * np.uint64(0x9E3779B97F4A7C15) ^ each[:, :, k, None, :]).reshape(len(x), tables, -1)
+    return out
+
+
+def lattice_codes(x: np.ndarray, tables: int, probes: int, scale: float) -> np.ndarray:
+    """Of unit vectors: a 64-bit hash of the lattice point and its probed neighbours in each table."""
     near, out = minimal_vectors(), np.empty((len(x), tables, 1 + probes), np.uint64)
     by = np.random.default_rng((SEED, 1)).integers(1, 1 << 63, 8, np.uint64) | np.uint64(1)
     for t, (a, shift) in enumerate(zip(*_tables(x.shape[1], tables, scale), strict=True)):
@@ -91,20 +106,22 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def _by_length(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    n = np.asarray(b.column("embedding").value_lengths())
-    for k in np.unique(n):
-        yield b.take(pa.array(np.flatnonzero(n == k)))
+def _alike(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of one length and plan each, in parts whose cells stay small."""
+    kind = b.column("dim").to_numpy() * len(CODES) + b.column("plan").to_numpy()
+    for k in np.unique(kind):
+        rows = np.flatnonzero(kind == k)
+        for at in range(0, len(rows), 200):
+            yield b.take(pa.array(rows[at : at + 200]))
 
 
-def _file(tables: int, probes: int, scale: float):
+def _file(probes: int, codes: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _by_length(whole):
-                c = cells(unit(_vectors(b.column("embedding"))), tables, probes, scale)
-                each = c.shape[1] * c.shape[2]
-                rows = pa.array(np.repeat(np.arange(b.num_rows), each))
-                yield pa.RecordBatch.from_arrays([b.column("cls").take(rows), b.column("label").take(rows), b.column("dim").take(rows), pa.array(c.ravel().view(np.int64))], names=["cls", "label", "dim", "cell"])
+            for b in _alike(whole):
+                c = cells(unit(_vectors(b.column("embedding"))), b.column("plan")[0].as_py(), probes, codes)
+                rows = pa.array(np.repeat(np.arange(b.num_rows), c.shape[1] * c.shape[2]))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in ("cls", "label_a", "label_b", "dim")), pa.array(c.ravel().view(np.int64))], names=["cls", "label_a", "label_b", "dim", "cell"])
 
     return run
 
@@ -148,11 +165,11 @@ def _close_pairs(bucket: np.ndarray, own: np.ndarray, one: np.ndarray, x: np.nda
                 yield p[k2 : k2 + PAIRS], q[k2 : k2 + PAIRS]
 
 
-def _verify(cosine: float, tables: int, probes: int, scale: float):
+def _verify(cosine: float, probes: int, codes: tuple):
     """From rows in order of (label, dim, cell, i, j): per class of a stretch of buckets, the vectors it links with there and the least class it reaches."""
 
     def links(rows: pa.Table, bucket: np.ndarray) -> pa.RecordBatch:
-        dim = rows.column("dim").to_numpy()
+        dim = rows.column("dim").to_numpy() * len(codes) + rows.column("plan").to_numpy()
         cls, n, own = (rows.column(c).to_numpy() for c in ("cls", "n", "own"))
         one = rows.column("i").to_numpy() == rows.column("j").to_numpy()
         cell = rows.column("cell").to_numpy().view(np.uint64)
@@ -165,15 +182,13 @@ def _verify(cosine: float, tables: int, probes: int, scale: float):
             where = np.zeros(len(names), np.int64)
             where[first[0]] = np.arange(len(first[0]))
             each = where[place[at]]
-            known: dict[str, np.ndarray] = {}
             found = []
             for p, q in _close_pairs(bucket[at], own[at], one[at], x[each], cosine):
                 if not len(p):
                     continue
-                if "cells" not in known:
-                    known["cells"] = cells(x, tables, probes, scale)
-                c = known["cells"]
-                ok = _shared_first(c[each[p]], c[each[q]]) == cell[at[p]]
+                met = np.unique(np.concatenate([each[p], each[q]]))  # cells of the few that are close
+                c = cells(x[met], int(length % len(codes)), probes, codes)
+                ok = (_shared_first(c[np.searchsorted(met, each[p])], c[np.searchsorted(met, each[q])]) == cell[at[p]]) & (cls[at[p]] != cls[at[q]])
                 p, q = at[p[ok]], at[q[ok]]
                 np.add.at(count, place[p], n[q])
                 np.add.at(count, place[q], n[p])
@@ -188,7 +203,7 @@ def _verify(cosine: float, tables: int, probes: int, scale: float):
         def cut(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size
             rows = pa.Table.from_batches(held).combine_chunks()
-            keys = np.stack([rows.column(c).to_numpy() for c in ("label_key", "dim", "cell", "i", "j")], axis=1)
+            keys = np.stack([rows.column(c).to_numpy() for c in ("label_a", "label_b", "dim", "cell", "i", "j")], axis=1)
             bucket = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
             end = len(bucket) if last else int(np.searchsorted(bucket, bucket[-1]))
             if end:
@@ -206,34 +221,38 @@ def _verify(cosine: float, tables: int, probes: int, scale: float):
     return run
 
 
-def embedding_report(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
+def embedding_report(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, probes: int = PROBES, codes: tuple = CODES, block: int = BLOCK) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
     small_batches(rows.sparkSession)
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
     v = F.col("embedding")
     good = F.col("label").isNotNull() & v.isNotNull() & F.coalesce(~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("good", good)
+    rows = stored(rows.withColumn("good", good), "vectors")
     classes = rows.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
-    classes = stored(classes.withColumns({"cls": F.monotonically_increasing_id(), "dim": F.size("embedding").cast("long"), "label_key": F.xxhash64("label")}), "classes")
-
-    filed = classes.select("cls", "label_key", "dim", "embedding").withColumnRenamed("label_key", "label").mapInArrow(_file(tables, probes, scale), "cls long, label long, dim long, cell long").withColumnRenamed("label", "label_key")
-    filed = stored(filed.distinct(), "cells")
-    key = ["label_key", "dim", "cell"]
-    shared = filed.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / block).cast("long"))
-    dealt = filed.join(shared, key).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    # A label's key has 128 bits: two hashes with different beginnings.
+    keys = {"label_a": F.xxhash64("label"), "label_b": F.xxhash64(F.lit("label"), "label")}
+    classes = stored(classes.withColumns({"cls": F.monotonically_increasing_id(), "dim": F.size("embedding").cast("long"), **keys}), "classes")
+    plan = F.coalesce(*(F.when(F.col("of_label") <= most, k) for k, (most, *_) in enumerate(codes))).cast("long")
+    sizes = classes.groupBy("label_a", "label_b", "dim").agg(F.count("*").alias("of_label")).select("label_a", "label_b", "dim", plan.alias("plan"))
+    classes = stored(spread_join(classes, sizes, ["label_a", "label_b", "dim"], "cls"), "classes")
+
+    filed = stored(classes.select("cls", "label_a", "label_b", "dim", "plan", "embedding").mapInArrow(_file(probes, codes), "cls long, label_a long, label_b long, dim long, cell long"), "cells")
+    key = ["label_a", "label_b", "dim", "cell"]
+    members = stored(filed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    shared = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("long")).drop("n")
+    dealt = spread_join(filed, shared, key, "cls", counted=members).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select(*key, "cls", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = dealt.join(classes.select("cls", "n", "embedding"), "cls")
+    full = dealt.join(classes.select("cls", "n", "plan", "embedding"), "cls")
     where = [*key, "i", "j"]
-    met = full.repartition(*where).sortWithinPartitions(*where).mapInArrow(_verify(cosine, tables, probes, scale), "cls long, least long, links long")
+    met = full.repartition(*where).sortWithinPartitions(*where).mapInArrow(_verify(cosine, probes, codes), "cls long, least long, links long")
     met = stored(met, "met")
 
     counts = met.groupBy("cls").agg(F.sum("links").alias("links"))
-    labels = connected_components(met.select(F.col("cls").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "cls")
-    members = labels.join(classes.select("cls", "first_id"), "cls")
-    least = members.join(members.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("cls", "least_id")
+    labels = connected_components(met.select(F.col("cls").alias("a"), F.col("least").alias("b")))
+    least = least_names(labels, classes.select(F.col("cls").alias("node"), "first_id")).withColumnRenamed("node", "cls")
     named = classes.select("label", "embedding", "cls", "first_id", "n").join(counts, "cls", "left").join(least, "cls", "left")
     named = named.select("label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least_id", "first_id").alias("component_id"))
-    found = rows.where("good").join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    found = spread_join(rows.where("good").select("vec_id", "label", "embedding"), named, ["label", "embedding"], "vec_id").select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -11,7 +11,8 @@ Each scan task joins its equal lines first (with their number of documents), so
 task once. Leaves are read in order of their lines; a leaf of up to LEAF_LINES distinct lines is parsed in its task. The
 lines of a larger leaf leave the task unparsed, so memory is bounded: its (position, token) pairs are counted by a group-by
 over all its lines and the constants are joined back, with the same result. Which lines to drop comes back by line digest
-to (text digest, line number); texts are joined at most once, for the cleaned output.
+to (text digest, line number), with frequent lines and much copied texts dealt over many tasks; texts are joined at most
+once, for the cleaned output.
 
 Defined results: null text is empty; blank lines are kept and never templates; a document counts once for a line it
 repeats, rows that repeat a document count as documents; order of the lines that stay is kept; other columns pass through;
@@ -28,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfit.llm.common import fresh, small_batches, stored
+from spanfit.llm.common import fresh, small_batches, spread_join, stored
 
 LEAD, MIN_DOCS, MIN_TOKENS, CONSTANT = 4, 5, 4, 0.7
 LONG_TOKENS, LONG_DOCS = 50, 2
-TASK_LINES, LEAF_LINES = 100_000, 50_000
+TASK_LINES, LEAF_LINES, TASK_TEXTS = 100_000, 50_000, 500_000
 FIELD = b"<*>"
 _DIGITS = bytes.maketrans(b"0123456789", b"0" * 10)
 
@@ -45,12 +46,12 @@ def masked(line: bytes) -> list[bytes]:
     return tokens
 
 
-def _digest(data: bytes) -> int:
-    """A signed 64-bit digest."""
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+def _digest(data: bytes) -> bytes:
+    """A 128-bit digest: lines and templates are known by it."""
+    return xxhash.xxh3_128_digest(data)
 
 
-def leaf(tokens: list[bytes]) -> int:
+def leaf(tokens: list[bytes]) -> bytes:
     """Digest of the path of the tree."""
     return _digest(b"%d " % len(tokens) + b" ".join(tokens[:LEAD]))
 
@@ -70,7 +71,7 @@ def _lines(min_tokens: int):
             rows = list(held.items())
             for at in range(0, len(rows), 5000):
                 lines = [x for x, _ in rows[at : at + 5000]]
-                yield pa.RecordBatch.from_arrays([pa.array([leaf(x.split(b" ")) for x in lines], pa.int64()), pa.array(lines, pa.binary()), pa.array([n for _, n in rows[at : at + 5000]], pa.int64())], names=["leaf", "line", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([leaf(x.split(b" ")) for x in lines], pa.binary()), pa.array(lines, pa.binary()), pa.array([n for _, n in rows[at : at + 5000]], pa.int64())], names=["leaf", "line", "n"])
 
         for b in batches:
             for text in b.column("text").to_pylist():
@@ -120,7 +121,7 @@ def _parse(min_docs: int, constant: float):
             return [(_digest(x), _digest(b"T" + t), held[x], least, None, None) for x, t in templates(held, least, constant).items()]
 
         def out() -> pa.RecordBatch:
-            types = [pa.int64()] * 5 + [pa.binary()]
+            types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["line", "template", "n", "least", "leaf", "tokens"])
 
         for b in batches:
@@ -147,7 +148,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = zip(*(b.column(c).to_pylist() for c in ("leaf", "line", "n", "least", "tokens")), strict=True)
         placed = [(where, k, _digest(t), line, n, least) for where, line, n, least, x in rows for k, t in enumerate(x.split(b" ")) if t != FIELD]
         for at in range(0, len(placed), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*placed[at : at + 50_000], strict=True)], names=["leaf", "at", "token", "line", "n", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*placed[at : at + 50_000], strict=True), (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["leaf", "at", "token", "line", "n", "least"])
 
 
 def _joined(constant: float):
@@ -159,17 +160,17 @@ def _joined(constant: float):
             for x, fixed in zip(b.column("tokens").to_pylist(), b.column("fixed").to_pylist(), strict=True):
                 tokens, at = x.split(b" "), set(fixed or ())
                 found.append(_digest(b"T" + _template(x, tokens, [k in at for k in range(len(tokens))], constant)))
-            yield pa.RecordBatch.from_arrays([b.column("line"), pa.array(found, pa.int64()), b.column("n"), b.column("least")], names=["line", "template", "n", "least"])
+            yield pa.RecordBatch.from_arrays([b.column("line"), pa.array(found, pa.binary()), b.column("n"), b.column("least")], names=["line", "template", "n", "least"])
 
     return run
 
 
 def _large(lines: DataFrame, constant: float) -> DataFrame:
     """What _parse gives, for the lines of large leaves: documents of each (leaf, position, token) are counted over all lines of the leaf."""
-    placed = lines.select("leaf", "line", "n", "least", "tokens").mapInArrow(_placed, "leaf long, at long, token long, line long, n long, least long")
+    placed = lines.select("leaf", "line", "n", "least", "tokens").mapInArrow(_placed, "leaf binary, at long, token binary, line binary, n long, least long")
     seen = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("leaf", "at", "token")
     fixed = placed.select("leaf", "at", "token", "line").join(seen, ["leaf", "at", "token"], "left_semi").groupBy("line").agg(F.collect_list("at").alias("fixed"))
-    return lines.select("line", "n", "least", "tokens").join(fixed, "line", "left").mapInArrow(_joined(constant), "line long, template long, n long, least long")
+    return lines.select("line", "n", "least", "tokens").join(fixed, "line", "left").mapInArrow(_joined(constant), "line binary, template binary, n long, least long")
 
 
 def _numbered(min_tokens: int):
@@ -178,6 +179,8 @@ def _numbered(min_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
+            if len(seen) > TASK_TEXTS:
+                seen.clear()
             keys, at, lines = [], [], []
             for key, text in zip(b.column("text_key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if key in seen:
@@ -188,7 +191,7 @@ def _numbered(min_tokens: int):
                         keys.append(key)
                         at.append(k)
                         lines.append(_digest(b" ".join(t)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at, pa.int32()), pa.array(lines, pa.int64())], names=["text_key", "at", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at, pa.int32()), pa.array(lines, pa.binary())], names=["text_key", "at", "line"])
 
     return run
 
@@ -197,21 +200,21 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_D
     """(text_key, dropped): SHA-256 of a text and the numbers, from 0, of its lines whose template recurs."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    lines = docs.select(text.alias("text")).mapInArrow(_lines(min_tokens), "leaf long, line binary, n long")
+    lines = docs.select(text.alias("text")).mapInArrow(_lines(min_tokens), "leaf binary, line binary, n long")
     ordered = lines.repartition("leaf").sortWithinPartitions("leaf", "line")
-    parsed = stored(ordered.mapInArrow(_parse(min_docs, constant), "line long, template long, n long, least long, leaf long, tokens binary"), "templates")
-    parsed = parsed.where("tokens is null").select("line", "template", "n", "least").unionByName(_large(parsed.where("tokens is not null"), constant))
+    parsed = stored(ordered.mapInArrow(_parse(min_docs, constant), "line binary, template binary, n long, least long, leaf binary, tokens binary"), "templates")
+    parsed = stored(parsed.where("tokens is null").select("line", "template", "n", "least").unionByName(_large(parsed.where("tokens is not null"), constant)), "lines")
     recurring = parsed.groupBy("template").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("template")
-    bad = parsed.join(recurring, "template", "left_semi").select("line").distinct()
-    numbered = docs.select(F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text")).mapInArrow(_numbered(min_tokens), "text_key binary, at int, line long")
-    return numbered.join(bad, "line").groupBy("text_key").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
+    bad = stored(spread_join(parsed, recurring, ["template"], "line", "left_semi").groupBy("line").agg(F.max("n").alias("n")), "recurring")
+    numbered = docs.select(F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text")).mapInArrow(_numbered(min_tokens), "text_key binary, at int, line binary")
+    return spread_join(numbered, bad.select("line"), ["line"], "text_key", counted=bad).groupBy("text_key").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped and dropped (line numbers from 0, in order)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_key"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    joined = slim.join(dropped_lines(docs, text_col, **how), "text_key", "left")
+    slim = stored(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_key"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")), "texts")
+    joined = spread_join(slim, dropped_lines(docs, text_col, **how), ["text_key"], "doc_id", "left")
     none = F.array().cast("array<int>")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped")).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
 
@@ -220,6 +223,8 @@ def drop_lines(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """docs with the recurring lines taken out of its texts; all else, null texts too, as it was."""
     key, gone = fresh("text_key", docs.columns), fresh("dropped_lines", docs.columns)
     found = dropped_lines(docs, text_col, **how).withColumnsRenamed({"text_key": key, "dropped": gone})
-    joined = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))).join(found, key, "left")
+    keyed = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
+    sizes = stored(keyed.groupBy(key).agg(F.count("*").alias("n")), "sizes")
+    joined = spread_join(keyed, found, [key], next((c for c in docs.columns if c != text_col), text_col), "left", sizes)
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, k: ~F.array_contains(F.col(gone), k))
     return joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)

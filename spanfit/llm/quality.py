@@ -189,9 +189,9 @@ def _score(model: Model | None, n_meta: int):
 
 
 def score(docs: DataFrame, model: Model | None, score_col: str = "score", text_col: str = "text", meta: tuple[str, ...] = (), keep: list[str] | None = None) -> DataFrame:
-    """docs (its columns `keep`; by default all) with the score of each row, 0 to 1, higher: label 1 likelier. score_col must be free."""
+    """docs (its columns `keep`; by default all) with the score of each row, 0 to 1, higher: label 1 likelier. A kept column of the score's name is replaced."""
     small_batches(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != score_col]
     fields = [docs.schema[c] for c in keep]
     text, row = F.coalesce(F.col(text_col), F.lit("")).cast("binary"), F.struct(*(F.col(f"`{c}`") for c in keep))
     slim = docs.select(row.alias("row"), text.alias("text"), *(F.col(c).cast("double").alias(f"m{k}") for k, c in enumerate(meta)))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanfit.llm.chat import format_chats, read_back
 from spanfit.llm.common import scratch, table
@@ -17,7 +18,7 @@ from spanfit.llm.quality import quality_report
 from spanfit.llm.simhash import near_report
 from spanfit.llm.sp_backend import round_trip
 from spanfit.llm.suffix_tree import suffix_tree_scores
-from spanfit.llm.token_counts import token_counts
+from spanfit.llm.token_counts import fill_cache, token_counts
 
 CHAT_TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -62,7 +63,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), scratch(spark, "token-counts"))
+    """Counts of all documents. An eighth of them is counted first, as a run before this one would have, so that the cache has hits and misses."""
+    docs, model, cache = table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), scratch(spark, "token-counts")
+    fill_cache(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 8 == 0), model, cache)
+    return token_counts(docs, model, cache)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

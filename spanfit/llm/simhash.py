@@ -11,7 +11,8 @@ bits): 64 keys, and two fingerprints of a chain share one. The third segment is
 Members of a bucket agree in 41 bits or more, so a bucket holds at most 2^23 distinct fingerprints however many documents
 there are, and a fingerprint has at most 2,080 others within 2 bits: candidates and links grow in proportion to distinct
 fingerprints. Small buckets compare members with each other; larger ones look the 277 patterns of at most 2 changed bits
-up among their members. A pair is reported in the first bucket that it shares only.
+up among their members. A pair is reported in the first bucket that it shares only. Filing writes 64 rows of 16 bytes for
+each distinct fingerprint, at any corpus size; documents come back to their fingerprint with large groups dealt over tasks.
 
 Defined results: null text is empty; empty texts have fingerprint 0 and so link; null ids have fingerprints but never
 name a component unless it has no other; repeated rows link with each other; an empty table gives an empty result.
@@ -28,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfit.llm.common import small_batches, stored
-from spanfit.llm.components import connected_components
+from spanfit.llm.common import small_batches, spread_join, stored
+from spanfit.llm.components import connected_components, least_names
 
 SHINGLE, SEED, BITS = 3, 42, 2
 #: Lowest bit and width of the ring's segments.
@@ -173,12 +174,9 @@ def near_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable by links)."""
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    labels = connected_components(links(distinct)).withColumnRenamed("node", "fp")
-    members = labels.join(distinct, "fp")
-    least = members.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    least = members.join(least, "root").select("fp", "least_id")
+    least = least_names(connected_components(links(distinct)), distinct.withColumnRenamed("fp", "node")).withColumnRenamed("node", "fp")
     named = distinct.join(least, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(rows, named, ["fp"], "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,11 +8,16 @@ encoded), so a text falls apart, without any change in its ids, into runs of spa
 keeps the ids of the pieces of text it has met, in a bounded table that is emptied when full, and hands the library only
 those it has not.
 
-Parity: the first text of every batch is encoded whole by the library too, and a difference raises an error; tests hold
-ids and texts against the sentencepiece library.
+Control, unknown, unused and byte pieces never match text: they stand in the library's vocabulary under names that no
+normalised text can hold. User-defined pieces of a unigram model get sentencepiece's score for them, so they match first.
+Characters outside a unigram vocabulary come back from the library as unknown and are spelled in byte pieces here.
+
+Parity: the first text of every batch is encoded whole by the sentencepiece library too, and a difference raises an error;
+tests hold ids and texts of a BPE and of a unigram model against it. The library's threads are those of its process
+(TOKENIZERS_PARALLELISM, RAYON_NUM_THREADS); Spark's tasks are the first level of parallelism.
 
 Defined results: null text has null ids and decodes to null; the empty text has no ids and decodes to the empty text.
-Texts of any length are encoded whole. Further columns pass through; the new column's name must be free.
+Texts of any length are encoded whole. Further columns pass through; a column that has the new one's name is replaced.
 """
 
 from __future__ import annotations
@@ -100,7 +105,9 @@ def build(model: dict):
     if model["algorithm"] == BPE:
         core = models.BPE({p: k for k, (p, _, _) in enumerate(pieces)}, _merges(model), unk_token=pieces[unknown][0], fuse_unk=True, byte_fallback=model["byte_fallback"])
     else:
-        core = models.Unigram([(p, s) for p, s, _ in pieces], unk_id=unknown, byte_fallback=model["byte_fallback"])
+        best = max((s for _, s, kind in pieces if kind == NORMAL), default=0.0)
+        known = [(p, s) if kind == NORMAL else (p, len(p.encode()) * best - 0.1) if kind == USER else (f" {k}", best) for k, (p, s, kind) in enumerate(pieces)]
+        core = models.Unigram(known, unk_id=unknown, byte_fallback=False)
     t = Tokenizer(core)
     steps = [normalizers.Precompiled(model["charsmap"])] if model["charsmap"] else []
     if model["trim"]:
@@ -137,13 +144,35 @@ class Backend:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             model = parse_model(f.read())
-        self.library = build(model)
-        self.falls_apart = model["dummy_prefix"] and not model["trim"] and not model["charsmap"] and not any(MARK in p.lstrip(MARK) for p, _, _ in model["pieces"])
-        self.marked = np.array([p.startswith(MARK) for p, _, _ in model["pieces"]])
-        self.met = Met(self._words)
+        self.path, self.library = path, build(model)
+        pieces = model["pieces"]
+        self.falls_apart = model["dummy_prefix"] and not model["trim"] and not model["charsmap"] and not any(MARK in p.lstrip(MARK) for p, _, _ in pieces) and any((p, kind) == (MARK, NORMAL) for p, _, kind in pieces)
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in pieces])
+        self.kinds, self.surfaces = np.array([kind for *_, kind in pieces]), [p for p, _, _ in pieces]
+        self.unknown = int(np.flatnonzero(self.kinds == UNKNOWN)[0])
+        self.bytes = [k for k, kind in enumerate(self.kinds) if kind == BYTE]
+        self.spelled = model["algorithm"] == UNIGRAM and model["byte_fallback"] and len(self.bytes) == 256
+        self.met, self.sentencepiece = Met(self._words), None
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for at in range(0, len(texts), AT_ONCE) for e in self.library.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
+        found = []
+        encode = self.library.encode_batch if self.spelled else self.library.encode_batch_fast  # the fast one has no tokens
+        for at in range(0, len(texts), AT_ONCE):
+            for e in encode(texts[at : at + AT_ONCE], add_special_tokens=False):
+                ids = e.ids
+                if self.spelled and self.unknown in ids:
+                    ids = [x for k, t in zip(ids, e.tokens, strict=True) for x in ([self.bytes[b] for b in t.encode()] if k == self.unknown else [k])]
+                found.append(np.array(ids, np.int32).tobytes())
+        return found
+
+    def verify(self, text: str, ids: bytes) -> None:
+        """Raises if sentencepiece gives other ids."""
+        if self.sentencepiece is None:
+            import sentencepiece
+
+            self.sentencepiece = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        if self.sentencepiece.encode(text) != np.frombuffer(ids, np.int32).tolist():
+            raise ValueError(f"ids of a text of {len(text)} characters differ from those of the sentencepiece library")
 
     def _words(self, parts: list[str]) -> list[bytes]:
         """Ids of parts of texts. Plain words go to the library many to a text, whose ids fall apart at the markers."""
@@ -176,18 +205,23 @@ class Backend:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian int32."""
-        if not self.falls_apart:
-            return self.whole(texts)
-        parts = [self.apart(x) for x in texts]
-        got = self.met.look_up(set().union(*parts)).__getitem__
-        ids = [b"".join(map(got, p)) for p in parts]
-        if texts and ids[0] != self.whole(texts[:1])[0]:
-            raise ValueError("ids of a text in parts differ from those of the whole text")
+        if self.falls_apart:
+            parts = [self.apart(x) for x in texts]
+            got = self.met.look_up(set().union(*parts)).__getitem__
+            ids = [b"".join(map(got, p)) for p in parts]
+        else:
+            ids = self.whole(texts)
+        if texts:
+            self.verify(texts[0], ids[0])
         return ids
 
     def decode(self, rows: list[np.ndarray]) -> list[str]:
-        """Each row's text."""
-        return self.library.decode_batch([x.tolist() for x in rows], skip_special_tokens=False)
+        """Each row's text; control and unused pieces say nothing, the unknown piece is a double question mark."""
+        kinds = self.kinds[np.concatenate([np.zeros(0, np.int32), *rows])]
+        if not self.spelled and not np.isin(kinds, (UNKNOWN, CONTROL, UNUSED)).any():
+            return self.library.decode_batch([x.tolist() for x in rows], skip_special_tokens=False)
+        said = [[" \u2047 " if self.kinds[k] == UNKNOWN else self.surfaces[k] for k in x.tolist() if self.kinds[k] not in (CONTROL, UNUSED)] for x in rows]
+        return [self.library.decoder.decode(x) for x in said]
 
 
 @cache
@@ -246,6 +280,7 @@ def _both(path: str, text_at: int):
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the ids of each whole text, without begin or end ids."""
     small_batches(docs.sparkSession)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != ids_col or c == text_col))
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(_encode(model_path, docs.columns.index(text_col), ids_col), schema)
 
@@ -253,6 +288,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
 def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """docs with the text of each row's ids."""
     small_batches(docs.sparkSession)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col or c == ids_col))
     schema = T.StructType([*docs.schema.fields, T.StructField(text_col, T.StringType())])
     return docs.mapInArrow(_decode(model_path, docs.columns.index(ids_col), text_col), schema)
 
@@ -260,6 +296,7 @@ def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
 def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """docs with `ids` of each whole text and `decoded`, the text that these give."""
     small_batches(docs.sparkSession)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded") or c == text_col))
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return docs.mapInArrow(_both(model_path, docs.columns.index(text_col)), schema)
 

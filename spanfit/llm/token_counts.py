@@ -2,10 +2,12 @@
 
 A text's digest (SHA-256 of its UTF-8) and the tokenizer's (of its file) are joined to stored counts; texts without one
 are encoded once for each distinct text, and their counts are appended to the cache. The cache is a Parquet table
-(tokenizer, digest, n_tokens) anywhere Spark can write; it may be shared by many corpora and tokenizers.
+(digest, n_tokens) anywhere Spark can write, partitioned by tokenizer, so that one tokenizer's counts are read without the
+others'; it may be shared by many corpora and tokenizers.
 
 Whole texts are moved once: each scan task hands on the first of its equal texts, those are anti-joined with the cache by
-digest, and what misses is encoded where it lands. Ids and digests alone go to the final join.
+digest, and what misses is encoded where it lands. Ids and digests alone go to the
+final join, much copied texts dealt over many tasks.
 
 Counts are those of the library for the file: tokenizers for .json, sentencepiece for .model; no begin, end or added
 special ids, special strings as ordinary text, no truncation. For a sentencepiece model whose pieces never span a marker
@@ -26,10 +28,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanfit.llm.common import small_batches
+from spanfit.llm.common import small_batches, spread_join, stored
 from spanfit.llm.sp_backend import CACHE_ENTRIES, MARK, parse_model
 
-CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
+CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
+#: Digests that a task remembers; a copy beyond them is encoded again.
+TASK_DIGESTS = 500_000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -86,6 +90,8 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
     for b in batches:
         keep = []
+        if len(seen) > TASK_DIGESTS:
+            seen.clear()
         for k, d in enumerate(b.column("digest").to_pylist()):
             if d not in seen:
                 seen.add(d)
@@ -113,17 +119,23 @@ def stored_counts(spark: SparkSession, cache_path: str, tokenizer: str) -> DataF
     return rows.where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_tokens, over_limit. Appends counts of new texts to the cache."""
+def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col: str = "text") -> None:
+    """Encodes the distinct texts that the cache has no count of, and appends their counts."""
     spark = docs.sparkSession
     small_batches(spark)
     tokenizer = tokenizer_digest(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    digest = F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
-    firsts = docs.select(digest, text.alias("text")).mapInArrow(_firsts, "digest binary, text string")
+    firsts = docs.select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text")).mapInArrow(_firsts, "digest binary, text string")
     known = stored_counts(spark, cache_path, tokenizer)
     misses = firsts.repartition("digest") if known is None else firsts.join(known, "digest", "left_anti")
     new = misses.mapInArrow(_count(tokenizer_path), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    new.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest)
-    return rows.join(stored_counts(spark, cache_path, tokenizer), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    new.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_tokens, over_limit. Appends counts of new texts to the cache."""
+    fill_cache(docs, tokenizer_path, cache_path, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")), "texts")
+    counts = stored_counts(docs.sparkSession, cache_path, tokenizer_digest(tokenizer_path))
+    return spread_join(rows, counts, ["digest"], "doc_id").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

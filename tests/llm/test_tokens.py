@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import struct
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import sentencepiece
 from spanfit.llm.chat import CONTROLS, escape, format_chats, read_back, unescape
 from spanfit.llm.mixing import mix, mix_report
 from spanfit.llm.sp_backend import backend, decode, encode, parse_model, round_trip
-from spanfit.llm.token_counts import stored_counts, token_counts, tokenizer_digest
+from spanfit.llm.token_counts import fill_cache, stored_counts, token_counts, tokenizer_digest
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 CHAT = public_tokenizers.path("byte_bpe_50k.json")
@@ -113,7 +114,8 @@ def test_parts_and_whole_agree():
     assert model.falls_apart and model.encode(ODD) == model.whole(ODD)
     assert model.encode(["a b", "a  b "]) == model.whole(["a b", "a  b "])
     ids = [np.frombuffer(x, np.int32) for x in model.whole(ODD)] + [np.array(x, np.int32) for x in ([5], [200, 201], [300, 5, 6, 29871, 29871, 1], [29871, 29871, 300, 29871], [229, 230, 300, 231])]
-    assert model.decode(ids) == [model.library.decode(x.tolist(), skip_special_tokens=False) for x in ids]
+    want = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert model.decode(ids) == [want.decode(x.tolist()) for x in ids]
     with open(PIECES, "rb") as f:
         pieces = parse_model(f.read())["pieces"]
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
@@ -141,3 +143,56 @@ def test_token_counts_and_cache(spark, path, tmp_path):
     want = sorted((k, len((t or "").encode()), count(t or ""), count(t or "") > 100) for k, t in [*rows, rows[2]])
     assert [tuple(r) for r in got] == want and [tuple(r) for r in first] == [w for w in want if w[0] < 9]
     assert token_counts(df.limit(0), path, where).count() == 0
+
+
+def _message(*fields):
+    """A protobuf message: (number, int, float or bytes)."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_unigram_model_is_sentencepiece(tmp_path, byte_fallback):
+    """A model written by hand (none is trained): control, unknown and byte pieces must not match text, a user-defined piece matches first."""
+    kinds = {"<unk>": 2, "<s>": 3, "</s>": 3, "[U]": 4, "<gone>": 5, **({f"<0x{b:02X}>": 6 for b in range(256)} if byte_fallback else {})}
+    words = ["▁", "▁the", "▁end", "th", "the", "e", "en", "nd", "d", "n", "t", "h", "▁<", "<", ">", "s", "<s", "0", "x", "0x", "4", "1", "41", "unk", "u", "k", "[", "]", "U", "▁b", "b", "et", "a", "eta", "a▁b"[:1], "/", "g", "o", "ne"]
+    pieces = [(p, 0.0, k) for p, k in kinds.items()] + [(w, -2.0 - k % 7 - 0.37 * len(w), 1) for k, w in enumerate(dict.fromkeys(words))]
+    data = b"".join(_message((1, _message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
+    data += _message((2, _message((3, 1), (35, int(byte_fallback)), (40, 0), (41, 1), (42, 2)))) + _message((3, _message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+    path = tmp_path / "hand.model"
+    path.write_bytes(data)
+    want = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    model = backend(str(path))
+    texts = ["the <s> end", "<unk> x", "<0x41> beta", "the [U]end [U]", "", " ", "  the  end ", "żółw the 漢字🙂 end", "<gone> </s>", "end" * 50, "a b\n\tthe"]
+    ids = model.encode(texts)
+    assert [np.frombuffer(x, np.int32).tolist() for x in ids] == [want.encode(t) for t in texts]
+    assert model.decode([np.frombuffer(x, np.int32) for x in ids]) == [want.decode(want.encode(t)) for t in texts]
+    assert model.decode([np.array([1, len(kinds) + 1, 2], np.int32)]) == [want.decode([1, len(kinds) + 1, 2])]
+
+
+def test_new_columns_replace_their_namesakes(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, None), (2, None, 6, 1)], "doc_id long, text string, ids int, decoded int")
+    got = decode(encode(docs, PIECES), PIECES).orderBy("doc_id").collect()
+    assert [r.decoded for r in got] == ["a b", None] and got[0].ids and got[1].ids is None
+
+
+def test_second_count_hits_the_cache(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k % 5}") for k in range(20)], "doc_id long, text string")
+    cache = f"file://{tmp_path}/cache"
+    fill_cache(docs.where("doc_id < 3"), PIECES, cache)
+    assert stored_counts(spark, cache, tokenizer_digest(PIECES)).count() == 3
+    first = sorted(map(tuple, token_counts(docs, PIECES, cache).collect()))
+    assert spark.read.parquet(cache).count() == 5
+    assert sorted(map(tuple, token_counts(docs, PIECES, cache).collect())) == first and spark.read.parquet(cache).count() == 5
