@@ -59,8 +59,19 @@ def model_code(x: Column) -> Column:
 
 def redact(x: Column) -> Column:
     """E-mail addresses and phone numbers replaced."""
-    mail = F.regexp_replace(x, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
-    return F.regexp_replace(mail, r"\+?[0-9][0-9 ()-]{7,}[0-9]", "[phone]")
+    mail = F.regexp_replace(x, r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[redacted-email]")
+    return F.regexp_replace(mail, r"\+?[0-9][0-9\s().-]{7,}[0-9]", "[redacted-phone]")
+
+
+def origin_path(x: Column, site: str) -> Column:
+    """Origin and path of a URL, without query and hash; what is no http URL is a path of the site."""
+    t = F.trim(F.coalesce(x, F.lit("")))
+    bare = F.regexp_replace(t, "[?#].*$", "")
+    absolute = bare.rlike("^https?://")
+    host = F.lower(F.regexp_extract(bare, "^(https?://[^/]*)", 1))
+    path = F.regexp_replace(F.when(absolute, F.regexp_replace(bare, "^https?://[^/]*", "")).otherwise(bare), " ", "%20")
+    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    return F.when(t == "", "").when(absolute, F.concat(host, rooted)).otherwise(F.concat(F.lit(site), rooted))
 
 
 def bare_path(x: Column) -> Column:

@@ -28,9 +28,12 @@ def work_queue(products: DataFrame, done: DataFrame, brands: tuple[str, ...] = (
     return left.where(F.lower("brand").isin(*(b.lower() for b in brands))) if brands else left
 
 
-def failure_bucket(reason: Column) -> Column:
-    """Fixed order of causes: A not found, B unreadable, C no dimensions, D other."""
-    return F.when(reason.rlike("(?i)404|not found|no pdf"), "A").when(reason.rlike("(?i)parse|corrupt|encrypted|empty"), "B").when(reason.rlike("(?i)dimension|missing"), "C").otherwise("D")
+def failure_bucket(reason: Column, error: Column | None = None) -> Column:
+    """Cause of a failure, the first that fits: C unverified alias, A missing source, B missing clearance, D unreadable layout."""
+    t = reason if error is None else F.concat_ws(" ", reason, error)
+    alias = "(?i)alias|model mismatch|does not match|engineering model|marketing model"
+    source = "(?i)PDP Not Found|source missing|official fetch failed|HTTP 404|source URL not found"
+    return F.when(t.rlike(alias), "C").when(t.rlike(source), "A").when(t.rlike("(?i)clearance"), "B").otherwise("D")
 
 
 def failures(rows: DataFrame, index: DataFrame, products: DataFrame) -> DataFrame:
@@ -41,21 +44,20 @@ def failures(rows: DataFrame, index: DataFrame, products: DataFrame) -> DataFram
     return found.groupBy(failure_bucket(F.col("reason")).alias("bucket")).agg(F.count("*").alias("n"), F.count("hit").alias("resolved"))
 
 
-def document_score(url: Column, model: Column, official: tuple[str, ...]) -> Column:
-    """How likely a PDF is a model's specification: model, official host, wording."""
-    u = F.lower(url)
-    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
-    own = F.lit(False)
-    for h in official:
-        own = own | host.endswith(h)
+def document_score(url: Column, model: Column, official: Column) -> Column:
+    """How likely a document is a model's specification: model, official host (array of the brand's hosts), wording."""
+    host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))), r"^www\.", "")
+    own = F.exists(official, lambda h: (host == h) | host.endswith(F.concat(F.lit("."), h)))
+    says = lambda words, points: F.when(url.rlike(f"(?i){words}"), points).otherwise(0)
+    named = F.when((squash(model) != "") & F.contains(squash(url), squash(model)), 60).otherwise(0)
     return (
-        F.when(F.contains(squash(url), squash(model)), 60).otherwise(0) + F.when(own, 35).otherwise(0) + F.when(u.rlike("spec"), 30).otherwise(0) + F.when(u.rlike("manual|guide"), 15).otherwise(0) + F.when(u.rlike("warranty"), -20).otherwise(0) + F.when(u.rlike(r"\.pdf$"), 0).otherwise(-100)
+        named + F.when(F.coalesce(own, F.lit(False)), 35).otherwise(0) + says("spec|data.?sheet|fact.?sheet", 30) + says("install|manual|quick.?reference|qrg", 15) + says("warranty|energy|label|catalog|brochure", -20)
     ).cast("int")
 
 
-def best_document(rows: DataFrame, official: tuple[str, ...]) -> DataFrame:
-    """Of each product's documents (id, model, url, pos) the best: score, then place."""
-    scored = rows.withColumn("score", document_score(F.col("url"), F.col("model"), official))
+def best_document(rows: DataFrame) -> DataFrame:
+    """Of each product's documents (id, model, url, pos, official) the best: score, then place."""
+    scored = rows.withColumn("score", document_score(F.col("url"), F.col("model"), F.col("official")))
     return ranked(scored, [F.desc("score"), F.asc("pos")], ["id"], 1, "nth").select("id", "url", "score")
 
 

@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from spanfit.functions.columns import is_product_url_strict, model_code, plain_words, squash
 from spanfit.operators.facets import ranked
+from spanfit.operators.similar import contained, prefixes
+
+#: Words after a brand that make a name say no more than the category.
+GENERIC = ("fridge", "refrigerator", "dishwasher", "dryer", "washing machine", "washer")
+
+
+def product_label() -> Column:
+    """The display name, unless it is empty or just brand and category; else brand and model."""
+    brand, model, name = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("brand", "model", "display_name"))
+    plain = plain_words(brand)
+    generic = (plain != "") & plain_words(name).isin(*(F.concat(plain, F.lit(f" {g}")) for g in GENERIC))
+    named = F.array_join(F.filter(F.array(brand, model), lambda x: x != ""), " ")
+    return F.when((name != "") & ~generic, name).when(named != "", named).otherwise(name)
 
 
 def match_score() -> Column:
@@ -22,6 +35,7 @@ def match_score() -> Column:
         .when(has & F.contains("p_model", "q_squashed"), 90)
         .when(F.contains("p_brand_model", "q_words"), 84)
         .when(F.contains("p_name", "q_words"), 78)
+        .when(F.contains("p_label", "q_words"), 70)
         .otherwise(0)
     )
 
@@ -30,16 +44,27 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 90, "high").when(score >= 75, "medium").otherwise("low")
 
 
-def best_sources(asked: DataFrame, products: DataFrame) -> DataFrame:
-    """Of each text (ask, text): ask, id of the product that scores best (then by name), score, confidence.
+def best_sources(asked: DataFrame, products: DataFrame, cat: str | None = None, verified_only: bool = False) -> DataFrame:
+    """Of each text (ask, text): ask, id of the product that scores best (then by label), score, confidence.
 
-    Every text meets every product, as substring rules ask; the best product per text is kept by a partial aggregation,
-    so no pair leaves its task.
+    cat: products of that category only; verified_only: products with a verified link (column `verified`) only. Candidates of
+    each rule meet on equal codes, on prefixes or on the rarest gram of what must be contained.
     """
-    texts = asked.select("ask", squash(F.col("text")).alias("q_squashed"), plain_words(F.col("text")).alias("q_words"), model_code(F.col("text")).alias("q_code"))
-    rows = products.select("id", "ord", "display_name", squash(F.col("model")).alias("p_model"), model_code(F.col("model")).alias("p_code"), plain_words(F.concat_ws(" ", "brand", "model")).alias("p_brand_model"), plain_words(F.col("display_name")).alias("p_name"))
-    pairs = rows.crossJoin(texts).withColumn("score", match_score()).where("score > 0")
-    best = pairs.groupBy("ask").agg(F.min(F.struct((-F.col("score")).alias("worse"), "display_name", "ord", "id")).alias("best"))
+    texts = asked.select("ask", squash(F.col("text")).alias("q_squashed"), plain_words(F.col("text")).alias("q_words"), model_code(F.col("text")).alias("q_code")).where(F.length("q_squashed") >= 3)
+    pool = products.where(F.col("cat") == cat) if cat else products
+    pool = pool.where("verified") if verified_only else pool
+    label = product_label()
+    rows = pool.select("id", "ord", label.alias("label"), squash(F.col("model")).alias("p_model"), model_code(F.col("model")).alias("p_code"), plain_words(F.concat_ws(" ", "brand", "model")).alias("p_brand_model"), plain_words(F.col("display_name")).alias("p_name"), plain_words(label).alias("p_label"))
+    codes = texts.where("q_code <> ''").select("ask", F.col("q_code").alias("code"))
+    met = [rows.withColumn("code", F.explode(F.array_distinct(F.concat(F.array("p_code"), prefixes(F.col("p_code"), 5), prefixes(F.col("p_model"), 5))))).join(codes, "code")]
+    met.append(contained(rows.select("id", "p_model"), texts.select("ask", "q_squashed"), "p_model", "q_squashed"))
+    met.append(contained(texts.select("ask", "q_squashed"), rows.select("id", "p_model"), "q_squashed", "p_model"))
+    met += [contained(texts.select("ask", "q_words"), rows.select("id", c), "q_words", c) for c in ("p_brand_model", "p_name", "p_label")]
+    pairs = met[0].select("ask", "id")
+    for m in met[1:]:
+        pairs = pairs.unionByName(m.select("ask", "id"))
+    scored = pairs.distinct().join(texts, "ask").join(rows, "id").withColumn("score", match_score()).where("score > 0")
+    best = scored.groupBy("ask").agg(F.min(F.struct((-F.col("score")).alias("worse"), "label", "ord", "id")).alias("best"))
     score = -F.col("best.worse")
     return best.select("ask", F.col("best.id").alias("id"), score.cast("int").alias("score"), confidence(score).alias("confidence"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanfit.functions.columns import squash
 from spanfit.operators.facets import ranked
+from spanfit.operators.similar import contained, prefixes, within_edits
 
 
 def upsert(base: DataFrame, sources: list[DataFrame], key: str = "id") -> DataFrame:
@@ -45,9 +46,9 @@ def feed_match(feed: DataFrame, catalog: DataFrame) -> DataFrame:
     first = index.groupBy("brand_model").agg(F.min_by("id", "ord").alias("exact_id"))
     rows = feed.withColumns({"name_key": squash(F.col("name")), "brand_model": F.when((squash(F.col("brand")) != "") & (squash(F.col("model")) != ""), key)})
     rows = rows.join(first, "brand_model", "left")
-    held = (F.contains("name_key", "c_brand_model") | F.contains("name_key", "c_model")) & (F.col("c_model") != "")
     left = rows.where("exact_id is null and name_key <> ''").select("item", "name_key")
-    pairs = index.select(F.col("id").alias("c_id"), F.col("ord").alias("c_ord"), F.col("brand_model").alias("c_brand_model"), F.col("model_key").alias("c_model")).crossJoin(left).where(held)
+    # A name that holds brand and model holds the model.
+    pairs = contained(index.select(F.col("id").alias("c_id"), F.col("ord").alias("c_ord"), F.col("brand_model").alias("c_brand_model"), F.col("model_key").alias("c_model")), left, "c_model", "name_key")
     best = pairs.groupBy("item").agg(F.min_by("c_id", F.struct(-F.greatest(F.length("c_brand_model"), F.length("c_model")), "c_ord")).alias("loose_id"))
     return rows.join(best, "item", "left").select("item", F.coalesce("exact_id", "loose_id").alias("id"), F.col("exact_id").isNotNull().alias("exact"))
 
@@ -59,7 +60,12 @@ def fuzzy_match(scraped: DataFrame, catalog: DataFrame) -> DataFrame:
     m, n = F.col("m"), F.col("c_m")
     near = F.abs(F.length(m) - F.length(n))
     score = F.when(m == n, 1.0).when((n.startswith(m) | m.startswith(n)) & (near <= 3), 0.9).when((near <= 2) & (F.levenshtein(m, n, 2) >= 0), 0.85)
-    pairs = a.join(c, "b").where((near <= 3) & (m != "") & (n != "")).withColumn("confidence", score).where("confidence is not null")
+    asked, known = a.where(m != "").select("b", "m").distinct(), c.where(n != "").select("b", "c_m").distinct()
+    edits = within_edits(asked, known, "m", "c_m", lambda _: F.lit(2), lambda _: F.lit(2), ("b",))
+    longer = known.withColumn("m", F.explode(prefixes(n, dropped=3))).join(asked, ["b", "m"])
+    shorter = asked.withColumn("c_m", F.explode(prefixes(m, dropped=3))).join(known, ["b", "c_m"])
+    texts = edits.unionByName(longer).unionByName(shorter).distinct().withColumn("confidence", score).where("confidence is not null")
+    pairs = a.join(texts, ["b", "m"]).join(c, ["b", "c_m"])
     best = pairs.groupBy("item").agg(F.min(F.struct((-F.col("confidence")).alias("worse"), "c_ord", "c_id")).alias("x"))
     return best.select("item", F.col("x.c_id").alias("id"), (-F.col("x.worse")).alias("confidence"))
 
@@ -68,8 +74,10 @@ def prefix_match(extracted: DataFrame, catalog: DataFrame) -> DataFrame:
     """Extracted (item, brand, model, w, h, d) to the first catalog row of the brand with either model a prefix of the other; conflicts of 5 mm or more."""
     a = extracted.select("item", squash(F.col("brand")).alias("b"), squash(F.col("model")).alias("m"), *(F.col(x).alias(f"new_{x}") for x in "whd"))
     c = catalog.select("id", "ord", "w", "h", "d", squash(F.col("brand")).alias("b"), squash(F.col("model")).alias("n"))
-    m, n = F.col("m"), F.col("n")
-    pairs = a.join(c, "b").where((m != "") & (n != "") & (n.startswith(m) | m.startswith(n)))
+    asked, known = a.where("m <> ''").select("b", "m").distinct(), c.where("n <> ''").select("b", "n").distinct()
+    longer = known.withColumn("m", F.explode(prefixes(F.col("n")))).join(asked, ["b", "m"])
+    shorter = asked.withColumn("n", F.explode(prefixes(F.col("m")))).join(known, ["b", "n"])
+    pairs = a.join(longer.unionByName(shorter).distinct(), ["b", "m"]).join(c, ["b", "n"])
     best = pairs.groupBy("item").agg(F.min(F.struct("ord", "id", "w", "h", "d", "new_w", "new_h", "new_d")).alias("x")).select("item", "x.*")
     conflicts = F.array_compact(F.array(*(F.when(F.abs(F.col(x) - F.col(f"new_{x}")) >= 5, F.lit(x)) for x in "whd")))
     return best.select("item", "id", F.array_join(conflicts, ",").alias("conflicts"))
@@ -162,12 +170,13 @@ def discovery_delta(found: DataFrame, catalog: DataFrame) -> DataFrame:
 def batch_targets(products: DataFrame, skus: DataFrame) -> DataFrame:
     """Products whose folded model equals a wanted SKU, or holds it or is held by it (4 letters at least).
 
-    Wanted SKUs are a short list of a batch run; what they match leaves each task once.
+    Both ways meet by their rarest gram.
     """
     s = skus.select(squash(F.col("sku")).alias("sku")).where("sku <> ''").distinct()
-    m = squash(F.col("model"))
-    hit = (m == F.col("sku")) | ((F.length("sku") >= 4) & (F.length(m) >= 4) & (F.contains(m, F.col("sku")) | F.contains(F.col("sku"), m)))
-    return products.join(s, hit, "left_semi")
+    models = products.select(squash(F.col("model")).alias("folded")).where("folded <> ''").distinct()
+    long, whole = s.where(F.length("sku") >= 4), models.where(F.length("folded") >= 4)
+    hits = s.select(F.col("sku").alias("folded")).unionByName(contained(long, whole, "sku", "folded").select("folded")).unionByName(contained(whole, long, "folded", "sku").select("folded")).distinct()
+    return products.withColumn("folded", squash(F.col("model"))).join(hits, "folded", "left_semi").drop("folded")
 
 
 def breaker(new: DataFrame, old: DataFrame, bad: Column, required: tuple[str, ...], least_kept: float = 0.8, most_bad: float = 0.3) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanfit.functions.columns import bare_path, basename, js_round, redact
+from spanfit.functions.columns import bare_path, basename, js_round, origin_path, redact
 from spanfit.operators.facets import ranked
 
 #: Metrics that intake accepts and that roll-ups report, and the p75 limits of a good page.
@@ -23,11 +23,14 @@ def sanitised_rum(events: DataFrame) -> DataFrame:
     return events.where(ok).withColumns({"metric": metric, "path": path, "value": value})
 
 
-def sanitised_errors(events: DataFrame) -> DataFrame:
-    """Messages redacted and cut to 500, sources without query cut to 300, negative lines dropped."""
+def sanitised_errors(events: DataFrame, site: str = "https://www.example.org") -> DataFrame:
+    """Messages redacted and cut to 500, sources as origin and path cut to 300, whole lines and columns (negative ones: row dropped), five stack frames."""
     message = F.substring(redact(F.coalesce(F.nullif("message", F.lit("")), F.lit("Error"))), 1, 500)
-    source = F.substring(F.regexp_replace(F.coalesce(F.nullif("source", F.lit("")), F.lit("/")), "[?#].*$", ""), 1, 300)
-    return events.where("line >= 0").withColumns({"message": message, "source": source})
+    source = F.substring(origin_path(F.coalesce(F.nullif("source", F.lit("")), F.lit("/")), site), 1, 300)
+    line, col = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("line", "col"))
+    frames = F.transform(F.split(F.coalesce("stack", F.lit("")), "\n"), lambda x: redact(origin_path(x, site)))
+    stack = F.array_join(F.slice(F.filter(frames, lambda x: x != ""), 1, 5), "\n")
+    return events.where((line >= 0) & (col >= 0)).withColumns({"message": message, "source": source, "line": F.floor(line).cast("int"), "col": F.floor(col).cast("int"), "stack": stack})
 
 
 def signature(message: Column, source: Column, line: Column) -> Column:

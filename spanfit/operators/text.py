@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from spanfit.functions.columns import plain_words
 from spanfit.operators.facets import ranked
+from spanfit.operators.similar import within_edits
+
+#: Words of a query that rule a page out, cities of a location query, words that say nothing about coverage.
+BLACKLIST = ("buy", "cheap", "deal", "coupon", "discount", "free shipping")
+CITIES = ("sydney", "melbourne", "brisbane", "perth", "adelaide", "canberra", "hobart", "darwin")
+STOP_WORDS = ("a", "and", "appliance", "au", "australia", "for", "fit", "in", "mm", "of", "the", "to", "with")
+#: Limits of a candidate query.
+LEAST_WORDS, LEAST_IMPRESSIONS, FIRST_PLACE, LAST_PLACE, MOST_CTR, MOST_SIMILAR, SLUG_LENGTH = 3, 50, 11, 30, 0.05, 0.9, 72
 
 
 def html_text(html: Column) -> Column:
@@ -59,20 +67,26 @@ def repeated_ngrams(docs: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), least:
 def shingle_pairs(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """Pairs of documents (a < b) with similarity: shared distinct shingles over the larger set, at least `least`.
 
-    A text too short for shingles has its distinct words instead, a text without words one empty string.
+    Tokens are what stands between spaces in the lower-case text, markup taken out. A text too short for shingles has its
+    distinct tokens instead, a text without tokens one empty string.
 
     Prefix filtering keeps the join small and exact: with shingles in a global order (rarest first), two sets that share
-    `least` of the larger one share a shingle among the first n - ceil(least * n) + 1 of each.
+    `least` of the larger one share a shingle among the first n - ceil(least * n) + 1 of each. Ids alone meet by shingle;
+    whole sets are fetched for the pairs that are left.
     """
     words = F.col("words")
+    tokens = F.filter(F.split(F.lower(html_text(F.coalesce("text", F.lit("")))), " "), lambda w: w != "")
+    split = docs.select("id", F.explode(F.array(tokens)).alias("words"))
     shingles = F.when(F.size(words) >= size, F.array_distinct(ngrams(words, size))).when(F.size(words) > 0, F.array_distinct(words)).otherwise(F.array(F.lit("")))
-    sets = worded(docs).select("id", shingles.alias("s"))
-    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
+    each = split.select("id", shingles.alias("s")).select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
     weight = each.groupBy("g").agg(F.count("*").alias("df"))
     ordered = each.join(weight, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-    head = ordered.select("id", "n", F.transform("o", lambda x: x["g"]).alias("all"), F.explode(F.slice(F.col("o"), F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("x")).where("x.df > 1").select("id", "n", "all", F.col("x.g").alias("g"))
-    a, b = (head.select("g", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "all"))) for s in "ab")
-    near = a.join(b, "g").where((F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least)).dropDuplicates(["id_a", "id_b"])
+    head = ordered.select("id", "n", F.explode(F.slice(F.col("o"), F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("x")).where("x.df > 1").select("id", "n", F.col("x.g").alias("g"))
+    a, b = (head.select("g", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n"))) for s in "ab")
+    near = a.join(b, "g").where((F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least)).select("id_a", "id_b", "n_a", "n_b").distinct()
+    sets = ordered.select("id", F.transform("o", lambda x: x["g"]).alias("all"))
+    for s in "ab":
+        near = near.join(sets.select(F.col("id").alias(f"id_{s}"), F.col("all").alias(f"all_{s}")), f"id_{s}")
     share = F.size(F.array_intersect("all_a", "all_b")) / F.greatest("n_a", "n_b")
     return near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), share.alias("similarity")).where(F.col("similarity") >= least)
 
@@ -106,19 +120,81 @@ def sitemap_urls(xml: Column) -> Column:
     return F.transform(F.regexp_extract_all(xml, F.lit(r"<loc>\s*([\s\S]*?)\s*</loc>"), 1), lambda u: F.trim(u))
 
 
-def link_classes(pages: DataFrame) -> DataFrame:
-    """url and counts of its anchors by class, pivoted."""
-    h = F.col("href")
-    kind = F.when(h.startswith("/") & ~h.startswith("//"), "internal").when(h.startswith("#"), "anchor").when(h.rlike("^https?://"), "external").otherwise("other")
-    each = pages.select("url", F.explode(hrefs(F.col("html"))).alias("href")).withColumn("kind", kind)
-    return each.groupBy("url").pivot("kind", ["internal", "anchor", "external", "other"]).count().na.fill(0)
+def link_class(href: Column, label: Column, own_sites: tuple[str, ...] = ()) -> Column:
+    """Class of an anchor: non_external, non_buy_external, product_like_buy, retailer_search or retailer_homepage."""
+    h, t = F.lower(href), F.lower(F.coalesce(label, F.lit("")))
+    own = "|".join([r"fonts\.googleapis", r"fonts\.gstatic", *(s.replace(".", r"\.") for s in own_sites)])
+    home = r"(harveynorman|thegoodguys|jbhifi|appliances-?online|binglee)\.com\.au/?$"
+    searched = F.contains(t, F.lit("search at")) | h.rlike(r"/search[/?]|[?&](q|query|text|search|keyword)=")
+    return (
+        F.when(~h.rlike("^https?://"), "non_external").when(h.rlike(own), "non_buy_external").when(F.contains(t, F.lit("buy from")) | (t == "buy now"), "product_like_buy")
+        .when(searched, "retailer_search").when(h.rlike(home), "retailer_homepage").otherwise("product_like_buy")
+    )
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """(url, href, label) of each anchor."""
+    whole = r'(?is)<a\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
+    each = pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(whole), 0)).alias("a"))
+    label = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("a", whole, 2), "(?s)<[^>]+>", " "), r"\s+", " "))
+    return each.select("url", F.regexp_extract("a", whole, 1).alias("href"), label.alias("label"))
+
+
+BUY_CLASSES = ("product_like_buy", "retailer_search", "retailer_homepage")
+
+
+def link_classes(pages: DataFrame, own_sites: tuple[str, ...] = ()) -> DataFrame:
+    """url, buy_links, their number in each class, and the tier: strong, search_only, homepage_only or none."""
+    each = anchors(pages).withColumn("kind", link_class(F.col("href"), F.col("label"), own_sites)).where(F.col("kind").isin(*BUY_CLASSES))
+    per = each.groupBy(F.col("url").alias("page")).pivot("kind", list(BUY_CLASSES)).count()
+    rows = pages.select("url").distinct().join(per, F.col("url") == F.col("page"), "left").na.fill(0, list(BUY_CLASSES))
+    buy, search, home = (F.col(c) for c in BUY_CLASSES)
+    tier = F.when(buy > 0, "strong").when(search > 0, "search_only").when(home > 0, "homepage_only").otherwise("none")
+    return rows.select("url", (buy + search + home).alias("buy_links"), *BUY_CLASSES, tier.alias("tier"))
+
+
+def link_summary(classes: DataFrame) -> DataFrame:
+    """One row over link_classes: pages by tier and links by class."""
+    tiers = [F.count(F.when(F.col("tier") == t, 1)).alias(f"{t}_pages") for t in ("strong", "search_only", "homepage_only", "none")]
+    return classes.agg(F.count("*").alias("pages"), *tiers, *(F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_links") for c in BUY_CLASSES))
+
+
+def buy_links(pages: DataFrame, own_sites: tuple[str, ...] = ()) -> DataFrame:
+    """url, external anchors, those among them that may lead to a shop, and whether there is one."""
+    kind = link_class(F.col("href"), F.col("label"), own_sites)
+    per = anchors(pages).groupBy(F.col("url").alias("page")).agg(F.count(F.when(kind != "non_external", 1)).alias("external"), F.count(F.when(kind.isin(*BUY_CLASSES), 1)).alias("buy"))
+    rows = pages.select("url").distinct().join(per, F.col("url") == F.col("page"), "left").na.fill(0, ["external", "buy"])
+    return rows.select("url", "external", "buy", (F.col("buy") > 0).alias("has_buy"))
 
 
-def quality_gate(pages: DataFrame, least_words: int = 300) -> DataFrame:
-    """url, words and failures of each page."""
-    words = word_count(html_text(F.col("html")))
-    checks = F.array_compact(F.array(F.when(words < least_words, "words"), F.when(~F.col("html").rlike("(?i)<(table|dl)[ >]"), "table"), F.when(~F.col("html").rlike("(?i)<a [^>]*href="), "link"), F.when(F.col("html").rlike(r"(?i)lorem ipsum|\{\{|TODO"), "placeholder")))
-    return pages.select("url", words.alias("words"), F.array_join(checks, ",").alias("failures"))
+def bare_words(html: Column) -> Column:
+    """Number of words of a page without navigation, footer, scripts, styles, tags and entities."""
+    out = html
+    for tag in ("nav", "footer", "script", "style"):
+        out = F.regexp_replace(out, f"(?is)<{tag}.*?</{tag}>", " ")
+    out = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "(?s)<[^>]+>", " "), "&[a-zA-Z0-9#]+;", " "), r"\s+", " "))
+    return F.when(out == "", 0).otherwise(F.size(F.split(out, " "))).cast("long")
+
+
+def json_blocks(html: Column) -> Column:
+    """Texts of the JSON-LD scripts of a page."""
+    return F.transform(F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]+type="application/ld\+json"[^>]*>(.*?)</script>'), 1), lambda x: F.trim(x))
+
+
+def quality_gate(pages: DataFrame, least_words: int = 300, internal: str = "/(cavity|doorway|brands)/") -> DataFrame:
+    """url, words, schema_errors (JSON-LD blocks that are no JSON) and failures of each page."""
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("url", html.alias("html"), bare_words(html).alias("words"), F.size(F.filter(json_blocks(html), lambda x: F.try_parse_json(x).isNull())).cast("long").alias("schema_errors"))
+    checks = F.array_compact(
+        F.array(
+            F.when(F.col("words") < least_words, "min_word_count"),
+            F.when(~F.col("html").rlike(r"(?i)<(table|dl)(\s|>)"), "missing_data_block"),
+            F.when(~F.col("html").rlike(internal), "missing_internal_link"),
+            F.when(F.col("html").rlike("(?i)lorem ipsum|todo|fixme|<placeholder>"), "placeholder_content"),
+            F.when(F.col("schema_errors") > 0, "schema_errors"),
+        )
+    )
+    return rows.select("url", "words", "schema_errors", F.array_join(checks, ",").alias("failures"))
 
 
 def index_audit(pages: DataFrame) -> DataFrame:
@@ -128,8 +204,19 @@ def index_audit(pages: DataFrame) -> DataFrame:
     return pages.select("url", html.rlike(r'(?i)<meta[^>]*name="robots"[^>]*noindex').alias("noindex"), canonical.alias("canonical"), ((canonical != "") & (canonical != F.col("url"))).alias("elsewhere"))
 
 
+def console_text(x: Column) -> Column:
+    """Lower-case letters, digits and hyphens, single spaces between."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^a-z0-9\s-]+", " "), r"\s+", " "))
+
+
+def query_slug(x: Column) -> Column:
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, SLUG_LENGTH)
+
+
 def intent(query: Column) -> Column:
-    return F.when(query.rlike(r"\b(vs|versus|compare)\b"), "compare").when(query.rlike(r"\b(fit|size|dimension|width|cavity)"), "fit").when(query.rlike(r"\b(best|top|review)"), "review").when(query.rlike("[0-9]{3,}"), "model").otherwise("other")
+    """how-to, location, doorway, cavity or brand: the first that fits."""
+    q = console_text(query)
+    return F.when(q.rlike(r"^how\b|\bhow to\b"), "how-to").when(q.rlike("|".join(CITIES)), "location").when(q.rlike(r"\b(door|doorway|entry)\b"), "doorway").when(q.rlike(r"\b(cavity|mm)\b"), "cavity").otherwise("brand")
 
 
 def console_summary(rows: DataFrame) -> DataFrame:
@@ -139,22 +226,52 @@ def console_summary(rows: DataFrame) -> DataFrame:
     return s.select("n", "queries", "clicks", "impressions", ctr.alias("ctr"), (F.floor(F.col("p") * 100 + 0.5) / 100).alias("position"))
 
 
-def keyword_gaps(rows: DataFrame, covered: Column, most: int = 20, least_impressions: int = 50) -> DataFrame:
-    """Second-page opportunities (position 11 to 20) and queries that nothing covers; the best row of each query, by impressions."""
-    best = ranked(rows.withColumn("key", plain_words(F.col("query"))).where("key <> ''"), [F.desc("impressions"), F.asc("ord")], ["key"], 1, "nth").drop("nth").where(F.col("impressions") >= least_impressions)
-    kind = F.when(F.col("position").between(11, 20), "page-2").when(~covered, "gap")
-    return ranked(best.withColumn("kind", kind).where("kind is not null"), [F.desc("impressions"), F.asc("ord")], ["kind"], most)
+def uncovered(rows: DataFrame, urls: DataFrame, least: int = 3) -> DataFrame:
+    """Rows whose query has tokens (of that many letters, no stop words) of which none is part of any word of the sitemap's URLs."""
+    token = F.explode(F.filter(F.split(plain_words(F.col("query")), " "), lambda t: (F.length(t) >= least) & ~t.isin(*STOP_WORDS)))
+    tokens = rows.select("ord", token.alias("token"))
+    site = urls.select(F.explode(F.split(plain_words(F.col("url")), " ")).alias("word")).distinct()
+    n = F.length("word")
+    sizes = F.when(n >= least, F.sequence(F.lit(least), n)).otherwise(F.array().cast("array<int>"))
+    parts = site.select(F.explode(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda at: F.substring("word", at, k))))).alias("token")).distinct()
+    covered = tokens.join(parts, "token", "left_semi").select("ord").distinct()
+    return rows.join(tokens.select("ord").distinct(), "ord", "left_semi").join(covered, "ord", "left_anti")
 
 
-def coverage_similarity(queries: DataFrame, slugs: DataFrame) -> DataFrame:
-    """Of each query the highest edit ratio to a slug. Slugs are the site's pages; the maximum is taken before the shuffle."""
-    ratio = F.lit(1.0) - F.levenshtein(F.col("q"), F.col("slug")) / F.greatest(F.length("q"), F.length("slug"), F.lit(1))
-    pairs = queries.select("ord", F.regexp_replace(plain_words(F.col("query")), " ", "-").alias("q")).crossJoin(slugs.select("slug"))
-    return pairs.groupBy("ord").agg(F.max(F.floor(ratio * 1000 + 0.5) / 1000).alias("similarity"))
+def keyword_gaps(rows: DataFrame, urls: DataFrame) -> DataFrame:
+    """kind, ord, impressions: every second-page opportunity (position 11 to 20), and of queries that no URL covers the row with most impressions."""
+    pages = rows.where(F.col("position").between(11, 20)).select(F.lit("page-2").alias("kind"), "ord", "impressions")
+    gaps = uncovered(rows.where("impressions > 0"), urls).withColumn("key", plain_words(F.col("query")))
+    best = ranked(gaps, [F.desc("impressions"), F.asc("ord")], ["key"], 1, "nth").select(F.lit("gap").alias("kind"), "ord", "impressions")
+    return pages.unionByName(best)
 
 
-def candidate_cascade(rows: DataFrame, similarity: DataFrame, most_similar: float = 0.9, least_impressions: int = 100) -> DataFrame:
-    """ord, reason: why a query is no new page: duplicate, short, few impressions, covered; else 'selected'."""
-    nth = ranked(rows.withColumn("key", plain_words(F.col("query"))), [F.desc("impressions"), F.asc("ord")], ["key"], name="nth").join(similarity, "ord", "left")
-    reason = F.when(F.col("nth") > 1, "duplicate").when(F.size(F.split("key", " ")) < 2, "short").when(F.col("impressions") < least_impressions, "impressions").when(F.coalesce("similarity", F.lit(0.0)) > most_similar, "covered").otherwise("selected")
-    return nth.select("ord", reason.alias("reason"))
+def coverage_similarity(queries: DataFrame, slugs: DataFrame, least: float = MOST_SIMILAR) -> DataFrame:
+    """Of each query (ord, query) the highest edit ratio to a slug, if above `least`; queries without such a slug have no row.
+
+    A ratio above `least` bounds the edits, so candidates meet on segments that stay unchanged: no query meets every slug.
+    """
+    edits = lambda n: F.floor(n / F.lit(least) * F.lit(1 - least)).cast("int")
+    asked = queries.select("ord", query_slug(F.col("query")).alias("q")).where("q <> ''")
+    known = slugs.select("slug").where("slug <> ''").distinct()
+    pairs = within_edits(asked, known, "q", "slug", edits, lambda n: edits(n) + 1)
+    ratio = F.lit(1.0) - F.levenshtein(F.col("q"), F.col("slug")) / F.greatest(F.length("q"), F.length("slug"))
+    best = pairs.withColumn("similarity", ratio).where(F.col("similarity") > least).groupBy("q").agg(F.max("similarity").alias("similarity"))
+    return asked.join(best, "q").select("ord", "similarity")
+
+
+def candidate_cascade(rows: DataFrame, slugs: DataFrame) -> DataFrame:
+    """ord, reason: why a query (ord, query, impressions, ctr, position) is no new page, in order of the tests; null for the accepted ones, with slug and kind."""
+    query = F.trim(F.coalesce("query", F.lit("")))
+    keyed = rows.select("ord", query.alias("query"), console_text(query).alias("key"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("impressions", "ctr", "position")))
+    seen = keyed.where("query <> ''").groupBy("key").agg(F.min("ord").alias("first"))
+    similar = coverage_similarity(keyed, slugs)
+    all_ = keyed.join(seen, "key", "left").join(similar, "ord", "left")
+    reason = (
+        F.when(F.col("query") == "", "empty_query").when(F.col("ord") != F.col("first"), "duplicate_query").when(F.col("key").rlike("|".join(BLACKLIST)), "blacklist")
+        .when(F.size(F.filter(F.split("key", " "), lambda t: t != "")) < LEAST_WORDS, "query_too_short").when(F.col("impressions") < LEAST_IMPRESSIONS, "low_impressions")
+        .when(~F.col("position").between(FIRST_PLACE, LAST_PLACE), "position_out_of_range").when(F.col("ctr") >= MOST_CTR, "ctr_not_low_enough").when(F.col("similarity").isNotNull(), "already_covered")
+    )
+    judged = all_.select("ord", reason.alias("reason"), "query")
+    taken = F.col("reason").isNull()
+    return judged.select("ord", "reason", F.when(taken, query_slug(F.col("query"))).alias("slug"), F.when(taken, intent(F.col("query"))).alias("kind"))

@@ -229,8 +229,8 @@ ORACLE = {
     "upsert_by_key": f"""SELECT id, arg_max(brand, nth_) AS brand, arg_max(stars, nth_) FILTER (WHERE stars IS NOT NULL) AS stars FROM (SELECT id, brand, stars, -1 AS nth_ FROM products WHERE ord % 7 <> 0 UNION ALL
         SELECT coalesce(k.id, x.id), x.brand, x.stars, x.ord FROM (SELECT ord, CASE WHEN ord % 2 = 0 THEN id || 'e' ELSE id END AS id, upper(brand) AS brand, model, CASE WHEN ord % 5 <> 0 THEN 9 END AS stars FROM products WHERE ord % 3 = 0) x
         LEFT JOIN products k ON k.ord % 7 <> 0 AND k.ord = x.ord) GROUP BY id""",
-    "feed_match": "SELECT item, id, exact FROM (SELECT ord AS item, id, ord % 40 = 7 AS exact FROM products WHERE ord % 20 = 7 AND ord % 40 = 7 UNION ALL " + f"""SELECT item, id, FALSE FROM (SELECT f.ord AS item, c.id, row_number() OVER (PARTITION BY f.ord ORDER BY greatest(length({_SQ.format('c.brand || c.model')}), length({_SQ.format('c.model')})) DESC, c.ord) AS k
-        FROM products f JOIN products c ON contains({_SQ.format("'New ' || f.brand || ' ' || f.model || ' now'")}, {_SQ.format('c.model')}) WHERE f.ord % 40 = 27) WHERE k = 1)""",
+    "feed_match": f"""SELECT item, id, exact FROM (SELECT item, id, exact FROM (SELECT ord AS item, first_value(id) OVER (PARTITION BY {_SQ.format('brand || model')} ORDER BY ord) AS id, TRUE AS exact FROM products) WHERE item % 40 = 7 UNION ALL SELECT item, id, FALSE FROM (SELECT f.ord AS item, c.id, row_number() OVER (PARTITION BY f.ord ORDER BY greatest(length({_SQ.format('c.brand || c.model')}), length({_SQ.format('c.model')})) DESC, c.ord) AS k
+        FROM products f JOIN products c ON contains({_SQ.format("'New ' || f.brand || ' ' || f.model || ' now'")}, {_SQ.format('c.model')}) WHERE f.ord % 40 <> 7) WHERE k = 1)""",
     "fuzzy_match": f"""SELECT item, id, c AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY c DESC, ord) AS k FROM (SELECT s.item, p.id, p.ord, CASE WHEN s.m = p.m THEN 1e0 WHEN (starts_with(p.m, s.m) OR starts_with(s.m, p.m)) AND abs(length(p.m) - length(s.m)) <= 3 THEN 0.9e0 WHEN levenshtein(s.m, p.m) <= 2 THEN 0.85e0 END AS c
         FROM (SELECT *, {_SQ.format('model')} AS m FROM {_SCRAPED}) s JOIN (SELECT *, {_SQ.format('model')} AS m FROM products) p ON s.brand = p.brand) WHERE c IS NOT NULL) WHERE k = 1""",
     "prefix_match": f"""SELECT item, id, concat_ws(',', CASE WHEN abs(w - nw) >= 5 THEN 'w' END) AS conflicts FROM (SELECT s.item, p.id, p.w, s.w AS nw, row_number() OVER (PARTITION BY s.item ORDER BY p.ord) AS k FROM (SELECT *, {_SQ.format('model')} AS m FROM {_SCRAPED}) s

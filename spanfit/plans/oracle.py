@@ -32,7 +32,7 @@ TABLES = {
             WHEN 4 THEN 'https://www.binglee.com.au/search?q=item' || CAST(l_partkey AS VARCHAR)
             ELSE 'https://shop.example.org/appliance/' || CAST(l_partkey AS VARCHAR) END AS url,
         CAST(floor(min(l_extendedprice / l_quantity)) AS INTEGER) AS p, CAST(max(l_shipdate) AS DATE) AS verified_at
-        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE (l_partkey + l_suppkey) % 7 = 0 GROUP BY l_partkey, l_suppkey""",
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_partkey, l_suppkey""",
     "links": f"""SELECT *, {PRODUCT_URL.format(u="url", other="TRUE")} AS lenient, {PRODUCT_URL.format(u="url", other="FALSE")} AS strict FROM offers""",
     "per_product": """SELECT product_id, count(*) AS n_offers, bool_or(lenient) AS linked, bool_or(strict) AS verified, count(*) FILTER (WHERE strict) AS n_strict,
         count(*) FILTER (WHERE lenient) AS n_lenient, min(p) FILTER (WHERE p > 0) AS min_p, max(p) AS max_p, max(verified_at) AS checked FROM links GROUP BY product_id""",
@@ -43,7 +43,9 @@ TABLES = {
     "errors": """SELECT 'E' || (props::JSON->>'k') AS message, '/s/' || CAST(user_id AS VARCHAR) || '.js' AS source, CAST(floor(value) AS INTEGER) AS line, ts, user_id, event_id
         FROM events WHERE event_type = 'error'""",
     "gsc": """SELECT doc_id AS ord, array_to_string(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')[1:4], ' ') AS query, '/d/' || source AS page,
-        CAST(doc_id % 7 AS INTEGER) AS clicks, CAST(n_chars AS INTEGER) AS impressions, CAST(1 + doc_id % 40 AS DOUBLE) AS position FROM documents""",
+        CAST(doc_id % 7 AS INTEGER) AS clicks, CAST(n_chars AS INTEGER) AS impressions, CAST(1 + doc_id % 40 AS DOUBLE) AS position, CASE WHEN n_chars > 0 THEN CAST(doc_id % 7 AS DOUBLE) / n_chars ELSE 0e0 END AS ctr FROM documents""",
+    "sitemap": """SELECT *, 'https://www.example.org/p/' || slug AS url FROM (SELECT trim(regexp_replace(lower(display_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM products
+        UNION SELECT trim(regexp_replace(lower(query), '[^a-z0-9]+', '-', 'g'), '-') || 's' FROM gsc WHERE ord % 2 = 0)""",
 }
 
 

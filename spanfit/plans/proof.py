@@ -12,14 +12,13 @@ from spanfit.plans.search import catalog
 from spanfit.sources import adapters
 
 AS_OF = "2001-01-01"
-OFFICIAL = ("jbhifi.com.au", "harveynorman.com.au")
 
 
 def _manifest(spark, sf_dir):
     k = F.col("ord")
     status = lambda n: F.element_at(F.array(F.lit("approved"), F.lit("invalid"), F.lit("pending")), (F.floor(k / n) % 3 + 1).cast("int"))
     item = lambda n: F.struct(status(n).alias("status"), F.when(k % (n + 3) != 0, F.concat(F.lit(f"/e{n}/"), "id")).otherwise("").alias("url"))
-    return adapters.products(spark, sf_dir).where("ord % 2 = 0").select(F.col("id").alias("product_id"), F.array(item(2), item(6), item(18)).alias("items"))
+    return adapters.products(spark, sf_dir).select(F.col("id").alias("product_id"), F.array(item(2), item(6), item(18)).alias("items"))
 
 
 def evidence_index(spark, sf_dir):
@@ -32,19 +31,20 @@ def work_queue(spark, sf_dir):
 
 def failure_buckets(spark, sf_dir):
     p = adapters.products(spark, sf_dir)
-    reason = F.element_at(F.array(*map(F.lit, ("HTTP 404", "parse error", "no dimensions", "timeout"))), (F.floor(F.col("ord") / 3) % 4 + 1).cast("int"))
-    rows = p.where("ord % 3 = 0").select(F.when(F.col("ord") % 2 == 0, F.col("id")).alias("id"), F.upper("model").alias("sku"), reason.alias("reason"))
+    reason = F.element_at(F.array(*map(F.lit, ("HTTP 404", "Model mismatch", "clearance not found", "timeout"))), (F.floor(F.col("ord") / 3) % 4 + 1).cast("int"))
+    rows = p.select(F.when(F.col("ord") % 2 == 0, F.col("id")).alias("id"), F.upper("model").alias("sku"), reason.alias("reason"))
     return e.failures(rows, e.evidence_index(_manifest(spark, sf_dir)), p)
 
 
 def _documents(spark, sf_dir):
     p, o = adapters.products(spark, sf_dir), adapters.offers(spark, sf_dir)
-    end = F.element_at(F.array(*map(F.lit, ("/spec.pdf", "/manual.pdf", "/warranty.pdf", "/page"))), (F.col("pos") % 4 + 1).cast("int"))
-    return o.join(p.select("id", "model"), F.col("id") == F.col("product_id")).select("id", "model", "pos", F.concat(F.regexp_replace("url", "[?].*$", ""), F.when(F.col("pos") % 3 == 0, F.regexp_replace("model", " ", "-")).otherwise(""), end).alias("url"))
+    end = F.element_at(F.array(*map(F.lit, ("/Data-Sheet.pdf", "/install.pdf", "/warranty.pdf", "/page"))), (F.col("pos") % 4 + 1).cast("int"))
+    official = F.array(F.when(F.col("ord") % 2 == 0, "jbhifi.com.au").otherwise("harveynorman.com.au"))
+    return o.join(p.select("id", "model", "ord"), F.col("id") == F.col("product_id")).select("id", "model", "pos", official.alias("official"), F.concat(F.regexp_replace("url", "[?].*$", ""), F.when(F.col("pos") % 3 == 0, F.regexp_replace("model", " ", "-")).otherwise(""), end).alias("url"))
 
 
 def best_document(spark, sf_dir):
-    return e.best_document(_documents(spark, sf_dir), OFFICIAL)
+    return e.best_document(_documents(spark, sf_dir))
 
 
 def affiliate_links(spark, sf_dir):
@@ -82,17 +82,17 @@ _S = "['approved', 'invalid', 'pending'][ord // {n} % 3 + 1]"
 _U = "CASE WHEN ord % ({n} + 3) <> 0 THEN '/e{n}/' || id ELSE '' END"
 _ITEMS = "[" + ", ".join(f"{{{{'s': {_S.format(n=n)}, 'u': {_U.format(n=n)}}}}}".replace("{{", "{").replace("}}", "}") for n in (2, 6, 18)) + "]"
 _INDEX = f"""(SELECT id AS product_id, e.u AS url, e.s = 'approved' AS verified FROM (SELECT id, coalesce(list_filter(i, lambda x: x.s = 'approved')[1], list_filter(i, lambda x: x.s <> 'invalid')[1], i[1]) AS e
-    FROM (SELECT id, {_ITEMS} AS i FROM products WHERE ord % 2 = 0)) WHERE e.u <> '')"""
+    FROM (SELECT id, {_ITEMS} AS i FROM products)) WHERE e.u <> '')"""
 _SQ = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
-_DOC = "(SELECT p.id, p.model, o.pos, regexp_replace(o.url, '[?].*$', '') || CASE WHEN pos % 3 = 0 THEN replace(model, ' ', '-') ELSE '' END || ['/spec.pdf', '/manual.pdf', '/warranty.pdf', '/page'][pos % 4 + 1] AS url FROM offers o JOIN products p ON p.id = o.product_id)"
-_SCORE = f"""CAST(CASE WHEN contains({_SQ.format('url')}, {_SQ.format('model')}) THEN 60 ELSE 0 END + CASE WHEN regexp_matches(url, '^https?://[^/]*(jbhifi|harveynorman)\\.com\\.au/') THEN 35 ELSE 0 END + CASE WHEN contains(url, 'spec') THEN 30 ELSE 0 END
-    + CASE WHEN regexp_matches(url, 'manual|guide') THEN 15 ELSE 0 END + CASE WHEN contains(url, 'warranty') THEN -20 ELSE 0 END + CASE WHEN regexp_matches(url, '\\.pdf$') THEN 0 ELSE -100 END AS INTEGER)"""
+_DOC = "(SELECT p.id, p.ord, p.model, o.pos, regexp_replace(o.url, '[?].*$', '') || CASE WHEN pos % 3 = 0 THEN replace(model, ' ', '-') ELSE '' END || ['/Data-Sheet.pdf', '/install.pdf', '/warranty.pdf', '/page'][pos % 4 + 1] AS url FROM offers o JOIN products p ON p.id = o.product_id)"
+_SCORE = f"""CAST(CASE WHEN contains({_SQ.format('url')}, {_SQ.format('model')}) THEN 60 ELSE 0 END + CASE WHEN regexp_matches(url, CASE WHEN ord % 2 = 0 THEN '^https?://([^/]*\\.)?jbhifi\\.com\\.au/' ELSE '^https?://([^/]*\\.)?harveynorman\\.com\\.au/' END) THEN 35 ELSE 0 END
+    + CASE WHEN regexp_matches(url, '(?i)spec|data.?sheet|fact.?sheet') THEN 30 ELSE 0 END + CASE WHEN regexp_matches(url, '(?i)install|manual|quick.?reference|qrg') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(url, '(?i)warranty|energy|label|catalog|brochure') THEN -20 ELSE 0 END AS INTEGER)"""
 _TRAY = "(SELECT id, ord // 4 AS grp, ord % 4 AS place, 690 - w AS gap, price, n_offers, CASE WHEN 690 - w < 0 THEN 0 ELSE floor(least(1e0, ((690 - w) / 700e0) / 0.2e0) * 0.4e0 * 100e0 * CASE WHEN 690 - w < 5 THEN 0.85e0 WHEN 690 - w < 10 THEN 0.95e0 ELSE 1e0 END + 0.5e0) END AS score FROM catalog)"
 
 ORACLE = {
     "evidence_index": f"SELECT product_id, url, verified FROM {_INDEX}",
     "work_queue": f"SELECT id FROM products WHERE lower(brand) IN ('brand#1', 'brand#2') AND id NOT IN (SELECT product_id FROM {_INDEX} WHERE verified)",
-    "failure_buckets": f"""SELECT ['A', 'B', 'C', 'D'][ord // 3 % 4 + 1] AS bucket, count(*) AS n, count(*) FILTER (WHERE id IN (SELECT product_id FROM {_INDEX})) AS resolved FROM products WHERE ord % 3 = 0 GROUP BY 1""",
+    "failure_buckets": f"""SELECT ['A', 'C', 'B', 'D'][ord // 3 % 4 + 1] AS bucket, count(*) AS n, count(*) FILTER (WHERE id IN (SELECT product_id FROM {_INDEX})) AS resolved FROM products GROUP BY 1""",
     "best_document": f"SELECT id, url, score FROM (SELECT id, url, {_SCORE} AS score, row_number() OVER (PARTITION BY id ORDER BY {_SCORE} DESC, pos) AS k FROM {_DOC}) WHERE k = 1",
     "affiliate_links": "SELECT id, CASE WHEN price IS NOT NULL THEN 'https://a.example/' || CAST(price AS VARCHAR) || '/' || id WHEN ord % 10 <> 0 THEN 'https://b.example/?m=' || id END AS link FROM products",
     "freshness": f"SELECT product_id, CAST(DATE '{AS_OF}' - max(verified_at) AS INTEGER) AS days, CASE WHEN count(*) >= 4 THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM offers GROUP BY product_id",

@@ -121,8 +121,9 @@ def url_predicates(spark, sf_dir):
 
 
 def replacement_sources(spark, sf_dir):
+    """A search: the texts asked for are those of products whose number is divisible by 100, against all products."""
     p = adapters.products(spark, sf_dir)
-    asked = p.select(F.col("ord").alias("ask"), F.concat("display_name", F.lit(" "), F.col("ord").cast("string")).alias("text"))
+    asked = p.where("ord % 100 = 0").select(F.col("ord").alias("ask"), F.concat("display_name", F.lit(" "), F.col("ord").cast("string")).alias("text"))
     return best_sources(asked, p)
 
 
@@ -165,11 +166,14 @@ ORACLE = {
     "range_sliders": f"SELECT id, fit_score_numeric FROM {_ALL} f WHERE w BETWEEN 500 AND 680 AND h >= 900 AND price <= 1000 AND stars BETWEEN 2 AND 5 AND fit_score_numeric >= 40 AND (verified OR NOT (SELECT bool_or(verified) FROM {_ALL}))",
     "url_predicates": f"SELECT {PRODUCT_URL.format(u='url', other='TRUE')} AS lenient, {PRODUCT_URL.format(u='url', other='FALSE')} AS strict, {PRODUCT_URL.format(u='url', other='FALSE')} AS audit, count(*) AS n FROM offers GROUP BY ALL",
     "replacement_sources": r"""SELECT ask, id, CAST(score AS INTEGER) AS score, CASE WHEN score >= 90 THEN 'high' WHEN score >= 75 THEN 'medium' ELSE 'low' END AS confidence FROM (
-        SELECT a.ord AS ask, p.id, row_number() OVER (PARTITION BY a.ord ORDER BY s DESC, p.display_name, p.ord) AS i, s AS score FROM (
-            SELECT a.ord AS a_ord, p.ord AS p_ord, CASE WHEN pm = q THEN 100 WHEN contains(q, pm) THEN 95 WHEN contains(pm, q) THEN 90 WHEN contains(bm, t) THEN 84 WHEN contains(dn, t) THEN 78 ELSE 0 END AS s
-            FROM (SELECT ord, regexp_replace(lower(display_name || ' ' || ord), '[^a-z0-9]+', '', 'g') AS q, trim(regexp_replace(lower(display_name || ' ' || ord), '[^a-z0-9]+', ' ', 'g')) AS t FROM products WHERE ord % 50 = 3) a
-            CROSS JOIN (SELECT ord, regexp_replace(lower(model), '[^a-z0-9]+', '', 'g') AS pm, trim(regexp_replace(lower(brand || ' ' || model), '[^a-z0-9]+', ' ', 'g')) AS bm, trim(regexp_replace(lower(display_name), '[^a-z0-9]+', ' ', 'g')) AS dn FROM products) p) x
-        JOIN products a ON a.ord = a_ord JOIN products p ON p.ord = p_ord WHERE s > 0) WHERE i = 1""",
+        SELECT a_ord AS ask, id, s AS score, row_number() OVER (PARTITION BY a_ord ORDER BY s DESC, display_name, p_ord) AS i FROM (
+            SELECT a.ord AS a_ord, p.ord AS p_ord, p.id, p.display_name, CASE WHEN pc <> '' AND pc = qc THEN 98 WHEN length(qc) >= 5 AND starts_with(pc, qc) THEN 96 WHEN length(qc) >= 5 AND starts_with(pm, qc) THEN 94
+                WHEN pm = q THEN 100 WHEN contains(q, pm) THEN 95 WHEN contains(pm, q) THEN 90 WHEN contains(bm, t) THEN 84 WHEN contains(dn, t) THEN 78 ELSE 0 END AS s
+            FROM (SELECT ord, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS q, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t,
+                    coalesce(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 4 AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]'))[1], '') AS qc
+                  FROM (SELECT ord, display_name || ' ' || ord AS text FROM products WHERE ord % 100 = 0)) a
+            CROSS JOIN (SELECT ord, id, display_name, regexp_replace(lower(model), '[^a-z0-9]+', '', 'g') AS pm, trim(regexp_replace(lower(brand || ' ' || model), '[^a-z0-9]+', ' ', 'g')) AS bm, trim(regexp_replace(lower(display_name), '[^a-z0-9]+', ' ', 'g')) AS dn,
+                    coalesce(list_filter(string_split(trim(regexp_replace(lower(model), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 4 AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]'))[1], '') AS pc FROM products) p) WHERE s > 0) WHERE i = 1""",
     "replacement_suggestions": f"SELECT {_RANKED.format(o='n_strict DESC, priority DESC, display_name, ord')}, id, n_strict FROM catalog WHERE cat = 'fridge' AND verified ORDER BY rank LIMIT 160",
 }
 

@@ -38,8 +38,10 @@ def bad_vitals(spark, sf_dir):
 
 
 def error_clean(spark, sf_dir):
-    rows = adapters.errors(spark, sf_dir).withColumns({"message": F.concat("message", F.lit(" from a.b@c.org or +61 2 9999 0000")), "source": F.concat("source", F.lit("?v=1#x"))})
-    return t.sanitised_errors(rows).select("event_id", "message", "source", "line")
+    stack = F.concat(F.lit("at f (/s/x.js?v=1)\n\nhttps://Cdn.example.net/app.js#k by a.b@c.org\n3\n4\n5 +61.2.9999.0000\n6 "), "message")
+    source = F.when(F.col("line") % 3 == 0, F.concat(F.lit("https://CDN.example.net"), "source")).otherwise(F.col("source"))
+    rows = adapters.errors(spark, sf_dir).withColumns({"message": F.concat("message", F.lit(" from a.b@c.org or +61.2 (9999) 0000")), "source": F.concat(source, F.lit("?v=1#x")), "col": F.col("line") % 7 - 1, "stack": stack})
+    return t.sanitised_errors(rows).select("event_id", "message", "source", "line", "col", "stack")
 
 
 def error_signatures(spark, sf_dir):
@@ -82,8 +84,20 @@ def page_words(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", x.word_count(x.html_text(F.col("html"))).alias("words"))
 
 
+def _marked(spark, sf_dir):
+    """Pages with structured data, links to shops and inner pages, and placeholders added to some."""
+    k = F.col("page_id")
+    add = F.concat(
+        F.when(k % 3 == 0, F.lit('<script type="application/ld+json"> {"@type": "Article"} </script>')).otherwise(""), F.when(k % 5 == 0, F.lit('<script type="application/ld+json">{"@type": </script>')).otherwise(""),
+        F.when(k % 2 == 0, F.lit('<a class="x" href="/cavity/600"><b>600</b></a>')).otherwise(""), F.when(k % 7 == 0, F.lit("<p>FixMe</p>")).otherwise(""),
+        F.when(k % 3 == 1, F.lit('<a href="https://www.jbhifi.com.au/products/a">Buy from JB</a>')).otherwise(""), F.when(k % 4 == 1, F.lit('<a href="https://shop.example.net/search?q=a">x</a><a href="https://www.binglee.com.au/">Home</a>')).otherwise(""),
+        F.lit('<a href="https://fonts.googleapis.com/css">f</a><a href="https://www.example.org/about">about</a>'),
+    )
+    return _pages(spark, sf_dir).withColumn("html", F.concat("html", add))
+
+
 def page_gate(spark, sf_dir):
-    return x.quality_gate(_pages(spark, sf_dir))
+    return x.quality_gate(_marked(spark, sf_dir))
 
 
 def page_index(spark, sf_dir):
@@ -113,7 +127,15 @@ def sitemap_scan(spark, sf_dir):
 
 
 def link_classes(spark, sf_dir):
-    return x.link_classes(_pages(spark, sf_dir))
+    return x.link_classes(_marked(spark, sf_dir), ("example.org",))
+
+
+def link_summary(spark, sf_dir):
+    return x.link_summary(link_classes(spark, sf_dir))
+
+
+def buy_links(spark, sf_dir):
+    return x.buy_links(_marked(spark, sf_dir), ("example.org",))
 
 
 def query_intents(spark, sf_dir):
@@ -125,23 +147,18 @@ def console_summary(spark, sf_dir):
 
 
 def keyword_gaps(spark, sf_dir):
-    return x.keyword_gaps(adapters.search_console(spark, sf_dir), F.contains(F.lit("the and que der"), F.split("key", " ")[0])).select("kind", "rank", "ord", "impressions")
-
-
-def _slugs(spark, sf_dir):
-    return adapters.products(spark, sf_dir).select(F.regexp_replace(F.lower("display_name"), "[^a-z0-9]+", "-").alias("slug")).distinct()
+    return x.keyword_gaps(adapters.search_console(spark, sf_dir), adapters.sitemap(spark, sf_dir))
 
 
 def coverage_similarity(spark, sf_dir):
-    return x.coverage_similarity(adapters.search_console(spark, sf_dir), _slugs(spark, sf_dir))
+    return x.coverage_similarity(adapters.search_console(spark, sf_dir), adapters.sitemap(spark, sf_dir))
 
 
 def candidate_cascade(spark, sf_dir):
-    rows = adapters.search_console(spark, sf_dir)
-    return x.candidate_cascade(rows, x.coverage_similarity(rows, _slugs(spark, sf_dir)), 0.3, 600).groupBy("reason").agg(F.count("*").alias("n"))
+    return x.candidate_cascade(adapters.search_console(spark, sf_dir), adapters.sitemap(spark, sf_dir))
 
 
-QUERIES = [rum_clean, rum_percentiles, rum_status, bad_vitals, error_clean, error_signatures, error_daily_firsts, rum_sample, window_limiter, bucket_limiter, plan_cap, text_lint, text_ngrams, text_pairs, page_words, page_gate, page_index, link_graph, broken_links, route_diff, sitemap_scan, link_classes, query_intents, console_summary, keyword_gaps, coverage_similarity, candidate_cascade]
+QUERIES = [rum_clean, rum_percentiles, rum_status, bad_vitals, error_clean, error_signatures, error_daily_firsts, rum_sample, window_limiter, bucket_limiter, plan_cap, text_lint, text_ngrams, text_pairs, page_words, page_gate, page_index, link_graph, broken_links, route_diff, sitemap_scan, link_classes, link_summary, buy_links, query_intents, console_summary, keyword_gaps, coverage_similarity, candidate_cascade]
 
 _SIG = "sha256(message || '|' || regexp_extract(source, '[^/]*$') || '|' || CAST(line AS VARCHAR))"
 _RUM = "(SELECT metric, path, CASE metric WHEN 'LCP' THEN value * 40 WHEN 'INP' THEN value * 3 ELSE value / 1000 END AS value FROM rum WHERE metric IN ('LCP', 'CLS', 'INP'))"
@@ -153,38 +170,62 @@ _HREFS = "(SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)
 _PATH = "regexp_replace(trim(href), '[?#].*$', '')"
 _EDGES = f"(SELECT DISTINCT src, dst FROM (SELECT url AS src, CASE WHEN length({_PATH}) > 1 THEN regexp_replace({_PATH}, '/+$', '') ELSE {_PATH} END AS dst FROM {_HREFS} WHERE starts_with({_PATH}, '/') AND NOT starts_with({_PATH}, '//')) WHERE src <> dst)"
 _KEY = "trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g'))"
-_SLUGS = "(SELECT DISTINCT regexp_replace(lower(display_name), '[^a-z0-9]+', '-', 'g') AS slug FROM products WHERE ord < 40)"
-_SIM = "(SELECT ord, max(floor((1e0 - CAST(levenshtein(q, slug) AS DOUBLE) / greatest(length(q), length(slug), 1)) * 1000 + 0.5e0) / 1000) AS similarity FROM (SELECT ord, replace({k}, ' ', '-') AS q FROM gsc WHERE {w}), {s} GROUP BY ord)"
+_SLUG = "left(trim(regexp_replace(lower(query), '[^a-z0-9]+', '-', 'g'), '-'), 72)"
+_RATIO = "1e0 - CAST(levenshtein(q, slug) AS DOUBLE) / greatest(length(q), length(slug))"
+_SIM = f"(SELECT ord, max({_RATIO}) AS similarity FROM (SELECT ord, {_SLUG} AS q FROM gsc), sitemap WHERE q <> '' AND {_RATIO} > 0.9e0 GROUP BY ord)"
+_CONSOLE = r"trim(regexp_replace(regexp_replace(lower(query), '[^a-z0-9\s-]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_INTENT = rf"CASE WHEN regexp_matches({_CONSOLE}, '^how\b|\bhow to\b') THEN 'how-to' WHEN regexp_matches({_CONSOLE}, 'sydney|melbourne|brisbane|perth|adelaide|canberra|hobart|darwin') THEN 'location' WHEN regexp_matches({_CONSOLE}, '\b(door|doorway|entry)\b') THEN 'doorway' WHEN regexp_matches({_CONSOLE}, '\b(cavity|mm)\b') THEN 'cavity' ELSE 'brand' END"
+_MARKED = """(SELECT page_id, url, html || CASE WHEN page_id % 3 = 0 THEN '<script type="application/ld+json"> {"@type": "Article"} </script>' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN '<script type="application/ld+json">{"@type": </script>' ELSE '' END
+    || CASE WHEN page_id % 2 = 0 THEN '<a class="x" href="/cavity/600"><b>600</b></a>' ELSE '' END || CASE WHEN page_id % 7 = 0 THEN '<p>FixMe</p>' ELSE '' END || CASE WHEN page_id % 3 = 1 THEN '<a href="https://www.jbhifi.com.au/products/a">Buy from JB</a>' ELSE '' END
+    || CASE WHEN page_id % 4 = 1 THEN '<a href="https://shop.example.net/search?q=a">x</a><a href="https://www.binglee.com.au/">Home</a>' ELSE '' END || '<a href="https://fonts.googleapis.com/css">f</a><a href="https://www.example.org/about">about</a>' AS html FROM pages)"""
+_ANCHOR = r"""'(?is)<a\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>'"""
+_LINKED = rf"""(SELECT url, CASE WHEN NOT regexp_matches(h, '^https?://') THEN 'non_external' WHEN regexp_matches(h, 'fonts\.googleapis|fonts\.gstatic|example\.org') THEN 'non_buy_external' WHEN contains(t, 'buy from') OR t = 'buy now' THEN 'product_like_buy'
+    WHEN contains(t, 'search at') OR regexp_matches(h, '/search[/?]|[?&](q|query|text|search|keyword)=') THEN 'retailer_search' WHEN regexp_matches(h, '(harveynorman|thegoodguys|jbhifi|appliances-?online|binglee)\.com\.au/?$') THEN 'retailer_homepage' ELSE 'product_like_buy' END AS kind
+    FROM (SELECT url, lower(regexp_extract(a, {_ANCHOR}, 1)) AS h, lower(trim(regexp_replace(regexp_replace(regexp_extract(a, {_ANCHOR}, 2), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS t FROM (SELECT url, unnest(regexp_extract_all(html, {_ANCHOR})) AS a FROM {_MARKED})))"""
+_PAGE_LINKS = f"""(SELECT url, b + s + h AS buy_links, b AS product_like_buy, s AS retailer_search, h AS retailer_homepage, CASE WHEN b > 0 THEN 'strong' WHEN s > 0 THEN 'search_only' WHEN h > 0 THEN 'homepage_only' ELSE 'none' END AS tier
+    FROM (SELECT p.url, count(*) FILTER (WHERE kind = 'product_like_buy') AS b, count(*) FILTER (WHERE kind = 'retailer_search') AS s, count(*) FILTER (WHERE kind = 'retailer_homepage') AS h FROM (SELECT DISTINCT url FROM pages) p LEFT JOIN {_LINKED} l ON l.url = p.url GROUP BY p.url))"""
+_BARE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<nav.*?</nav>', ' ', 'g'), '(?is)<footer.*?</footer>', ' ', 'g'), '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&[a-zA-Z0-9#]+;', ' ', 'g'), '\s+', ' ', 'g'))"
+_NBARE = f"CASE WHEN {_BARE} = '' THEN 0 ELSE len(string_split({_BARE}, ' ')) END"
+_BLOCKS = r"""list_transform(regexp_extract_all(html, '(?is)<script[^>]+type="application/ld\+json"[^>]*>(.*?)</script>', 1), lambda x: trim(x))"""
+_NERR = f"len(list_filter({_BLOCKS}, lambda x: NOT json_valid(x)))"
+_REDACTED = r"regexp_replace(regexp_replace({x}, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}\b', '[redacted-email]', 'g'), '\+?[0-9][0-9\s().-]{{7,}}[0-9]', '[redacted-phone]', 'g')"
+_SHINGLED = r"list_filter(string_split(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))), ' '), lambda w: w <> '')"
 
 ORACLE = {
     "rum_clean": "SELECT event_id, metric, path, CASE WHEN metric = 'CLS' THEN floor(value * 10000 + 0.5e0) / 10000 ELSE floor(value + 0.5e0) END AS value FROM rum WHERE metric IS NOT NULL AND value BETWEEN 0 AND 60000",
     "rum_percentiles": "SELECT path, metric, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.75) AS p75, quantile_disc(value, 0.95) AS p95 FROM rum WHERE metric IN ('LCP', 'CLS', 'INP') GROUP BY path, metric",
     "rum_status": "SELECT count(*) AS n, count(DISTINCT path) AS paths, CASE WHEN count(*) < 100 THEN 'insufficient_samples' ELSE 'ok' END AS status FROM rum WHERE metric IN ('LCP', 'CLS', 'INP')",
     "bad_vitals": f"SELECT CAST(row_number() OVER (ORDER BY s, p75 DESC, path) AS INTEGER) AS rank, path, metric, p75 FROM (SELECT path, metric, quantile_disc(value, 0.75) AS p75, CASE metric WHEN 'LCP' THEN 0 WHEN 'INP' THEN 1 ELSE 2 END AS s FROM {_RUM} GROUP BY path, metric) WHERE p75 > CASE metric WHEN 'LCP' THEN 2500 WHEN 'INP' THEN 200 ELSE 0.1e0 END ORDER BY rank LIMIT 5",
-    "error_clean": "SELECT event_id, message || ' from [email] or [phone]' AS message, source, line FROM errors WHERE line >= 0",
+    "error_clean": f"""SELECT event_id, {_REDACTED.format(x="message || ' from a.b@c.org or +61.2 (9999) 0000'")} AS message, CASE WHEN line % 3 = 0 THEN 'https://cdn.example.net' ELSE 'https://www.example.org' END || source AS source, line, line % 7 - 1 AS col,
+        'https://www.example.org/at%20f%20(/s/x.js' || chr(10) || 'https://cdn.example.net/app.js' || chr(10) || 'https://www.example.org/3' || chr(10) || 'https://www.example.org/4' || chr(10) || 'https://www.example.org/5%20[redacted-phone]' AS stack FROM errors WHERE line >= 0 AND line % 7 >= 1""",
     "error_signatures": f"SELECT {_SIG} AS signature, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, arg_min(source, event_id) AS sample FROM errors GROUP BY 1",
     "error_daily_firsts": f"SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, {_SIG}, CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM errors) WHERE k = 1",
-    "plan_cap": "SELECT ord, page, k <= 10 AS selected, CASE WHEN k > 10 THEN 'cap' END AS reason FROM (SELECT ord, page, row_number() OVER (ORDER BY ord) AS k FROM gsc WHERE ord % 9 = 0)",
+    "plan_cap": "SELECT ord, page, k <= 10 AS selected, CASE WHEN k > 10 THEN 'cap' END AS reason FROM (SELECT ord, page, row_number() OVER (ORDER BY ord) AS k FROM gsc)",
     "text_lint": "SELECT rule, count(*) AS n, count(DISTINCT doc_id) AS docs, CAST(max(line) AS INTEGER) AS last_line FROM (SELECT doc_id, line, unnest(list_filter([CASE WHEN contains(body, '!!') THEN 'shout' END, CASE WHEN contains(body, '|') THEN 'table' END, CASE WHEN contains(body, '***') THEN 'stars' END, CASE WHEN regexp_matches(body, '[0-9]+\\$') THEN 'money' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)) GROUP BY rule",
-    "text_ngrams": f"SELECT gram, CAST(sum(k) AS BIGINT) AS n, count(*) AS docs, CAST(row_number() OVER (ORDER BY sum(k) DESC, gram) AS INTEGER) AS rank FROM (SELECT doc_id, gram, count(*) AS k FROM (SELECT doc_id, unnest({_GRAMS.format(n=3)} || {_GRAMS.format(n=4)} || {_GRAMS.format(n=5)}) AS gram FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE lang = 'en')) GROUP BY ALL) GROUP BY gram HAVING sum(k) >= 5 ORDER BY rank LIMIT 25",
-    "text_pairs": f"""WITH s AS (SELECT doc_id AS id, list_distinct({_GRAMS.format(n=5)}) AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents)), e AS (SELECT id, len(g) AS n, unnest(g) AS x FROM s)
+    "text_ngrams": f"SELECT gram, CAST(sum(k) AS BIGINT) AS n, count(*) AS docs, CAST(row_number() OVER (ORDER BY sum(k) DESC, gram) AS INTEGER) AS rank FROM (SELECT doc_id, gram, count(*) AS k FROM (SELECT doc_id, unnest({_GRAMS.format(n=3)} || {_GRAMS.format(n=4)} || {_GRAMS.format(n=5)}) AS gram FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) GROUP BY ALL) GROUP BY gram HAVING sum(k) >= 5 ORDER BY rank LIMIT 25",
+    "text_pairs": f"""WITH s AS (SELECT doc_id AS id, CASE WHEN len(w) >= 5 THEN list_distinct({_GRAMS.format(n=5)}) WHEN len(w) > 0 THEN list_distinct(w) ELSE [''] END AS g FROM (SELECT doc_id, {_SHINGLED} AS w FROM documents)), e AS (SELECT id, len(g) AS n, unnest(g) AS x FROM s)
         SELECT a, b, floor(k / greatest(na, nb)::DOUBLE * 1000 + 0.5e0) / 1000 AS similarity FROM (SELECT p.id AS a, q.id AS b, any_value(p.n) AS na, any_value(q.n) AS nb, count(*) AS k FROM e p JOIN e q ON p.x = q.x AND p.id < q.id GROUP BY ALL) WHERE k / greatest(na, nb)::DOUBLE >= 0.8e0""",
     "page_words": f"SELECT page_id, {_NWORDS} AS words FROM pages",
-    "page_gate": f"SELECT url, {_NWORDS} AS words, concat_ws(',', CASE WHEN {_NWORDS} < 300 THEN 'words' END, CASE WHEN NOT regexp_matches(html, '(?i)<(table|dl)[ >]') THEN 'table' END, CASE WHEN NOT regexp_matches(html, '(?i)<a [^>]*href=') THEN 'link' END, CASE WHEN regexp_matches(html, '(?i)lorem ipsum|\\{{\\{{|TODO') THEN 'placeholder' END) AS failures FROM pages",
+    "page_gate": rf"""SELECT url, {_NBARE} AS words, {_NERR} AS schema_errors, concat_ws(',', CASE WHEN {_NBARE} < 300 THEN 'min_word_count' END, CASE WHEN NOT regexp_matches(html, '(?i)<(table|dl)(\s|>)') THEN 'missing_data_block' END, CASE WHEN NOT regexp_matches(html, '/(cavity|doorway|brands)/') THEN 'missing_internal_link' END,
+        CASE WHEN regexp_matches(html, '(?i)lorem ipsum|todo|fixme|<placeholder>') THEN 'placeholder_content' END, CASE WHEN {_NERR} > 0 THEN 'schema_errors' END) AS failures FROM {_MARKED}""",
     "page_index": """SELECT url, regexp_matches(html, '(?i)<meta[^>]*name="robots"[^>]*noindex') AS noindex, regexp_extract(html, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1) AS canonical,
         regexp_extract(html, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1) NOT IN ('', url) AS elsewhere FROM pages""",
     "link_graph": f"SELECT url, coalesce(i, 0) AS n_in, coalesce(o, 0) AS n_out FROM (SELECT dst AS url FROM {_EDGES} UNION SELECT url FROM pages) LEFT JOIN (SELECT dst, count(*) AS i FROM {_EDGES} GROUP BY dst) ON dst = url LEFT JOIN (SELECT src, count(*) AS o FROM {_EDGES} GROUP BY src) ON src = url",
     "broken_links": f"SELECT dst, count(*) AS n FROM {_EDGES} WHERE length(dst) % 2 <> 0 GROUP BY dst",
     "route_diff": "SELECT DISTINCT url, 'missing' AS side FROM pages WHERE page_id % 3 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 4 <> 0) UNION ALL SELECT DISTINCT url, 'unexpected' FROM pages WHERE page_id % 4 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 <> 0)",
     "sitemap_scan": "SELECT page_id, trim(url) AS loc FROM pages UNION ALL SELECT page_id, '/p/' || CAST(page_id AS VARCHAR) FROM pages",
-    "link_classes": f"SELECT url, count(*) FILTER (WHERE k = 0) AS internal, count(*) FILTER (WHERE k = 1) AS anchor, count(*) FILTER (WHERE k = 2) AS external, count(*) FILTER (WHERE k = 3) AS other FROM (SELECT url, CASE WHEN starts_with(href, '/') AND NOT starts_with(href, '//') THEN 0 WHEN starts_with(href, '#') THEN 1 WHEN regexp_matches(href, '^https?://') THEN 2 ELSE 3 END AS k FROM {_HREFS}) GROUP BY url",
-    "query_intents": "SELECT CASE WHEN regexp_matches(query, '\\b(vs|versus|compare)\\b') THEN 'compare' WHEN regexp_matches(query, '\\b(fit|size|dimension|width|cavity)') THEN 'fit' WHEN regexp_matches(query, '\\b(best|top|review)') THEN 'review' WHEN regexp_matches(query, '[0-9]{3,}') THEN 'model' ELSE 'other' END AS intent, count(*) AS n, CAST(sum(impressions) AS BIGINT) AS impressions FROM gsc GROUP BY 1",
+    "link_classes": f"SELECT * FROM {_PAGE_LINKS}",
+    "link_summary": f"SELECT count(*) AS pages, count(*) FILTER (WHERE tier = 'strong') AS strong_pages, count(*) FILTER (WHERE tier = 'search_only') AS search_only_pages, count(*) FILTER (WHERE tier = 'homepage_only') AS homepage_only_pages, count(*) FILTER (WHERE tier = 'none') AS none_pages, CAST(sum(product_like_buy) AS BIGINT) AS product_like_buy_links, CAST(sum(retailer_search) AS BIGINT) AS retailer_search_links, CAST(sum(retailer_homepage) AS BIGINT) AS retailer_homepage_links FROM {_PAGE_LINKS}",
+    "buy_links": f"SELECT url, external, buy, buy > 0 AS has_buy FROM (SELECT p.url, count(*) FILTER (WHERE kind <> 'non_external') AS external, count(*) FILTER (WHERE kind IN ('product_like_buy', 'retailer_search', 'retailer_homepage')) AS buy FROM (SELECT DISTINCT url FROM pages) p LEFT JOIN {_LINKED} l ON l.url = p.url GROUP BY p.url)",
+    "query_intents": f"SELECT {_INTENT} AS intent, count(*) AS n, CAST(sum(impressions) AS BIGINT) AS impressions FROM gsc GROUP BY 1",
     "console_summary": "SELECT count(*) AS n, count(DISTINCT query) AS queries, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, floor(sum(clicks)::DOUBLE / sum(impressions) * 10000 + 0.5e0) / 10000 AS ctr, floor(avg(position) * 100 + 0.5e0) / 100 AS position FROM gsc",
-    "keyword_gaps": f"""SELECT * FROM (SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY impressions DESC, ord) AS INTEGER) AS rank, ord, impressions FROM (SELECT *, CASE WHEN position BETWEEN 11 AND 20 THEN 'page-2' WHEN NOT contains('the and que der', string_split(key, ' ')[1]) THEN 'gap' END AS kind
-        FROM (SELECT *, {_KEY} AS key, row_number() OVER (PARTITION BY {_KEY} ORDER BY impressions DESC, ord) AS nth FROM gsc) WHERE nth = 1 AND key <> '' AND impressions >= 50) WHERE kind IS NOT NULL) WHERE rank <= 20""",
-    "coverage_similarity": f"SELECT ord, similarity FROM {_SIM.format(k=_KEY, w='ord % 10 = 0', s=_SLUGS)}",
-    "candidate_cascade": f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN nth > 1 THEN 'duplicate' WHEN len(string_split(key, ' ')) < 2 THEN 'short' WHEN impressions < 600 THEN 'impressions' WHEN similarity > 0.3e0 THEN 'covered' ELSE 'selected' END AS reason
-        FROM (SELECT *, {_KEY} AS key, row_number() OVER (PARTITION BY {_KEY} ORDER BY impressions DESC, ord) AS nth FROM gsc) JOIN {_SIM.format(k=_KEY, w='TRUE', s=_SLUGS)} USING (ord)) GROUP BY reason""",
+    "keyword_gaps": f"""SELECT 'page-2' AS kind, ord, impressions FROM gsc WHERE position BETWEEN 11 AND 20 UNION ALL SELECT 'gap', ord, impressions FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY impressions DESC, ord) AS nth FROM (
+        SELECT g.*, list_filter(string_split({_KEY}, ' '), lambda t: length(t) >= 3 AND t NOT IN ('a', 'and', 'appliance', 'au', 'australia', 'for', 'fit', 'in', 'mm', 'of', 'the', 'to', 'with')) AS tokens, hay FROM gsc g, (SELECT string_agg(trim(regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g')), ' ') AS hay FROM sitemap))
+        WHERE impressions > 0 AND len(tokens) > 0 AND len(list_filter(tokens, lambda t: contains(hay, t))) = 0) WHERE nth = 1""",
+    "coverage_similarity": f"SELECT ord, similarity FROM {_SIM}",
+    "candidate_cascade": f"""SELECT ord, reason, CASE WHEN reason IS NULL THEN {_SLUG} END AS slug, CASE WHEN reason IS NULL THEN {_INTENT} END AS kind FROM (SELECT g.*, CASE WHEN trim(query) = '' THEN 'empty_query' WHEN row_number() OVER (PARTITION BY {_CONSOLE}, trim(query) = '' ORDER BY ord) > 1 THEN 'duplicate_query'
+        WHEN regexp_matches({_CONSOLE}, 'buy|cheap|deal|coupon|discount|free shipping') THEN 'blacklist' WHEN len(list_filter(string_split({_CONSOLE}, ' '), lambda t: t <> '')) < 3 THEN 'query_too_short' WHEN impressions < 50 THEN 'low_impressions' WHEN position < 11 OR position > 30 THEN 'position_out_of_range'
+        WHEN ctr >= 0.05e0 THEN 'ctr_not_low_enough' WHEN similarity IS NOT NULL THEN 'already_covered' END AS reason FROM (SELECT g.*, x.similarity FROM gsc g LEFT JOIN {_SIM} x ON x.ord = g.ord) g)""",
 }
 
 

@@ -91,8 +91,17 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_console(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query, page, clicks, impressions, position of each document."""
+    """query (the first four words), page, clicks, impressions, position, ctr of each document."""
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
     return read(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("ord"), F.array_join(F.slice(words, 1, 4), " ").alias("query"), F.concat(F.lit("/d/"), F.col("source")).alias("page"), (F.col("doc_id") % 7).cast("int").alias("clicks"), F.col("n_chars").cast("int").alias("impressions"), (1 + F.col("doc_id") % 40).cast("double").alias("position")
+        F.col("doc_id").alias("ord"), F.array_join(F.slice(words, 1, 4), " ").alias("query"), F.concat(F.lit("/d/"), F.col("source")).alias("page"), (F.col("doc_id") % 7).cast("int").alias("clicks"), F.col("n_chars").cast("int").alias("impressions"), (1 + F.col("doc_id") % 40).cast("double").alias("position"),
+        F.when(F.col("n_chars") > 0, (F.col("doc_id") % 7) / F.col("n_chars")).otherwise(F.lit(0.0)).alias("ctr"),
     )
+
+
+def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slug and url of the site's pages: a page per product name, and one for every second search query, a letter longer than it."""
+    slug = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    names = products(spark, sf_dir).select(slug(F.col("display_name")).alias("slug"))
+    asked = search_console(spark, sf_dir).where("ord % 2 = 0").select(F.concat(slug(F.col("query")), F.lit("s")).alias("slug"))
+    return names.unionByName(asked).distinct().withColumn("url", F.concat(F.lit("https://www.example.org/p/"), "slug"))
