@@ -34,24 +34,40 @@ def n_words(text: Column) -> Column:
     return (F.size(F.split(text, f"{SPACE}+")) - edges).cast("long")
 
 
+def _in_order(rows: DataFrame, keys: list[str], sums: dict[str, str], what: str) -> DataFrame:
+    """rows with the running sum (up to and with the row, in order of keys) of each column named in sums: new name by column.
+
+    Rows are dealt by range; each range adds up its own, and the ranges' totals, a row for each, give what stands before.
+    """
+    ranges = stored(rows.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), what)
+    totals = ranges.groupBy("range").agg(*(F.sum(c).alias(c) for c in sums))
+    before = totals.select("range", *((F.sum(c).over(Window.orderBy("range")) - F.col(c)).alias(f"before_{c}") for c in sums))  # a row per range
+    within = Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranges.join(F.broadcast(before), "range")
+    return joined.select(*rows.columns, *((F.col(f"before_{c}") + F.sum(c).over(within)).alias(name) for c, name in sums.items()))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """From (key, size) rows: key, source_size, target.
 
     Weights repeat over the sources in order of key. Targets share the sum of all sizes by weight; a target stops at cap
-    times its source's size and the excess is shared by weight among the others, again until none is above. The driver
-    holds four numbers; the sources stay a table.
+    times its source's size and the excess is shared by weight among the others, again until none is above. In order of size
+    by weight the capped sources come first, so the share of the others is that of the first source that stays below its cap,
+    found by running sums. Sources stay a table, whatever their number; the driver sees one share.
     """
-    per = stored(sizes.groupBy("key").agg(F.sum("size").alias("source_size")), "sources")
-    at = (F.row_number().over(Window.orderBy("key")) - 1) % len(weights) + 1
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), at).cast("long"))
-    share, capped = 0.0, -1
-    while True:
-        above = F.lit(cap) * F.col("source_size") < F.lit(share) * F.col("weight")
-        now = per.agg(F.sum("source_size").alias("all"), F.sum(F.when(above, F.col("source_size"))).alias("held"), F.sum(F.when(~above, F.col("weight"))).alias("open"), F.count(F.when(above, 1)).alias("n")).first()
-        if not now["all"] or not now["open"] or now["n"] == capped:
-            break
-        capped, share = now["n"], (now["all"] - cap * (now["held"] or 0)) / now["open"]
-    return per.select("key", "source_size", F.least((F.lit(cap) * F.col("source_size")).cast("double"), F.lit(float(share)) * F.col("weight")).alias("target"))
+    per = sizes.groupBy("key").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long"))
+    per = _in_order(per, ["key"], {"one": "at"}, "sources").drop("one")
+    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("at") - 1) % len(weights) + 1).cast("int")).cast("long")).drop("at")
+    per = stored(per.withColumn("ratio", F.col("source_size") / F.col("weight")), "sources")
+    total, weight = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not total:
+        return per.select("key", "source_size", F.lit(0.0).alias("target"))
+    level = _in_order(per, ["ratio", "key"], {"source_size": "held", "weight": "passed"}, "levels")
+    held, left = F.col("held") - F.col("source_size"), F.lit(weight) - F.col("passed") + F.col("weight")
+    level = level.withColumn("share", (F.lit(total) - F.lit(cap) * held).cast("double") / left.cast("double")).where(F.lit(cap) * F.col("source_size") >= F.col("share") * F.col("weight"))
+    first = level.orderBy("ratio", "key").select("share").first()
+    share = float("inf") if first is None else first[0]
+    return per.select("key", "source_size", F.least((F.lit(cap) * F.col("source_size")).cast("double"), F.lit(share) * F.col("weight")).alias("target"))
 
 
 def _keys(id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
