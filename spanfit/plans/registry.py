@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanfit.plans import etl, extras, pages, proof, search, signals
+from spanfit.plans import etl, extras, names, pages, proof, search, signals
 
-FAMILIES = (search, pages, etl, signals, proof, extras)
+FAMILIES = (search, pages, etl, signals, proof, extras, names)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

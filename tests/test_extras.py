@@ -148,3 +148,47 @@ def test_wildcards(spark):
 def test_ranks_within_groups(spark):
     rows = spark.createDataFrame([(k, k % 2) for k in range(6)], "i long, g long")
     assert sorted((r.g, r.rank, r.i) for r in ranked(rows, [F.desc("i")], ["g"], 2).collect()) == [(0, 1, 4), (0, 2, 2), (1, 1, 5), (1, 2, 3)]
+
+
+def test_slug_discovery_is_the_plain_rule(spark):
+    """Against a plain reading of the same rules, on random slugs."""
+    import re
+
+    from spanfit.operators import naming
+    from spanfit.plans.names import BRANDS, MODEL_BRANDS, WEAK
+
+    def mixed(t):
+        return bool(re.search("[a-z]", t) and re.search(r"\d", t))
+
+    def points(t):
+        if not mixed(t) or re.match(naming.SIZE_TOKEN, t):
+            return -100
+        if t in WEAK:
+            return -50
+        letters, digits = len(re.findall("[a-z]", t)), len(re.findall(r"\d", t))
+        return len(t) + 6 * (letters >= 2) + 6 * (digits >= 2) + 6 * (len(t) >= 6) + 4 * bool(re.match(r"[a-z]{1,4}\d", t))
+
+    def plain(slug):
+        category = None if re.search(naming.OTHER_GOODS, slug) else next((c for c, words in naming.SLUG_WORDS.items() if re.search(words, slug)), None)
+        prefix, brand = next(((p, b) for p, b in BRANDS if slug == p or slug.startswith(p + "-")), ("", None))
+        tokens, best = [t for t in slug[len(prefix) :].split("-") if t], (0, "")
+        for k, t in enumerate(tokens):
+            after = tokens[k + 1] if k + 1 < len(tokens) else ""
+            found = []
+            size = lambda x: re.match(naming.SIZE_TOKEN, x)
+            if (mixed(t) or re.match(naming.MODEL_LETTERS, t)) and len(t) <= 5 and not size(t) and mixed(after) and not size(after):
+                found.append((max(points(t), 0) + points(after) + 8, f"{t}-{after}".upper()))
+            if mixed(t):
+                found.append((points(t), t.upper()))
+            for score, model in found:
+                if score > best[0]:
+                    best = (score, model)
+        brand = brand or next((b for p, b in MODEL_BRANDS if re.match(p, best[1])), None)
+        return (category, brand, best[1]) if category and brand and best[1] else None
+
+    r = random.Random(8)
+    parts = ["samsung", "lg", "fisher-paykel", "rs", "srf750w", "ww85", "a1", "500l", "9kg", "fridge", "dryer", "hair-dryer", "washer", "white", "x9", "top", "600mm", "dish-ss", "gf", "l500", "2-door"]
+    slugs = ["-".join(r.choices(parts, k=r.randrange(1, 6))) for _ in range(400)]
+    got = naming.discovered(spark.createDataFrame([(f"https://e.org/p/{s}.html",) for s in set(slugs)], "url string"), BRANDS, MODEL_BRANDS, WEAK)
+    want = {f"https://e.org/p/{s}.html": plain(s) for s in slugs}
+    assert {x.url: (x.category, x.brand, x.model) for x in got.collect()} == {u: w for u, w in want.items() if w}
