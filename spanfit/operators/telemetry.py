@@ -71,8 +71,9 @@ def bad_vitals(percentiles: DataFrame) -> DataFrame:
     return percentiles.withColumn("limit", limit).where(F.col("p75") > F.col("limit"))
 
 
-def fix_plan(bad: DataFrame, most: int = 5) -> DataFrame:
-    """The worst: LCP before INP before CLS, then by p75."""
+def fix_plan(bad: DataFrame, status: DataFrame, most: int = 5) -> DataFrame:
+    """The worst: LCP before INP before CLS, then by p75; none where the status (one row of rum_status) says that events are too few."""
+    bad = bad.crossJoin(F.broadcast(status.where("status = 'ok'").select("status"))).drop("status")  # one row or none
     order = F.element_at(F.create_map(F.lit("LCP"), F.lit(0), F.lit("INP"), F.lit(1), F.lit("CLS"), F.lit(2)), F.col("metric"))
     return ranked(bad.withColumn("severity", order), [F.asc("severity"), F.desc("p75"), F.asc("path")], most=most)
 

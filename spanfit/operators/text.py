@@ -246,7 +246,15 @@ def keyword_gaps(rows: DataFrame, urls: DataFrame) -> DataFrame:
     return pages.unionByName(best)
 
 
-def coverage_similarity(queries: DataFrame, slugs: DataFrame, least: float = MOST_SIMILAR) -> DataFrame:
+def coverage_similarity(queries: DataFrame, slugs: DataFrame) -> DataFrame:
+    """Of each query (ord, query) the highest edit ratio to any slug, 0 without slugs. For a stated set of queries: each meets every slug, and the maximum is taken before the shuffle."""
+    asked = queries.select("ord", query_slug(F.col("query")).alias("q"))
+    ratio = F.lit(1.0) - F.levenshtein(F.col("q"), F.col("slug")) / F.greatest(F.length("q"), F.length("slug"))
+    best = slugs.select("slug").where("slug <> ''").distinct().crossJoin(asked.select("q").distinct()).groupBy("q").agg(F.max(ratio).alias("similarity"))
+    return asked.join(best, "q", "left").select("ord", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def covered_queries(queries: DataFrame, slugs: DataFrame, least: float = MOST_SIMILAR) -> DataFrame:
     """Of each query (ord, query) the highest edit ratio to a slug, if above `least`; queries without such a slug have no row.
 
     A ratio above `least` bounds the edits, so candidates meet on segments that stay unchanged: no query meets every slug.
@@ -265,7 +273,7 @@ def candidate_cascade(rows: DataFrame, slugs: DataFrame) -> DataFrame:
     query = F.trim(F.coalesce("query", F.lit("")))
     keyed = rows.select("ord", query.alias("query"), console_text(query).alias("key"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("impressions", "ctr", "position")))
     seen = keyed.where("query <> ''").groupBy("key").agg(F.min("ord").alias("first"))
-    similar = coverage_similarity(keyed, slugs)
+    similar = covered_queries(keyed, slugs)
     all_ = keyed.join(seen, "key", "left").join(similar, "ord", "left")
     reason = (
         F.when(F.col("query") == "", "empty_query").when(F.col("ord") != F.col("first"), "duplicate_query").when(F.col("key").rlike("|".join(BLACKLIST)), "blacklist")

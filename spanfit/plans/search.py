@@ -121,9 +121,8 @@ def url_predicates(spark, sf_dir):
 
 
 def replacement_sources(spark, sf_dir):
-    """A search: the texts asked for are those of products whose number is divisible by 100, against all products."""
     p = adapters.products(spark, sf_dir)
-    asked = p.where("ord % 100 = 0").select(F.col("ord").alias("ask"), F.concat("display_name", F.lit(" "), F.col("ord").cast("string")).alias("text"))
+    asked = p.select(F.col("ord").alias("ask"), F.concat("display_name", F.lit(" "), F.col("ord").cast("string")).alias("text"))
     return best_sources(asked, p)
 
 
@@ -171,7 +170,7 @@ ORACLE = {
                 WHEN pm = q THEN 100 WHEN contains(q, pm) THEN 95 WHEN contains(pm, q) THEN 90 WHEN contains(bm, t) THEN 84 WHEN contains(dn, t) THEN 78 ELSE 0 END AS s
             FROM (SELECT ord, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS q, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t,
                     coalesce(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 4 AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]'))[1], '') AS qc
-                  FROM (SELECT ord, display_name || ' ' || ord AS text FROM products WHERE ord % 100 = 0)) a
+                  FROM (SELECT ord, display_name || ' ' || ord AS text FROM products)) a
             CROSS JOIN (SELECT ord, id, display_name, regexp_replace(lower(model), '[^a-z0-9]+', '', 'g') AS pm, trim(regexp_replace(lower(brand || ' ' || model), '[^a-z0-9]+', ' ', 'g')) AS bm, trim(regexp_replace(lower(display_name), '[^a-z0-9]+', ' ', 'g')) AS dn,
                     coalesce(list_filter(string_split(trim(regexp_replace(lower(model), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 4 AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]'))[1], '') AS pc FROM products) p) WHERE s > 0) WHERE i = 1""",
     "replacement_suggestions": f"SELECT {_RANKED.format(o='n_strict DESC, priority DESC, display_name, ord')}, id, n_strict FROM catalog WHERE cat = 'fridge' AND verified ORDER BY rank LIMIT 160",

@@ -34,7 +34,7 @@ def rum_status(spark, sf_dir):
 
 def bad_vitals(spark, sf_dir):
     rows = adapters.rum(spark, sf_dir).withColumn("value", F.when(F.col("metric") == "LCP", F.col("value") * 40).when(F.col("metric") == "INP", F.col("value") * 3).otherwise(F.col("value") / 1000))
-    return t.fix_plan(t.bad_vitals(t.rum_percentiles(rows))).select("rank", "path", "metric", "p75")
+    return t.fix_plan(t.bad_vitals(t.rum_percentiles(rows)), t.rum_status(rows)).select("rank", "path", "metric", "p75")
 
 
 def error_clean(spark, sf_dir):
@@ -151,14 +151,19 @@ def keyword_gaps(spark, sf_dir):
 
 
 def coverage_similarity(spark, sf_dir):
-    return x.coverage_similarity(adapters.search_console(spark, sf_dir), adapters.sitemap(spark, sf_dir))
+    """A search: the queries whose number is divisible by 100, against all slugs."""
+    return x.coverage_similarity(adapters.search_console(spark, sf_dir).where("ord % 100 = 0"), adapters.sitemap(spark, sf_dir))
+
+
+def covered_queries(spark, sf_dir):
+    return x.covered_queries(adapters.search_console(spark, sf_dir), adapters.sitemap(spark, sf_dir))
 
 
 def candidate_cascade(spark, sf_dir):
     return x.candidate_cascade(adapters.search_console(spark, sf_dir), adapters.sitemap(spark, sf_dir))
 
 
-QUERIES = [rum_clean, rum_percentiles, rum_status, bad_vitals, error_clean, error_signatures, error_daily_firsts, rum_sample, window_limiter, bucket_limiter, plan_cap, text_lint, text_ngrams, text_pairs, page_words, page_gate, page_index, link_graph, broken_links, route_diff, sitemap_scan, link_classes, link_summary, buy_links, query_intents, console_summary, keyword_gaps, coverage_similarity, candidate_cascade]
+QUERIES = [rum_clean, rum_percentiles, rum_status, bad_vitals, error_clean, error_signatures, error_daily_firsts, rum_sample, window_limiter, bucket_limiter, plan_cap, text_lint, text_ngrams, text_pairs, page_words, page_gate, page_index, link_graph, broken_links, route_diff, sitemap_scan, link_classes, link_summary, buy_links, query_intents, console_summary, keyword_gaps, coverage_similarity, covered_queries, candidate_cascade]
 
 _SIG = "sha256(message || '|' || regexp_extract(source, '[^/]*$') || '|' || CAST(line AS VARCHAR))"
 _RUM = "(SELECT metric, path, CASE metric WHEN 'LCP' THEN value * 40 WHEN 'INP' THEN value * 3 ELSE value / 1000 END AS value FROM rum WHERE metric IN ('LCP', 'CLS', 'INP'))"
@@ -195,7 +200,7 @@ ORACLE = {
     "rum_clean": "SELECT event_id, metric, path, CASE WHEN metric = 'CLS' THEN floor(value * 10000 + 0.5e0) / 10000 ELSE floor(value + 0.5e0) END AS value FROM rum WHERE metric IS NOT NULL AND value BETWEEN 0 AND 60000",
     "rum_percentiles": "SELECT path, metric, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.75) AS p75, quantile_disc(value, 0.95) AS p95 FROM rum WHERE metric IN ('LCP', 'CLS', 'INP') GROUP BY path, metric",
     "rum_status": "SELECT count(*) AS n, count(DISTINCT path) AS paths, CASE WHEN count(*) < 100 THEN 'insufficient_samples' ELSE 'ok' END AS status FROM rum WHERE metric IN ('LCP', 'CLS', 'INP')",
-    "bad_vitals": f"SELECT CAST(row_number() OVER (ORDER BY s, p75 DESC, path) AS INTEGER) AS rank, path, metric, p75 FROM (SELECT path, metric, quantile_disc(value, 0.75) AS p75, CASE metric WHEN 'LCP' THEN 0 WHEN 'INP' THEN 1 ELSE 2 END AS s FROM {_RUM} GROUP BY path, metric) WHERE p75 > CASE metric WHEN 'LCP' THEN 2500 WHEN 'INP' THEN 200 ELSE 0.1e0 END ORDER BY rank LIMIT 5",
+    "bad_vitals": f"SELECT CAST(row_number() OVER (ORDER BY s, p75 DESC, path) AS INTEGER) AS rank, path, metric, p75 FROM (SELECT path, metric, quantile_disc(value, 0.75) AS p75, CASE metric WHEN 'LCP' THEN 0 WHEN 'INP' THEN 1 ELSE 2 END AS s FROM {_RUM} GROUP BY path, metric) WHERE (SELECT count(*) FROM {_RUM}) >= 100 AND p75 > CASE metric WHEN 'LCP' THEN 2500 WHEN 'INP' THEN 200 ELSE 0.1e0 END ORDER BY rank LIMIT 5",
     "error_clean": f"""SELECT event_id, {_REDACTED.format(x="message || ' from a.b@c.org or +61.2 (9999) 0000'")} AS message, CASE WHEN line % 3 = 0 THEN 'https://cdn.example.net' ELSE 'https://www.example.org' END || source AS source, line, line % 7 - 1 AS col,
         'https://www.example.org/at%20f%20(/s/x.js' || chr(10) || 'https://cdn.example.net/app.js' || chr(10) || 'https://www.example.org/3' || chr(10) || 'https://www.example.org/4' || chr(10) || 'https://www.example.org/5%20[redacted-phone]' AS stack FROM errors WHERE line >= 0 AND line % 7 >= 1""",
     "error_signatures": f"SELECT {_SIG} AS signature, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, arg_min(source, event_id) AS sample FROM errors GROUP BY 1",
@@ -222,7 +227,8 @@ ORACLE = {
     "keyword_gaps": f"""SELECT 'page-2' AS kind, ord, impressions FROM gsc WHERE position BETWEEN 11 AND 20 UNION ALL SELECT 'gap', ord, impressions FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY impressions DESC, ord) AS nth FROM (
         SELECT g.*, list_filter(string_split({_KEY}, ' '), lambda t: length(t) >= 3 AND t NOT IN ('a', 'and', 'appliance', 'au', 'australia', 'for', 'fit', 'in', 'mm', 'of', 'the', 'to', 'with')) AS tokens, hay FROM gsc g, (SELECT string_agg(trim(regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g')), ' ') AS hay FROM sitemap))
         WHERE impressions > 0 AND len(tokens) > 0 AND len(list_filter(tokens, lambda t: contains(hay, t))) = 0) WHERE nth = 1""",
-    "coverage_similarity": f"SELECT ord, similarity FROM {_SIM}",
+    "coverage_similarity": f"SELECT ord, max({_RATIO}) AS similarity FROM (SELECT ord, {_SLUG} AS q FROM gsc WHERE ord % 100 = 0), sitemap GROUP BY ord",
+    "covered_queries": f"SELECT ord, similarity FROM {_SIM}",
     "candidate_cascade": f"""SELECT ord, reason, CASE WHEN reason IS NULL THEN {_SLUG} END AS slug, CASE WHEN reason IS NULL THEN {_INTENT} END AS kind FROM (SELECT g.*, CASE WHEN trim(query) = '' THEN 'empty_query' WHEN row_number() OVER (PARTITION BY {_CONSOLE}, trim(query) = '' ORDER BY ord) > 1 THEN 'duplicate_query'
         WHEN regexp_matches({_CONSOLE}, 'buy|cheap|deal|coupon|discount|free shipping') THEN 'blacklist' WHEN len(list_filter(string_split({_CONSOLE}, ' '), lambda t: t <> '')) < 3 THEN 'query_too_short' WHEN impressions < 50 THEN 'low_impressions' WHEN position < 11 OR position > 30 THEN 'position_out_of_range'
         WHEN ctr >= 0.05e0 THEN 'ctr_not_low_enough' WHEN similarity IS NOT NULL THEN 'already_covered' END AS reason FROM (SELECT g.*, x.similarity FROM gsc g LEFT JOIN {_SIM} x ON x.ord = g.ord) g)""",

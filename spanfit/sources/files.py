@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,6 +81,15 @@ def write_report(rows: DataFrame, path: str, day: str) -> None:
     rows.sparkSession.read.schema(rows.schema).json(f"{path}/{day}").write.mode("overwrite").json(f"{path}/latest")
 
 
+def write_checked(rows: DataFrame, path: str, staging: str, good: Callable[[DataFrame], bool]) -> None:
+    """Writes to a staging folder first; the table at path changes only if what was written is good, else it stays as it was and an error is raised."""
+    rows.write.mode("overwrite").parquet(staging)
+    written = rows.sparkSession.read.schema(rows.schema).parquet(staging)
+    if not good(written):
+        raise ValueError(f"rows in {staging} fail the check; {path} stays as it was")
+    written.write.mode("overwrite").parquet(path)
+
+
 def upsert_vault(vault: DataFrame, items: DataFrame) -> DataFrame:
     """Evidence by (product_id, kind, source_url): the new item replaces an equal one, others stay."""
     key = ["product_id", "kind", "source_url"]

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanfit.operators import audits, listing, session
@@ -10,7 +11,8 @@ from spanfit.operators.replacement import best_sources
 from spanfit.operators.resolve import fuzzy_match
 from spanfit.operators.similar import contained, within_edits
 from spanfit.operators.telemetry import sanitised_errors
-from spanfit.operators.text import candidate_cascade, coverage_similarity, link_classes, link_summary, shingle_pairs, uncovered
+from spanfit.operators.text import candidate_cascade, coverage_similarity, covered_queries, link_classes, link_summary, shingle_pairs, uncovered
+from spanfit.sources.files import write_checked
 
 
 def distance(a, b):
@@ -47,9 +49,11 @@ def test_edits_and_coverage_miss_no_pair(spark):
             q[k : k + 1] = r.choice([[], ["a"], [q[k], "b"]])
             q = q or ["a"]
         asked.append("".join(q)[:72])
-    got = coverage_similarity(spark.createDataFrame(list(enumerate(asked)), "ord long, query string"), spark.createDataFrame([(s,) for s in slugs], "slug string"))
+    queries, site = spark.createDataFrame(list(enumerate(asked)), "ord long, query string"), spark.createDataFrame([(s,) for s in slugs], "slug string")
+    got = covered_queries(queries, site)
     best = {k: max(1 - distance(q, s) / max(len(q), len(s)) for s in slugs) for k, q in enumerate(asked)}
     assert {x.ord: round(x.similarity, 9) for x in got.collect()} == {k: round(v, 9) for k, v in best.items() if v > 0.9}
+    assert {x.ord: round(x.similarity, 9) for x in coverage_similarity(queries, site).collect()} == {k: round(v, 9) for k, v in best.items()}
 
 
 def test_fuzzy_match_is_all_pairs(spark):
@@ -192,3 +196,11 @@ def test_slug_discovery_is_the_plain_rule(spark):
     got = naming.discovered(spark.createDataFrame([(f"https://e.org/p/{s}.html",) for s in set(slugs)], "url string"), BRANDS, MODEL_BRANDS, WEAK)
     want = {f"https://e.org/p/{s}.html": plain(s) for s in slugs}
     assert {x.url: (x.category, x.brand, x.model) for x in got.collect()} == {u: w for u, w in want.items() if w}
+
+
+def test_a_bad_write_leaves_the_table(spark, tmp_path):
+    path, staging = f"file://{tmp_path}/t", f"file://{tmp_path}/s"
+    write_checked(spark.range(3), path, staging, lambda d: d.count() == 3)
+    with pytest.raises(ValueError, match="stays"):
+        write_checked(spark.range(9), path, staging, lambda d: d.count() < 5)
+    assert spark.read.parquet(path).count() == 3
