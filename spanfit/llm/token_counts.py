@@ -127,7 +127,8 @@ def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     firsts = docs.select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text")).mapInArrow(_firsts, "digest binary, text string")
     known = stored_counts(spark, cache_path, tokenizer)
-    misses = firsts.repartition("digest") if known is None else firsts.join(known, "digest", "left_anti")
+    dealt = firsts.repartition("digest")  # equal texts of several tasks meet, also where the cache is small enough to be sent to all
+    misses = dealt if known is None else dealt.join(known, "digest", "left_anti")
     new = misses.mapInArrow(_count(tokenizer_path), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
