@@ -22,10 +22,20 @@ ORDER = "sort_score, priority DESC, display_name, ord"
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products with their offers, and flags of their links."""
-    rows = adapters.with_retailers(adapters.products(spark, sf_dir), adapters.offers(spark, sf_dir))
+    return _flagged(adapters.with_retailers(adapters.products(spark, sf_dir), adapters.offers(spark, sf_dir)))
+
+
+def _flagged(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"current": fc.is_current(), "verified": F.exists("retailers", lambda r: is_product_url_strict(r["url"]))})
 
 
+def fitting(spark: SparkSession, sf_dir: str, q: FitQuery) -> DataFrame:
+    """The products that fit, with their offers: the cavity thins products and offers out before any offer is nested."""
+    rows = fit.fits(adapters.products(spark, sf_dir), q)
+    own = adapters.offers(spark, sf_dir).join(rows.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+    return _flagged(adapters.with_retailers(rows, own))
+
+
 def fit_search(spark, sf_dir):
     return fc.ranked(fit.fits(adapters.products(spark, sf_dir), FRIDGE), fit.best_first(), most=60).select("rank", *BASE)
 
@@ -83,18 +93,18 @@ def delivery_paths(spark, sf_dir):
 
 
 def facet_search(spark, sf_dir):
-    pool = fit.fits(catalog(spark, sf_dir), FitQuery(**CAVITY)).where("current")
+    pool = fitting(spark, sf_dir, FitQuery(**CAVITY)).where("current")
     chosen = fc.apply_facets(pool, fc.Facets(brands=(" brand#2 ", "Brand#17", "BRAND#4"), price_max=950, stars=2))
     return fc.ranked(chosen, fc.order_for("price-asc"), most=100).select("rank", "id", "price", "stars")
 
 
 def facet_counts(spark, sf_dir):
-    return fc.facet_counts(fit.fits(catalog(spark, sf_dir), FitQuery(**CAVITY)).where("current"))
+    return fc.facet_counts(fitting(spark, sf_dir, FitQuery(**CAVITY)).where("current"))
 
 
 def _sorted(name, order):
     def query(spark, sf_dir):
-        return fc.ranked(fit.fits(catalog(spark, sf_dir), FRIDGE), order(), most=40).select("rank", "id")
+        return fc.ranked(fitting(spark, sf_dir, FRIDGE), order(), most=40).select("rank", "id")
 
     query.__name__ = name
     return query
@@ -110,7 +120,7 @@ SORT_SQL = {
 
 
 def range_sliders(spark, sf_dir):
-    rows = fit.fits(catalog(spark, sf_dir), FitQuery(**CAVITY))
+    rows = fitting(spark, sf_dir, FitQuery(**CAVITY))
     return fc.range_filter(rows, {"w": (500, 680), "h": (900, None), "price": (None, 1000), "stars": (2, 5)}, score_min=40, verified_only=True).select("id", "fit_score_numeric")
 
 
