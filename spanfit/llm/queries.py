@@ -19,6 +19,7 @@ from spanfit.llm.simhash import near_report
 from spanfit.llm.sp_backend import round_trip
 from spanfit.llm.suffix_tree import suffix_tree_scores
 from spanfit.llm.token_counts import fill_cache, token_counts
+from spanfit.llm.vector_codes import ROUNDS, vector_code_report
 
 CHAT_TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -73,8 +74,35 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_code_report(table(spark, sf_dir, "embeddings"))
+
+
+def vector_code_sql(rounds: int = ROUNDS) -> str:
+    """All rounds one after another; sums of products are exact in doubles below 2^53."""
+    steps = [
+        """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
+                  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        "p AS MATERIALIZED (SELECT vec_id, label, k, q[k * len(q) // 4 + 1 : (k + 1) * len(q) // 4] AS c FROM v, range(4) AS parts(k))",
+        "b0 AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS e, c FROM p QUALIFY e < 256)",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, p.k, p.c, min({{'d': list_inner_product(p.c, p.c) - 2 * list_inner_product(p.c, b.c) + list_inner_product(b.c, b.c), 'e': e}}) AS m
+                         FROM p JOIN b{r} b USING (k) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT b.k, b.e, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN (
+                                 SELECT k, e, list(x ORDER BY i) AS c FROM (SELECT k, m.e AS e, i, floor(sum(c[i]) / count(*)) AS x FROM a{r}, unnest(range(1, len(c) + 1)) AS axes(i) GROUP BY ALL) GROUP BY ALL
+                             ) n ON b.k = n.k AND b.e = n.e)""")
+    return f"""
+            WITH {", ".join(steps)},
+            coded AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY k) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+            SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+                   (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY k, e, i)) FROM b{rounds}, unnest(range(1, len(c) + 1)) AS axes(i)) AS codebooks_sha256
+            FROM coded JOIN v USING (vec_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_suffix_tree, op4_simhash, op5_mixing, op6_line_dedup, op7_chat, op8_sentencepiece, op9_token_counts, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_suffix_tree, op4_simhash, op5_mixing, op6_line_dedup, op7_chat, op8_sentencepiece, op9_token_counts, op10_embedding_dedup, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -116,4 +144,5 @@ def oracle_sql() -> dict[str, str]:
             reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
             SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = vec_id) AS n_links, (SELECT min(b) FROM reach r WHERE r.a = vec_id) AS component_id,
                    vec_id = (SELECT min(b) FROM reach r WHERE r.a = vec_id) AS kept FROM v""",
+        "op13_vector_codes": vector_code_sql(),
     }
