@@ -41,7 +41,7 @@ from spanfit.llm.common import small_batches, stored
 
 MARK = "▁"
 #: Units a task remembers, units joined to one text for the libraries, links of a chunk, products formed at once.
-UNITS, UNITS_A_TEXT, CHUNK_LINKS, AT_ONCE = 150_000, 50, 3_000_000, 1 << 20
+UNITS, UNITS_A_TEXT, CHUNK_LINKS, AT_ONCE = 300_000, 50, 3_000_000, 1 << 20
 #: White space before a space that no word follows, runs of spaces, spaces at the end, the marker.
 _WHOLE = re.compile(r"\s (?:\s|$)|  | $|" + MARK)
 _SPACE = re.compile(r"\s")
@@ -76,6 +76,10 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _digest(spelled: str) -> str:
+    return hashlib.sha256(spelled[:-1].encode()).hexdigest() if spelled else ""
+
+
 class Aligner:
     """Two tokenizers, and the units aligned so far as columns: counts, pairs, and the groups' spelling."""
 
@@ -100,7 +104,8 @@ class Aligner:
             made = json.load(f)
         cut = made.get("pre_tokenizer") or {}
         self.apart = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not made.get("normalizer") and not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.decimal = [str(k) for k in range(max(len(self.a_bytes), n))]
+        self.names = max(len(self.a_bytes), n)
+        self.spellings = [f"{k}{mark}" for mark in ",|;" for k in range(self.names)]
         self.clear()
 
     def clear(self) -> None:
@@ -108,47 +113,50 @@ class Aligner:
         self.spelled: list[str] = []
         self.counts, self.firsts, self.pairs = np.zeros((0, 4), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A for a space and each text, of B for each text."""
-        return [e.ids for e in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1) if texts else []
-
-    def encode_units(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The same, words handed to the libraries many to a text and taken apart where a token begins with a space."""
-        plain = [k for k, u in enumerate(units) if not _SPACE.search(u)]
-        a_ids, b_ids = [[]] * len(units), [[]] * len(units)
-        groups = [plain[k : k + UNITS_A_TEXT] for k in range(0, len(plain), UNITS_A_TEXT)]
-        for g, *both in zip(groups, *self.encode([" ".join(units[k] for k in g) for g in groups]), strict=True):
-            for ids, begins, out in zip(both, (self.a_begins, self.b_begins), (a_ids, b_ids), strict=True):
-                cuts = np.flatnonzero(begins[np.array(ids)]).tolist()
-                for k, i, j in zip(g, cuts, [*cuts[1:], len(ids)], strict=True):
-                    out[k] = ids[i:j]
-        rest = sorted(set(range(len(units))) - set(plain))
-        for k, a, b in zip(rest, *self.encode([units[k] for k in rest]), strict=True):
-            a_ids[k], b_ids[k] = a, b
-        return a_ids, b_ids
-
-    def align(self, texts: list[str], units: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """Per text (or unit): n_a, n_b, n_groups, n_links; ends of its links in the list of pairs; that list; the spelling of its groups."""
-        a_ids, b_ids = self.encode_units(texts) if units else self.encode(texts)
-        for k, x in enumerate(texts):
-            want = b" " + x.encode()
-            if not x or b"".join(map(self.a_bytes.__getitem__, a_ids[k])) != want or b"".join(map(self.b_bytes.__getitem__, b_ids[k])) != want:
-                a_ids[k] = b_ids[k] = []
-        a_of, b_of = (np.repeat(np.arange(len(texts)), [len(x) for x in ids]) for ids in (a_ids, b_ids))
-        a_flat, b_flat = (np.fromiter(chain.from_iterable(each), np.int64) for each in (a_ids, b_ids))
-        a, b, closes = overlaps(np.cumsum(self.a_length[a_flat]), np.cumsum(self.b_length[b_flat]))
-        of, n = a_of[a], len(texts)
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of A for a space and each text, of B for each text: all ids one after another, and how many each text has."""
+        found = []
+        for ids in ([e.ids for e in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1) if texts else []):
+            found.append((np.fromiter(chain.from_iterable(ids), np.int64), np.array([len(x) for x in ids], np.int64)))
+        return found
+
+    def encode_words(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for words without white space, handed to the libraries many to a text and taken apart where a token begins with a space."""
+        both = self.encode([" ".join(words[k : k + UNITS_A_TEXT]) for k in range(0, len(words), UNITS_A_TEXT)])
+        found = []
+        for (ids, _), begins in zip(both, (self.a_begins, self.b_begins), strict=True):
+            cuts = np.flatnonzero(begins[ids])
+            if len(cuts) != len(words):
+                raise ValueError("a token goes across a space that begins a word")
+            found.append((ids, np.diff(cuts, append=len(ids))))
+        return found
+
+    def _intact(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray, spelled: list[bytes]) -> np.ndarray:
+        """Whether the joined token bytes of each text are a space and the text (of the empty text: no)."""
+        want = [b" " + x.encode() for x in texts]
+        each = list(map(spelled.__getitem__, ids.tolist()))
+        ends = np.cumsum(sizes)
+        got = np.cumsum([0, *map(len, each)])[np.concatenate([[0], ends])]
+        if b"".join(each) == b"".join(want) and np.array_equal(np.diff(got), [len(x) for x in want]):
+            return np.array([x != b" " for x in want], bool)
+        return np.array([x != b" " and b"".join(each[e - n : e]) == x for x, e, n in zip(want, ends.tolist(), sizes.tolist(), strict=True)], bool)
+
+    def align(self, texts: list[str], words: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Per text, the first `words` of them words: n_a, n_b, n_groups, n_links; ends of its links in the list of pairs; that list; the spelling of its groups, each with a `;` after it."""
+        (a_ids, a_sizes), (b_ids, b_sizes) = (tuple(map(np.concatenate, zip(x, y, strict=True))) for x, y in zip(self.encode_words(texts[:words]), self.encode(texts[words:]), strict=True))
+        n = len(texts)
+        ok = self._intact(texts, a_ids, a_sizes, self.a_bytes) & self._intact(texts, b_ids, b_sizes, self.b_bytes)
+        a_of, b_of = np.repeat(np.arange(n), a_sizes), np.repeat(np.arange(n), b_sizes)
+        a_ids, a_of, b_ids, b_of = a_ids[ok[a_of]], a_of[ok[a_of]], b_ids[ok[b_of]], b_of[ok[b_of]]
+        a, b, closes = overlaps(np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids]))
+        of = a_of[a]
         counts = np.stack([np.bincount(x, minlength=n) for x in (a_of, b_of, of[closes], of)], axis=1)
-        group_a, group_b = (np.diff(x[closes] + 1, prepend=0).tolist() for x in (a, b))
-        name, at_a, at_b, spelled = self.decimal, iter(a_flat.tolist()), iter(b_flat.tolist()), []
-        sizes = iter(zip(group_a, group_b, strict=True))
-        for groups in counts[:, 2].tolist():
-            said = []
-            for _ in range(groups):
-                i, j = next(sizes)
-                said.append(f"{name[next(at_a)] if i == 1 else ','.join([name[next(at_a)] for _ in range(i)])}|{name[next(at_b)] if j == 1 else ','.join([name[next(at_b)] for _ in range(j)])}")
-            spelled.append(";".join(said))
-        return counts, np.cumsum(counts[:, 3]), a_flat[a] << 32 | b_flat[b], spelled
+        # Spellings in order: of each group the tokens of A, then those of B; the last of each have other marks.
+        a_last, b_last = (np.isin(np.arange(len(ids)), x[closes]) for ids, x in ((a_ids, a), (b_ids, b)))
+        group = np.concatenate([(np.cumsum(last) - last) * 2 + side for side, last in enumerate((a_last, b_last))])
+        spell = np.concatenate([a_ids + self.names * a_last, b_ids + 2 * self.names * b_last])[np.argsort(group, kind="stable")]
+        said, ends = list(map(self.spellings.__getitem__, spell.tolist())), np.cumsum(counts[:, 0] + counts[:, 1]).tolist()
+        return counts, np.cumsum(counts[:, 3]), a_ids[a] << 32 | b_ids[b], ["".join(said[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
     def look_up(self, units: list[str]) -> np.ndarray:
         """The places of units in the table, which is extended by new ones."""
@@ -157,7 +165,10 @@ class Aligner:
             self.clear()
             new = list(set(units))
         if new:
-            counts, ends, pairs, spelled = self.align(new, True)
+            odd = [u for u in new if _SPACE.search(u)]
+            if odd:
+                new = [*set(new).difference(odd), *odd]
+            counts, ends, pairs, spelled = self.align(new, len(new) - len(odd))
             self.place.update(zip(new, range(len(self.spelled), len(self.spelled) + len(new)), strict=True))
             self.spelled += spelled
             self.counts = np.concatenate([self.counts, counts])
@@ -178,7 +189,7 @@ class Aligner:
         for k in set(np.flatnonzero(sizes).tolist()) - set(bad.tolist()):
             at = place[stops[k] - sizes[k] : stops[k]]
             counts[k] = self.counts[at].sum(axis=0)
-            digests[k] = hashlib.sha256(";".join(map(self.spelled.__getitem__, at.tolist())).encode()).hexdigest()
+            digests[k] = _digest("".join(map(self.spelled.__getitem__, at.tolist())))
         ok = ~np.isin(of, bad)
         unit, uses = np.unique(of[ok] * len(self.spelled) + place[ok], return_counts=True)
         text, unit = unit // max(len(self.spelled), 1), unit % max(len(self.spelled), 1)
@@ -186,10 +197,10 @@ class Aligner:
         within = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
         found = [(np.repeat(text, links), self.pairs[np.repeat(self.firsts[unit], links) + within], np.repeat(uses, links))]
         if whole:
-            some, _, pairs, spelled = self.align([texts[k] for k in whole], False)
+            some, _, pairs, spelled = self.align([texts[k] for k in whole])
             counts[whole] = some
             for k, s in zip(whole, spelled, strict=True):
-                digests[k] = hashlib.sha256(s.encode()).hexdigest() if s else ""
+                digests[k] = _digest(s)
             found.append((np.repeat(whole, some[:, 3]), pairs, np.ones(len(pairs), np.int64)))
         text, pair, uses = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((pair, text))
