@@ -17,6 +17,7 @@ from spanfit.llm.mixing import mix_report
 from spanfit.llm.quality import quality_report
 from spanfit.llm.simhash import near_report
 from spanfit.llm.sp_backend import round_trip
+from spanfit.llm.suffix_dedup import suffix_report
 from spanfit.llm.suffix_tree import suffix_tree_scores
 from spanfit.llm.token_alignment import alignment_report
 from spanfit.llm.token_counts import fill_cache, token_counts
@@ -79,6 +80,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path(CHAT_TOKENIZER), public_tokenizers.path(PIECES))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_report(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_code_report(table(spark, sf_dir, "embeddings"))
 
@@ -107,7 +112,7 @@ def vector_code_sql(rounds: int = ROUNDS) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_suffix_tree, op4_simhash, op5_mixing, op6_line_dedup, op7_chat, op8_sentencepiece, op9_token_counts, op10_embedding_dedup, op11_token_alignment, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_suffix_tree, op4_simhash, op5_mixing, op6_line_dedup, op7_chat, op8_sentencepiece, op9_token_counts, op10_embedding_dedup, op11_token_alignment, op12_suffix_dedup, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
