@@ -15,6 +15,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
 
 
+def by_name(x: Column, base: bool = False) -> Column:
+    """x as a sort key in a dictionary's order: letters with their accents and cases beside each other. base: these do not count at all, names that differ in them alone are equal."""
+    return F.collate(x, "UNICODE_CI_AI" if base else "UNICODE")
+
+
 def to_mm(x: Column) -> Column:
     """Millimetres of a plain decimal text; anything else, and what rounds to 0, is null."""
     t = F.trim(x.cast("string"))

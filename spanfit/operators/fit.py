@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanfit.functions.columns import clamp, js_round
+from spanfit.functions.columns import by_name, clamp, js_round
 
 AXES = ("w", "h", "d")
 NAMES = {"w": "width", "h": "height", "d": "depth"}
@@ -121,8 +121,8 @@ def fits(products: DataFrame, q: FitQuery, rules: DataFrame | None = None) -> Da
 
 
 def best_first() -> list[Column]:
-    """Tightest mean slack, then priority, then name; the ordinal settles the rest."""
-    return [F.asc("sort_score"), F.coalesce("priority", F.lit(0)).desc(), F.coalesce("display_name", "brand", F.lit("")).asc(), F.asc("ord")]
+    """Tightest mean slack, then priority, then name in the order of a dictionary; the ordinal settles the rest."""
+    return [F.asc("sort_score"), F.coalesce("priority", F.lit(0)).desc(), by_name(F.coalesce("display_name", "brand", F.lit(""))).asc(), F.asc("ord")]
 
 
 def find_matches(products: DataFrame, q: FitQuery, rules: DataFrame | None = None, limit: int | None = 60) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanfit.functions.columns import squash
+from spanfit.functions.columns import by_name, squash
 from spanfit.operators.facets import ranked
 
 #: How far a width may be from the hint, products of a page, links of a page, statuses of active records.
@@ -36,7 +36,7 @@ def page_order(kind: str) -> list[Column]:
 def verified_products(products: DataFrame, index: DataFrame) -> DataFrame:
     """Products with verified evidence and whole sizes, by category and name."""
     rows = products.join(index.where("verified").select(F.col("product_id").alias("id")).distinct(), "id", "left_semi")
-    return rows.where("w > 0 and h > 0 and d > 0").orderBy("cat", "display_name", "ord")
+    return rows.where("w > 0 and h > 0 and d > 0").orderBy("cat", by_name(F.col("display_name")), "ord")
 
 
 def by_priority(products: DataFrame, most: int) -> DataFrame:
@@ -61,7 +61,7 @@ def picked_products(queries: DataFrame, products: DataFrame) -> DataFrame:
     Of a category and width the best six are enough; near ones come from bands of the allowed distance, cut to six per band
     and width before any query meets them.
     """
-    keys = [F.coalesce("stars", F.lit(-1)).desc(), F.asc("model"), F.asc("p_ord")]
+    keys = [F.coalesce("stars", F.lit(-1)).desc(), by_name(F.col("model")).asc(), F.asc("p_ord")]
     asked = queries.select("ord", dataset_of(F.col("query")).alias("cat"), width_hint(F.col("query")).alias("hint"))
     rows = products.where("w is not null and h is not null and d is not null").select(F.col("ord").alias("p_ord"), "id", "cat", "w", "stars", "model")
     rows = ranked(rows, keys, ["cat", "w"], PAGE_PRODUCTS, "_k").drop("_k")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanfit.functions.columns import is_product_url_strict, model_code, plain_words, squash
+from spanfit.functions.columns import by_name, is_product_url_strict, model_code, plain_words, squash
 from spanfit.operators.facets import ranked
 from spanfit.operators.similar import contained, prefixes
 
@@ -64,13 +64,14 @@ def best_sources(asked: DataFrame, products: DataFrame, cat: str | None = None,
     for m in met[1:]:
         pairs = pairs.unionByName(m.select("ask", "id"))
     scored = pairs.distinct().join(texts, "ask").join(rows, "id").withColumn("score", match_score()).where("score > 0")
-    best = scored.groupBy("ask").agg(F.min(F.struct((-F.col("score")).alias("worse"), "label", "ord", "id")).alias("best"))
+    best = scored.groupBy("ask").agg(F.min(F.struct((-F.col("score")).alias("worse"), by_name(F.col("label"), base=True).alias("label"), "ord", "id")).alias("best"))
     score = -F.col("best.worse")
     return best.select("ask", F.col("best.id").alias("id"), score.cast("int").alias("score"), confidence(score).alias("confidence"))
 
 
 def suggestions(catalog: DataFrame, cat: str, most: int = 160) -> DataFrame:
-    """Products of a category with verified links and whole dimensions, most links first."""
+    """Products of a category with a name, verified links and whole dimensions: most links first, then priority, then by label."""
     n = F.size(F.filter("retailers", lambda r: is_product_url_strict(r["url"]))).cast("long")
-    rows = catalog.where((F.col("cat") == cat) & (F.col("w") > 0) & (F.col("h") > 0) & (F.col("d") > 0)).withColumn("n_strict", n).where("n_strict > 0")
-    return ranked(rows, [F.desc("n_strict"), F.coalesce("priority", F.lit(0)).desc(), F.asc("display_name"), F.asc("ord")], most=most)
+    named = (F.coalesce("model", F.lit("")) != "") | (F.coalesce("display_name", F.lit("")) != "")
+    rows = catalog.where((F.col("cat") == cat) & (F.col("w") > 0) & (F.col("h") > 0) & (F.col("d") > 0) & named).withColumns({"n_strict": n, "label": product_label()}).where("n_strict > 0")
+    return ranked(rows, [F.desc("n_strict"), F.coalesce("priority", F.lit(0)).desc(), by_name(F.col("label"), base=True).asc(), F.asc("ord")], most=most)

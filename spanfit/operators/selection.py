@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanfit.functions.columns import by_name
 from spanfit.operators.facets import ranked
 from spanfit.operators.fit import width_verdict
 
@@ -98,7 +99,7 @@ def related_pairs(pairs: DataFrame, most: int = 8) -> DataFrame:
 
 def check_combinations(products: DataFrame, top: int = 200) -> DataFrame:
     """The first products by priority with each cavity width: ord, id, width, gap, verdict."""
-    few = ranked(products.where("w > 0"), [F.coalesce("priority", F.lit(0)).desc(), F.asc("display_name"), F.asc("ord")], most=top, name="place")
+    few = ranked(products.where("w > 0"), [F.coalesce("priority", F.lit(0)).desc(), by_name(F.col("display_name")).asc(), F.asc("ord")], most=top, name="place")
     rows = few.withColumn("width", F.explode(F.array(*map(F.lit, CHECK_WIDTHS))))
     return rows.withColumns(width_verdict(F.col("width")))
 
@@ -117,7 +118,7 @@ def alternatives(asked: DataFrame, products: DataFrame, width: int, most: int =
     Per category the `most + 1` best are enough whatever product asks, so those alone are joined.
     """
     rows = products.where(~F.col("unavailable")).withColumns(width_verdict(F.lit(width))).where("gap >= 5")
-    keys = [F.abs(F.col("gap") - 20).asc(), F.coalesce("priority", F.lit(0)).desc(), F.asc("display_name"), F.asc("ord")]
+    keys = [F.abs(F.col("gap") - 20).asc(), F.coalesce("priority", F.lit(0)).desc(), by_name(F.col("display_name")).asc(), F.asc("ord")]
     best = ranked(rows, keys, ["cat"], most + 1).select("cat", F.col("id").alias("alternative"), "gap", F.col("rank").alias("place"))
     both = asked.select("id", "cat").join(F.broadcast(best), "cat").where("id <> alternative")  # a few rows for each category
     return ranked(both, [F.asc("place")], ["id"], most).select("id", "rank", "alternative", "gap")

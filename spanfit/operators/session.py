@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from urllib.parse import parse_qsl, urlencode
 
@@ -14,6 +15,8 @@ from spanfit.operators.fit import FitQuery, find_matches
 #: Sort orders and clearance modes of a URL, and the limits that say when space is tight.
 SORTS = ("best-fit", "price-asc", "price-desc", "popularity", "stars")
 MODES = ("physical", "practical", "manufacturer")
+SEARCH_MODES, REPLACED = ("cavity", "replacement"), ("fridge", "washing_machine", "dryer", "dishwasher", "washtower_combo")
+TOWER_NAMES = ("washtower", "wash_tower", "laundry_tower", "combo", "washtower_combo")
 NARROW_FRIDGE, SHALLOW_FRIDGE, LOW_FRIDGE, SLIM_DISHWASHER, SHALLOW_LAUNDRY, NARROW_DOOR = 600, 650, 1700, 600, 600, 760
 
 
@@ -25,6 +28,21 @@ def _mm(x: object) -> int | None:
     return int(float(t) + 0.5) or None
 
 
+def _tolerance(x: object) -> float:
+    """A number held within 0 and 20; 5 for 0 and for what is no number."""
+    try:
+        found = float(x)
+    except (TypeError, ValueError):
+        return 5.0
+    return min(20.0, max(0.0, found)) if found and found == found else 5.0
+
+
+def replaced_category(x: object) -> str | None:
+    """The category that is to be replaced: spaces, slashes and hyphens are one, towers have several names; None for what is no category."""
+    name = re.sub(r"-+", "_", re.sub(r"[\s/]+", "_", str(x if x is not None else "").strip().lower()))
+    return "washtower_combo" if name in TOWER_NAMES else name if name in REPLACED else None
+
+
 def _number(x: object) -> float | None:
     try:
         found = float(x)
@@ -51,6 +69,8 @@ class SearchState:
     mode: str = "practical"
     retailer_only: bool = True
     sort: str = "best-fit"
+    search_mode: str = "cavity"
+    source_cat: str | None = None
 
 
 def write_url(s: SearchState) -> str:
@@ -58,7 +78,7 @@ def write_url(s: SearchState) -> str:
     text = lambda x: str(int(x)) if float(x).is_integer() else repr(float(x))
     pairs = [("cat", s.cat), *((a, getattr(s, a)) for a in "whd"), ("tol", text(s.tolerance)), ("preset", s.preset), *(("brand", b) for b in s.brands)]
     pairs += [(k, None if v is None else text(v)) for k, v in (("pmin", s.price_min), ("pmax", s.price_max), ("stars", s.stars))]
-    pairs += [("avail", "1" if s.available_only else None), ("mode", None if s.mode == "practical" else s.mode), ("showAll", None if s.retailer_only else "1"), ("sort", s.sort)]
+    pairs += [("avail", "1" if s.available_only else None), ("mode", None if s.mode == "practical" else s.mode), ("searchMode", None if s.search_mode == "cavity" else s.search_mode), ("replaceCat", replaced_category(s.source_cat)), ("showAll", None if s.retailer_only else "1"), ("sort", s.sort)]
     return urlencode([(k, v) for k, v in pairs if v not in (None, "")])
 
 
@@ -69,11 +89,11 @@ def read_url(query: str) -> SearchState:
     brands = [v.strip() for k, v in pairs if k == "brand"]
     if len(brands) == 1:
         brands = brands[0].split(",")
-    tolerance = _number(first.get("tol", 5)) or 5.0
     return SearchState(
-        cat=first.get("cat") or None, **{a: _mm(first.get(a)) for a in "whd"}, tolerance=min(20.0, tolerance), preset=first.get("preset") or None, brands=tuple(x for b in brands if (x := b.strip()[:50])),
+        cat=first.get("cat") or None, **{a: _mm(first.get(a)) for a in "whd"}, tolerance=_tolerance(first.get("tol", 5)), preset=first.get("preset") or None, brands=tuple(x for b in brands if (x := b.strip()[:50])),
         price_min=_number(first.get("pmin") or None), price_max=_number(first.get("pmax") or None), stars=_number(first.get("stars") or None), available_only=first.get("avail") == "1",
         mode=first.get("mode") if first.get("mode") in MODES else "practical", retailer_only=first.get("showAll") != "1", sort=first.get("sort") if first.get("sort") in SORTS else "best-fit",
+        search_mode=mode if (mode := first.get("searchMode", "").strip()) in SEARCH_MODES else "cavity", source_cat=replaced_category(first.get("replaceCat")),
     )
 
 
@@ -81,18 +101,27 @@ def read_urls(rows: DataFrame, query: str = "query") -> DataFrame:
     """rows (of logged searches) with the columns of their URLs' states: the same rules as read_url, for a whole log."""
     q = F.regexp_replace(F.coalesce(query, F.lit("")), r"^\?", "")
     plain = lambda x: F.coalesce(F.try_url_decode(x), x)
-    first = lambda k: F.nullif(plain(F.regexp_extract(q, f"(?:^|&){k}=([^&]*)", 1)), F.lit(""))
-    number = lambda k: F.when(first(k).try_cast("double") >= 0, first(k).try_cast("double"))
-    listed = F.transform(F.regexp_extract_all(q, F.lit("(?:^|&)brand=([^&]*)"), 1), lambda x: F.trim(plain(x)))
-    brands = F.when(F.size(listed) == 1, F.split(F.get(listed, 0), ",")).otherwise(listed)
-    tolerance = F.coalesce(number("tol"), F.lit(5.0))
-    return rows.withColumns(
+    pair = lambda x: F.struct(plain(F.substring_index(x, "=", 1)).alias("key"), plain(F.regexp_extract(x, "=(.*)$", 1)).alias("value"))
+    rows = rows.withColumn("url_pairs", F.transform(F.split(q, "&"), pair))
+    of = lambda k: F.transform(F.filter("url_pairs", lambda p: p["key"] == k), lambda p: p["value"])
+    # One step after another, so that no value is worked out twice.
+    names = ("cat", "w", "h", "d", "tol", "pmin", "pmax", "stars", "avail", "mode", "searchMode", "replaceCat", "showAll", "sort")
+    rows = rows.withColumns({**{f"url_{k}": F.get(F.filter(of(k), lambda v, i: (i == 0) & (v != "")), F.lit(0)) for k in names}, "url_brands": F.transform(of("brand"), lambda b: F.trim(b))})
+    first = lambda k: F.col(f"url_{k}")
+    rows = rows.withColumns({f"url_{k}": first(k).try_cast("double") for k in ("tol", "pmin", "pmax", "stars")})
+    number = lambda k: F.when(first(k) >= 0, first(k))
+    brands = F.when(F.size("url_brands") == 1, F.split(F.get("url_brands", F.lit(0)), ",")).otherwise(F.col("url_brands"))
+    source = F.regexp_replace(F.regexp_replace(F.lower(F.trim(first("replaceCat"))), r"[\s/]+", "_"), "-+", "_")
+    tolerance = F.when((first("tol") == 0) | F.isnan(first("tol")), 5.0).otherwise(F.coalesce(first("tol"), F.lit(5.0)))
+    out = rows.withColumns(
         {
-            "cat": first("cat"), **{a: to_mm(first(a)) for a in "whd"}, "tolerance": F.least(F.lit(20.0), F.when(tolerance > 0, tolerance).otherwise(5.0)), "brands": F.filter(F.transform(brands, lambda b: F.substring(F.trim(b), 1, 50)), lambda b: b != ""),
+            "cat": first("cat"), **{a: to_mm(first(a)) for a in "whd"}, "tolerance": F.least(F.lit(20.0), F.greatest(F.lit(0.0), tolerance)), "brands": F.filter(F.transform(brands, lambda b: F.substring(F.trim(b), 1, 50)), lambda b: b != ""),
             "price_min": number("pmin"), "price_max": number("pmax"), "min_stars": number("stars"), "available_only": F.coalesce(first("avail") == "1", F.lit(False)),
             "mode": F.when(first("mode").isin(*MODES), first("mode")).otherwise("practical"), "retailer_only": ~F.coalesce(first("showAll") == "1", F.lit(False)), "sort": F.when(first("sort").isin(*SORTS), first("sort")).otherwise("best-fit"),
+            "search_mode": F.when(F.trim(first("searchMode")).isin(*SEARCH_MODES), F.trim(first("searchMode"))).otherwise("cavity"), "source_cat": F.when(source.isin(*TOWER_NAMES), "washtower_combo").when(source.isin(*REPLACED), source),
         }
     )
+    return out.drop("url_pairs", "url_brands", *(f"url_{k}" for k in names))
 
 
 def input_verdict() -> Column:

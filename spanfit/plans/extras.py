@@ -140,10 +140,11 @@ def url_states(spark, sf_dir):
     """Every product's size and brand as a logged search URL, read back."""
     k = F.col("ord")
     url = F.concat(
-        F.lit("?cat="), "cat", F.lit("&w="), F.col("w").cast("string"), F.lit("&h="), F.when(k % 3 == 0, F.lit("12.5")).when(k % 3 == 1, F.lit("x1")).otherwise("0"), F.lit("&tol="), (k % 30).cast("string"), F.lit("&brand="), F.url_encode("brand"),
+        F.lit("?cat="), "cat", F.lit("&w="), F.col("w").cast("string"), F.lit("&h="), F.when(k % 3 == 0, F.lit("12.5")).when(k % 3 == 1, F.lit("x1")).otherwise("0"), F.lit("&tol="), (k % 30 - 3).cast("string"), F.lit("&brand="), F.url_encode("brand"),
         F.when(k % 2 == 0, F.lit("&brand=A%2CB")).otherwise(F.lit("%2C+C")), F.when(k % 4 == 0, F.lit("&pmin=-5&pmax=900")).otherwise(""), F.when(k % 5 == 0, F.lit("&avail=1&mode=physical&sort=stars")).otherwise(F.lit("&mode=odd&sort=odd")), F.when(k % 6 == 0, F.lit("&showAll=1")).otherwise(""),
+        F.when(k % 7 == 0, F.lit("&searchMode=replacement&replaceCat=Wash%20Tower")).when(k % 7 == 1, F.lit("&searchMode=odd&replaceCat=washing-machine")).otherwise(""),
     )
-    return s.read_urls(_p(spark, sf_dir).select("id", url.alias("query"))).select("id", "cat", "w", "h", "d", "tolerance", F.array_join("brands", "|").alias("brands"), "price_min", "price_max", "available_only", "mode", "retailer_only", "sort")
+    return s.read_urls(_p(spark, sf_dir).select("id", url.alias("query"))).select("id", "cat", "w", "h", "d", "tolerance", F.array_join("brands", "|").alias("brands"), "price_min", "price_max", "available_only", "mode", "retailer_only", "sort", "search_mode", "source_cat")
 
 
 def input_verdicts(spark, sf_dir):
@@ -296,8 +297,9 @@ ORACLE = {
         CASE WHEN NOT regexp_matches(prose, '(?i)\b(fit|cavity|space)\b') THEN 'fit' END) AS issues FROM (SELECT url, prose, CAST(len(regexp_extract_all(prose, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*')) AS BIGINT) AS words FROM (SELECT url, {_PROSE} AS prose FROM {_COPY} WHERE regexp_matches(html, '(?i)id="review-videos"')))""",
     "seed_overlay": "SELECT id, CASE WHEN ord % 9 = 0 THEN '/last' WHEN ord % 6 = 0 THEN '/seed/' || id WHEN ord % 3 = 0 THEN NULL ELSE '/old/' || id END AS direct_url FROM products",
     "review_whitelist": "SELECT CASE WHEN l_orderkey % 11 = 0 THEN 'incomplete' WHEN l_orderkey % 7 = 0 THEN 'unknown creator' WHEN l_orderkey % 3 = 2 THEN 'other author' END AS reason, count(*) AS n, CAST(sum(l_orderkey * 10 + l_linenumber) AS BIGINT) AS ids FROM lineitem GROUP BY 1",
-    "url_states": """SELECT id, cat, w, CASE WHEN ord % 3 = 0 THEN 13 END AS h, CAST(NULL AS INTEGER) AS d, CASE WHEN ord % 30 = 0 THEN 5e0 ELSE least(20e0, CAST(ord % 30 AS DOUBLE)) END AS tolerance, brand || CASE WHEN ord % 2 = 0 THEN '|A,B' ELSE '|C' END AS brands, CAST(NULL AS DOUBLE) AS price_min,
-        CASE WHEN ord % 4 = 0 THEN 900e0 END AS price_max, ord % 5 = 0 AS available_only, CASE WHEN ord % 5 = 0 THEN 'physical' ELSE 'practical' END AS mode, ord % 6 <> 0 AS retailer_only, CASE WHEN ord % 5 = 0 THEN 'stars' ELSE 'best-fit' END AS sort FROM products""",
+    "url_states": """SELECT id, cat, w, CASE WHEN ord % 3 = 0 THEN 13 END AS h, CAST(NULL AS INTEGER) AS d, CASE WHEN ord % 30 = 3 THEN 5e0 ELSE least(20e0, greatest(0e0, CAST(ord % 30 - 3 AS DOUBLE))) END AS tolerance, brand || CASE WHEN ord % 2 = 0 THEN '|A,B' ELSE '|C' END AS brands, CAST(NULL AS DOUBLE) AS price_min,
+        CASE WHEN ord % 4 = 0 THEN 900e0 END AS price_max, ord % 5 = 0 AS available_only, CASE WHEN ord % 5 = 0 THEN 'physical' ELSE 'practical' END AS mode, ord % 6 <> 0 AS retailer_only, CASE WHEN ord % 5 = 0 THEN 'stars' ELSE 'best-fit' END AS sort,
+        CASE WHEN ord % 7 = 0 THEN 'replacement' ELSE 'cavity' END AS search_mode, CASE ord % 7 WHEN 0 THEN 'washtower_combo' WHEN 1 THEN 'washing_machine' END AS source_cat FROM products""",
     "input_verdicts": "SELECT id, CASE WHEN ord % 3 = 0 THEN 'invalid' WHEN ord % 2 = 0 OR ord % 5 = 0 THEN 'ok' ELSE 'missing' END AS verdict FROM products",
     "space_alerts": """SELECT * FROM (SELECT id, concat_ws(',', CASE WHEN cat = 'fridge' AND w <= 600 THEN 'fridge-600-width' END, CASE WHEN cat = 'fridge' AND d < 650 THEN 'shallow-depth' END, CASE WHEN cat = 'fridge' AND h < 1700 THEN 'low-height' END, CASE WHEN cat = 'dishwasher' AND w < 600 THEN 'slimline-dishwasher' END,
         CASE WHEN cat IN ('washing_machine', 'dryer') AND d < 600 THEN 'shallow-laundry-depth' END, CASE WHEN ord % 2 = 0 AND ord % 120 < 60 THEN 'tight-delivery-path' END) AS alerts FROM products) WHERE alerts <> ''""",
