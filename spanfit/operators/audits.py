@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanfit.functions.markup import PROSE, json_documents, page_elements, page_texts
 from spanfit.operators.facets import ranked
 from spanfit.operators.text import json_blocks, ngrams
 
@@ -13,11 +17,14 @@ EVIDENCE_TYPES = ("manufacturer_manual", "installation_manual", "spec_sheet")
 LEAST_CONFIDENCE = 0.8
 #: Words of which a repeated phrase says nothing if it has no others.
 PHRASE_STOP_WORDS = (
-    "and the for with from that this your into over under about after before through which these those their there have will does need clearance requirements guide models fit brand brands "
-    "fridge washing machine dishwasher dryer australia australian homes installed page pages"
-).split()
+    "and", "the", "for", "with", "from", "that", "this", "your", "into", "over", "under", "about", "after", "before", "through", "which", "these", "those",
+    "their", "there", "have", "will", "does", "need", "clearance", "requirements", "guide", "models", "fit", "brand", "brands", "fridge", "washing", "machine",
+    "dishwasher", "dryer", "australia", "australian", "homes", "installed", "page", "pages",
+)
 #: Openings that a paragraph must not have.
 LEADS = ("notable:", "importantly,", "additionally,")
+#: The edge of a word of ASCII letters, digits and underscores (Java's own knows other letters too).
+EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def _sum(cond: Column) -> Column:
@@ -121,96 +128,121 @@ def promo_stats(products: DataFrame, offers: DataFrame) -> DataFrame:
     return p.crossJoin(o).select("products", "brands", "swings", share.alias("swing_pct"), "linked", "links", "priced")  # one row each
 
 
-def paragraphs(pages: DataFrame, tag: str) -> DataFrame:
-    """(url, at, tag, attributes, text) of a page's elements of that tag (a pattern), in order."""
-    whole = rf"(?is)<({tag})\b([^>]*)>(.*?)</\1>"
-    each = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit(whole), 0)).alias("at", "e"))
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("e", whole, 3), "(?s)<[^>]+>", " "), r"\s+", " "))
-    return each.select("url", (F.col("at") + 1).alias("at"), F.lower(F.regexp_extract("e", whole, 1)).alias("tag"), F.regexp_extract("e", whole, 2).alias("attributes"), text.alias("text"))
-
-
 def paragraph_issues(pages: DataFrame) -> DataFrame:
     """(url, at, rule): paragraphs with a forbidden opening, more than one em dash, or an upper-case opening without a source."""
-    t = F.col("text")
+    t, has = F.col("text"), lambda k: F.map_contains_key("attributes", k)
     lead = F.lower(t).rlike("^(" + "|".join(LEADS) + ")")
-    shouted = t.rlike(r"^\s*[A-Z][A-Z&/]+(\s+[A-Z&/]{2,})*\b") & ~F.col("attributes").rlike(r"(?i)\b(data-source|cite)\b")
+    shouted = t.rlike(r"^\s*[A-Z][A-Z&/]+(\s+[A-Z&/]{2,})*" + EDGE) & ~has("data-source") & ~has("cite")
     dashes = F.length(t) - F.length(F.replace(t, F.lit("—"), F.lit(""))) > 1
     found = F.array_compact(F.array(F.when(lead, "forbidden-lead"), F.when(dashes, "excess-em-dash"), F.when(shouted, "uppercase-lead")))
-    return paragraphs(pages, "p").where(t != "").select("url", "at", F.explode(found).alias("rule"))
+    return page_elements(pages, ("p",)).where(t != "").select("url", "at", F.explode(found).alias("rule"))
+
+
+@cache
+def pictographs() -> str:
+    """A character class of all pictographs, from the Unicode property (which Java's patterns do not know)."""
+    import regex
+
+    one, ranges = regex.compile(r"\p{Extended_Pictographic}"), []
+    for c in (*range(0x80, 0x3300), *range(0x1F000, 0x1FC00)):  # the blocks that have any
+        if one.match(chr(c)):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
 def heading_issues(pages: DataFrame) -> DataFrame:
     """(url, at, rule): headings with inline style or emoji, and clearance headings in the plural."""
     t = F.col("text")
     plural = (F.col("tag") == "h1") & t.rlike(r"(?i)\b(Fridges|Washing Machines|Dishwashers)\s+Clearance\b")
-    found = F.array_compact(F.array(F.when(F.col("attributes").rlike(r"(?i)\bstyle\s*="), "heading-inline-style"), F.when(t.rlike("[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]"), "emoji-heading"), F.when(plural, "clearance-heading-singular")))
-    return paragraphs(pages, "h[1-3]").where(t != "").select("url", "at", F.explode(found).alias("rule"))
+    found = F.array_compact(F.array(F.when(F.map_contains_key("attributes", "style"), "heading-inline-style"), F.when(t.rlike(pictographs()), "emoji-heading"), F.when(plural, "clearance-heading-singular")))
+    return page_elements(pages, ("h1", "h2", "h3")).where(t != "").select("url", "at", F.explode(found).alias("rule"))
+
+
+def prose(pages: DataFrame) -> DataFrame:
+    """(id, text): the texts of a page's headings, paragraphs, list items and quotes, without code and scripts, one after another; what stands in several of them counts in each."""
+    each = page_elements(pages, PROSE, ("script", "style", "code", "pre")).where("text <> ''")
+    return each.groupBy(F.col("url").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+def phrase_clusters(rows: list[tuple[str, int]], most: int) -> list[tuple[str, int]]:
+    """Phrases (of 3 to 5 words, with their use) by their clusters' first: longer ones first, then by use. A phrase joins the earliest cluster that has a phrase which it is part of or overlaps at an edge.
+
+    Parts and edges of the clusters' phrases are looked up, so the work is linear. Clusters beyond `most` are not kept: what would join them cannot change earlier ones.
+    """
+    inside, begins, ends, out = {}, {}, {}, []
+    for phrase, n in sorted(rows, key=lambda r: (-r[0].count(" "), -r[1], r[0])):
+        w = phrase.split(" ")
+        size = len(w)  # no phrase before this one is shorter
+        edges = range(max(2, size - 2), size)
+        met = [inside.get(phrase)] + [x for k in edges for x in (ends.get((*w[:k],)), begins.get((*w[-k:],)))]
+        home = min((x for x in met if x is not None), default=None)
+        if home is None:
+            if len(out) == most:
+                continue
+            home = len(out)
+            out.append((phrase, n))
+        for a in range(size):
+            for b in range(a + 3, size + 1):
+                part = " ".join(w[a:b])
+                inside[part] = min(inside.get(part, home), home)
+        for k in range(2, size + 1):
+            for table, key in ((begins, (*w[:k],)), (ends, (*w[-k:],))):
+                table[key] = min(table.get(key, home), home)
+    return out
 
 
 def repeated_phrases(docs: DataFrame, least: int = 5, most: int = 25) -> DataFrame:
-    """(id, place, phrase, n): per document the leading phrases of 3 to 5 words used `least` times or more.
+    """(id, place, phrase, n): per document the leading phrases of 3 to 5 words used `least` times or more, a cluster by its first phrase.
 
-    Longer phrases first, then by use; one that contains, is contained in or overlaps at the edge a phrase of an earlier
-    cluster joins it, and clusters are shown by their first phrase. Phrases are counted by a group-by; only the repeated
-    ones of a document, a bounded report, meet in one place.
+    Phrases are counted by a group-by; only the repeated ones of a document meet in one place.
     """
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^a-z0-9\s]+", " "), r"\s+"), lambda w: w != "")
     each = docs.select("id", F.explode(F.array(words)).alias("w")).select("id", F.explode(F.concat(*(ngrams(F.col("w"), n) for n in (3, 4, 5)))).alias("phrase"))
     stop = "(" + "|".join(PHRASE_STOP_WORDS) + ")"
     counted = each.groupBy("id", "phrase").agg(F.count("*").alias("n")).where((F.col("n") >= least) & ~F.col("phrase").rlike(f"^{stop}( {stop})+$"))
 
-    def near(a: list[str], b: list[str]) -> bool:
-        short, long = sorted((a, b), key=len)
-        if any(long[k : k + len(short)] == short for k in range(len(long) - len(short) + 1)):
-            return True
-        return any(a[-k:] == b[:k] or b[-k:] == a[:k] for k in range(max(2, len(short) - 2), len(short)))
-
-    def fold(pdf):
-        rows = sorted(zip(pdf["phrase"], pdf["n"], strict=True), key=lambda r: (-r[0].count(" "), -r[1], r[0]))
-        clusters: list[tuple[str, int, list]] = []
-        for phrase, n in rows:
-            own = phrase.split(" ")
-            home = next((c for c in clusters if any(near(x, own) for x in c[2])), None)
-            if home:
-                home[2].append(own)
-            else:
-                clusters.append((phrase, n, [own]))
-        import pandas as pd
-
-        return pd.DataFrame([(pdf["id"].iloc[0], k + 1, p, n) for k, (p, n, _) in enumerate(clusters[:most])], columns=["id", "place", "phrase", "n"])
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = phrase_clusters(list(zip(pdf["phrase"], pdf["n"], strict=True)), most)
+        return pd.DataFrame([(pdf["id"].iloc[0], k + 1, p, n) for k, (p, n) in enumerate(found)], columns=["id", "place", "phrase", "n"])
 
-    return counted.groupBy("id").applyInPandas(fold, "id long, place int, phrase string, n long")
+    kind = counted.schema["id"].dataType.simpleString()
+    return counted.groupBy("id").applyInPandas(fold, f"id {kind}, place int, phrase string, n long")
 
 
 def schema_audit(pages: DataFrame, prefix: str) -> DataFrame:
-    """url, blocks (JSON-LD that parses) and errors: blocks that don't, a missing or incomplete Article, a missing or empty FAQPage."""
-    blocks = json_blocks(F.coalesce("html", F.lit("")))
-    rows = pages.select("url", blocks.alias("blocks")).withColumn("good", F.filter("blocks", lambda x: F.try_parse_json(x).isNotNull()))
-    kind = lambda k: F.try_element_at(F.filter("good", lambda x: F.coalesce(F.get_json_object(x, "$['@type']") == k, F.lit(False))), F.lit(1))
-    rows = rows.withColumns({"article": kind("Article"), "faq": kind("FAQPage")})
-    has = lambda c, f: F.trim(F.coalesce(F.get_json_object(c, f"$.{f}"), F.lit("")))
-    asked = F.coalesce(F.json_array_length(F.get_json_object("faq", "$.mainEntity")), F.lit(0))
-    article = [F.when(F.col("article").isNotNull() & (has("article", f) == ""), f"Article missing {f}") for f in ("headline", "description", "url", "dateModified")]
-    place = has("article", "url")
+    """url, blocks (JSON-LD that parses), has_article, has_faq and errors: blocks that don't parse, a missing or incomplete Article, a missing or empty FAQPage.
+
+    A type may be one of several, and stand in a list or a graph; the fields asked for are those of the block itself.
+    """
+    fields = ("headline", "description", "url", "dateModified")
+    rows = json_documents(pages.select("url", json_blocks(F.coalesce("html", F.lit(""))).alias("blocks")), {"Article": fields, "FAQPage": ("mainEntity",)})
+    own, asked = F.col("Article"), F.coalesce(F.col("FAQPage")["mainEntity[]"].cast("int"), F.lit(0))
     errors = F.array_compact(
         F.array(
-            F.when(F.size("blocks") > F.size("good"), "invalid JSON-LD"), F.when(F.col("article").isNull(), "missing Article JSON-LD"), *article, F.when((place != "") & ~place.startswith(prefix), "Article url elsewhere"),
-            F.when(F.col("faq").isNull(), "missing FAQPage JSON-LD").when(asked == 0, "FAQPage missing mainEntity questions"),
+            F.when(F.col("n_invalid") > 0, "invalid JSON-LD"), F.when(own.isNull(), "missing Article JSON-LD"), *(F.when(F.trim(own[f]) == "", f"Article missing {f}") for f in fields), F.when((own["url"] != "") & ~own["url"].startswith(prefix), "Article url elsewhere"),
+            F.when(F.col("FAQPage").isNull(), "missing FAQPage JSON-LD").when(asked == 0, "FAQPage missing mainEntity questions"),
         )
     )
-    return rows.select("url", F.size("good").cast("long").alias("blocks"), F.array_join(errors, "; ").alias("errors"))
-
-
-def review_audit(pages: DataFrame, least_words: int = 300) -> DataFrame:
-    """url, words and issues of pages with a section of review videos: enough words of their own, side, rear and top clearance, a word on fitting."""
-    html = F.regexp_replace("html", r'(?is)<section[^>]*id="review-videos".*?</section>', " ")
-    for tag in ("script", "style", "footer", "nav"):
-        html = F.regexp_replace(html, f"(?is)<{tag}.*?</{tag}>", " ")
-    prose = F.regexp_replace(F.regexp_replace(html, "(?s)<[^>]+>", " "), r"\s+", " ")
-    words = F.size(F.regexp_extract_all(prose, F.lit("[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*"), 0)).cast("long")
-    rows = pages.where(F.col("html").rlike('(?i)id="review-videos"')).select("url", prose.alias("prose"), words.alias("words"))
-    need = [F.when(~F.col("prose").rlike(rf"(?i)\b\d+mm\s+{s}\b"), s) for s in ("side", "rear", "top")]
-    issues = F.array_compact(F.array(F.when(F.col("words") < least_words, "words"), *need, F.when(~F.col("prose").rlike(r"(?i)\b(fit|cavity|space)\b"), "fit")))
+    return rows.select("url", F.col("n_valid").alias("blocks"), own.isNotNull().alias("has_article"), F.col("FAQPage").isNotNull().alias("has_faq"), F.array_join(errors, "; ").alias("errors"))
+
+
+def review_audit(pages: DataFrame, least_words: int = 300, expected: DataFrame | None = None) -> DataFrame:
+    """url, words and issues of pages with review videos: enough words of their own, side, rear and top clearance, a word on fitting.
+
+    Words are those of the page's `main` (or body) without the videos, navigation, footer and scripts. expected (url, side,
+    rear, top): the millimetres that a page has to name; of other pages any number counts.
+    """
+    rows = page_texts(pages, "review-videos").where("found").withColumn("words", F.size(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*"), F.lit(0))).cast("long"))
+    sides = ("side", "rear", "top")
+    if expected is None:
+        rows = rows.withColumns({s: F.lit(None).cast("int") for s in sides})
+    else:
+        rows = rows.join(expected.select(F.col("url").alias("e_url"), *sides), F.col("url") == F.col("e_url"), "left")
+    named = lambda s: F.regexp_like("text", F.concat(F.lit(r"(?i)\b"), F.coalesce(F.col(s).cast("string"), F.lit(r"\d+")), F.lit(rf"mm\s+{s}\b")))
+    issues = F.array_compact(F.array(F.when(F.col("words") < least_words, "words"), *(F.when(~named(s), s) for s in sides), F.when(~F.col("text").rlike(r"(?i)\b(fit|cavity|space)\b"), "fit")))
     return rows.select("url", "words", F.array_join(issues, ",").alias("issues"))
 
 

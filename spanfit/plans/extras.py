@@ -13,6 +13,7 @@ from spanfit.plans.oracle import with_tables
 from spanfit.sources import adapters
 
 SITE = "https://www.example.org/fit-check/"
+VIDEOS_IN_MAIN = '<main>5mm side <div class="v" id="review-videos"><div>12mm top</div> 9mm top of the cavity</div> and 10mm rear</main><main>7mm top</main>'
 
 
 def _p(spark, sf_dir):
@@ -91,7 +92,7 @@ def _copy(spark, sf_dir):
     add = F.concat(
         F.when(k % 2 == 0, F.lit("<p>Notable: one</p>")).otherwise(""), F.when(k % 3 == 0, F.lit("<p>a — b — <b>c</b></p>")).otherwise(""), F.when(k % 5 == 0, F.lit("<p cite='x'>ABC DEF goes</p><p class='y'>ABC DEF goes</p>")).otherwise(""),
         F.when(k % 4 == 0, F.lit("<h2 style='x'>Good \U0001f600</h2>")).otherwise(""), F.when(k % 7 == 0, F.lit("<h1>Samsung Fridges  Clearance</h1>")).otherwise(""),
-        F.when(k % 3 == 1, F.lit('<section id="review-videos">many words</section><main>5mm side and 10mm rear of the space</main>')).otherwise(""),
+        F.when(k % 3 == 1, F.lit(VIDEOS_IN_MAIN)).when(k % 3 == 2, F.lit('<section id="review-videos">many <b>words</b></section>')).otherwise(""),
     )
     return adapters.read(spark, sf_dir, "pages").select("url", F.concat("html", add).alias("html"), "page_id")
 
@@ -108,11 +109,18 @@ def repeated_phrases(spark, sf_dir):
     return a.repeated_phrases(adapters.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
 
 
+def repeated_prose(spark, sf_dir):
+    return a.repeated_phrases(a.prose(adapters.read(spark, sf_dir, "pages")), least=3)
+
+
 def schema_audit(spark, sf_dir):
+    """Pages with an Article (of one or two types, or in a graph) and a FAQPage (also in a list), whole, incomplete or broken."""
     k, block = F.col("page_id"), '<script type="application/ld+json">{}</script>'
-    whole = F.concat(F.lit('<script type="application/ld+json">{"@type": "Article", "headline": "h", "description": "d", "dateModified": "2020", "url": "'), F.when(k % 2 == 0, SITE).otherwise("https://else.example.org/"), F.lit('x"}</script>'))
-    add = F.concat(F.when(k % 3 == 0, whole).when(k % 3 == 1, block.replace("{}", '{"@type": "Article", "headline": " "}')).otherwise(""), F.when(k % 4 == 0, block.replace("{}", '{"@type": "FAQPage", "mainEntity": [1]}')).when(k % 4 == 1, block.replace("{}", '{"@type": "FAQPage", "mainEntity": []}')).otherwise(block.replace("{}", "{no")))
-    return a.schema_audit(adapters.read(spark, sf_dir, "pages").select("url", F.concat("html", add).alias("html")), SITE)
+    whole = F.concat(F.lit('<script type="application/ld+json">{"@type": ["Thing", "Article"], "headline": "h", "description": 5, "dateModified": "2020", "url": "'), F.when(k % 2 == 0, SITE).otherwise("https://else.example.org/"), F.lit('x"}</script>'))
+    graph = block.replace("{}", '{"headline": "h", "description": "d", "dateModified": "x", "url": "https://else.example.org/", "@graph": [{"@graph": [{"@type": ["WebPage", "Article"]}]}]}')
+    article = F.when(k % 3 == 0, whole).when(k % 3 == 1, block.replace("{}", '{"@type": "Article", "headline": " "}')).otherwise(graph)
+    faq = F.when(k % 4 == 0, block.replace("{}", '{"@type": "FAQPage", "mainEntity": [1]}')).when(k % 4 == 1, block.replace("{}", '{"@type": "FAQPage", "mainEntity": []}')).when(k % 4 == 2, block.replace("{}", '[{"@type": "FAQPage"}]')).otherwise(block.replace("{}", "{no"))
+    return a.schema_audit(adapters.read(spark, sf_dir, "pages").select("url", F.concat("html", article, faq).alias("html")), SITE)
 
 
 def review_audit(spark, sf_dir):
@@ -249,7 +257,7 @@ def brand_unions(spark, sf_dir):
 
 
 QUERIES = [
-    evidence_coverage, evidence_errors, evidence_audit, evidence_queue, dimension_discrepancies, provenance, quality_check, research_rollup, top_queries, promo_stats, paragraph_issues, heading_issues, repeated_phrases, schema_audit, review_audit, seed_overlay,
+    evidence_coverage, evidence_errors, evidence_audit, evidence_queue, dimension_discrepancies, provenance, quality_check, research_rollup, top_queries, promo_stats, paragraph_issues, heading_issues, repeated_phrases, repeated_prose, schema_audit, review_audit, seed_overlay,
     review_whitelist, url_states, input_verdicts, space_alerts, clearance_bars, fit_badges, empty_states, fit_checker, saved_searches, slug_winners, page_orders, verified_products, by_priority, picked_products, link_pools, brand_records, wildcard_skus, active_records,
     feature_lists, latest_checks, brand_unions,
 ]
@@ -259,7 +267,14 @@ _EV = """(SELECT *, list_filter([CASE WHEN trim(model) = '' THEN 'model' END, CA
         CASE WHEN ord % 13 <> 0 THEN 'https://docs.example.org/' || id ELSE '/local' END AS source_url, w + CASE WHEN ord % 5 = 0 THEN 7 ELSE 0 END AS w, CASE WHEN ord % 19 <> 0 THEN h END AS h, d, 1e0 - CAST(ord % 4 AS DOUBLE) / 10 AS confidence, ['valid', 'invalid', 'skipped'][ord // 2 % 3 + 1] AS hash_status FROM products))"""
 _GOOD = f"(SELECT * FROM {_EV} WHERE type <> 'retailer_page' AND status = 'approved' AND source_url <> '/local')"
 _COPY = """(SELECT url, page_id, html || CASE WHEN page_id % 2 = 0 THEN '<p>Notable: one</p>' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN '<p>a — b — <b>c</b></p>' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN '<p cite=''x''>ABC DEF goes</p><p class=''y''>ABC DEF goes</p>' ELSE '' END
-    || CASE WHEN page_id % 4 = 0 THEN '<h2 style=''x''>Good \U0001f600</h2>' ELSE '' END || CASE WHEN page_id % 7 = 0 THEN '<h1>Samsung Fridges  Clearance</h1>' ELSE '' END || CASE WHEN page_id % 3 = 1 THEN '<section id="review-videos">many words</section><main>5mm side and 10mm rear of the space</main>' ELSE '' END AS html FROM pages)"""
+    || CASE WHEN page_id % 4 = 0 THEN '<h2 style=''x''>Good \U0001f600</h2>' ELSE '' END || CASE WHEN page_id % 7 = 0 THEN '<h1>Samsung Fridges  Clearance</h1>' ELSE '' END || CASE page_id % 3 WHEN 1 THEN '""" + VIDEOS_IN_MAIN + """' WHEN 2 THEN '<section id="review-videos">many <b>words</b></section>' ELSE '' END AS html FROM pages)"""
+
+
+_BARE = "regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
+_TEXT = r"replace(replace(trim(regexp_replace(regexp_replace({x}, '(?s)<[^>]+>', '', 'g'), '\s+', ' ', 'g')), '&amp;', '&'), '&quot;', chr(34))"
+#: Paragraphs end at their end tag or at the next start or end of a block.
+_PARAGRAPHS = rf"""(SELECT url, 'p' AS tag, regexp_extract(e, '^([^>]*)>', 1) AS attributes, {_TEXT.format(x=r"regexp_replace(regexp_replace(e, '(?s)^[^>]*>', ''), '(?is)(</p>|</?(article|div|ul|li|nav|footer|section|main|body|html|h1|h2|h3)\b).*$', '')")} AS text
+    FROM (SELECT url, unnest(string_split_regex({_BARE}, '(?i)<p\b')[2:]) AS e FROM {_COPY}))"""
 
 
 def _elements(tag: str) -> str:
@@ -267,12 +282,13 @@ def _elements(tag: str) -> str:
     parts = []
     for t in tag.split("|"):
         whole = rf"'(?is)<{t}\b([^>]*)>(.*?)</{t}>'"
-        parts.append(rf"SELECT url, '{t}' AS tag, regexp_extract(e, {whole}, 1) AS attributes, trim(regexp_replace(regexp_replace(regexp_extract(e, {whole}, 2), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM (SELECT url, unnest(regexp_extract_all(html, {whole})) AS e FROM {_COPY})")
+        parts.append(rf"SELECT url, '{t}' AS tag, regexp_extract(e, {whole}, 1) AS attributes, {_TEXT.format(x=f'regexp_extract(e, {whole}, 2)')} AS text FROM (SELECT url, unnest(regexp_extract_all({_BARE}, {whole})) AS e FROM {_COPY})")
     return "(" + " UNION ALL ".join(parts) + ")"
 
 
 _RULED = "SELECT rule, count(*) AS n, count(DISTINCT url) AS pages FROM (SELECT url, unnest(list_filter([{cases}], lambda v: v IS NOT NULL)) AS rule FROM {rows} WHERE text <> '') GROUP BY rule"
-_PROSE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<section[^>]*id=\"review-videos\".*?</section>', ' ', 'g'), '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?is)<footer.*?</footer>', ' ', 'g'), '(?is)<nav.*?</nav>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')".replace('\\"', '"')
+_BODY = "regexp_replace(html, '(?is)<head.*?</head>|<script.*?</script>|<style.*?</style>|<footer.*?</footer>|<nav.*?</nav>|<!--.*?-->|<section id=.review-videos.*?</section>', '', 'g')"
+_PROSE = _TEXT.format(x=f"CASE page_id % 3 WHEN 1 THEN regexp_replace(regexp_extract(html, '(?is)<main>(.*?)</main>', 1), '(?s)<div.*</div>', '') ELSE {_BODY} END")
 _CLEAN = "regexp_replace(regexp_replace(upper(trim({x})), '/SA$', ''), '[^A-Z0-9{k}]+', '', 'g')"
 _SKU = "(SELECT id, 'ab-' || ord || CASE WHEN ord % 2 = 0 THEN '/SA' ELSE 'X9' END AS sku, CASE WHEN ord % 3 = 0 THEN 'AB' || substr(CAST(ord AS VARCHAR), 1, 1) || '**' WHEN ord % 3 = 1 THEN 'a b' || ord ELSE 'AB*' || (ord % 10) END AS model FROM products)"
 _ASKED = r"(SELECT ord, CASE ord % 4 WHEN 0 THEN 'dishwasher ' WHEN 1 THEN 'front washer ' WHEN 2 THEN 'dryer ' ELSE '' END || query AS query, CASE WHEN ord % 3 = 0 THEN 420 + ord % 700 END AS own FROM gsc)"
@@ -291,10 +307,13 @@ ORACLE = {
     "research_rollup": "SELECT product_id, count(*) AS checked, count(*) FILTER (WHERE pos % 3 = 0) AS available, CAST(sum(CASE WHEN pos % 5 <> 0 THEN pos % 50 ELSE 0 END) AS BIGINT) AS reviews, min(p) FILTER (WHERE pos % 7 <> 0) AS price_min, max(p + 10) FILTER (WHERE pos % 7 <> 0) AS price_max FROM offers WHERE pos % 4 <> 0 GROUP BY product_id",
     "top_queries": "SELECT CAST(row_number() OVER (ORDER BY n DESC, query) AS INTEGER) AS rank, query, n FROM (SELECT lower(brand) || ' ' || replace(cat, '_', ' ') || ' clearance australia' AS query, count(*) AS n FROM products GROUP BY brand, cat) ORDER BY rank LIMIT 10",
     "promo_stats": "SELECT p.*, o.* FROM (SELECT count(*) AS products, count(DISTINCT brand) AS brands, count(*) FILTER (WHERE ord % 3 = 0) AS swings, floor(CAST(count(*) FILTER (WHERE ord % 3 = 0) AS DOUBLE) / count(*) * 1000 + 0.5e0) / 10 AS swing_pct FROM products) p, (SELECT count(DISTINCT product_id) AS linked, count(*) AS links, count(*) FILTER (WHERE p > 0) AS priced FROM offers) o",
-    "paragraph_issues": _RULED.format(cases=r"CASE WHEN regexp_matches(lower(text), '^(notable:|importantly,|additionally,)') THEN 'forbidden-lead' END, CASE WHEN length(text) - length(replace(text, '—', '')) > 1 THEN 'excess-em-dash' END, CASE WHEN regexp_matches(text, '^\s*[A-Z][A-Z&/]+(\s+[A-Z&/]{2,})*\b') AND NOT regexp_matches(attributes, '(?i)\b(data-source|cite)\b') THEN 'uppercase-lead' END", rows=_elements("p")),
-    "heading_issues": _RULED.format(cases=r"CASE WHEN regexp_matches(attributes, '(?i)\bstyle\s*=') THEN 'heading-inline-style' END, CASE WHEN regexp_matches(text, '[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]') THEN 'emoji-heading' END, CASE WHEN tag = 'h1' AND regexp_matches(text, '(?i)\b(Fridges|Washing Machines|Dishwashers)\s+Clearance\b') THEN 'clearance-heading-singular' END", rows=_elements("h1|h2|h3")),
+    "paragraph_issues": _RULED.format(cases=r"CASE WHEN regexp_matches(lower(text), '^(notable:|importantly,|additionally,)') THEN 'forbidden-lead' END, CASE WHEN length(text) - length(replace(text, '—', '')) > 1 THEN 'excess-em-dash' END, CASE WHEN regexp_matches(text, '^\s*[A-Z][A-Z&/]+(\s+[A-Z&/]{2,})*\b') AND NOT regexp_matches(attributes, '(?i)\b(data-source|cite)\b') THEN 'uppercase-lead' END", rows=_PARAGRAPHS),
+    "heading_issues": _RULED.format(cases=r"CASE WHEN regexp_matches(attributes, '(?i)\bstyle\s*=') THEN 'heading-inline-style' END, CASE WHEN regexp_matches(text, '" + a.pictographs() + r"') THEN 'emoji-heading' END, CASE WHEN tag = 'h1' AND regexp_matches(text, '(?i)\b(Fridges|Washing Machines|Dishwashers)\s+Clearance\b') THEN 'clearance-heading-singular' END", rows=_elements("h1|h2|h3")),
     "review_audit": rf"""SELECT url, words, concat_ws(',', CASE WHEN words < 300 THEN 'words' END, CASE WHEN NOT regexp_matches(prose, '(?i)\b\d+mm\s+side\b') THEN 'side' END, CASE WHEN NOT regexp_matches(prose, '(?i)\b\d+mm\s+rear\b') THEN 'rear' END, CASE WHEN NOT regexp_matches(prose, '(?i)\b\d+mm\s+top\b') THEN 'top' END,
-        CASE WHEN NOT regexp_matches(prose, '(?i)\b(fit|cavity|space)\b') THEN 'fit' END) AS issues FROM (SELECT url, prose, CAST(len(regexp_extract_all(prose, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*')) AS BIGINT) AS words FROM (SELECT url, {_PROSE} AS prose FROM {_COPY} WHERE regexp_matches(html, '(?i)id="review-videos"')))""",
+        CASE WHEN NOT regexp_matches(prose, '(?i)\b(fit|cavity|space)\b') THEN 'fit' END) AS issues FROM (SELECT url, prose, CAST(len(regexp_extract_all(prose, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*')) AS BIGINT) AS words FROM (SELECT url, {_PROSE} AS prose FROM {_COPY} WHERE page_id % 3 > 0))""",
+    "schema_audit": """SELECT url, CAST(1 + (page_id % 4 < 3)::INT AS BIGINT) AS blocks, TRUE AS has_article, page_id % 4 < 3 AS has_faq, concat_ws('; ', CASE WHEN page_id % 4 = 3 THEN 'invalid JSON-LD' END,
+        CASE WHEN page_id % 3 = 1 THEN 'Article missing headline; Article missing description; Article missing url; Article missing dateModified' END, CASE WHEN page_id % 3 = 2 OR page_id % 6 = 3 THEN 'Article url elsewhere' END,
+        CASE WHEN page_id % 4 = 3 THEN 'missing FAQPage JSON-LD' WHEN page_id % 4 > 0 THEN 'FAQPage missing mainEntity questions' END) AS errors FROM pages""",
     "seed_overlay": "SELECT id, CASE WHEN ord % 9 = 0 THEN '/last' WHEN ord % 6 = 0 THEN '/seed/' || id WHEN ord % 3 = 0 THEN NULL ELSE '/old/' || id END AS direct_url FROM products",
     "review_whitelist": "SELECT CASE WHEN l_orderkey % 11 = 0 THEN 'incomplete' WHEN l_orderkey % 7 = 0 THEN 'unknown creator' WHEN l_orderkey % 3 = 2 THEN 'other author' END AS reason, count(*) AS n, CAST(sum(l_orderkey * 10 + l_linenumber) AS BIGINT) AS ids FROM lineitem GROUP BY 1",
     "url_states": """SELECT id, cat, w, CASE WHEN ord % 3 = 0 THEN 13 END AS h, CAST(NULL AS INTEGER) AS d, CASE WHEN ord % 30 = 3 THEN 5e0 ELSE least(20e0, greatest(0e0, CAST(ord % 30 - 3 AS DOUBLE))) END AS tolerance, brand || CASE WHEN ord % 2 = 0 THEN '|A,B' ELSE '|C' END AS brands, CAST(NULL AS DOUBLE) AS price_min,

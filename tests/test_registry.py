@@ -15,7 +15,7 @@ def test_names_and_twins():
     assert sql.keys() <= queries.keys()
     without = queries.keys() - sql.keys()
     # folds, a CRC, and what unit tests hold against plain Python
-    assert without == {"width_clusters", "rum_sample", "window_limiter", "bucket_limiter", "repeated_phrases", "schema_audit", "slug_discovery"}
+    assert without == {"width_clusters", "rum_sample", "window_limiter", "bucket_limiter", "repeated_phrases", "repeated_prose", "slug_discovery"}
 
 
 CHECKED = """fit_search cavity_counts evidence_match rum_percentiles url_predicates facet_search accuracy_audit feed_match fuzzy_match prefix_match batch_targets replacement_sources error_clean bad_vitals page_gate link_classes
