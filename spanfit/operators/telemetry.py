@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanfit.functions.columns import bare_path, basename, js_round, origin_path, redact
@@ -43,6 +43,32 @@ def rum_percentiles(events: DataFrame, points: tuple[int, ...] = (50, 75, 95)) -
     return rows.groupBy("path", "metric").agg(F.count("*").alias("n"), *(F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY value)").alias(f"p{p}") for p in points))
 
 
+def value_counts(events: DataFrame) -> DataFrame:
+    """(day, path, metric, value, n) of reported metrics: counts that add up over any parts of a log."""
+    rows = events.where(F.col("metric").isin(*REPORTED) & F.col("value").isNotNull()).withColumn("path", bare_path(F.col("path")))
+    return rows.groupBy(F.to_date("ts").alias("day"), "path", "metric", "value").agg(F.count("*").alias("n"))
+
+
+def count_percentiles(counts: DataFrame, by: tuple[str, ...] = ("path", "metric"), points: tuple[int, ...] = (50, 75, 95)) -> DataFrame:
+    """n and nearest-rank percentiles of values with counts (value, n), the same as of the events themselves.
+
+    Values fall into buckets of a thousandth of an octave. Running sums over a key's buckets (a bounded number) say in which
+    one each rank lies, and only the values of that bucket are looked at one by one.
+    """
+    size = F.floor(F.log2(F.abs("value")) * 1000)
+    bucket = F.when(F.col("value") > 0, size + 2_000_000).when(F.col("value") < 0, -size - 2_000_000).otherwise(0)
+    each = counts.groupBy(*by, "value").agg(F.sum("n").alias("n")).withColumn("bucket", bucket)
+    sums = each.groupBy(*by, "bucket").agg(F.sum("n").alias("of"))
+    ordered = Window.partitionBy(*by).orderBy("bucket")
+    sums = sums.withColumns({"upto": F.sum("of").over(ordered), "n": F.sum("of").over(Window.partitionBy(*by))}).withColumn("before", F.col("upto") - F.col("of"))
+    ranks = F.array(*(F.struct(F.lit(p).alias("p"), F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100)).cast("long").alias("rank")) for p in points))
+    asked = sums.withColumn("asked", F.filter(ranks, lambda r: (r["rank"] > F.col("before")) & (r["rank"] <= F.col("upto")))).where(F.size("asked") > 0)
+    inner = each.withColumnRenamed("n", "own").join(asked.select(*by, "bucket", "before", "n", "asked"), [*by, "bucket"])
+    inner = inner.withColumn("last", F.col("before") + F.sum("own").over(Window.partitionBy(*by, "bucket").orderBy("value")))
+    hit = inner.withColumn("r", F.explode("asked")).where((F.col("r.rank") <= F.col("last")) & (F.col("r.rank") > F.col("last") - F.col("own")))
+    return hit.groupBy(*by).agg(F.first("n").alias("n"), *(F.max(F.when(F.col("r.p") == p, F.col("value"))).alias(f"p{p}") for p in points))
+
+
 def rum_status(events: DataFrame, least: int = 100) -> DataFrame:
     """One row: events that count, and whether they are enough."""
     return events.where(F.col("metric").isin(*REPORTED)).agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths")).withColumn("status", F.when(F.col("n") < least, "insufficient_samples").otherwise("ok"))

@@ -28,6 +28,16 @@ def rum_percentiles(spark, sf_dir):
     return t.rum_percentiles(adapters.rum(spark, sf_dir))
 
 
+def rum_daily(spark, sf_dir):
+    """Percentiles by day, from counts of values as the streaming roll-up keeps them."""
+    return t.count_percentiles(t.value_counts(adapters.rum(spark, sf_dir)), ("day", "path", "metric")).withColumn("day", F.col("day").cast("string"))
+
+
+def rum_by_metric(spark, sf_dir):
+    """Percentiles of a whole metric from counts: a key with a third of all events is spread over its buckets."""
+    return t.count_percentiles(t.value_counts(adapters.rum(spark, sf_dir)), ("metric",))
+
+
 def rum_status(spark, sf_dir):
     return t.rum_status(adapters.rum(spark, sf_dir))
 
@@ -163,7 +173,7 @@ def candidate_cascade(spark, sf_dir):
     return x.candidate_cascade(adapters.search_console(spark, sf_dir), adapters.sitemap(spark, sf_dir))
 
 
-QUERIES = [rum_clean, rum_percentiles, rum_status, bad_vitals, error_clean, error_signatures, error_daily_firsts, rum_sample, window_limiter, bucket_limiter, plan_cap, text_lint, text_ngrams, text_pairs, page_words, page_gate, page_index, link_graph, broken_links, route_diff, sitemap_scan, link_classes, link_summary, buy_links, query_intents, console_summary, keyword_gaps, coverage_similarity, covered_queries, candidate_cascade]
+QUERIES = [rum_clean, rum_percentiles, rum_daily, rum_by_metric, rum_status, bad_vitals, error_clean, error_signatures, error_daily_firsts, rum_sample, window_limiter, bucket_limiter, plan_cap, text_lint, text_ngrams, text_pairs, page_words, page_gate, page_index, link_graph, broken_links, route_diff, sitemap_scan, link_classes, link_summary, buy_links, query_intents, console_summary, keyword_gaps, coverage_similarity, covered_queries, candidate_cascade]
 
 _SIG = "sha256(message || '|' || regexp_extract(source, '[^/]*$') || '|' || CAST(line AS VARCHAR))"
 _RUM = "(SELECT metric, path, CASE metric WHEN 'LCP' THEN value * 40 WHEN 'INP' THEN value * 3 ELSE value / 1000 END AS value FROM rum WHERE metric IN ('LCP', 'CLS', 'INP'))"
@@ -199,6 +209,8 @@ _SHINGLED = r"list_filter(string_split(lower(trim(regexp_replace(regexp_replace(
 ORACLE = {
     "rum_clean": "SELECT event_id, metric, path, CASE WHEN metric = 'CLS' THEN floor(value * 10000 + 0.5e0) / 10000 ELSE floor(value + 0.5e0) END AS value FROM rum WHERE metric IS NOT NULL AND value BETWEEN 0 AND 60000",
     "rum_percentiles": "SELECT path, metric, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.75) AS p75, quantile_disc(value, 0.95) AS p95 FROM rum WHERE metric IN ('LCP', 'CLS', 'INP') GROUP BY path, metric",
+    "rum_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, path, metric, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.75) AS p75, quantile_disc(value, 0.95) AS p95 FROM rum WHERE metric IN ('LCP', 'CLS', 'INP') GROUP BY ALL",
+    "rum_by_metric": "SELECT metric, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.75) AS p75, quantile_disc(value, 0.95) AS p95 FROM rum WHERE metric IN ('LCP', 'CLS', 'INP') GROUP BY ALL",
     "rum_status": "SELECT count(*) AS n, count(DISTINCT path) AS paths, CASE WHEN count(*) < 100 THEN 'insufficient_samples' ELSE 'ok' END AS status FROM rum WHERE metric IN ('LCP', 'CLS', 'INP')",
     "bad_vitals": f"SELECT CAST(row_number() OVER (ORDER BY s, p75 DESC, path) AS INTEGER) AS rank, path, metric, p75 FROM (SELECT path, metric, quantile_disc(value, 0.75) AS p75, CASE metric WHEN 'LCP' THEN 0 WHEN 'INP' THEN 1 ELSE 2 END AS s FROM {_RUM} GROUP BY path, metric) WHERE (SELECT count(*) FROM {_RUM}) >= 100 AND p75 > CASE metric WHEN 'LCP' THEN 2500 WHEN 'INP' THEN 200 ELSE 0.1e0 END ORDER BY rank LIMIT 5",
     "error_clean": f"""SELECT event_id, {_REDACTED.format(x="message || ' from a.b@c.org or +61.2 (9999) 0000'")} AS message, CASE WHEN line % 3 = 0 THEN 'https://cdn.example.net' ELSE 'https://www.example.org' END || source AS source, line, line % 7 - 1 AS col,

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanfit.sources.versions import read_document, write_document
+
 OFFER = "struct<n:string,url:string,p:int,verified_at:string>"
 PRODUCT = f"id string, cat string, brand string, model string, displayName string, w int, h int, d int, stars int, price int, kwh_year int, door_swing_mm int, unavailable boolean, sponsored boolean, features array<string>, retailers array<{OFFER}>, priorityScore int"
 RUM = "metric string, path string, value double, ts long, ua string"
@@ -76,18 +78,38 @@ def write_by_category(rows: DataFrame, path: str, categories: tuple[str, ...]) -
 
 
 def write_report(rows: DataFrame, path: str, day: str) -> None:
-    """The same rows under the day and as the latest report."""
+    """The rows under the day; a small file, replaced as one, names the latest report."""
     rows.write.mode("overwrite").json(f"{path}/{day}")
-    rows.sparkSession.read.schema(rows.schema).json(f"{path}/{day}").write.mode("overwrite").json(f"{path}/latest")
+    write_document(rows.sparkSession, f"{path}/latest.json", {"day": day})
+
+
+def latest_report(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The report that was written last."""
+    return spark.read.schema(schema).json(f"{path}/{read_document(spark, f'{path}/latest.json')['day']}")
 
 
 def write_checked(rows: DataFrame, path: str, staging: str, good: Callable[[DataFrame], bool]) -> None:
-    """Writes to a staging folder first; the table at path changes only if what was written is good, else it stays as it was and an error is raised."""
+    """Writes to a staging folder first; what was written and is good takes the place of the table at path by renames, else that stays as it was and an error is raised.
+
+    Nothing is written twice. A run that ends between the two renames leaves the old table at `path`.old, which the next
+    run puts back; where readers must never miss a table, publish versions (`sources.versions`).
+    """
+    spark = rows.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs
+    here, staged, old = (files.Path(x) for x in (path, staging, f"{path}.old"))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(here):
+        fs.rename(old, here)
     rows.write.mode("overwrite").parquet(staging)
-    written = rows.sparkSession.read.schema(rows.schema).parquet(staging)
-    if not good(written):
+    if not good(spark.read.schema(rows.schema).parquet(staging)):
         raise ValueError(f"rows in {staging} fail the check; {path} stays as it was")
-    written.write.mode("overwrite").parquet(path)
+    fs.delete(old, True)
+    if fs.exists(here) and not fs.rename(here, old):
+        raise OSError(f"{path} cannot be set aside")
+    if not fs.rename(staged, here):
+        fs.rename(old, here)
+        raise OSError(f"{staging} cannot take the place of {path}")
+    fs.delete(old, True)
 
 
 def upsert_vault(vault: DataFrame, items: DataFrame) -> DataFrame:

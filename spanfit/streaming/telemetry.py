@@ -8,12 +8,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanfit.operators.telemetry import rum_percentiles, signature
+from spanfit.operators.telemetry import count_percentiles, signature, value_counts
+
+COUNTS = "path string, metric string, value double, n long, day date, batch long"
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_at_once: int = 100) -> DataFrame:
@@ -52,18 +55,37 @@ def window_limited(events: DataFrame, key: str, limit: int, window_s: float) ->
 
 
 def roll_up(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Exact percentiles are not incremental: each micro-batch adds its events to a log and the roll-up is made anew from it.
+    """Keeps exact percentiles by day while events come in: a micro-batch adds its counts of values, and only the days that it has events of are worked out anew.
 
-    A batch that is tried again replaces its own part of the log.
+    Counts lie under (day, batch), so a batch that is tried again replaces its own; late events touch their own day only.
+    `path`/daily has day, path, metric, n and percentiles; `rolled_up` gives those of any days together.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/log/batch={number}")
-        rum_percentiles(batch.sparkSession.read.parquet(f"{path}/log")).write.mode("overwrite").parquet(f"{path}/latest")
+        spark = batch.sparkSession
+        value_counts(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{path}/counts")
+        try:
+            counts = spark.read.schema(COUNTS).parquet(f"{path}/counts")
+        except AnalysisException as e:  # no event so far counts
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        days = [r.day for r in counts.where(F.col("batch") == number).select("day").distinct().collect()]
+        if days:
+            daily = count_percentiles(counts.where(F.col("day").isin(days)), ("day", "path", "metric"))
+            daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/daily")
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def rolled_up(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """path, metric, n and exact percentiles of the days between (dates, both included) of a roll-up, from its counts."""
+    counts = spark.read.schema(COUNTS).parquet(f"{path}/counts")
+    for day, test in ((first, F.col("day") >= F.lit(first).cast("date")), (last, F.col("day") <= F.lit(last).cast("date"))):
+        counts = counts.where(test) if day else counts
+    return count_percentiles(counts)
+
+
 def run_once(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """All that is there now, into Parquet (append) or, for update mode, one Parquet folder per micro-batch."""
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
