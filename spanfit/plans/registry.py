@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanfit.plans import etl, extras, names, pages, proof, search, searches, signals
+from spanfit.plans import etl, extras, names, pages, proof, records, search, searches, signals
 
-FAMILIES = (search, pages, etl, signals, proof, extras, names, searches)
+FAMILIES = (search, pages, etl, signals, proof, extras, names, searches, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
