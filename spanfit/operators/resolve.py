@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanfit.functions.columns import squash
+from spanfit.functions.lineage import cut
 from spanfit.operators.facets import ranked
 from spanfit.operators.similar import contained, prefixes, within_edits
 
@@ -92,19 +93,74 @@ def upsert_offers(offers: DataFrame, new: DataFrame, policy: str = "update") ->
     return rows.groupBy("product_id", "k").agg(first.alias("n"), last("url").alias("url"), last("p").alias("p"), F.min("pos").alias("pos")).drop("k")
 
 
+def _tokens(rows: DataFrame, *names: str) -> Column:
+    """The squashed values of those columns that exist, in order, without empty and repeated ones."""
+    there = [squash(F.col(n)) for n in names if n in rows.columns]
+    return F.array_distinct(F.filter(F.array(*there), lambda t: t != ""))
+
+
+def evidence_keys(evidence: DataFrame) -> DataFrame:
+    """(token, evidence_id): model tokens that stand for one file.
+
+    Files are taken in order, each file's tokens (model, sku, extracted_model) in order up to the first that another file
+    has already set; that one stands for none from then on. A claim counts if no earlier token of its file collided, and a
+    collision is a token's second claim that counts: repeated from all claims, that settles files in order, so the loop
+    ends after as many rounds as collisions follow from each other. Of a token's claims only the first two are ranked.
+    """
+    claims = cut(evidence.select("evidence_id", F.posexplode(_tokens(evidence, "model", "sku", "extracted_model")).alias("pos", "token")))
+    live, state = claims, None
+    while True:
+        second = ranked(live, [F.asc("evidence_id")], ["token"], 2, "nth").where("nth = 2")
+        stops = cut(second.groupBy("evidence_id").agg(F.min("pos").alias("stop")))
+        now = tuple(stops.agg(F.count("*"), F.bit_xor(F.xxhash64("evidence_id", "stop"))).first())
+        if now == state:
+            break
+        state = now
+        live = claims.join(stops, "evidence_id", "left").where(F.col("stop").isNull() | (F.col("pos") <= F.col("stop"))).drop("stop")
+    return live.groupBy("token").agg(F.min("evidence_id").alias("evidence_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
 def match_evidence(evidence: DataFrame, products: DataFrame) -> DataFrame:
-    """(evidence_id, id, by): each file to one product, by product id, else by an unambiguous model token; a file is used once.
+    """(evidence_id, id, by): each file to one product.
 
-    Of files that name the same product the first counts; a token that two entries share is no key. (All tokens of an entry
-    are looked at, also after an ambiguous one.)
+    A product takes the file that names its id (or else slug), else the one that the first known of its tokens stands for
+    (model, sku, id, slug in order). Of files that name the same product only the first counts at all, and of products that
+    take the same file the first; the others stay as they are.
+    """
+    named = ranked(evidence.where(F.coalesce("product_id", F.lit("")) != ""), [F.asc("evidence_id")], ["product_id"], 1, "nth").drop("nth")
+    counted = named.unionByName(evidence.where(F.coalesce("product_id", F.lit("")) == ""))
+    own = F.coalesce(*(F.nullif(c, F.lit("")) for c in ("id", "slug") if c in products.columns))
+    by_id = products.select("id", "ord", own.alias("key")).join(named.select(F.col("product_id").alias("key"), "evidence_id"), "key").select("id", "ord", "evidence_id", F.lit(-1).alias("way"))
+    by_token = products.select("id", "ord", F.posexplode(_tokens(products, "model", "sku", "id", "slug")).alias("way", "token")).join(evidence_keys(counted), "token").select("id", "ord", "evidence_id", "way")
+    taken = by_id.unionByName(by_token).groupBy("id", "ord").agg(F.min_by(F.struct("evidence_id", "way"), "way").alias("x")).select("id", "ord", "x.*")
+    return ranked(taken, [F.asc("ord")], ["evidence_id"], 1, "nth").select("evidence_id", "id", F.when(F.col("way") < 0, "id").otherwise("token").alias("by"))
+
+
+def manual_evidence(products: DataFrame, manual: DataFrame) -> DataFrame:
+    """products with `evidence` (has_pdf_evidence, source_url, verified_at, source_type) of the manual entry that is theirs; null without one that is approved.
+
+    manual: key, ord, brand, model, items (status, verified_at, extraction_date, source_url, pdf_url, has_pdf_evidence,
+    source_type, sku). A product's entry is the one under its slug, or its id, or else the first of its brand whose model,
+    or whose first approved item's SKU, is the product's model. The entry's first approved item with a date and no bad
+    address counts; an entry without one is not replaced by another.
     """
-    first = ranked(evidence, [F.asc("evidence_id")], ["product_id"], 1, "nth").drop("nth")
-    by_id = first.join(products.select("id", "ord"), F.col("product_id") == F.col("id")).select("evidence_id", "id", "ord", F.lit(0).alias("way"))
-    tokens = first.select("evidence_id", F.explode(F.array_distinct(F.filter(F.array(squash(F.col("model")), squash(F.col("sku"))), lambda t: F.length(t) >= 4))).alias("token"))
-    sole = tokens.groupBy("token").agg(F.min("evidence_id").alias("evidence_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    by_token = products.withColumn("token", squash(F.col("model"))).join(sole, "token").select("evidence_id", "id", "ord", F.lit(1).alias("way"))
-    both = ranked(by_id.unionByName(by_token), [F.asc("way"), F.asc("ord")], ["id"], 1, "per_product").drop("per_product")
-    return ranked(both, [F.asc("way"), F.asc("ord")], ["evidence_id"], 1, "per_file").select("evidence_id", "id", F.when(F.col("way") == 0, "id").otherwise("token").alias("by"))
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    approved = F.filter("items", lambda x: F.coalesce(x["status"] == "approved", F.lit(False)))
+    entries = manual.withColumns({"e_brand": low("brand"), "e_model": low("model"), "e_sku": low(F.get(approved, F.lit(0))["sku"])})
+    direct = entries.select(F.col("key").alias("e_key"), "ord", "items")
+    way = lambda n, e, cond, p: p.join(e, cond).select(F.col("p_id"), F.struct(F.lit(n).alias("way"), F.col("ord")).alias("at"), "items")
+    mine = products.select(F.col("id").alias("p_id"), *(F.trim(F.coalesce(c, F.lit(""))).alias(f"p_{c}") for c in ("slug",) if c in products.columns), low("brand").alias("p_brand"), low("model").alias("p_model"))
+    by_model = F.array_distinct(F.array("e_model", "e_sku"))
+    named = entries.where("e_brand <> ''").select("ord", "items", "e_brand", F.explode(by_model).alias("e_name")).where("e_name <> ''")
+    found = [way(1, direct, F.col("p_id") == F.col("e_key"), mine), way(2, named, (F.col("p_brand") == F.col("e_brand")) & (F.col("p_model") == F.col("e_name")), mine)]
+    if "p_slug" in mine.columns:
+        found.append(way(0, direct, (F.col("p_slug") != "") & (F.col("p_slug") == F.col("e_key")), mine))
+    best = reduce(DataFrame.unionByName, found).groupBy("p_id").agg(F.min_by("items", "at").alias("items"))
+    web = lambda u: F.nullif(F.regexp_extract(F.coalesce(u, F.lit("")), r"(?i)^\s*(https?://[^/\s?#]\S*)\s*$", 1), F.lit(""))
+    day = lambda d: F.nullif(F.regexp_extract(F.coalesce(d, F.lit("")), r"^\s*(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+    patch = lambda x: F.struct(F.coalesce(x["has_pdf_evidence"], F.lit(True)).alias("has_pdf_evidence"), F.coalesce(web(x["source_url"]), web(x["pdf_url"])).alias("source_url"), F.coalesce(day(x["verified_at"]), day(x["extraction_date"])).alias("verified_at"), F.nullif(F.trim(x["source_type"]), F.lit("")).alias("source_type"))
+    picked = best.select("p_id", F.get(F.filter(F.transform(approved, patch), lambda x: x["verified_at"].isNotNull()), F.lit(0)).alias("evidence"))
+    return products.join(picked, F.col("id") == F.col("p_id"), "left").drop("p_id")
 
 
 def overlay_evidence(products: DataFrame, matched: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -115,8 +171,10 @@ def overlay_evidence(products: DataFrame, matched: DataFrame, evidence: DataFram
 
 
 def new_from_evidence(evidence: DataFrame, matched: DataFrame, products: DataFrame) -> DataFrame:
-    """Evidence that matched nothing, once per model, unless a product has the model."""
-    left = evidence.join(matched, "evidence_id", "left_anti").withColumn("token", squash(F.col("model")))
+    """Evidence that matched nothing, once per model, unless a product has the model; files that name a product which an earlier file names are left out."""
+    first = F.row_number().over(Window.partitionBy("product_id").orderBy("evidence_id")) == 1
+    named = evidence.where(F.coalesce("product_id", F.lit("")) != "").withColumn("_first", first).where("_first").drop("_first")
+    left = named.unionByName(evidence.where(F.coalesce("product_id", F.lit("")) == "")).join(matched, "evidence_id", "left_anti").withColumn("token", squash(F.col("model")))
     known = products.select(squash(F.col("model")).alias("token"))
     return ranked(left.join(known, "token", "left_anti"), [F.asc("evidence_id")], ["token"], 1, "nth").select("evidence_id", "token")
 

@@ -27,8 +27,10 @@ def _scraped(spark, sf_dir):
 
 def _evidence(spark, sf_dir):
     k = F.col("ord")
-    rows = _p(spark, sf_dir).where("ord % 4 = 1")
-    return rows.select(k.alias("evidence_id"), F.when(k % 8 == 1, F.col("id")).when(k % 8 == 5, F.concat(F.lit("x"), (k / 20).cast("int").cast("string"))).alias("product_id"), F.when(k % 40 == 5, F.concat(F.lit("new "), "model")).otherwise(F.col("model")).alias("model"), F.concat(F.lit("sku"), (k % 100).cast("string")).alias("sku"), *((F.col(a) + 1).alias(a) for a in "whd"))
+    rows = _p(spark, sf_dir)
+    model = F.when(k % 40 == 5, F.concat(F.lit("new "), "model")).when(k % 10 == 3, F.concat(F.lit("Shared-"), F.floor(k / 30).cast("string"))).otherwise(F.col("model"))
+    named = F.when(k % 8 == 1, F.col("id")).when(k % 8 == 5, F.concat(F.lit("x"), F.floor(k / 20).cast("string"))).when(k % 16 == 4, F.concat(F.lit("p"), (k + 1).cast("string")))
+    return rows.select(k.alias("evidence_id"), named.alias("product_id"), model.alias("model"), F.concat(F.lit("sku"), F.when(k % 10 == 3, k + 7).otherwise(k % 100).cast("string")).alias("sku"), F.when(k % 6 == 0, F.concat(F.lit("P-"), (k + 2).cast("string"))).alias("extracted_model"), *((F.col(a) + 1).alias(a) for a in "whd"))
 
 
 def upsert_sources(spark, sf_dir):
@@ -212,11 +214,24 @@ QUERIES = [upsert_sources, upsert_by_key, feed_match, fuzzy_match, prefix_match,
 
 _SQ = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
 _SCRAPED = "(SELECT ord AS item, brand, CASE WHEN ord % 9 = 0 THEN model || 'x' WHEN ord % 9 = 3 THEN 'z' || substr(model, 2) ELSE model END AS model, CAST(w + ord % 8 AS BIGINT) AS w, h, d FROM products WHERE ord % 3 = 0)"
-_EV = "(SELECT ord AS evidence_id, CASE WHEN ord % 8 = 1 THEN id WHEN ord % 8 = 5 THEN 'x' || CAST(ord // 20 AS VARCHAR) END AS product_id, CASE WHEN ord % 40 = 5 THEN 'new ' || model ELSE model END AS model, 'sku' || CAST(ord % 100 AS VARCHAR) AS sku, w + 1 AS w, h + 1 AS h, d + 1 AS d FROM products WHERE ord % 4 = 1)"
-_FIRST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY evidence_id) AS nth FROM {_EV}) WHERE nth = 1)"
-_TOKENS = f"(SELECT DISTINCT evidence_id, token FROM (SELECT evidence_id, {_SQ.format('model')} AS token FROM {_FIRST} UNION ALL SELECT evidence_id, {_SQ.format('sku')} FROM {_FIRST}) WHERE length(token) >= 4)"
-_CAND = f"(SELECT evidence_id, id, ord, 0 AS way FROM {_FIRST} JOIN products ON product_id = id UNION ALL SELECT t.evidence_id, id, ord, 1 FROM products JOIN (SELECT token, min(evidence_id) AS evidence_id FROM {_TOKENS} GROUP BY token HAVING count(*) = 1) t ON t.token = {_SQ.format('model')})"
-_MATCH = f'(SELECT evidence_id, id, CASE WHEN way = 0 THEN $$id$$ ELSE $$token$$ END AS "by" FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY way, ord) AS k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY way, ord) AS j FROM {_CAND}) WHERE j = 1) WHERE k = 1)'
+_EV = """(SELECT ord AS evidence_id, CASE WHEN ord % 8 = 1 THEN id WHEN ord % 8 = 5 THEN 'x' || ord // 20 WHEN ord % 16 = 4 THEN 'p' || (ord + 1) END AS product_id, CASE WHEN ord % 40 = 5 THEN 'new ' || model WHEN ord % 10 = 3 THEN 'Shared-' || ord // 30 ELSE model END AS model,
+    'sku' || CASE WHEN ord % 10 = 3 THEN ord + 7 ELSE ord % 100 END AS sku, CASE WHEN ord % 6 = 0 THEN 'P-' || (ord + 2) END AS extracted_model, w + 1 AS w, h + 1 AS h, d + 1 AS d FROM products)"""
+_FIRST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY evidence_id) AS nth FROM {_EV}) WHERE nth = 1 OR product_id IS NULL)"
+
+
+def _matched(rounds: int = 6) -> str:
+    """Claims on tokens settle round by round; six are enough for these rows."""
+    steps = [f"first AS MATERIALIZED {_FIRST}", f"claims AS MATERIALIZED (SELECT evidence_id, min(pos) AS pos, token FROM (SELECT evidence_id, 0 AS pos, {_SQ.format('model')} AS token FROM first UNION ALL SELECT evidence_id, 1, {_SQ.format('sku')} FROM first UNION ALL SELECT evidence_id, 2, {_SQ.format('extracted_model')} FROM first) WHERE token <> '' GROUP BY ALL)", "live0 AS MATERIALIZED (SELECT * FROM claims)"]
+    for r in range(rounds):
+        steps.append(f"stops{r} AS MATERIALIZED (SELECT evidence_id, min(pos) AS stop FROM (SELECT * FROM live{r} QUALIFY row_number() OVER (PARTITION BY token ORDER BY evidence_id) = 2) GROUP BY 1)")
+        steps.append(f"live{r + 1} AS MATERIALIZED (SELECT claims.* FROM claims LEFT JOIN stops{r} USING (evidence_id) WHERE stop IS NULL OR pos <= stop)")
+    steps.append(f"keys AS MATERIALIZED (SELECT token, min(evidence_id) AS evidence_id FROM live{rounds} GROUP BY 1 HAVING count(*) = 1)")
+    steps.append(f"""taken AS (SELECT id, ord, arg_min(evidence_id, way) AS evidence_id, min(way) AS way FROM (SELECT p.id, p.ord, evidence_id, -1 AS way FROM products p JOIN first ON product_id = p.id UNION ALL SELECT p.id, p.ord, evidence_id, 0 FROM products p JOIN keys ON token = {_SQ.format('p.model')}
+        UNION ALL SELECT p.id, p.ord, evidence_id, 1 FROM products p JOIN keys ON token = p.id) GROUP BY 1, 2)""")
+    return f"""(WITH {', '.join(steps)} SELECT evidence_id, id, CASE WHEN way < 0 THEN 'id' ELSE 'token' END AS "by" FROM taken QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY ord) = 1)"""
+
+
+_MATCH = _matched()
 _ALIAS = "(SELECT DISTINCT upper(brand) AS alias, 'Brand#' || CAST(length(brand) AS VARCHAR) AS canonical FROM products WHERE brand LIKE '%1%')"
 _TIER = "CASE WHEN brand = 'Brand#9' THEN 'dropped' WHEN brand IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'tier1' WHEN brand IN ('Brand#4', 'Brand#5') THEN 'tier2' WHEN brand = 'Brand#6' THEN 'tier3' ELSE 'unknown' END"
 _ERR = "(SELECT ord, id, CASE WHEN ord % 10 = 0 THEN NULL ELSE w END AS w, CASE WHEN ord % 6 = 0 THEN 2600 ELSE h END AS h, CASE WHEN ord % 14 = 0 THEN 0 ELSE price END AS price, CASE WHEN ord % 50 = 1 THEN ' ' ELSE brand END AS brand, ord % 7 * 60 AS swing FROM products)"
@@ -239,7 +254,7 @@ ORACLE = {
         FROM (SELECT product_id, pos, n, url, p, 0 AS nth_ FROM offers UNION ALL SELECT product_id, pos, upper(n), NULL, p + 1, 1 FROM offers WHERE pos % 5 = 0) GROUP BY product_id, {_SQ.format('n')}""",
     "evidence_match": f'SELECT evidence_id, id, "by" FROM {_MATCH}',
     "evidence_overlay": f"SELECT cat, m.id IS NOT NULL AS verified, count(*) AS n, CAST(sum(coalesce(e.w, p.w)) AS BIGINT) AS w, CAST(sum(coalesce(e.h, p.h)) AS BIGINT) AS h FROM products p LEFT JOIN {_MATCH} m ON m.id = p.id LEFT JOIN {_EV} e ON e.evidence_id = m.evidence_id GROUP BY ALL",
-    "evidence_new": f"SELECT min(evidence_id) AS evidence_id, {_SQ.format('model')} AS token FROM {_EV} WHERE evidence_id NOT IN (SELECT evidence_id FROM {_MATCH}) AND {_SQ.format('model')} NOT IN (SELECT {_SQ.format('model')} FROM products) GROUP BY token",
+    "evidence_new": f"SELECT min(evidence_id) AS evidence_id, {_SQ.format('model')} AS token FROM {_FIRST} WHERE evidence_id NOT IN (SELECT evidence_id FROM {_MATCH}) AND {_SQ.format('model')} NOT IN (SELECT {_SQ.format('model')} FROM products) GROUP BY token",
     "manual_retailers": "SELECT id, coalesce(k, 0) AS n_approved, k IS NULL OR unavailable AS unavailable FROM products LEFT JOIN (SELECT product_id, count(*) AS k FROM offers WHERE p > 1000 AND n <> 'Bing Lee' GROUP BY product_id) ON id = product_id",
     "research_lookup": "SELECT id, CASE WHEN ord % 3 = 0 THEN ord END AS value FROM products",
     "brand_alias": f"SELECT brand, count(*) AS n FROM (SELECT coalesce(canonical, brand) AS brand FROM products LEFT JOIN {_ALIAS} ON lower(brand) = lower(alias)) WHERE brand NOT IN (SELECT brand FROM products WHERE brand LIKE '%9') GROUP BY brand",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanfit.operators import resolve as r
 from spanfit.operators import sheets
 from spanfit.plans.oracle import with_tables
 from spanfit.sources import adapters
@@ -30,7 +31,18 @@ def sheet_values(spark, sf_dir):
     return sheets.parse_sheets(rows)
 
 
-QUERIES = [sheet_values]
+def manual_evidence(spark, sf_dir):
+    """Every product with the manual entry that is its own: by slug, id, or brand with model or SKU; one in three has none."""
+    p = adapters.products(spark, sf_dir).withColumn("slug", F.concat(F.lit("s-"), "id"))
+    k = F.col("ord")
+    item = lambda status, day, url: F.struct(status.alias("status"), day.alias("verified_at"), F.lit("2024-05-06T07").alias("extraction_date"), url.alias("source_url"), F.lit("http://pdf.example.org/x").alias("pdf_url"), F.when(k % 2 == 0, False).alias("has_pdf_evidence"), F.lit(" ").alias("source_type"), F.concat(F.lit(" "), F.upper("model")).alias("sku"))
+    items = F.array(item(F.lit("pending"), F.lit("2020-01-01"), F.lit("https://no.example.org")), item(F.when(k % 12 != 0, "approved").otherwise("rejected"), F.when(k % 5 != 0, "2025-01-02"), F.when(k % 4 == 1, "https://docs.example.org/a").when(k % 4 == 2, "ftp://x")))
+    manual = p.where("ord % 3 <> 0").select(F.when(k % 3 == 1, F.when(k % 2 == 0, F.col("slug")).otherwise(F.col("id"))).otherwise(F.concat(F.lit("other-"), "id")).alias("key"), (k * 2).alias("ord"), F.upper("brand").alias("brand"), F.when(k % 6 == 2, F.col("model")).alias("model"), items.alias("items"))
+    rows = r.manual_evidence(p, manual.unionByName(manual.where("ord % 7 = 0").withColumns({"ord": F.col("ord") + 1, "key": F.concat(F.lit("late-"), "key"), "items": F.filter("items", lambda x: F.lit(False))})))
+    return rows.select("id", "evidence.has_pdf_evidence", "evidence.source_url", "evidence.verified_at", "evidence.source_type")
+
+
+QUERIES = [sheet_values, manual_evidence]
 
 _SHEET = "CASE doc_id % 6 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} END"
 
@@ -44,6 +56,8 @@ ORACLE = {
     "sheet_values": f"""SELECT doc_id AS id, {_by_sheet("width_mm", _W, _W, _W, _W)}, {_by_sheet("height_mm", _H, _H, _H, _H)}, {_by_sheet("depth_mm", _D, _D, _D, _D)}, {_by_sheet("door_open_90_depth_mm", None, None, None, 1200)},
         {_by_sheet("top_mm", _C, 25, 0, 50)}, {_by_sheet("left_mm", _C, _C, _C, _C)}, {_by_sheet("right_mm", _C, _C, _C, _C)}, {_by_sheet("rear_mm", _C, 50, 0, 20)},
         CASE doc_id % 6 WHEN 4 THEN 'no dimensions' WHEN 5 THEN 'the text is about dishwasher' END AS problem FROM documents""",
+    "manual_evidence": """SELECT id, CASE WHEN good THEN ord % 2 <> 0 END AS has_pdf_evidence, CASE WHEN good THEN CASE WHEN ord % 4 = 1 THEN 'https://docs.example.org/a' ELSE 'http://pdf.example.org/x' END END AS source_url,
+        CASE WHEN good THEN CASE WHEN ord % 5 <> 0 THEN '2025-01-02' ELSE '2024-05-06' END END AS verified_at, CAST(NULL AS VARCHAR) AS source_type FROM (SELECT *, ord % 3 <> 0 AND ord % 12 <> 0 AS good FROM products)""",
 }
 
 

@@ -1,8 +1,10 @@
-"""Spec sheets by rules."""
+"""Spec sheets by rules, evidence files and manual entries against plain readings."""
+
+import random
 
 import pytest
 
-from spanfit.operators import sheets
+from spanfit.operators import resolve, sheets
 
 FRIDGE = """Refrigerator
 User manual
@@ -70,3 +72,69 @@ def test_flags(spark):
     rows = spark.createDataFrame([(1, "fridge", "non-plumbed plumbed"), (2, "fridge", "Water  line"), (3, "dryer", "Heat Pump drain hose direct drain"), (4, "dryer", None), (5, "dishwasher", "Door reversal")], "id int, cat string, text string")
     got = rows.select("id", *(c.alias(n) for n, c in sheets.sheet_flags().items())).orderBy("id").collect()
     assert [tuple(r)[1:] for r in got] == [(False, True, None), (True, True, None), (True, False, None), (False, True, None), (True, False, True)]
+
+
+def merged(files, products):
+    """The reference run: files in order into an index, products in order out of it."""
+
+    def squash(x):
+        return "".join(c for c in (x or "").lower() if c.isascii() and c.isalnum())
+
+    by_id, by_sku, ambiguous, dropped = {}, {}, set(), set()
+    for e in sorted(files, key=lambda e: e[0]):
+        if e[1]:
+            if e[1] in by_id:
+                dropped.add(e[0])
+                continue
+            by_id[e[1]] = e[0]
+        for token in dict.fromkeys(t for t in map(squash, e[2:5]) if t):
+            if token in ambiguous:
+                continue
+            if token not in by_sku:
+                by_sku[token] = e[0]
+            elif by_sku[token] != e[0]:
+                del by_sku[token]
+                ambiguous.add(token)
+                break
+    used, out = set(), {}
+    for p in sorted(products, key=lambda p: p[1]):
+        found = by_id.get(p[0]) or next((by_sku[t] for t in map(squash, (p[2], p[3], p[0])) if t in by_sku), None)
+        if found and found not in used:
+            used.add(found)
+            out[found] = p[0]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_evidence_is_matched_file_by_file(spark, seed):
+    r = random.Random(seed)
+    word = lambda: r.choice([None, "", "A12", "a-12", "A 1 2", "b7", "B-7", "c", "D/9", "e5", "F6", "g-7", "p3", "P-4"])
+    files = [(f"f{k:03d}", r.choice([None, "", f"p{r.randrange(12)}"]), word(), word(), word()) for k in range(30)]
+    products = [(f"p{k}", k, word(), word()) for k in range(25)]
+    e = spark.createDataFrame(files, "evidence_id string, product_id string, model string, sku string, extracted_model string")
+    p = spark.createDataFrame(products, "id string, ord int, model string, sku string")
+    got = {x.evidence_id: x.id for x in resolve.match_evidence(e, p).collect()}
+    assert got == merged(files, products)
+
+
+def test_the_same_model_of_two_products_takes_the_named_one(spark):
+    e = spark.createDataFrame([("RF730.json", "fridge-a", "RF730QNUVX1", "RF730QNUVX1")], "evidence_id string, product_id string, model string, sku string")
+    p = spark.createDataFrame([("fridge-b", 0, "RF730QNUVX1"), ("fridge-a", 1, "RF730QNUVX1")], "id string, ord int, model string")
+    # The first in order has the model and takes the file; the one that is named finds it used.
+    assert [(x.id, x.by) for x in resolve.match_evidence(e, p).collect()] == [("fridge-b", "token")]
+    q = spark.createDataFrame([("fridge-a", 0, "RF730QNUVX1"), ("fridge-b", 1, "RF730QNUVX1")], "id string, ord int, model string")
+    assert [(x.id, x.by) for x in resolve.match_evidence(e, q).collect()] == [("fridge-a", "id")]
+    assert resolve.match_evidence(e.limit(0), p).collect() == []
+
+
+def test_manual_entries(spark):
+    item = "array<struct<status:string,verified_at:string,extraction_date:string,source_url:string,pdf_url:string,has_pdf_evidence:boolean,source_type:string,sku:string>>"
+    ok = ("approved", "2025-01-02T03", None, "https://a.example/x", None, None, "manual", "SKU9")
+    manual = spark.createDataFrame([
+        ("slug-1", 1, "Acme", "M1", [ok]), ("p1", 2, "Acme", "M1", []), ("x", 3, " ACME ", "m2", [("pending", "2024-01-01", None, None, None, None, None, "S"), ok]), ("y", 4, "acme", "other", [ok]),
+        ("z", 5, "acme", "M3", [("approved", "soon", None, None, None, None, None, None)]), ("w", 6, "acme", "M3", [ok]), ("v", 7, "", "M4", [ok]), ("u", 8, "acme", "M5", None),
+    ], f"key string, ord int, brand string, model string, items {item}")
+    products = spark.createDataFrame([("p1", "slug-1", "acme", "M1"), ("p2", "", "Acme", " M2"), ("p3", None, "Acme", "sku9"), ("p4", None, "ACME", "M3"), ("p5", None, "", "M4"), ("p6", None, "acme", "M5"), ("p7", None, None, None)], "id string, slug string, brand string, model string")
+    got = {x.id: x.evidence and x.evidence.asDict() for x in resolve.manual_evidence(products, manual).collect()}
+    patch = {"has_pdf_evidence": True, "source_url": "https://a.example/x", "verified_at": "2025-01-02", "source_type": "manual"}
+    assert got == {"p1": patch, "p2": patch, "p3": patch, "p4": None, "p5": None, "p6": None, "p7": None}
