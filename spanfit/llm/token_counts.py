@@ -5,9 +5,9 @@ are encoded once for each distinct text, and their counts are appended to the ca
 (digest, n_tokens) anywhere Spark can write, partitioned by tokenizer, so that one tokenizer's counts are read without the
 others'; it may be shared by many corpora and tokenizers.
 
-Whole texts are moved once: each scan task hands on the first of its equal texts, those are anti-joined with the cache by
-digest, and what misses is encoded where it lands. Ids and digests alone go to the
-final join, much copied texts dealt over many tasks.
+Digests alone are anti-joined with the cache. Where all hit, no text is read again; up to FEW misses are sent to all scan
+tasks, so only texts that miss move (each task's first of equal ones), to the task that encodes them. More misses are joined
+where the texts are dealt by digest. Ids and digests alone go to the final join, much copied texts dealt over many tasks.
 
 Counts are those of the library for the file: tokenizers for .json, sentencepiece for .model; no begin, end or added
 special ids, special strings as ordinary text, no truncation. For a sentencepiece model whose pieces never span a marker
@@ -34,6 +34,8 @@ from spanfit.llm.sp_backend import CACHE_ENTRIES, MARK, parse_model
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 #: Digests that a task remembers; a copy beyond them is encoded again.
 TASK_DIGESTS = 500_000
+#: Digests (32 bytes each) that may be sent to all tasks.
+FEW = 1_000_000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -119,24 +121,41 @@ def stored_counts(spark: SparkSession, cache_path: str, tokenizer: str) -> DataF
     return rows.where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col: str = "text") -> None:
-    """Encodes the distinct texts that the cache has no count of, and appends their counts."""
+def _slim(docs: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
+    """Digests (and ids and bytes) of texts, stored."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = [] if id_col is None else [F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes")]
+    return stored(docs.select(*own, F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")), "texts")
+
+
+def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col: str = "text", slim: DataFrame | None = None) -> None:
+    """Encodes the distinct texts that the cache has no count of, and appends their counts. slim: the stored digests of docs, if at hand."""
     spark = docs.sparkSession
     small_batches(spark)
     tokenizer = tokenizer_digest(tokenizer_path)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    firsts = docs.select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text")).mapInArrow(_firsts, "digest binary, text string")
+    slim = _slim(docs, None, text_col) if slim is None else slim
     known = stored_counts(spark, cache_path, tokenizer)
-    dealt = firsts.repartition("digest")  # equal texts of several tasks meet, also where the cache is small enough to be sent to all
-    misses = dealt if known is None else dealt.join(known, "digest", "left_anti")
-    new = misses.mapInArrow(_count(tokenizer_path), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    missing = slim.select("digest").distinct()
+    missing = stored(missing if known is None else missing.join(known, "digest", "left_anti"), "missing")
+    n = missing.count()
+    if not n:
+        return
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
+    if n <= FEW:
+        dealt = texts.join(F.broadcast(missing), "digest", "left_semi").mapInArrow(_firsts, "digest binary, text string").repartition("digest")  # at most FEW digests
+    else:
+        dealt = texts.mapInArrow(_firsts, "digest binary, text string").repartition("digest").join(missing, "digest", "left_semi")
+    new = dealt.mapInArrow(_count(tokenizer_path), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit. Appends counts of new texts to the cache."""
-    fill_cache(docs, tokenizer_path, cache_path, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")), "texts")
+    small_batches(docs.sparkSession)
+    rows = _slim(docs, id_col, text_col)
+    fill_cache(docs, tokenizer_path, cache_path, text_col, rows)
     counts = stored_counts(docs.sparkSession, cache_path, tokenizer_digest(tokenizer_path))
+    if counts is None:  # no rows, and no cache before
+        counts = docs.sparkSession.createDataFrame([], "digest binary, n_tokens long")
     return spread_join(rows, counts, ["digest"], "doc_id").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -196,3 +196,22 @@ def test_second_count_hits_the_cache(spark, tmp_path):
     first = sorted(map(tuple, token_counts(docs, PIECES, cache).collect()))
     assert spark.read.parquet(cache).count() == 5
     assert sorted(map(tuple, token_counts(docs, PIECES, cache).collect())) == first and spark.read.parquet(cache).count() == 5
+
+
+def test_texts_that_hit_are_not_read_again(spark, tmp_path, monkeypatch):
+    """With every digest in the cache nothing is encoded or moved; few misses move alone, many meet by digest."""
+    import spanfit.llm.token_counts as tc
+
+    docs = spark.createDataFrame([(k, f"text number {k % 40}") for k in range(200)], "doc_id long, text string").repartition(4)
+    moved = []
+    real = tc._count
+    monkeypatch.setattr(tc, "_count", lambda path: moved.append(path) or real(path))
+    for few in (1_000_000, 0):
+        monkeypatch.setattr(tc, "FEW", few)
+        cache = f"{tmp_path}/cache-{few}"
+        first = sorted(map(tuple, token_counts(docs, PIECES, cache).collect()))
+        n = len(moved)
+        assert sorted(map(tuple, token_counts(docs, PIECES, cache).collect())) == first and len(moved) == n  # all hit
+        more = docs.unionByName(spark.createDataFrame([(900, "a new text"), (901, "a new text")], "doc_id long, text string"))
+        got = sorted(map(tuple, token_counts(more, PIECES, cache).collect()))
+        assert got[:200] == first and got[200][2] == got[201][2] > 0 and spark.read.parquet(cache).count() == 41
