@@ -10,7 +10,9 @@ from LONG_TOKENS tokens on: a long passage that stands in two documents is no co
 Each scan task joins its equal lines first (with their number of documents), so a line that all documents share leaves a
 task once. Leaves are read in order of their lines; a leaf of up to LEAF_LINES distinct lines is parsed in its task. The
 lines of a larger leaf leave the task unparsed, so memory is bounded: its (position, token) pairs are counted by a group-by
-over all its lines and the constants are joined back, with the same result. Which lines to drop comes back by line digest
+over all its lines and the constants are joined back, with the same result; a token that all lines of a leaf have is dealt
+over many tasks. A leaf with more than a thousandth of all lines is not read by one task at all: its lines are dealt by
+(leaf, line) and go the same way. Which lines to drop comes back by line digest
 to (text digest, line number), with frequent lines and much copied texts dealt over many tasks; texts are joined at most
 once, for the cleaned output.
 
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfit.llm.common import fresh, small_batches, spread_join, stored
+from spanfit.llm.common import HOT_SHARE, fresh, small_batches, spread_join, stored
 
 LEAD, MIN_DOCS, MIN_TOKENS, CONSTANT = 4, 5, 4, 0.7
 LONG_TOKENS, LONG_DOCS = 50, 2
@@ -168,11 +170,24 @@ def _joined(constant: float):
 def _large(lines: DataFrame, constant: float) -> DataFrame:
     """What _parse gives, for the lines of large leaves: documents of each (leaf, position, token) are counted over all lines of the leaf."""
     placed = lines.select("leaf", "line", "n", "least", "tokens").mapInArrow(_placed, "leaf binary, at long, token binary, line binary, n long, least long")
-    seen = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("leaf", "at", "token")
-    fixed = placed.select("leaf", "at", "token", "line").join(seen, ["leaf", "at", "token"], "left_semi").groupBy("line").agg(F.collect_list("at").alias("fixed"))
+    key = ["leaf", "at", "token"]
+    counted = stored(placed.groupBy(*key).agg(F.sum("n").alias("docs"), F.max("least").alias("least"), F.count("*").alias("n")), "constants")
+    fixed = spread_join(placed.select(*key, "line"), counted.where("docs >= least").select(*key), key, "line", "left_semi", counted.select(*key, "n")).groupBy("line").agg(F.collect_list("at").alias("fixed"))
     return lines.select("line", "n", "least", "tokens").join(fixed, "line", "left").mapInArrow(_joined(constant), "line binary, template binary, n long, least long")
 
 
+def _apart(min_docs: int):
+    """Lines of a leaf that no task reads whole, as _parse hands on those of a large one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = b.column("line").to_pylist()
+            least = [least_docs(x.count(b" ") + 1, min_docs) for x in lines]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in lines], pa.binary()), b.column("n"), pa.array(least, pa.int64()), b.column("leaf"), b.column("line")], names=["line", "n", "least", "leaf", "tokens"])
+
+    return run
+
+
 def _numbered(min_tokens: int):
     """Line digests of each text: text digest, line number, line digest."""
 
@@ -200,10 +215,14 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_D
     """(text_key, dropped): SHA-256 of a text and the numbers, from 0, of its lines whose template recurs."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    lines = docs.select(text.alias("text")).mapInArrow(_lines(min_tokens), "leaf binary, line binary, n long")
-    ordered = lines.repartition("leaf").sortWithinPartitions("leaf", "line")
+    lines = stored(docs.select(text.alias("text")).mapInArrow(_lines(min_tokens), "leaf binary, line binary, n long"), "distinct")
+    sizes = lines.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") > max(LEAF_LINES, HOT_SHARE * lines.count()))
+    marked = lines.join(F.broadcast(sizes), "leaf", "left")  # fewer than 1 / HOT_SHARE leaves
+    ordered = marked.where("lines is null").select("leaf", "line", "n").repartition("leaf").sortWithinPartitions("leaf", "line")
     parsed = stored(ordered.mapInArrow(_parse(min_docs, constant), "line binary, template binary, n long, least long, leaf binary, tokens binary"), "templates")
-    parsed = stored(parsed.where("tokens is null").select("line", "template", "n", "least").unionByName(_large(parsed.where("tokens is not null"), constant)), "lines")
+    apart = marked.where("lines is not null").groupBy("leaf", "line").agg(F.sum("n").alias("n")).mapInArrow(_apart(min_docs), "line binary, n long, least long, leaf binary, tokens binary")
+    large = stored(parsed.where("tokens is not null").select("line", "n", "least", "leaf", "tokens").unionByName(apart), "large")
+    parsed = stored(parsed.where("tokens is null").select("line", "template", "n", "least").unionByName(_large(large, constant)), "lines")
     recurring = parsed.groupBy("template").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("template")
     bad = stored(spread_join(parsed, recurring, ["template"], "line", "left_semi").groupBy("line").agg(F.max("n").alias("n")), "recurring")
     numbered = docs.select(F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text")).mapInArrow(_numbered(min_tokens), "text_key binary, at int, line binary")

@@ -86,3 +86,32 @@ def test_large_leaves_are_brute_force(spark, docs, size, monkeypatch):
     rows = more.collect()
     want = sorted(str((r.doc_id, len((r.text or "").split("\n")), len(d), d)) for r, d in zip(rows, brute(rows), strict=True))
     assert sorted(str((r.doc_id, r.n_lines, r.n_dropped, r.dropped)) for r in line_report(more).collect()) == want
+
+
+def test_a_leaf_with_a_third_of_all_lines_is_dealt_over_tasks(spark, monkeypatch):
+    """Lines of one shape fill a leaf: they never meet the parser of whole leaves, tokens that all of them have are dealt, and the result is the same."""
+    rows = [(k, "\n".join([f"common head of the line w{k % 50} then x{chr(97 + k % 26) * (k % 9)} end", f"other {k % 7} shape of a line", "a b c d"])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted((r.doc_id, tuple(r.dropped)) for r in line_dedup.line_report(docs).collect())
+    joins, join = [], line_dedup.spread_join
+
+    def spread(many, few, on, by, *how, **named):
+        joins.append(tuple(on))
+        return join(many, few, on, by, *how, **named)
+
+    monkeypatch.setattr(line_dedup, "spread_join", spread)
+    monkeypatch.setattr(line_dedup, "LEAF_LINES", 20)
+    parse = line_dedup._parse
+
+    def small_only(*how):
+        def run(batches):
+            for out in parse(*how)(batches):
+                if any(x is not None for x in out.column("tokens").to_pylist()):
+                    raise ValueError("a large leaf was read by one task")
+                yield out
+
+        return run
+
+    monkeypatch.setattr(line_dedup, "_parse", small_only)
+    assert sorted((r.doc_id, tuple(r.dropped)) for r in line_dedup.line_report(docs).collect()) == want
+    assert ("leaf", "at", "token") in joins
