@@ -1,12 +1,13 @@
 """Embedding near-deduplication by E8 lattice hashing.
 
 Vectors with equal labels and cosine >= 0.93 link. Equal vectors of a label are first joined to one class with its size.
-Each of TABLES tables projects unit vectors by a random Gaussian matrix to 8 dimensions, shifts them, and decodes the
-nearest point of the E8 lattice; PROBES neighbouring lattice points, those nearest to the vector, are probed too. Two
-classes are compared if any of their cells agree. As a label grows its cells would fill with chance meetings, so labels of
-more classes use cells of several lattice codes at once (CODES: classes, codes, tables, scale). In simulation at 64
-dimensions pairs at cosine 0.93 share a cell with probability 0.998 or more at each size (closer ones: more), unrelated
-ones with 6e-3 for one code, 8e-5 for two, 4e-7 for three: a class meets about a hundred others by chance at any size.
+Each table projects unit vectors by random Gaussian matrices to 8 dimensions, shifts them, and decodes the nearest point of
+the E8 lattice; neighbouring lattice points, those nearest to the vector, are probed too. Two classes are compared if any of
+their cells agree. As a label grows its cells would fill with chance meetings, so cells of labels with more classes hold
+several lattice codes at once (CODES: classes, codes, tables, scale, probes). Of all combinations of a vector's points and
+their neighbours only the nearest ones are probed, so a vector has 40 cells in the first step and 96 in the others, at any
+number of codes. In simulation at 64 dimensions pairs at cosine 0.93 share a cell with probability 0.99 or more at each
+step (closer ones: more), unrelated ones with 6e-3 for one code, 2e-4 for two, some 1e-5 for three.
 
 Cells are counted before any vector moves: those of a single class are dropped. Vectors join the cells that are left, hot
 cells dealt over many tasks; cells of more than BLOCK classes are dealt in pairs of blocks. Within a block pair cosines are exact (double precision),
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 from spanfit.llm.common import small_batches, spread_join, stored
 from spanfit.llm.components import connected_components, least_names, stars
 
-COSINE, PROBES, SEED, BLOCK = 0.93, 4, 8, 512
-#: Classes of a label up to which a row holds, lattice codes of a cell, tables, scale of the projections.
-CODES = ((32_000, 1, 8, 1.0), (400_000, 2, 7, 0.8), (80_000_000, 3, 10, 0.8), (1 << 62, 4, 15, 0.8))
+COSINE, SEED, BLOCK = 0.93, 8, 512
+#: Classes of a label up to which a row holds, lattice codes of a cell, tables, scale of the projections, probed cells.
+CODES = ((32_000, 1, 8, 1.0, 4), (1_000_000, 2, 12, 0.7, 7), (30_000_000, 3, 12, 0.55, 7), (1 << 62, 4, 12, 0.42, 7))
 SMALL, PAIRS, STRETCH_BYTES = 64, 20_000, 16 << 20
 
 
@@ -75,30 +76,37 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def cells(x: np.ndarray, plan: int = 0, probes: int = PROBES, codes: tuple = CODES) -> np.ndarray:
-    """Of unit vectors: a 64-bit hash of each cell, shape (rows, tables, (1 + probes) ** codes of a cell)."""
-    _, n, tables, scale = codes[plan]
-    each = lattice_codes(x, n * tables, probes, scale).reshape(len(x), tables, n, 1 + probes)
-    out = each[:, :, 0]
-    for k in range(1, n):
-        out = (out[:, :, :, None] * np.uint64(0x9E3779B97F4A7C15) ^ each[:, :, k, None, :]).reshape(len(x), tables, -1)
+def cells(x: np.ndarray, plan: int = 0, codes: tuple = CODES) -> np.ndarray:
+    """Of unit vectors: a 64-bit hash of each cell, shape (rows, tables, 1 + probes); a vector's own cell and the nearest others."""
+    _, n, tables, scale, probes = codes[plan]
+    out = np.empty((len(x), tables, 1 + probes), np.uint64)
+    for t in range(tables):
+        found, far = np.zeros((len(x), 1), np.uint64), np.zeros((len(x), 1))
+        for k in range(n):
+            each, cost = lattice_codes(x, n * tables, t * n + k, probes, scale)
+            found = (found[:, :, None] * np.uint64(0x9E3779B97F4A7C15) ^ each[:, None, :]).reshape(len(x), -1)
+            far = (far[:, :, None] + cost[:, None, :]).reshape(len(x), -1)
+            near = np.argsort(far, axis=1, kind="stable")[:, : (1 + probes) * (1 if k == n - 1 else 2)]
+            found, far = np.take_along_axis(found, near, 1), np.take_along_axis(far, near, 1)
+        out[:, t] = found
     return out
 
 
-def lattice_codes(x: np.ndarray, tables: int, probes: int, scale: float) -> np.ndarray:
-    """Of unit vectors: a 64-bit hash of the lattice point and its probed neighbours in each table."""
-    near, out = minimal_vectors(), np.empty((len(x), tables, 1 + probes), np.uint64)
+def lattice_codes(x: np.ndarray, tables: int, table: int, probes: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of unit vectors in one of so many tables: a 64-bit hash of the lattice point and its nearest neighbours, and how much farther each is (squared)."""
+    near = minimal_vectors()
     by = np.random.default_rng((SEED, 1)).integers(1, 1 << 63, 8, np.uint64) | np.uint64(1)
-    for t, (a, shift) in enumerate(zip(*_tables(x.shape[1], tables, scale), strict=True)):
-        y = x @ a + shift
-        home = nearest_e8(y)
-        steps = near[np.argsort(-(y - home) @ near.T, axis=1, kind="stable")[:, :probes]]
-        at = np.concatenate([home[:, None], home[:, None] + steps], axis=1)
-        twice = np.round(2 * at).astype(np.int64).view(np.uint64)
-        h = (twice * by).sum(axis=2, dtype=np.uint64) ^ np.uint64(t * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out[:, t] = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return out
+    projections, shifts = _tables(x.shape[1], tables, scale)
+    y = x @ projections[table] + shifts[table]
+    home = nearest_e8(y)
+    towards = (y - home) @ near.T
+    order = np.argsort(-towards, axis=1, kind="stable")[:, :probes]
+    at = np.concatenate([home[:, None], home[:, None] + near[order]], axis=1)
+    cost = np.concatenate([np.zeros((len(x), 1)), 2 - 2 * np.take_along_axis(towards, order, 1)], axis=1)  # neighbours are at squared distance 2
+    twice = np.round(2 * at).astype(np.int64).view(np.uint64)
+    h = (twice * by).sum(axis=2, dtype=np.uint64) ^ np.uint64(table * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB), cost
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -115,11 +123,11 @@ def _alike(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield b.take(pa.array(rows[at : at + 200]))
 
 
-def _file(probes: int, codes: tuple):
+def _file(codes: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _alike(whole):
-                c = cells(unit(_vectors(b.column("embedding"))), b.column("plan")[0].as_py(), probes, codes)
+                c = cells(unit(_vectors(b.column("embedding"))), b.column("plan")[0].as_py(), codes)
                 rows = pa.array(np.repeat(np.arange(b.num_rows), c.shape[1] * c.shape[2]))
                 yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in ("cls", "label_a", "label_b", "dim")), pa.array(c.ravel().view(np.int64))], names=["cls", "label_a", "label_b", "dim", "cell"])
 
@@ -165,7 +173,7 @@ def _close_pairs(bucket: np.ndarray, own: np.ndarray, one: np.ndarray, x: np.nda
                 yield p[k2 : k2 + PAIRS], q[k2 : k2 + PAIRS]
 
 
-def _verify(cosine: float, probes: int, codes: tuple):
+def _verify(cosine: float, codes: tuple):
     """From rows in order of (label, dim, cell, i, j): per class of a stretch of buckets, the vectors it links with there and the least class it reaches."""
 
     def links(rows: pa.Table, bucket: np.ndarray) -> pa.RecordBatch:
@@ -187,7 +195,7 @@ def _verify(cosine: float, probes: int, codes: tuple):
                 if not len(p):
                     continue
                 met = np.unique(np.concatenate([each[p], each[q]]))  # cells of the few that are close
-                c = cells(x[met], int(length % len(codes)), probes, codes)
+                c = cells(x[met], int(length % len(codes)), codes)
                 ok = (_shared_first(c[np.searchsorted(met, each[p])], c[np.searchsorted(met, each[q])]) == cell[at[p]]) & (cls[at[p]] != cls[at[q]])
                 p, q = at[p[ok]], at[q[ok]]
                 np.add.at(count, place[p], n[q])
@@ -221,7 +229,7 @@ def _verify(cosine: float, probes: int, codes: tuple):
     return run
 
 
-def embedding_report(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, probes: int = PROBES, codes: tuple = CODES, block: int = BLOCK) -> DataFrame:
+def embedding_report(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, codes: tuple = CODES, block: int = BLOCK) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
     small_batches(rows.sparkSession)
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
@@ -236,7 +244,7 @@ def embedding_report(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     sizes = classes.groupBy("label_a", "label_b", "dim").agg(F.count("*").alias("of_label")).select("label_a", "label_b", "dim", plan.alias("plan"))
     classes = stored(spread_join(classes, sizes, ["label_a", "label_b", "dim"], "cls"), "classes")
 
-    filed = stored(classes.select("cls", "label_a", "label_b", "dim", "plan", "embedding").mapInArrow(_file(probes, codes), "cls long, label_a long, label_b long, dim long, cell long"), "cells")
+    filed = stored(classes.select("cls", "label_a", "label_b", "dim", "plan", "embedding").mapInArrow(_file(codes), "cls long, label_a long, label_b long, dim long, cell long"), "cells")
     key = ["label_a", "label_b", "dim", "cell"]
     members = stored(filed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "shared")
     shared = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("long")).drop("n")
@@ -245,7 +253,7 @@ def embedding_report(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     dealt = dealt.select(*key, "cls", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     full = dealt.join(classes.select("cls", "n", "plan", "embedding"), "cls")
     where = [*key, "i", "j"]
-    met = full.repartition(*where).sortWithinPartitions(*where).mapInArrow(_verify(cosine, probes, codes), "cls long, least long, links long")
+    met = full.repartition(*where).sortWithinPartitions(*where).mapInArrow(_verify(cosine, codes), "cls long, least long, links long")
     met = stored(met, "met")
 
     counts = met.groupBy("cls").agg(F.sum("links").alias("links"))

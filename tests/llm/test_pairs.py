@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -176,18 +177,34 @@ def test_e8_is_the_nearest_point():
     assert np.all((2 * p).sum(axis=1) % 4 == 0)
 
 
-@pytest.mark.parametrize("plan", range(len(CODES)))
-def test_recall_at_the_threshold(plan):
+@pytest.mark.parametrize(("plan", "dim"), [*((k, 64) for k in range(len(CODES))), (0, 32), (1, 128), (2, 24), (3, 256)])
+def test_recall_at_the_threshold(plan, dim):
     rng = np.random.default_rng(3)
-    u = unit(rng.standard_normal(((2000, 800, 300, 100)[plan], 64)))
+    u = unit(rng.standard_normal(((2000, 800, 600, 600)[plan], dim)))
     w = rng.standard_normal(u.shape)
     w = unit(w - (w * u).sum(axis=1, keepdims=True) * u)
     v = 0.93 * u + np.sqrt(1 - 0.93**2) * w
     hit = chance = 0
-    for a, b, c in zip(u, v, np.roll(u, 1, axis=0), strict=True):
-        x, y, z = (set(cells(r[None], plan).ravel().tolist()) for r in (a, b, c))
-        hit, chance = hit + bool(x & y), chance + bool(x & z)
-    assert hit / len(u) >= 0.99 and chance / len(u) <= 0.02
+    first, second = cells(u, plan), cells(v, plan)
+    for x, y, z in zip(first, second, np.roll(first, 1, axis=0), strict=True):
+        hit, chance = hit + bool((x[:, :, None] == y[:, None, :]).any()), chance + bool((x[:, :, None] == z[:, None, :]).any())
+    assert hit / len(u) >= 0.99 and chance / len(u) <= (0.02 if plan == 0 else 0.005)
+
+
+@pytest.mark.parametrize("plan", range(len(CODES)))
+def test_cells_of_a_step_stay_in_proportion(spark, plan, tmp_path, monkeypatch):
+    """What is filed takes at most four times the bytes of the vectors, at every step."""
+    rng = np.random.default_rng(plan)
+    rows = spark.createDataFrame([(k, [float(x) for x in v], 1) for k, v in enumerate(rng.standard_normal((600, 64)))], "vec_id long, embedding array<float>, label int").repartition(1)
+    rows.write.parquet(f"{tmp_path}/in")
+    most, *how = CODES[plan]
+    shared = f"{tmp_path}/shared"
+    names = itertools.count()
+    monkeypatch.setattr(common, "scratch", lambda _, what: f"file://{shared}/{what}-{next(names)}")
+    embedding_report(spark.read.parquet(f"{tmp_path}/in"), codes=((1 << 62, *how),)).count()
+    size = lambda folder: sum(f.stat().st_size for f in Path(folder).rglob("*.parquet"))
+    filed = sum(size(f) for f in Path(shared).glob("cells-*"))
+    assert 0 < filed <= 4 * size(f"{tmp_path}/in")
 
 
 @pytest.mark.parametrize(("block", "codes"), [(2048, CODES), (7, CODES), (7, CODES[1:])])
