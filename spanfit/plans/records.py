@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanfit.operators import outside, sheets, validators
 from spanfit.operators import resolve as r
-from spanfit.operators import sheets
 from spanfit.plans.oracle import with_tables
 from spanfit.sources import adapters
 
@@ -42,7 +42,43 @@ def manual_evidence(spark, sf_dir):
     return rows.select("id", "evidence.has_pdf_evidence", "evidence.source_url", "evidence.verified_at", "evidence.source_type")
 
 
-QUERIES = [sheet_values, manual_evidence]
+def energy_rows(spark, sf_dir):
+    """Every product's energy row, under headers of three generations."""
+    p, k = adapters.products(spark, sf_dir), F.col("ord")
+    text = lambda c: F.col(c).cast("string")
+    new = p.where("ord % 3 = 0").select("id", "cat", F.col("brand").alias("Brand"), F.col("model").alias("Model No"), F.concat(text("w"), F.lit(" mm")).alias("Width"), text("h").alias("Height"), F.lit("").alias("Depth"), text("d").alias("Depth (mm)"), (k % 900).cast("string").alias("Labelled energy consumption (kWh/year)"), F.concat((k % 15).cast("string"), F.lit(".5")).alias("New Star"))
+    old = p.where("ord % 3 = 1").select("id", "cat", F.col("brand").alias("Brand Name"), F.col("model").alias("Model Name"), F.lit("n/a").alias("width"), text("h").alias("height"), F.concat(text("d"), F.lit(".49")).alias("depth"), F.lit("1,234 kWh").alias("Annual Energy Consumption"), F.lit("none").alias("Star2009"), text("stars").alias("Star Rating"), F.lit("-").alias("Door Swing"))
+    plain = p.where("ord % 3 = 2").select("id", "cat", "brand", text("w").alias("Width (mm)"), text("stars").alias("stars"), F.lit("12.5").alias("door_swing_mm"))
+    return outside.energy_rows(outside.as_maps([new, old, plain], "id", "cat")).drop("row")
+
+
+def retailer_decisions(spark, sf_dir):
+    """Offers by what an audit of their retailers decided; the audit is a table in a text."""
+    table = F.lit("# Audit\n| Retailer | Terms | Robots | Decision |\n| --- | --- | --- | --- |\n| JB Hi-Fi | fine | fine | Green, not red |\n| jb  hi fi | - | - | YELLOW |\n| The Good Guys | ok | ok | GREEN |\n| Bing Lee | ok | yellow |\n| Harvey Norman | ok | ok | amber |\n|Appliances Online|a|b|yellow|\n")
+    audit = spark.range(1).select(F.lit("2026").alias("audit"), table.alias("text"))
+    return outside.decided(adapters.offers(spark, sf_dir), outside.legal_decisions(audit)).groupBy("decision", "refused").agg(F.count("*").alias("n"))
+
+
+def record_errors(spark, sf_dir):
+    """What is wrong with every product's record, extracted sheet and manual entry, some of which are broken on purpose."""
+    p, k = adapters.products(spark, sf_dir), F.col("ord")
+    quoted = F.when(k % 5 == 0, F.concat(F.lit('"'), F.col("w").cast("string"), F.lit('"'))).otherwise(F.col("w").cast("string"))
+    product = F.concat(
+        F.lit('{"id": "'), "id", F.lit('", "cat": "'), "cat", F.lit('", "brand": "'), F.when(k % 7 == 0, " ").otherwise("b"), F.lit('", "model": "m", "emoji": "e", "w": '), quoted, F.lit(', "h": '), F.col("h").cast("string"), F.lit(', "d": 650.0, "kwh_year": 300, "stars": '), F.when(k % 11 == 0, "7").otherwise("4"),
+        F.lit(', "price": null, "door_swing_mm": '), F.when(k % 13 == 0, "200").otherwise("0"), F.lit(', "features": [], "retailers": [{"n": "r", "url": "u", "p": '), F.when(k % 17 == 0, "-1").otherwise("5"), F.lit('}], "sponsored": false, "unavailable": true'), F.when(k % 19 == 0, ', "evidence": {"has_pdf_evidence": true, "verified_at": "2024-13-01"}').otherwise(""), F.lit("}"),
+    )
+    sheet = F.concat(F.lit('{"brand": "b", "model": "m", "category": "Washer", "dimensions_mm": {"height": '), F.col("h").cast("string"), F.lit(', "width": '), F.when(k % 5 == 0, "0.2").otherwise("600.4"), F.lit(', "depth": 600}, "confidence": "low", "source_pdf_url": "'), F.when(k % 7 == 0, "ftp://x").otherwise("https://e.org/x"), F.lit('", "extraction_date": "2024-05-06T07:08:09Z"}'))
+    entry = F.concat(F.lit('{"type": "spec_sheet", "status": "'), F.when(k % 3 == 0, "seen").otherwise("approved"), F.lit('", "source_url": "https://e.org/x", "local_path": "'), F.when(k % 5 == 0, "/").otherwise(""), F.lit('a.pdf"'), F.when(k % 9 != 0, "}").otherwise(""))
+    docs = p.select("id", F.try_parse_json(product).alias("p"), validators.normalised(F.try_parse_json(sheet)).alias("s"), F.try_parse_json(entry).alias("m"))
+    found = F.concat(*(F.transform(e, _named(kind)) for kind, e in (("product", validators.errors(F.col("p"), validators.PRODUCT)), ("sheet", validators.errors(F.col("s"), validators.EXTRACTED, validators.EXTRACTED_KEYS)), ("entry", validators.errors(F.col("m"), validators.MANUAL)))))
+    return docs.select("id", F.explode(found).alias("error"))
+
+
+def _named(kind):
+    return lambda x: F.concat(F.lit(f"{kind} "), x)
+
+
+QUERIES = [sheet_values, manual_evidence, energy_rows, retailer_decisions, record_errors]
 
 _SHEET = "CASE doc_id % 6 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} END"
 
@@ -58,6 +94,12 @@ ORACLE = {
         CASE doc_id % 6 WHEN 4 THEN 'no dimensions' WHEN 5 THEN 'the text is about dishwasher' END AS problem FROM documents""",
     "manual_evidence": """SELECT id, CASE WHEN good THEN ord % 2 <> 0 END AS has_pdf_evidence, CASE WHEN good THEN CASE WHEN ord % 4 = 1 THEN 'https://docs.example.org/a' ELSE 'http://pdf.example.org/x' END END AS source_url,
         CASE WHEN good THEN CASE WHEN ord % 5 <> 0 THEN '2025-01-02' ELSE '2024-05-06' END END AS verified_at, CAST(NULL AS VARCHAR) AS source_type FROM (SELECT *, ord % 3 <> 0 AND ord % 12 <> 0 AS good FROM products)""",
+    "energy_rows": """SELECT id, cat, brand, CASE WHEN ord % 3 < 2 THEN model END AS model, CASE WHEN ord % 3 <> 1 THEN w END AS w, CASE WHEN ord % 3 < 2 THEN h END AS h, CASE WHEN ord % 3 < 2 THEN d END AS d, CAST(CASE ord % 3 WHEN 0 THEN ord % 900 WHEN 1 THEN 1234 END AS INTEGER) AS kwh_year,
+        CAST(CASE WHEN ord % 3 > 0 THEN stars WHEN ord % 15 + 1 BETWEEN 1 AND 6 THEN ord % 15 + 1 END AS INTEGER) AS stars, CASE WHEN ord % 3 = 2 THEN 12.5e0 END AS door_swing_mm FROM products""",
+    "retailer_decisions": "SELECT decision, decision = 'RED' AS refused, count(*) AS n FROM (SELECT CASE n WHEN 'JB Hi-Fi' THEN 'RED' WHEN 'The Good Guys' THEN 'GREEN' WHEN 'Appliances Online' THEN 'YELLOW' ELSE 'UNKNOWN' END AS decision FROM offers) GROUP BY decision",
+    "record_errors": """SELECT id, unnest(list_filter([CASE WHEN ord % 7 = 0 THEN 'product brand: text' END, CASE WHEN ord % 5 = 0 THEN 'product w: integer' END, CASE WHEN ord % 11 = 0 THEN 'product stars: range' END, CASE WHEN ord % 13 = 0 THEN 'product door_swing_mm: range' END,
+        CASE WHEN ord % 17 = 0 THEN 'product retailers[0].p: range' END, CASE WHEN ord % 19 = 0 THEN 'product evidence.verified_at: date' END, CASE WHEN ord % 5 = 0 THEN 'sheet dimensions.width_mm: range' END, CASE WHEN ord % 7 = 0 THEN 'sheet metadata.source_pdf_url: url' END,
+        CASE WHEN ord % 9 = 0 THEN 'entry record: object' END, CASE WHEN ord % 3 = 0 AND ord % 9 > 0 THEN 'entry status: one of' END, CASE WHEN ord % 5 = 0 AND ord % 9 > 0 THEN 'entry local_path: unlike' END], lambda e: e IS NOT NULL)) AS error FROM products""",
 }
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanfit.operators import links
 from spanfit.operators import telemetry as t
 from spanfit.operators import text as x
 from spanfit.plans.oracle import with_tables
 from spanfit.sources import adapters
 
+REWRITES = ("/t:rest", "/el/:all*", "/:first/:second", "/the", "/(.*)", "no-slash")
 LINT = {"shout": "!!", "table": r"\|", "stars": r"\*\*\*", "money": r"[0-9]+\$"}
 
 
@@ -126,6 +128,28 @@ def broken_links(spark, sf_dir):
     return x.broken_links(edges, targets)
 
 
+def checked_links(spark, sf_dir):
+    """Targets of links that are no page, no file and no rewritten route."""
+    edges = x.link_edges(_pages(spark, sf_dir))
+    pages = edges.select(F.col("dst").alias("url")).where("length(url) % 4 = 0")
+    files = edges.select(F.col("dst").alias("path")).where("length(dst) % 4 = 1")
+    rules = links.rewrite_rules(spark.createDataFrame([(r,) for r in REWRITES], "source string"))
+    return links.broken_targets(links.checked_links(edges, pages, rules, files))
+
+
+def orphan_gate(spark, sf_dir):
+    return links.orphan_gate(link_graph(spark, sf_dir))
+
+
+def indexing_issues(spark, sf_dir):
+    """Every page's route against pages of which some are missing, hidden or of another address."""
+    k, route = F.col("page_id"), F.concat(F.lit("/p/"), F.col("page_id").cast("string"))
+    head = F.concat(F.when(k % 5 == 0, '<META content="noindex, nofollow" name="robots">').when(k % 5 == 1, "<meta name='robots' content='all'>").otherwise(""), F.when(k % 3 == 0, F.concat(F.lit("<link href='https://www.example.org"), route, F.lit("' rel='canonical'>"))).when(k % 3 == 1, F.lit('<link rel="canonical" href=" https://else.example.org/x ">')).otherwise(""))
+    pages = _pages(spark, sf_dir).where("page_id % 7 <> 0").select(route.alias("route"), F.concat(head, "html").alias("html"))
+    sitemap = _pages(spark, sf_dir).select(F.concat(F.lit("https://www.example.org"), route, F.when(k % 2 == 0, "/?q=1").otherwise("")).alias("url"))
+    return links.indexing_issues(sitemap, pages, "https://www.example.org")
+
+
 def route_diff(spark, sf_dir):
     p = _pages(spark, sf_dir)
     return x.two_sided(p.where("page_id % 3 <> 0"), p.where("page_id % 4 <> 0"))
@@ -173,7 +197,7 @@ def candidate_cascade(spark, sf_dir):
     return x.candidate_cascade(adapters.search_console(spark, sf_dir), adapters.sitemap(spark, sf_dir))
 
 
-QUERIES = [rum_clean, rum_percentiles, rum_daily, rum_by_metric, rum_status, bad_vitals, error_clean, error_signatures, error_daily_firsts, rum_sample, window_limiter, bucket_limiter, plan_cap, text_lint, text_ngrams, text_pairs, page_words, page_gate, page_index, link_graph, broken_links, route_diff, sitemap_scan, link_classes, link_summary, buy_links, query_intents, console_summary, keyword_gaps, coverage_similarity, covered_queries, candidate_cascade]
+QUERIES = [rum_clean, rum_percentiles, rum_daily, rum_by_metric, rum_status, bad_vitals, error_clean, error_signatures, error_daily_firsts, rum_sample, window_limiter, bucket_limiter, plan_cap, text_lint, text_ngrams, text_pairs, page_words, page_gate, page_index, link_graph, broken_links, checked_links, orphan_gate, indexing_issues, route_diff, sitemap_scan, link_classes, link_summary, buy_links, query_intents, console_summary, keyword_gaps, coverage_similarity, covered_queries, candidate_cascade]
 
 _SIG = "sha256(message || '|' || regexp_extract(source, '[^/]*$') || '|' || CAST(line AS VARCHAR))"
 _RUM = "(SELECT metric, path, CASE metric WHEN 'LCP' THEN value * 40 WHEN 'INP' THEN value * 3 ELSE value / 1000 END AS value FROM rum WHERE metric IN ('LCP', 'CLS', 'INP'))"
@@ -228,6 +252,10 @@ ORACLE = {
     "page_index": """SELECT url, regexp_matches(html, '(?i)<meta[^>]*name="robots"[^>]*noindex') AS noindex, regexp_extract(html, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1) AS canonical,
         regexp_extract(html, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1) NOT IN ('', url) AS elsewhere FROM pages""",
     "link_graph": f"SELECT url, coalesce(i, 0) AS n_in, coalesce(o, 0) AS n_out FROM (SELECT dst AS url FROM {_EDGES} UNION SELECT url FROM pages) LEFT JOIN (SELECT dst, count(*) AS i FROM {_EDGES} GROUP BY dst) ON dst = url LEFT JOIN (SELECT src, count(*) AS o FROM {_EDGES} GROUP BY src) ON src = url",
+    "checked_links": f"SELECT dst, count(*) AS n FROM {_EDGES} WHERE length(dst) % 4 > 1 AND NOT regexp_full_match(dst, '/t[^/]+|/el/.+|/[^/]+/[^/]+|/the') GROUP BY dst",
+    "orphan_gate": f"SELECT count(*) AS pages, CAST(sum(n) AS BIGINT) AS edges, count(*) FILTER (WHERE n = 0) AS orphans, count(*) FILTER (WHERE n = 0) = 0 AS ok FROM (SELECT url, count(dst) AS n FROM (SELECT dst AS url FROM {_EDGES} UNION SELECT url FROM pages) LEFT JOIN {_EDGES} ON dst = url GROUP BY url)",
+    "indexing_issues": """SELECT '/p/' || page_id AS route, issue, CASE WHEN issue = 'canonical-mismatch' THEN 'https://else.example.org/x' END AS found FROM (SELECT page_id, unnest(list_filter(CASE WHEN page_id % 7 = 0 THEN ['missing-file'] ELSE
+        [CASE WHEN page_id % 5 = 0 THEN 'noindex' END, CASE page_id % 3 WHEN 1 THEN 'canonical-mismatch' WHEN 2 THEN 'missing-canonical' END] END, lambda i: i IS NOT NULL)) AS issue FROM pages)""",
     "broken_links": f"SELECT dst, count(*) AS n FROM {_EDGES} WHERE length(dst) % 2 <> 0 GROUP BY dst",
     "route_diff": "SELECT DISTINCT url, 'missing' AS side FROM pages WHERE page_id % 3 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 4 <> 0) UNION ALL SELECT DISTINCT url, 'unexpected' FROM pages WHERE page_id % 4 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 <> 0)",
     "sitemap_scan": "SELECT page_id, trim(url) AS loc FROM pages UNION ALL SELECT page_id, '/p/' || CAST(page_id AS VARCHAR) FROM pages",

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from spanfit.operators import resolve, sheets
+from spanfit.operators import outside, resolve, sheets
 
 FRIDGE = """Refrigerator
 User manual
@@ -138,3 +138,23 @@ def test_manual_entries(spark):
     got = {x.id: x.evidence and x.evidence.asDict() for x in resolve.manual_evidence(products, manual).collect()}
     patch = {"has_pdf_evidence": True, "source_url": "https://a.example/x", "verified_at": "2025-01-02", "source_type": "manual"}
     assert got == {"p1": patch, "p2": patch, "p3": patch, "p4": None, "p5": None, "p6": None, "p7": None}
+
+
+def test_energy_rows_take_any_headers(spark):
+    a = spark.createDataFrame([("1", "Acme", "600.5 mm", "", "0", "")], "k string, Brand string, Width string, `Width (mm)` string, `New Star` string, Odd string")
+    b = spark.createDataFrame([("2", "", "Late", "1,700", "n/a", "3.5")], "k string, Brand string, brand_2 string, height string, `Star2009` string, `Star Rating` string").withColumnRenamed("brand_2", "Brand Name")
+    got = {r.k: r for r in outside.energy_rows(outside.as_maps([a, b], "k")).collect()}
+    assert (got["1"].brand, got["1"].w, got["1"].h, got["1"].stars) == ("Acme", 601, None, None)
+    assert (got["2"].brand, got["2"].w, got["2"].h, got["2"].stars) == ("Late", None, 1700, 4)
+    newer = outside.ENERGY_HEADERS | {"w": ("integer", ("Breadth", *outside.ENERGY_HEADERS["w"][1]))}
+    c = spark.createDataFrame([("3", "555", "600")], "k string, Breadth string, Width string")
+    assert outside.energy_rows(outside.as_maps([c], "k"), newer).first().w == 555
+
+
+def test_decisions_of_retailers(spark):
+    text = "intro | no table\n| A & B | x | y | green RED-ish |\n|a and b|x|y|z|\n| C | RED |\n| D | reddish | credit | |yellow|\n|  | a | b | RED |"
+    audit = spark.createDataFrame([("t", text), ("n", None)], "audit string, text string")
+    assert {(r.retailer, r.decision) for r in outside.legal_decisions(audit).collect()} == {("a and b", "RED"), ("d", "YELLOW")}
+    offers = spark.createDataFrame([("a AND b!",), ("D",), ("zz",), (None,)], "n string")
+    got = {r.n: (r.decision, r.refused) for r in outside.decided(offers, outside.legal_decisions(audit)).collect()}
+    assert got == {"a AND b!": ("RED", True), "D": ("YELLOW", False), "zz": ("UNKNOWN", False), None: ("UNKNOWN", False)}
