@@ -133,6 +133,7 @@ def chassis_candidates(asked: DataFrame, pending: DataFrame, tolerance: int = 5)
 
 
 def neighbours(widths: DataFrame) -> DataFrame:
+    """The next smaller and larger of each width; widths are distinct mm, a few thousand at most."""
     w = Window.orderBy("width")
     return widths.select("width", F.lag("width").over(w).alias("previous"), F.lead("width").over(w).alias("next"))
 
@@ -153,7 +154,8 @@ def cheapest_offer(offers: DataFrame) -> DataFrame:
 
 def quota_pick(products: DataFrame, quota: dict[str, int]) -> DataFrame:
     q = F.element_at(F.create_map(*(F.lit(x) for pair in quota.items() for x in pair)), F.col("cat"))
-    rows = ranked(products, [F.coalesce("priority", F.lit(0)).desc(), F.coalesce("stars", F.lit(0)).desc(), F.asc("ord")], ["cat"])
+    keys = [F.coalesce("priority", F.lit(0)).desc(), F.coalesce("stars", F.lit(0)).desc(), F.asc("ord")]
+    rows = ranked(products, keys, ["cat"], max(quota.values(), default=0))  # a literal, so each task hands on no more
     return rows.where(F.col("rank") <= F.coalesce(q, F.lit(0)))
 
 
@@ -164,10 +166,14 @@ def latest_per_key(events: DataFrame, owner: str, key: str, most: int) -> DataFr
 
 
 def round_robin(rows: DataFrame, group: str, quotas: dict[str, int], total: int) -> DataFrame:
-    """Quotas of each group in order, filled up with what is left in order to `total`."""
-    r = ranked(rows, [F.asc("ord")], [group])
+    """Quotas of each group in order, filled up with what is left in order to `total`.
+
+    Each group's first rows are cut by the largest quota, a literal; of all others only the first can be needed.
+    """
     q = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair)), F.col(group)), F.lit(0))
-    return r.withColumn("left_over", F.col("rank") > q).orderBy("left_over", "ord").limit(total)
+    picked = ranked(rows, [F.asc("ord")], [group], max(quotas.values(), default=0)).where(F.col("rank") <= q).drop("rank").withColumn("left_over", F.lit(False))
+    first = rows.orderBy("ord").limit(total + sum(quotas.values())).join(picked.select(F.col("ord").alias("_taken")), F.col("ord") == F.col("_taken"), "left_anti")
+    return picked.unionByName(first.withColumn("left_over", F.lit(True))).orderBy("left_over", "ord").limit(total)
 
 
 def page(rows: DataFrame, keys: list[Column], cursor: int, size: int) -> DataFrame:

@@ -19,10 +19,10 @@ def _p(spark, sf_dir):
 
 
 def _scraped(spark, sf_dir):
-    """Every third product under a changed model: a letter more, one less, or one other."""
+    """Every product, some under a changed model: a letter more, or another first one."""
     m = F.col("model")
     changed = F.when(F.col("ord") % 9 == 0, F.concat(m, F.lit("x"))).when(F.col("ord") % 9 == 3, F.concat(F.lit("z"), F.expr("substring(model, 2)"))).otherwise(m)
-    return _p(spark, sf_dir).where("ord % 3 = 0").select(F.col("ord").alias("item"), "brand", changed.alias("model"), (F.col("w") + F.col("ord") % 8).alias("w"), "h", "d")
+    return _p(spark, sf_dir).select(F.col("ord").alias("item"), "brand", changed.alias("model"), (F.col("w") + F.col("ord") % 8).alias("w"), "h", "d")
 
 
 def _evidence(spark, sf_dir):
@@ -121,7 +121,7 @@ def discovery_delta(spark, sf_dir):
 
 def batch_targets(spark, sf_dir):
     p = _p(spark, sf_dir)
-    return r.batch_targets(p, p.where("ord % 97 = 0").select(F.col("model").alias("sku"))).select("id")
+    return r.batch_targets(p, p.where("ord % 100 = 0").select(F.col("model").alias("sku"))).select("id")
 
 
 def circuit_breaker(spark, sf_dir):
@@ -213,7 +213,7 @@ def metric_winners(spark, sf_dir):
 QUERIES = [upsert_sources, upsert_by_key, feed_match, fuzzy_match, prefix_match, offer_upsert, evidence_match, evidence_overlay, evidence_new, manual_retailers, research_lookup, brand_alias, rule_canon, missing_rules, first_per_name, discovery_delta, batch_targets, circuit_breaker, issue_triage, issue_actions, priority_scores, series_prefix, door_swing, prices, field_errors, plausibility, accuracy_audit, coverage, category_summary, brand_casing, brand_options, metric_winners]
 
 _SQ = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
-_SCRAPED = "(SELECT ord AS item, brand, CASE WHEN ord % 9 = 0 THEN model || 'x' WHEN ord % 9 = 3 THEN 'z' || substr(model, 2) ELSE model END AS model, CAST(w + ord % 8 AS BIGINT) AS w, h, d FROM products WHERE ord % 3 = 0)"
+_SCRAPED = "(SELECT ord AS item, brand, CASE WHEN ord % 9 = 0 THEN model || 'x' WHEN ord % 9 = 3 THEN 'z' || substr(model, 2) ELSE model END AS model, CAST(w + ord % 8 AS BIGINT) AS w, h, d FROM products)"
 _EV = """(SELECT ord AS evidence_id, CASE WHEN ord % 8 = 1 THEN id WHEN ord % 8 = 5 THEN 'x' || ord // 20 WHEN ord % 16 = 4 THEN 'p' || (ord + 1) END AS product_id, CASE WHEN ord % 40 = 5 THEN 'new ' || model WHEN ord % 10 = 3 THEN 'Shared-' || ord // 30 ELSE model END AS model,
     'sku' || CASE WHEN ord % 10 = 3 THEN ord + 7 ELSE ord % 100 END AS sku, CASE WHEN ord % 6 = 0 THEN 'P-' || (ord + 2) END AS extracted_model, w + 1 AS w, h + 1 AS h, d + 1 AS d FROM products)"""
 _FIRST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY evidence_id) AS nth FROM {_EV}) WHERE nth = 1 OR product_id IS NULL)"
@@ -248,7 +248,7 @@ ORACLE = {
         FROM products f JOIN products c ON contains({_SQ.format("'New ' || f.brand || ' ' || f.model || ' now'")}, {_SQ.format('c.model')}) WHERE f.ord % 40 <> 7) WHERE k = 1)""",
     "fuzzy_match": f"""SELECT item, id, c AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY c DESC, ord) AS k FROM (SELECT s.item, p.id, p.ord, CASE WHEN s.m = p.m THEN 1e0 WHEN (starts_with(p.m, s.m) OR starts_with(s.m, p.m)) AND abs(length(p.m) - length(s.m)) <= 3 THEN 0.9e0 WHEN levenshtein(s.m, p.m) <= 2 THEN 0.85e0 END AS c
         FROM (SELECT *, {_SQ.format('model')} AS m FROM {_SCRAPED}) s JOIN (SELECT *, {_SQ.format('model')} AS m FROM products) p ON s.brand = p.brand) WHERE c IS NOT NULL) WHERE k = 1""",
-    "prefix_match": f"""SELECT item, id, concat_ws(',', CASE WHEN abs(w - nw) >= 5 THEN 'w' END) AS conflicts FROM (SELECT s.item, p.id, p.w, s.w AS nw, row_number() OVER (PARTITION BY s.item ORDER BY p.ord) AS k FROM (SELECT *, {_SQ.format('model')} AS m FROM {_SCRAPED}) s
+    "prefix_match": f"""SELECT item, id, concat_ws(',', CASE WHEN abs(w - nw) >= 5 THEN 'w' END, CASE WHEN abs(h - nh) >= 5 THEN 'h' END, CASE WHEN abs(d - nd) >= 5 THEN 'd' END) AS conflicts FROM (SELECT s.item, p.id, p.w, p.h, p.d, s.w AS nw, s.h AS nh, s.d AS nd, row_number() OVER (PARTITION BY s.item ORDER BY p.ord) AS k FROM (SELECT *, {_SQ.format('model')} AS m FROM {_SCRAPED}) s
         JOIN (SELECT *, {_SQ.format('model')} AS m FROM products) p ON s.brand = p.brand AND (starts_with(p.m, s.m) OR starts_with(s.m, p.m)) WHERE TRUE) WHERE k = 1""",
     "offer_upsert": f"""SELECT product_id, arg_min(n, {{'a': nth_, 'b': pos}}) AS n, arg_max(url, {{'a': nth_, 'b': pos}}) FILTER (WHERE url IS NOT NULL) AS url, arg_max(p, {{'a': nth_, 'b': pos}}) AS p, min(pos) AS pos
         FROM (SELECT product_id, pos, n, url, p, 0 AS nth_ FROM offers UNION ALL SELECT product_id, pos, upper(n), NULL, p + 1, 1 FROM offers WHERE pos % 5 = 0) GROUP BY product_id, {_SQ.format('n')}""",
@@ -262,7 +262,7 @@ ORACLE = {
     "missing_rules": "SELECT cat, brand, 20 AS side, 50 AS rear, 50 AS top FROM (SELECT DISTINCT cat, brand FROM products UNION SELECT DISTINCT cat, '__default__' FROM products) WHERE (cat, brand) NOT IN (SELECT (cat, brand) FROM rules)",
     "first_per_name": "SELECT id, display_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(display_name) ORDER BY ord) AS k FROM products) WHERE k = 1",
     "discovery_delta": "SELECT id, model FROM (SELECT id, 'N' || CAST(ord // 12 AS VARCHAR) AS model, row_number() OVER (PARTITION BY ord // 12 ORDER BY ord) AS k FROM products WHERE ord % 3 = 0) WHERE k = 1",
-    "batch_targets": f"SELECT id FROM products p WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT {_SQ.format('model')} AS sku FROM products WHERE ord % 97 = 0) WHERE sku = {_SQ.format('p.model')} OR (length(sku) >= 4 AND length({_SQ.format('p.model')}) >= 4 AND (contains({_SQ.format('p.model')}, sku) OR contains(sku, {_SQ.format('p.model')}))))",
+    "batch_targets": f"SELECT id FROM products p WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT {_SQ.format('model')} AS sku FROM products WHERE ord % 100 = 0) WHERE sku = {_SQ.format('p.model')} OR (length(sku) >= 4 AND length({_SQ.format('p.model')}) >= 4 AND (contains({_SQ.format('p.model')}, sku) OR contains(sku, {_SQ.format('p.model')}))))",
     "circuit_breaker": "SELECT n_new, n_bad, n_old, CASE run WHEN 'mutated' THEN 'SCHEMA_MUTATION' ELSE CASE WHEN n_new < 0.8 * n_old THEN 'DATA_LOSS' WHEN n_bad > 0.3 * n_new THEN 'HIGH_ANOMALY_RATE' ELSE 'OK' END END AS verdict, run FROM (SELECT count(*) AS n_new, 0 AS n_bad, count(*) AS n_old, unnest(['all', 'mutated']) AS run FROM products UNION ALL SELECT count(*) FILTER (WHERE ord % 10 < 7), 0, count(*), 'lost' FROM products UNION ALL SELECT count(*), count(*) FILTER (WHERE ord % 2 = 0), count(*), 'odd' FROM products)",
     "issue_triage": "SELECT number, superseded_by FROM (SELECT o_orderkey AS number, o_orderdate AS created, row_number() OVER w AS nth, first_value(o_orderkey) OVER w AS superseded_by FROM orders WINDOW w AS (PARTITION BY o_orderpriority, o_custkey % 50 ORDER BY o_orderdate DESC, o_orderkey DESC)) WHERE nth > 1 ORDER BY created, number LIMIT 200",
     "issue_actions": """SELECT action, count(*) AS signatures, CAST(sum(n) AS BIGINT) AS events FROM (SELECT n, CASE WHEN h % 3 = 0 THEN 'create' WHEN h % 3 = 1 THEN 'comment' WHEN h % 15 <= 7 THEN 'reopen' ELSE 'create' END AS action

@@ -73,12 +73,16 @@ def chassis_candidates(spark, sf_dir):
     return s.chassis_candidates(p, p.where("ord % 2 = 0"))
 
 
+def _widths(spark, sf_dir):
+    return adapters.products(spark, sf_dir).select(F.col("w").alias("width")).distinct()
+
+
 def width_neighbours(spark, sf_dir):
-    return s.neighbours(s.spine(spark, *s.WIDTHS))
+    return s.neighbours(_widths(spark, sf_dir))
 
 
 def nearest_widths(spark, sf_dir):
-    return s.nearest_widths(s.spine(spark, *s.WIDTHS))
+    return s.nearest_widths(_widths(spark, sf_dir))
 
 
 def top_models(spark, sf_dir):
@@ -158,8 +162,8 @@ ORACLE = {
         FROM (SELECT *, row_number() OVER (PARTITION BY verdict, id ORDER BY place, width) AS k FROM {_COMBOS})) WHERE rank <= CASE verdict WHEN 'perfect' THEN 5 WHEN 'tight' THEN 3 WHEN 'no-fit' THEN 2 ELSE 0 END""",
     "alternatives": f"SELECT id, rank, alternative, gap FROM (SELECT a.id, b.id AS alternative, CAST(690 - b.w AS INTEGER) AS gap, {_RN.format('PARTITION BY a.id ORDER BY abs(690 - b.w - 20), b.priority DESC, b.display_name, b.ord')} FROM products a JOIN products b ON a.cat = b.cat AND a.id <> b.id AND NOT b.unavailable AND 690 - b.w >= 5) WHERE rank <= 3",
     "chassis_candidates": "SELECT a.id, b.id AS candidate, b.w FROM products a JOIN products b ON a.cat = b.cat AND a.brand = b.brand AND a.id <> b.id AND b.ord % 2 = 0 AND abs(a.w - b.w) <= 5",
-    "width_neighbours": f"SELECT width, lag(width) OVER (ORDER BY width) AS previous, lead(width) OVER (ORDER BY width) AS next FROM {_SPINE}",
-    "nearest_widths": f"SELECT * FROM (SELECT a.width, b.width AS other, {_RN.format('PARTITION BY a.width ORDER BY abs(a.width - b.width), b.width')} FROM {_SPINE} a JOIN {_SPINE} b ON a.width <> b.width) WHERE rank <= 8",
+    "width_neighbours": f"SELECT width, lag(width) OVER (ORDER BY width) AS previous, lead(width) OVER (ORDER BY width) AS next FROM (SELECT DISTINCT w AS width FROM products)",
+    "nearest_widths": f"SELECT * FROM (SELECT a.width, b.width AS other, {_RN.format('PARTITION BY a.width ORDER BY abs(a.width - b.width), b.width')} FROM (SELECT DISTINCT w AS width FROM products) a JOIN (SELECT DISTINCT w AS width FROM products) b ON a.width <> b.width) WHERE rank <= 8",
     "top_models": f"SELECT * FROM (SELECT cat, brand, {_RN.format('PARTITION BY cat, brand ORDER BY verified DESC, stars DESC, h DESC, model')}, id FROM catalog) WHERE rank <= 3",
     "top_by_stars": f"SELECT * FROM (SELECT cat, {_RN.format('PARTITION BY cat ORDER BY stars DESC, priority DESC, ord')}, id FROM products) WHERE rank <= 3",
     "cheapest_offer": "SELECT product_id, n, price, url FROM (SELECT *, CASE WHEN p > 0 THEN p ELSE 2147483647 END AS price, row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN p > 0 THEN p ELSE 2147483647 END, lower(n), pos) AS k FROM offers) WHERE k = 1",
