@@ -25,12 +25,14 @@ def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False,
     text = spark.read.text(path, wholetext=not lines, recursiveFileLookup=recursive).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value")
     parsed = text.where(F.trim("value") != "").withColumn("record", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("record").isNull() | F.col("record._bad").isNotNull() | ~F.col("value").rlike(r"^\s*\{")
-    return Read(parsed.where(~bad).select("file", "record.*").drop("_bad"), parsed.where(bad).select("file", F.col("value").alias("text"), F.lit("no such record").alias("reason")))
+    # Spark may work out what comes later before it filters: a broken record's file is null, so `required` says nothing of it.
+    return Read(parsed.where(~bad).select(F.when(~bad, F.col("file")).alias("file"), "record.*").drop("_bad"), parsed.where(bad).select("file", F.col("value").alias("text"), F.lit("no such record").alias("reason")))
 
 
 def required(rows: DataFrame, field: str) -> DataFrame:
     """rows, of which each must have the field: one without it is an error that names its file."""
-    return rows.withColumn(field, F.coalesce(F.col(field), F.raise_error(F.concat(F.col("file"), F.lit(f" has no {field}")))))
+    missing = F.col(field).isNull() & F.col("file").isNotNull()
+    return rows.withColumn(field, F.when(missing, F.raise_error(F.concat(F.col("file"), F.lit(f" has no {field}")))).otherwise(F.col(field)))
 
 
 def items(rows: DataFrame, field: str, categories: dict[str, str] | None = None) -> DataFrame:
