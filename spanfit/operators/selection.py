@@ -58,13 +58,18 @@ def brand_ranking(products: DataFrame) -> DataFrame:
     return ranked(counts, [F.desc("n"), F.asc("brand")], ["cat"])
 
 
-def pair_score() -> Column:
+def offered(catalog: DataFrame) -> Column:
+    """Whether a product has an offer: by their number, where the catalog has it, or by the nested ones."""
+    return F.col("n_offers") > 0 if "n_offers" in catalog.columns else F.size("retailers") > 0
+
+
+def pair_score(linked: Column) -> Column:
     """A product's weight in pair selection."""
-    return F.when(F.size("retailers") > 0, 10000).otherwise(0) + F.when(~F.col("unavailable"), 5000).otherwise(0) + F.coalesce("priority", F.lit(0)) + F.coalesce("stars", F.lit(0)) * 10
+    return F.when(linked, 10000).otherwise(0) + F.when(~F.col("unavailable"), 5000).otherwise(0) + F.coalesce("priority", F.lit(0)) + F.coalesce("stars", F.lit(0)) * 10
 
 
 def brand_ranking_by_links(catalog: DataFrame) -> DataFrame:
-    rows = catalog.withColumns({"score": pair_score(), "linked": F.size("retailers") > 0})
+    rows = catalog.withColumns({"score": pair_score(offered(catalog)), "linked": offered(catalog)})
     best = F.min(F.struct((-F.col("score")).alias("worse"), "model", "linked"))
     per = rows.groupBy("cat", "brand").agg(F.count("*").alias("n"), F.count(F.when(F.col("linked"), 1)).alias("n_linked"), F.max("score").alias("best_score"), best.alias("best"))
     return ranked(per.withColumn("best_linked", F.col("best.linked")).drop("best"), [F.desc("n_linked"), F.desc("n"), F.desc("best_score"), F.asc("brand")], ["cat"])

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from spanfit.operators import selection as s
 from spanfit.operators.facets import ranked
 from spanfit.plans.oracle import with_tables
-from spanfit.plans.search import catalog
+from spanfit.plans.search import catalog, slim_catalog
 from spanfit.sources import adapters
 
 
 def _catalog(spark, sf_dir):
-    return catalog(spark, sf_dir).withColumn("current_link", F.col("verified"))
+    return slim_catalog(spark, sf_dir).withColumn("current_link", F.col("verified"))
 
 
 def _needs(spark, sf_dir):
@@ -40,7 +40,7 @@ def brand_ranking(spark, sf_dir):
 
 
 def brand_ranking_links(spark, sf_dir):
-    return s.brand_ranking_by_links(catalog(spark, sf_dir)).drop("best_linked")
+    return s.brand_ranking_by_links(slim_catalog(spark, sf_dir)).drop("best_linked")
 
 
 def comparison_pairs(spark, sf_dir):
@@ -48,7 +48,7 @@ def comparison_pairs(spark, sf_dir):
 
 
 def seeded_pairs(spark, sf_dir):
-    return s.seeded_pairs(catalog(spark, sf_dir))
+    return s.seeded_pairs(slim_catalog(spark, sf_dir))
 
 
 def related_pairs(spark, sf_dir):
@@ -87,7 +87,7 @@ def nearest_widths(spark, sf_dir):
 
 def top_models(spark, sf_dir):
     keys = [F.desc("verified"), F.coalesce("stars", F.lit(-1)).desc(), F.desc("h"), F.asc("model")]
-    return ranked(catalog(spark, sf_dir), keys, ["cat", "brand"], 3).select("cat", "brand", "rank", "id")
+    return ranked(slim_catalog(spark, sf_dir), keys, ["cat", "brand"], 3).select("cat", "brand", "rank", "id")
 
 
 def top_by_stars(spark, sf_dir):

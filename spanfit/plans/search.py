@@ -25,6 +25,14 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flagged(adapters.with_retailers(adapters.products(spark, sf_dir), adapters.offers(spark, sf_dir)))
 
 
+def slim_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with what questions about links need: n_offers, linked, verified, current, checked. Flags are aggregated where offers are grouped, so none is nested."""
+    o = adapters.offers(spark, sf_dir)
+    flags = o.groupBy(F.col("product_id").alias("id")).agg(F.count("*").alias("n_offers"), F.bool_or(is_product_url_lenient(F.col("url"))).alias("linked"), F.bool_or(is_product_url_strict(F.col("url"))).alias("verified"), F.max("verified_at").alias("checked"))
+    rows = adapters.products(spark, sf_dir).join(flags, "id", "left").na.fill({"n_offers": 0, "linked": False, "verified": False})
+    return rows.withColumn("current", F.coalesce(~F.col("unavailable"), F.lit(False)) & F.col("linked"))
+
+
 def _flagged(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"current": fc.is_current(), "verified": F.exists("retailers", lambda r: is_product_url_strict(r["url"]))})
 
