@@ -55,6 +55,37 @@ def document_score(url: Column, model: Column, official: Column) -> Column:
     ).cast("int")
 
 
+#: Words of a manual's name, description and address, and of a fallback document's address, with their points.
+MANUAL_WORDS = ((r"spec|specification|data\s*sheet|datasheet|fact\s*sheet|factsheet", 50), ("quick|reference|qrg", 25), ("install|installation", 20), ("manual", 10), ("warranty|energy|label|brochure|catalogue|catalog", -20))
+FALLBACK_WORDS = (("spec|data|dimension|install|manual|guide|qrg", 12), (r"commercial\.appliancesonline\.com\.au", 10), (r"appliancesonline\.com\.au", 8), (r"manualslib|usermanuals|device\.report", 4))
+PDF = r"(?i)\.pdf($|[?#])"
+
+
+def _points(text: Column, words: tuple[tuple[str, int], ...]) -> Column:
+    total = F.lit(0)
+    for pattern, points in words:
+        total = total + F.when(text.rlike(f"(?i){pattern}"), points).otherwise(0)
+    return total
+
+
+def manual_score(name: Column, description: Column, url: Column) -> Column:
+    """How useful a listed manual is; what is no PDF has -100."""
+    said = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (name, description, url)))
+    return F.when(F.coalesce(url, F.lit("")).rlike(PDF), _points(said, MANUAL_WORDS)).otherwise(-100).cast("int")
+
+
+def best_manual(rows: DataFrame) -> DataFrame:
+    """Of each product's manuals (id, name, description, url, place, pos) the best PDF: by score, its own place (999 if none), then pos. Scores below 0 are no choice."""
+    scored = rows.withColumn("score", manual_score(F.col("name"), F.col("description"), F.col("url"))).where(F.col("score") >= 0)
+    return ranked(scored, [F.desc("score"), F.coalesce("place", F.lit(999)).asc(), F.asc("pos")], ["id"], 1, "nth").select("id", "url", "score")
+
+
+def fallback_score(url: Column, sku: Column, brand: Column, trusted: Column) -> Column:
+    """How likely a third party's document is a model's: PDF, SKU, brand, wording and site; -1000 for a site that is not trusted."""
+    holds = lambda x, points: F.when((squash(x) != "") & F.contains(squash(url), squash(x)), points).otherwise(0)
+    return F.when(F.coalesce(trusted, F.lit(False)), F.when(url.rlike(PDF), 50).otherwise(0) + holds(sku, 50) + holds(brand, 10) + _points(url, FALLBACK_WORDS)).otherwise(-1000).cast("int")
+
+
 def best_document(rows: DataFrame) -> DataFrame:
     """Of each product's documents (id, model, url, pos, official) the best: score, then place."""
     scored = rows.withColumn("score", document_score(F.col("url"), F.col("model"), F.col("official")))

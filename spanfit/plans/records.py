@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanfit.operators import outside, sheets, validators
+from spanfit.operators import evidence, outside, sheets, validators
 from spanfit.operators import resolve as r
 from spanfit.plans.oracle import with_tables
 from spanfit.sources import adapters
@@ -74,12 +74,32 @@ def record_errors(spark, sf_dir):
     return docs.select("id", F.explode(found).alias("error"))
 
 
+MANUALS = (("Spec sheet", "a.pdf"), ("Quick reference", "guide.PDF?x=1"), ("User manual", "manual.pdf#p"), ("Energy label", "label.pdf"), ("Specification", "spec.html"))
+
+
+def best_manual(spark, sf_dir):
+    """Every offer as a listed manual of its product; the best of each."""
+    o, k = adapters.offers(spark, sf_dir), F.col("pos") % len(MANUALS)
+    pick = lambda at: F.element_at(F.array(*(F.lit(m[at]) for m in MANUALS)), (k + 1).cast("int"))
+    return evidence.best_manual(o.select(F.col("product_id").alias("id"), pick(0).alias("name"), F.lit(None).cast("string").alias("description"), F.concat(F.lit("https://m.example.org/"), F.col("pos").cast("string"), F.lit("/"), pick(1)).alias("url"), F.when(F.col("pos") % 2 == 0, 5).alias("place"), "pos"))
+
+
+def fallback_documents(spark, sf_dir):
+    """Scores of third parties' documents for every offer's product."""
+    rows = adapters.offers(spark, sf_dir).join(adapters.products(spark, sf_dir), F.col("product_id") == F.col("id"))
+    site = F.element_at(F.array(*map(F.lit, ("commercial.appliancesonline.com.au/", "www.manualslib.com/", "away.example.org/"))), (F.col("pos") % 3 + 1).cast("int"))
+    url = F.concat(F.lit("https://"), site, F.when(F.col("pos") % 2 == 0, F.regexp_replace("model", "[^A-Za-z0-9]+", "-")).otherwise("x"), F.when(F.col("pos") % 5 == 0, "-guide.pdf").otherwise(".html"))
+    score = evidence.fallback_score(url, F.col("model"), F.col("brand"), F.col("pos") % 3 < 2)
+    return rows.select(score.alias("score")).groupBy("score").agg(F.count("*").alias("n"))
+
+
 def _named(kind):
     return lambda x: F.concat(F.lit(f"{kind} "), x)
 
 
-QUERIES = [sheet_values, manual_evidence, energy_rows, retailer_decisions, record_errors]
+QUERIES = [sheet_values, manual_evidence, energy_rows, retailer_decisions, record_errors, best_manual, fallback_documents]
 
+_SQ = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
 _SHEET = "CASE doc_id % 6 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} END"
 
 
@@ -97,6 +117,12 @@ ORACLE = {
     "energy_rows": """SELECT id, cat, brand, CASE WHEN ord % 3 < 2 THEN model END AS model, CASE WHEN ord % 3 <> 1 THEN w END AS w, CASE WHEN ord % 3 < 2 THEN h END AS h, CASE WHEN ord % 3 < 2 THEN d END AS d, CAST(CASE ord % 3 WHEN 0 THEN ord % 900 WHEN 1 THEN 1234 END AS INTEGER) AS kwh_year,
         CAST(CASE WHEN ord % 3 > 0 THEN stars WHEN ord % 15 + 1 BETWEEN 1 AND 6 THEN ord % 15 + 1 END AS INTEGER) AS stars, CASE WHEN ord % 3 = 2 THEN 12.5e0 END AS door_swing_mm FROM products""",
     "retailer_decisions": "SELECT decision, decision = 'RED' AS refused, count(*) AS n FROM (SELECT CASE n WHEN 'JB Hi-Fi' THEN 'RED' WHEN 'The Good Guys' THEN 'GREEN' WHEN 'Appliances Online' THEN 'YELLOW' ELSE 'UNKNOWN' END AS decision FROM offers) GROUP BY decision",
+    "best_manual": """SELECT product_id AS id, 'https://m.example.org/' || pos || '/' || file AS url, score FROM (SELECT *, ['a.pdf', 'guide.PDF?x=1', 'manual.pdf#p', 'label.pdf'][pos % 5 + 1] AS file, CAST([50, 25, 10, -20, -100][pos % 5 + 1] AS INTEGER) AS score FROM offers) WHERE score >= 0
+        QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY score DESC, CASE WHEN pos % 2 = 0 THEN 5 ELSE 999 END, pos) = 1""",
+    "fallback_documents": f"""SELECT CAST(CASE WHEN pos % 3 = 2 THEN -1000 ELSE CASE WHEN pos % 5 = 0 THEN 50 ELSE 0 END + CASE WHEN contains(u, {_SQ.format('model')}) THEN 50 ELSE 0 END + CASE WHEN contains(u, {_SQ.format('brand')}) THEN 10 ELSE 0 END
+        + CASE WHEN regexp_matches(url, '(?i)spec|data|dimension|install|manual|guide|qrg') THEN 12 ELSE 0 END + CASE WHEN pos % 3 = 0 THEN 18 ELSE 4 END END AS INTEGER) AS score, count(*) AS n FROM (SELECT *, {_SQ.format('url')} AS u FROM (SELECT o.pos, p.model, p.brand,
+        'https://' || ['commercial.appliancesonline.com.au/', 'www.manualslib.com/', 'away.example.org/'][o.pos % 3 + 1] || CASE WHEN o.pos % 2 = 0 THEN regexp_replace(p.model, '[^A-Za-z0-9]+', '-', 'g') ELSE 'x' END || CASE WHEN o.pos % 5 = 0 THEN '-guide.pdf' ELSE '.html' END AS url
+        FROM offers o JOIN products p ON p.id = o.product_id)) GROUP BY 1""",
     "record_errors": """SELECT id, unnest(list_filter([CASE WHEN ord % 7 = 0 THEN 'product brand: text' END, CASE WHEN ord % 5 = 0 THEN 'product w: integer' END, CASE WHEN ord % 11 = 0 THEN 'product stars: range' END, CASE WHEN ord % 13 = 0 THEN 'product door_swing_mm: range' END,
         CASE WHEN ord % 17 = 0 THEN 'product retailers[0].p: range' END, CASE WHEN ord % 19 = 0 THEN 'product evidence.verified_at: date' END, CASE WHEN ord % 5 = 0 THEN 'sheet dimensions.width_mm: range' END, CASE WHEN ord % 7 = 0 THEN 'sheet metadata.source_pdf_url: url' END,
         CASE WHEN ord % 9 = 0 THEN 'entry record: object' END, CASE WHEN ord % 3 = 0 AND ord % 9 > 0 THEN 'entry status: one of' END, CASE WHEN ord % 5 = 0 AND ord % 9 > 0 THEN 'entry local_path: unlike' END], lambda e: e IS NOT NULL)) AS error FROM products""",
