@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanfit.operators import evidence, outside, sheets, validators
+from spanfit.functions import columns as c
+from spanfit.operators import evidence, fit, outside, sheets, validators
 from spanfit.operators import resolve as r
 from spanfit.plans.oracle import with_tables
 from spanfit.sources import adapters
@@ -93,11 +94,38 @@ def fallback_documents(spark, sf_dir):
     return rows.select(score.alias("score")).groupBy("score").agg(F.count("*").alias("n"))
 
 
+def parsed_fields(spark, sf_dir):
+    """Texts of sizes and names of every product, read and normalised."""
+    k, w = F.col("ord"), F.col("w").cast("string")
+    size = F.when(k % 4 == 0, F.concat(F.lit(" "), w, F.lit(".5 "))).when(k % 4 == 1, F.concat(w, F.lit("mm"))).when(k % 4 == 2, w).otherwise("0.4")
+    short = F.when(k % 3 == 0, F.concat(F.floor(F.col("w") / 10).cast("string"), F.lit(",5"))).when(k % 3 == 1, w).otherwise("-5")
+    name = F.concat(F.lit(" "), "display_name", F.lit(" & Co. "))
+    return adapters.products(spark, sf_dir).select(
+        "id", c.to_mm(size).alias("mm"), c.cm_shorthand(short).alias("from_cm"), c.squash(name).alias("squashed"), c.plain_words(name).alias("words"), c.slug(name).alias("slug"), c.slug(name, 12).alias("short_slug"), c.fold(F.concat(F.lit("  A  B "), "brand")).alias("folded"), c.number_in(F.concat(F.lit("1,"), w, F.lit(" kWh"))).alias("number")
+    )
+
+
+def towers(spark, sf_dir):
+    """Towers among products, by category or by what their texts say, and what replaces what."""
+    k = F.col("ord")
+    rows = adapters.products(spark, sf_dir).withColumns({"display_name": F.when(k % 7 == 0, F.concat("display_name", F.lit(" Wash  Tower"))).otherwise(F.col("display_name")), "model": F.when(k % 11 == 0, F.concat(F.lit("x WK"), k.cast("string"))).otherwise(F.col("model")), "cat": F.when(k % 13 == 0, "washtower_combo").otherwise(F.col("cat"))})
+    found = rows.withColumn("tower", fit.is_tower(rows))
+    tall = fit.not_quarantined(rows, fit.FitQuery(h=1000, replacement=True, source_category="fridge")).groupBy("cat").agg(F.count("*").alias("n_replacing"))
+    return found.groupBy("cat").agg(F.count(F.when(F.col("tower"), 1)).alias("n_towers"), F.count("*").alias("n")).join(tall, "cat", "left")
+
+
+def best_limited(spark, sf_dir):
+    """The result limit: at least one row, also where none is asked for."""
+    p = adapters.products(spark, sf_dir)
+    each = [fit.find_matches(p, fit.FitQuery(w=700, cat="dryer"), limit=n).select(F.lit(n).alias("asked"), "id") for n in (0, 1, 7)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 def _named(kind):
     return lambda x: F.concat(F.lit(f"{kind} "), x)
 
 
-QUERIES = [sheet_values, manual_evidence, energy_rows, retailer_decisions, record_errors, best_manual, fallback_documents]
+QUERIES = [sheet_values, manual_evidence, energy_rows, retailer_decisions, record_errors, best_manual, fallback_documents, parsed_fields, towers, best_limited]
 
 _SQ = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
 _SHEET = "CASE doc_id % 6 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} END"
@@ -123,6 +151,10 @@ ORACLE = {
         + CASE WHEN regexp_matches(url, '(?i)spec|data|dimension|install|manual|guide|qrg') THEN 12 ELSE 0 END + CASE WHEN pos % 3 = 0 THEN 18 ELSE 4 END END AS INTEGER) AS score, count(*) AS n FROM (SELECT *, {_SQ.format('url')} AS u FROM (SELECT o.pos, p.model, p.brand,
         'https://' || ['commercial.appliancesonline.com.au/', 'www.manualslib.com/', 'away.example.org/'][o.pos % 3 + 1] || CASE WHEN o.pos % 2 = 0 THEN regexp_replace(p.model, '[^A-Za-z0-9]+', '-', 'g') ELSE 'x' END || CASE WHEN o.pos % 5 = 0 THEN '-guide.pdf' ELSE '.html' END AS url
         FROM offers o JOIN products p ON p.id = o.product_id)) GROUP BY 1""",
+    "parsed_fields": r"""SELECT id, CAST(CASE ord % 4 WHEN 0 THEN w + 1 WHEN 2 THEN w END AS INTEGER) AS mm, CAST(CASE ord % 3 WHEN 0 THEN (w // 10) * 10 + 5 WHEN 1 THEN w END AS INTEGER) AS from_cm, regexp_replace(n, '[^a-z0-9]+', '', 'g') AS squashed, trim(regexp_replace(n, '[^a-z0-9]+', ' ', 'g')) AS words,
+        s AS slug, regexp_replace(substr(s, 1, 12), '-+$', '') AS short_slug, 'a b ' || lower(brand) AS folded, CAST('1' || w AS DOUBLE) AS number FROM (SELECT *, trim(regexp_replace(n, '[^a-z0-9]+', '-', 'g'), '-') AS s FROM (SELECT *, lower(display_name) || ' & co. ' AS n FROM products))""",
+    "towers": """SELECT cat, count(*) FILTER (WHERE tower) AS n_towers, count(*) AS n, nullif(count(*) FILTER (WHERE NOT tower OR h < 1200), 0) AS n_replacing FROM (SELECT CASE WHEN ord % 13 = 0 THEN 'washtower_combo' ELSE cat END AS cat, h, ord % 7 = 0 OR ord % 11 = 0 OR ord % 13 = 0 AS tower FROM products) GROUP BY 1""",
+    "best_limited": """SELECT n AS asked, id FROM (SELECT id, row_number() OVER (ORDER BY 700 - w - 10, priority DESC, display_name, ord) AS k FROM products WHERE cat = 'dryer' AND w <= 690), (VALUES (0), (1), (7)) v(n) WHERE k <= greatest(1, n)""",
     "record_errors": """SELECT id, unnest(list_filter([CASE WHEN ord % 7 = 0 THEN 'product brand: text' END, CASE WHEN ord % 5 = 0 THEN 'product w: integer' END, CASE WHEN ord % 11 = 0 THEN 'product stars: range' END, CASE WHEN ord % 13 = 0 THEN 'product door_swing_mm: range' END,
         CASE WHEN ord % 17 = 0 THEN 'product retailers[0].p: range' END, CASE WHEN ord % 19 = 0 THEN 'product evidence.verified_at: date' END, CASE WHEN ord % 5 = 0 THEN 'sheet dimensions.width_mm: range' END, CASE WHEN ord % 7 = 0 THEN 'sheet metadata.source_pdf_url: url' END,
         CASE WHEN ord % 9 = 0 THEN 'entry record: object' END, CASE WHEN ord % 3 = 0 AND ord % 9 > 0 THEN 'entry status: one of' END, CASE WHEN ord % 5 = 0 AND ord % 9 > 0 THEN 'entry local_path: unlike' END], lambda e: e IS NOT NULL)) AS error FROM products""",
