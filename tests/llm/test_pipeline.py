@@ -61,5 +61,17 @@ def test_stages(spark, sf_dir):
 
 def test_queries_are_named_for_operators():
     names = list(llm.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] and llm.oracle_sql().keys() <= llm.queries().keys()
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] and llm.oracle_sql().keys() <= llm.queries().keys()
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["quality_stage", "exact_stage", "near_stage", "mix_stage", "token_stage"]
+
+
+def test_stages_of_empty_tables_and_clashing_columns(spark, sf_dir, tmp_path):
+    empty = str(tmp_path / "empty")
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).collect() == []
+    clash = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "doc_id AS score", "text AS quality", "lang AS n", "source AS hash", "doc_id AS target", "text AS copies", "lang AS component_id")
+    clash.write.parquet(str(tmp_path / "clash" / "documents.parquet"))
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(str(tmp_path / "clash" / "labels.parquet"))
+    same = lambda rows: sorted((r.doc_id if r.doc_id is not None else -1, r.ids_hash) for r in rows.collect())
+    assert same(corpus_pipeline.run(spark, str(tmp_path / "clash"))) == same(corpus_pipeline.run(spark, sf_dir))

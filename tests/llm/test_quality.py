@@ -53,3 +53,14 @@ def test_nothing_to_learn_or_score(corpus):
     assert {r.s for r in score(docs, None, "s").collect()} == {0.5}
     assert quality_report(docs.limit(0), labels).count() == 0 and quality_filter(docs.limit(0), labels).count() == 0
     assert fit(docs, labels, max_train=50) is not None and sigmoid(np.array([-900.0, 900.0])).tolist() == [0, 1]
+
+
+def test_held_out_rows_of_the_sample_are_ranked(spark):
+    """On real tables: area under the curve of held-out rows, and how many are right."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality_report(docs, labels).where("held_out").join(labels, "doc_id").where("quality is not null").collect()
+    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    assert len(good) > 20 and len(bad) > 5
+    area = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert area >= 0.98 and sum(r.predicted == r.quality for r in rows) / len(rows) >= 0.9
