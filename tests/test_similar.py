@@ -22,6 +22,22 @@ def edits(a, b):
     return row[-1]
 
 
+def test_contained_deals_both_sides(spark):
+    needles = spark.createDataFrame([(k, n) for k, n in enumerate([*NAMES, "", "bolt", "absent"])], "k int, needle string")
+    hays = spark.createDataFrame([(k, h) for k, h in enumerate([*(f"new{n}now" for n in NAMES), "bolt", "", None, "bolt"])], "i int, hay string")
+    got = similar.contained(needles, hays, "needle", "hay")
+    want = sorted((n.k, h.i) for n in needles.collect() for h in hays.collect() if n.needle and h.hay and n.needle in h.hay)
+    assert sorted((r.k, r.i) for r in got.collect()) == want
+    assert "BroadcastHashJoin" not in plan(got)
+
+
+def test_replacement_asks_names_only_of_unsettled_texts(spark):
+    products = spark.createDataFrame([("p1", 1, "A#1", "ring 1", "A#1 large ring"), ("p2", 2, "A#1", "ring 12", "A#1 old bolt")], "id string, ord int, brand string, model string, display_name string").selectExpr("*", "'fridge' as cat")
+    asked = spark.createDataFrame([(1, "A#1 ring 12 x"), (2, "old bolt"), (3, "nothing here")], "ask int, text string")
+    got = best_sources(asked, products)
+    assert {(r.ask, r.id, r.score) for r in got.collect()} == {(1, "p1", 95), (2, "p2", 78)} and "BroadcastHashJoin" not in plan(got)
+
+
 def test_review_audit_keeps_references_without_semicolon(spark, tmp_path):
     spark.createDataFrame([(5, "u", "<p>one two&amp three &amp; four&quot&ampx</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [r.words for r in extras.review_audit(spark, str(tmp_path)).collect()] == [11]  # words of paragraphs that follow each other run together
