@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanfit.functions.columns import squash
 from spanfit.functions.lineage import cut
 from spanfit.operators.facets import ranked
-from spanfit.operators.similar import contained, prefixes, within_edits
+from spanfit.operators.similar import apart, contained, prefixes, within_edits
 
 
 def upsert(base: DataFrame, sources: list[DataFrame], key: str = "id") -> DataFrame:
@@ -46,12 +46,12 @@ def feed_match(feed: DataFrame, catalog: DataFrame) -> DataFrame:
     index = catalog.select("id", "ord", key.alias("brand_model"), squash(F.col("model")).alias("model_key"))
     first = index.groupBy("brand_model").agg(F.min_by("id", "ord").alias("exact_id"))
     rows = feed.withColumns({"name_key": squash(F.col("name")), "brand_model": F.when((squash(F.col("brand")) != "") & (squash(F.col("model")) != ""), key)})
-    rows = rows.join(first, "brand_model", "left")
+    rows = apart(rows).join(apart(first), "brand_model", "left")
     left = rows.where("exact_id is null and name_key <> ''").select("item", "name_key")
     # A name that holds brand and model holds the model.
     pairs = contained(index.select(F.col("id").alias("c_id"), F.col("ord").alias("c_ord"), F.col("brand_model").alias("c_brand_model"), F.col("model_key").alias("c_model")), left, "c_model", "name_key")
     best = pairs.groupBy("item").agg(F.min_by("c_id", F.struct(-F.greatest(F.length("c_brand_model"), F.length("c_model")), "c_ord")).alias("loose_id"))
-    return rows.join(best, "item", "left").select("item", F.coalesce("exact_id", "loose_id").alias("id"), F.col("exact_id").isNotNull().alias("exact"))
+    return apart(rows).join(apart(best), "item", "left").select("item", F.coalesce("exact_id", "loose_id").alias("id"), F.col("exact_id").isNotNull().alias("exact"))
 
 
 def fuzzy_match(scraped: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -38,6 +38,13 @@ def test_replacement_asks_names_only_of_unsettled_texts(spark):
     assert {(r.ask, r.id, r.score) for r in got.collect()} == {(1, "p1", 95), (2, "p2", 78)} and "BroadcastHashJoin" not in plan(got)
 
 
+def test_feed_and_prefix_match_deal_both_sides(spark):
+    p = spark.createDataFrame([("p1", 1, "A#1", "ring 1", 1, 1, 1), ("p2", 2, "A#1", "ring 12", 1, 1, 9)], "id string, ord int, brand string, model string, w int, h int, d int")
+    feed = spark.createDataFrame([(1, "New A#1 ring 12 now", None, None), (2, "x", "A#1", "ring 1")], "item int, name string, brand string, model string")
+    got = resolve.feed_match(feed, p)
+    assert {tuple(r) for r in got.collect()} == {(1, "p2", False), (2, "p1", True)} and "BroadcastHashJoin" not in plan(got)
+
+
 def test_review_audit_keeps_references_without_semicolon(spark, tmp_path):
     spark.createDataFrame([(5, "u", "<p>one two&amp three &amp; four&quot&ampx</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [r.words for r in extras.review_audit(spark, str(tmp_path)).collect()] == [11]  # words of paragraphs that follow each other run together
