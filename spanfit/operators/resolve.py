@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanfit.functions.columns import squash
 from spanfit.functions.lineage import cut
 from spanfit.operators.facets import ranked
-from spanfit.operators.similar import apart, contained, prefixes, within_edits
+from spanfit.operators.similar import apart, contained, few_edits, prefixes
 
 
 def upsert(base: DataFrame, sources: list[DataFrame], key: str = "id") -> DataFrame:
@@ -62,11 +62,13 @@ def fuzzy_match(scraped: DataFrame, catalog: DataFrame) -> DataFrame:
     near = F.abs(F.length(m) - F.length(n))
     score = F.when(m == n, 1.0).when((n.startswith(m) | m.startswith(n)) & (near <= 3), 0.9).when((near <= 2) & (F.levenshtein(m, n, 2) >= 0), 0.85)
     asked, known = a.where(m != "").select("b", "m").distinct(), c.where(n != "").select("b", "c_m").distinct()
-    edits = within_edits(asked, known, "m", "c_m", lambda _: F.lit(2), lambda _: F.lit(2), ("b",))
-    longer = known.withColumn("m", F.explode(prefixes(n, dropped=3))).join(asked, ["b", "m"])
-    shorter = asked.withColumn("c_m", F.explode(prefixes(m, dropped=3))).join(known, ["b", "c_m"])
-    texts = edits.unionByName(longer).unionByName(shorter).distinct().withColumn("confidence", score).where("confidence is not null")
-    pairs = a.join(texts, ["b", "m"]).join(c, ["b", "c_m"])
+    longer = apart(known.withColumn("m", F.explode(prefixes(n, dropped=3)))).join(apart(asked), ["b", "m"])
+    shorter = apart(asked.withColumn("c_m", F.explode(prefixes(m, dropped=3)))).join(apart(known), ["b", "c_m"])
+    begun = cut(longer.unionByName(shorter).distinct())
+    # Edits score least: they are asked of those alone that no prefix settles.
+    edits = few_edits(apart(asked).join(apart(begun.select("b", "m").distinct()), ["b", "m"], "left_anti"), known, "m", "c_m", 2, ("b",))
+    texts = edits.unionByName(begun).withColumn("confidence", score).where("confidence is not null")
+    pairs = apart(apart(a).join(apart(texts), ["b", "m"])).join(apart(c), ["b", "c_m"])
     best = pairs.groupBy("item").agg(F.min(F.struct((-F.col("confidence")).alias("worse"), "c_ord", "c_id")).alias("x"))
     return best.select("item", F.col("x.c_id").alias("id"), (-F.col("x.worse")).alias("confidence"))
 

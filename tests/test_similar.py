@@ -45,6 +45,14 @@ def test_feed_and_prefix_match_deal_both_sides(spark):
     assert {tuple(r) for r in got.collect()} == {(1, "p2", False), (2, "p1", True)} and "BroadcastHashJoin" not in plan(got)
 
 
+def test_few_edits_meets_shortened_texts(spark):
+    words = [*NAMES, "largerng13", "lrgring123", "oldbolts", "ldbolz", "bo", "b", "x" * 39 + "bolt", "x" * 33, "z" + "y" * 32, "z" + "y" * 31, "largering4567890"]
+    a, b = spark.createDataFrame([("s", w) for w in words], "b string, m string"), spark.createDataFrame([("s", w) for w in words] + [("t", "bolt")], "b string, c_m string")
+    got = similar.few_edits(a, b, "m", "c_m", 2, ("b",))
+    assert sorted((r.m, r.c_m) for r in got.collect()) == sorted((x, y) for x in words for y in words if edits(x, y) <= 2)
+    assert similar.shortened(a.where("m = 'bolt'"), "m", 2).count() == 1 + 4 + 6
+
+
 def test_review_audit_keeps_references_without_semicolon(spark, tmp_path):
     spark.createDataFrame([(5, "u", "<p>one two&amp three &amp; four&quot&ampx</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [r.words for r in extras.review_audit(spark, str(tmp_path)).collect()] == [11]  # words of paragraphs that follow each other run together
