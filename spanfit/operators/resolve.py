@@ -78,9 +78,9 @@ def prefix_match(extracted: DataFrame, catalog: DataFrame) -> DataFrame:
     a = extracted.select("item", squash(F.col("brand")).alias("b"), squash(F.col("model")).alias("m"), *(F.col(x).alias(f"new_{x}") for x in "whd"))
     c = catalog.select("id", "ord", "w", "h", "d", squash(F.col("brand")).alias("b"), squash(F.col("model")).alias("n"))
     asked, known = a.where("m <> ''").select("b", "m").distinct(), c.where("n <> ''").select("b", "n").distinct()
-    longer = known.withColumn("m", F.explode(prefixes(F.col("n")))).join(asked, ["b", "m"])
-    shorter = asked.withColumn("n", F.explode(prefixes(F.col("m")))).join(known, ["b", "n"])
-    pairs = a.join(longer.unionByName(shorter).distinct(), ["b", "m"]).join(c, ["b", "n"])
+    longer = apart(known.withColumn("m", F.explode(prefixes(F.col("n"))))).join(apart(asked), ["b", "m"])
+    shorter = apart(asked.withColumn("n", F.explode(prefixes(F.col("m"))))).join(apart(known), ["b", "n"])
+    pairs = apart(apart(a).join(apart(longer.unionByName(shorter).distinct()), ["b", "m"])).join(apart(c), ["b", "n"])
     best = pairs.groupBy("item").agg(F.min(F.struct("ord", "id", "w", "h", "d", "new_w", "new_h", "new_d")).alias("x")).select("item", "x.*")
     conflicts = F.array_compact(F.array(*(F.when(F.abs(F.col(x) - F.col(f"new_{x}")) >= 5, F.lit(x)) for x in "whd")))
     return best.select("item", "id", F.array_join(conflicts, ",").alias("conflicts"))

@@ -43,6 +43,8 @@ def test_feed_and_prefix_match_deal_both_sides(spark):
     feed = spark.createDataFrame([(1, "New A#1 ring 12 now", None, None), (2, "x", "A#1", "ring 1")], "item int, name string, brand string, model string")
     got = resolve.feed_match(feed, p)
     assert {tuple(r) for r in got.collect()} == {(1, "p2", False), (2, "p1", True)} and "BroadcastHashJoin" not in plan(got)
+    got = resolve.prefix_match(spark.createDataFrame([(7, "A#1", "ring 123", 1, 9, 1)], "item int, brand string, model string, w int, h int, d int"), p)
+    assert [tuple(r) for r in got.collect()] == [(7, "p1", "h")] and "BroadcastHashJoin" not in plan(got)
 
 
 def test_few_edits_meets_shortened_texts(spark):
