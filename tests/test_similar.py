@@ -55,6 +55,13 @@ def test_few_edits_meets_shortened_texts(spark):
     assert similar.shortened(a.where("m = 'bolt'"), "m", 2).count() == 1 + 4 + 6
 
 
+def test_coverage_meets_all_slugs_for_far_queries_alone(spark):
+    queries = spark.createDataFrame([(1, "large ring of iron"), (2, "zz"), (3, "?"), (4, "old bolt and nut")], "ord int, query string")
+    slugs = spark.createDataFrame([(s,) for s in ("large-ring-of-irons", "old-bolts", "zzz", "")], "slug string")
+    got = {r.ord: r.similarity for r in text.coverage_similarity(queries, slugs).collect()}
+    assert got == {1: 1 - 1 / 19, 2: 1 - 1 / 3, 3: 0.0, 4: 1 - edits("old-bolt-and-nut", "old-bolts") / 16}
+
+
 def test_review_audit_keeps_references_without_semicolon(spark, tmp_path):
     spark.createDataFrame([(5, "u", "<p>one two&amp three &amp; four&quot&ampx</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [r.words for r in extras.review_audit(spark, str(tmp_path)).collect()] == [11]  # words of paragraphs that follow each other run together
