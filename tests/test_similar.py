@@ -62,6 +62,13 @@ def test_coverage_meets_all_slugs_for_far_queries_alone(spark):
     assert got == {1: 1 - 1 / 19, 2: 1 - 1 / 3, 3: 0.0, 4: 1 - edits("old-bolt-and-nut", "old-bolts") / 16}
 
 
+def test_pairs_of_copies_are_made_at_the_end(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [(5, base), (1, base + " more"), (3, base), (9, base.upper()), (2, "short"), (4, "short"), (6, ""), (7, None), (8, "alone in the world here")]
+    got = text.shingle_pairs(spark.createDataFrame(docs, "id int, text string"))
+    assert sorted((r.a, r.b, round(r.similarity, 3)) for r in got.collect()) == [(1, 3, 0.889), (1, 5, 0.889), (1, 9, 0.889), (2, 4, 1.0), (3, 5, 1.0), (3, 9, 1.0), (5, 9, 1.0), (6, 7, 1.0)]
+
+
 def test_review_audit_keeps_references_without_semicolon(spark, tmp_path):
     spark.createDataFrame([(5, "u", "<p>one two&amp three &amp; four&quot&ampx</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [r.words for r in extras.review_audit(spark, str(tmp_path)).collect()] == [11]  # words of paragraphs that follow each other run together
