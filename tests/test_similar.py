@@ -62,6 +62,21 @@ def test_coverage_meets_all_slugs_for_far_queries_alone(spark):
     assert got == {1: 1 - 1 / 19, 2: 1 - 1 / 3, 3: 0.0, 4: 1 - edits("old-bolt-and-nut", "old-bolts") / 16}
 
 
+def test_ngrams_are_counted_whole_after_buckets(spark, monkeypatch):
+    monkeypatch.setattr(text, "GRAM_BUCKETS", 7)
+    docs = [(1, "a b c a b c a b c d"), (2, "a b c x y z x y z"), (3, ""), (4, "q r s t u v w " * 3)]
+    n, docs_of = Counter(), Counter()
+    for _, t in docs:
+        w = t.split()
+        own = Counter(" ".join(w[k : k + s]) for s in (3, 4, 5) for k in range(len(w) - s + 1))
+        n.update(own)
+        docs_of.update(own.keys())
+    want = sorted(((g, k, docs_of[g]) for g, k in n.items() if k >= 2), key=lambda r: (-r[1], r[0]))[:5]
+    got = text.repeated_ngrams(spark.createDataFrame(docs, "id int, text string"), least=2, most=5).orderBy("rank").collect()
+    assert [(r.gram, r.n, r.docs) for r in got] == want
+    assert text.repeated_ngrams(spark.createDataFrame(docs, "id int, text string"), least=9).collect() == []
+
+
 def test_pairs_of_copies_are_made_at_the_end(spark):
     base = "one two three four five six seven eight nine ten eleven twelve"
     docs = [(5, base), (1, base + " more"), (3, base), (9, base.upper()), (2, "short"), (4, "short"), (6, ""), (7, None), (8, "alone in the world here")]
