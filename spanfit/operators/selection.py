@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanfit.functions.columns import by_name
 from spanfit.operators.facets import ranked
 from spanfit.operators.fit import width_verdict
+from spanfit.operators.similar import apart, dealt
 
 WIDTHS = (500, 1100, 10)
 DOORWAYS = (600, 900, 10)
@@ -130,11 +131,12 @@ def alternatives(asked: DataFrame, products: DataFrame, width: int, most: int =
 
 
 def chassis_candidates(asked: DataFrame, pending: DataFrame, tolerance: int = 5) -> DataFrame:
-    """Products of the same brand and category within `tolerance` mm of width: a band join on width bands."""
+    """Products of the same brand and category within `tolerance` mm of width: a band join on width bands, whose few bytes are dealt to all tasks, as what they make is much more."""
     size = tolerance + 1
     a = asked.select("id", "cat", "brand", F.col("w").alias("asked_w"), F.explode(F.sequence(F.floor(F.col("w") / size) - 1, F.floor(F.col("w") / size) + 1)).alias("band"))
     b = pending.select("cat", "brand", F.col("id").alias("candidate"), "w", F.floor(F.col("w") / size).alias("band"))
-    return a.join(b, ["cat", "brand", "band"]).where((F.abs(F.col("w") - F.col("asked_w")) <= tolerance) & (F.col("id") != F.col("candidate"))).select("id", "candidate", "w")
+    by = ["cat", "brand", "band"]
+    return apart(dealt(a, *by)).join(apart(dealt(b, *by)), by).where((F.abs(F.col("w") - F.col("asked_w")) <= tolerance) & (F.col("id") != F.col("candidate"))).select("id", "candidate", "w")
 
 
 def neighbours(widths: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from collections import Counter
 
-from spanfit.operators import resolve, similar, text
+from spanfit.operators import resolve, selection, similar, text
 from spanfit.operators.replacement import best_sources
-from spanfit.plans import extras
+from spanfit.plans import extras, names, records
 
 NAMES = ["largering1", "largering12", "largering123", "largerung123", "oldbolt", "bolt", "x" * 40 + "bolt", "y" * 33]
 
@@ -87,3 +87,13 @@ def test_pairs_of_copies_are_made_at_the_end(spark):
 def test_review_audit_keeps_references_without_semicolon(spark, tmp_path):
     spark.createDataFrame([(5, "u", "<p>one two&amp three &amp; four&quot&ampx</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [r.words for r in extras.review_audit(spark, str(tmp_path)).collect()] == [11]  # words of paragraphs that follow each other run together
+
+
+def test_small_rows_that_make_many_are_dealt(spark, tmp_path):
+    rows = spark.range(40).selectExpr("concat('p', id) as id", "if(id >= 0, 'c', 'd') as cat", "if(id >= 0, 'b', 'd') as brand", "cast(600 + id as int) as w")
+    got = selection.chassis_candidates(rows, rows.where("w % 2 = 0"))
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got.count() == sum(abs(a - b) <= 5 and a != b for a in range(40) for b in range(0, 40, 2))
+    spark.range(30).selectExpr("id as p_partkey", "'a' as p_name", "'Brand#1' as p_brand", "'T' as p_type", "1 as p_size", "1d as p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for query in (records.record_errors, names.slug_discovery):
+        assert query(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
