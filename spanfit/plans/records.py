@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanfit.functions import columns as c
 from spanfit.operators import evidence, fit, outside, sheets, validators
 from spanfit.operators import resolve as r
+from spanfit.operators.similar import dealt
 from spanfit.plans.oracle import with_tables
 from spanfit.sources import adapters
 
@@ -62,7 +63,7 @@ def retailer_decisions(spark, sf_dir):
 
 def record_errors(spark, sf_dir):
     """What is wrong with every product's record, extracted sheet and manual entry, some of which are broken on purpose."""
-    p, k = adapters.products(spark, sf_dir), F.col("ord")
+    p, k = dealt(adapters.products(spark, sf_dir), "ord"), F.col("ord")  # small rows that take long
     quoted = F.when(k % 5 == 0, F.concat(F.lit('"'), F.col("w").cast("string"), F.lit('"'))).otherwise(F.col("w").cast("string"))
     product = F.concat(
         F.lit('{"id": "'), "id", F.lit('", "cat": "'), "cat", F.lit('", "brand": "'), F.when(k % 7 == 0, " ").otherwise("b"), F.lit('", "model": "m", "emoji": "e", "w": '), quoted, F.lit(', "h": '), F.col("h").cast("string"), F.lit(', "d": 650.0, "kwh_year": 300, "stars": '), F.when(k % 11 == 0, "7").otherwise("4"),
