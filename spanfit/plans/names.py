@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanfit.operators import naming as n
+from spanfit.operators.similar import dealt
 from spanfit.plans.oracle import with_tables
 from spanfit.sources import adapters
 
@@ -35,7 +36,7 @@ def slug_discovery(spark, sf_dir):
     k = F.col("ord")
     pick = lambda by, *v: F.element_at(F.array(*map(F.lit, v)), (F.floor(k / by) % len(v) + 1).cast("int"))
     url = F.concat(F.lit("https://shop.example.org/a/"), pick(1, "samsung-", "LG-", "fisher-paykel-", ""), pick(4, "500l-", "9kg-", ""), pick(12, "srf", "ww-a", "x", "RS"), k.cast("string"), pick(2, "w-", "-"), pick(3, "french-door-fridge", "hair-dryer", "heat-pump-dryer", "front-load-washer", "toaster"), pick(5, ".html", ""))
-    return n.discovered(_p(spark, sf_dir).select(url.alias("url")), BRANDS, MODEL_BRANDS, WEAK)
+    return n.discovered(dealt(_p(spark, sf_dir), "ord").select(url.alias("url")), BRANDS, MODEL_BRANDS, WEAK)
 
 
 def spec_attributes(spark, sf_dir):
