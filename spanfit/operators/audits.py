@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanfit.functions.markup import PROSE, json_documents, page_elements, page_texts
+from spanfit.functions.markup import PROSE, ROWS, json_documents, page_elements, page_texts
 from spanfit.operators.facets import ranked
-from spanfit.operators.text import json_blocks, ngrams
+from spanfit.operators.text import json_blocks
 
 #: Evidence types that count, ranges of dimensions in mm, least confidence without a review.
 EVIDENCE_TYPES = ("manufacturer_manual", "installation_manual", "spec_sheet")
@@ -21,6 +24,8 @@ PHRASE_STOP_WORDS = (
     "their", "there", "have", "will", "does", "need", "clearance", "requirements", "guide", "models", "fit", "brand", "brands", "fridge", "washing", "machine",
     "dishwasher", "dryer", "australia", "australian", "homes", "installed", "page", "pages",
 )
+STOP = frozenset(PHRASE_STOP_WORDS)
+WORD = re.compile("[a-z0-9]+")
 #: Openings that a paragraph must not have.
 LEADS = ("notable:", "importantly,", "additionally,")
 #: The edge of a word of ASCII letters, digits and underscores (Java's own knows other letters too).
@@ -194,22 +199,42 @@ def phrase_clusters(rows: list[tuple[str, int]], most: int) -> list[tuple[str, i
     return out
 
 
-def repeated_phrases(docs: DataFrame, least: int = 5, most: int = 25) -> DataFrame:
+def phrase_counts(texts: list[str], least: int) -> dict[str, int]:
+    """Phrases of 3 to 5 words that lower-case texts use `least` times or more altogether, unless all their words are stop words.
+
+    A longer phrase is counted only where its first words, one fewer, are repeated as often.
+    """
+    each = [WORD.findall(t) for t in texts]
+    counts = Counter()
+    for w in each:
+        counts.update(zip(w, w[1:], w[2:], strict=False))
+    often = {p for p, n in counts.items() if n >= least}
+    places = [[k for k, p in enumerate(zip(w, w[1:], w[2:], strict=False)) if p in often] for w in each] if often else []
+    found = {p: counts[p] for p in often}
+    for size in (4, 5):
+        places = [[k for k in at if k + size <= len(w) and (*w[k : k + size - 1],) in often] for w, at in zip(each, places, strict=False)]
+        counts = Counter((*w[k : k + size],) for w, at in zip(each, places, strict=False) for k in at)
+        often = {p for p, n in counts.items() if n >= least}
+        found |= {p: counts[p] for p in often}
+    return {" ".join(p): n for p, n in found.items() if not all(w in STOP for w in p)}
+
+
+def repeated_phrases(docs: DataFrame, least: int = 5, most: int = 25, keyed: bool = False) -> DataFrame:
     """(id, place, phrase, n): per document the leading phrases of 3 to 5 words used `least` times or more, a cluster by its first phrase.
 
-    Phrases are counted by a group-by; only the repeated ones of a document meet in one place.
+    The rows of an id meet as texts (keyed: each id has one row, as it is), and a document's phrases are counted where its text is: phrases are never dealt.
     """
-    words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^a-z0-9\s]+", " "), r"\s+"), lambda w: w != "")
-    each = docs.select("id", F.explode(F.array(words)).alias("w")).select("id", F.explode(F.concat(*(ngrams(F.col("w"), n) for n in (3, 4, 5)))).alias("phrase"))
-    stop = "(" + "|".join(PHRASE_STOP_WORDS) + ")"
-    counted = each.groupBy("id", "phrase").agg(F.count("*").alias("n")).where((F.col("n") >= least) & ~F.col("phrase").rlike(f"^{stop}( {stop})+$"))
+    texts = docs.select("id", F.array_compact(F.array(F.lower("text"))).alias("texts")) if keyed else docs.groupBy("id").agg(F.collect_list(F.lower("text")).alias("texts"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = phrase_clusters(list(zip(pdf["phrase"], pdf["n"], strict=True)), most)
-        return pd.DataFrame([(pdf["id"].iloc[0], k + 1, p, n) for k, (p, n) in enumerate(found)], columns=["id", "place", "phrase", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                b = whole.slice(k, ROWS)
+                rows = [(i, place + 1, p, n) for i, t in enumerate(b.column(1)) for place, (p, n) in enumerate(phrase_clusters(list(phrase_counts(t.as_py(), least).items()), most))]
+                at, *columns = zip(*rows, strict=True) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64()), strict=True))], names=["id", "place", "phrase", "n"])
 
-    kind = counted.schema["id"].dataType.simpleString()
-    return counted.groupBy("id").applyInPandas(fold, f"id {kind}, place int, phrase string, n long")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, place int, phrase string, n long")
 
 
 def schema_audit(pages: DataFrame, prefix: str) -> DataFrame:
