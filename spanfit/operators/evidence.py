@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanfit.functions.columns import squash
+from spanfit.functions.columns import let, squash
 from spanfit.operators.facets import ranked
 
 
@@ -47,9 +47,9 @@ def failures(rows: DataFrame, index: DataFrame, products: DataFrame) -> DataFram
 def document_score(url: Column, model: Column, official: Column) -> Column:
     """How likely a document is a model's specification: model, official host (array of the brand's hosts), wording."""
     host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))), r"^www\.", "")
-    own = F.exists(official, lambda h: (host == h) | host.endswith(F.concat(F.lit("."), h)))
+    own = let({"host": host}, lambda x: F.exists(official, lambda h: (x["host"] == h) | x["host"].endswith(F.concat(F.lit("."), h))))
     says = lambda words, points: F.when(url.rlike(f"(?i){words}"), points).otherwise(0)
-    named = F.when((squash(model) != "") & F.contains(squash(url), squash(model)), 60).otherwise(0)
+    named = let({"url": squash(url), "model": squash(model)}, lambda x: F.when((x["model"] != "") & F.contains(x["url"], x["model"]), 60).otherwise(0))
     return (
         named + F.when(F.coalesce(own, F.lit(False)), 35).otherwise(0) + says("spec|data.?sheet|fact.?sheet", 30) + says("install|manual|quick.?reference|qrg", 15) + says("warranty|energy|label|catalog|brochure", -20)
     ).cast("int")
@@ -82,8 +82,9 @@ def best_manual(rows: DataFrame) -> DataFrame:
 
 def fallback_score(url: Column, sku: Column, brand: Column, trusted: Column) -> Column:
     """How likely a third party's document is a model's: PDF, SKU, brand, wording and site; -1000 for a site that is not trusted."""
-    holds = lambda x, points: F.when((squash(x) != "") & F.contains(squash(url), squash(x)), points).otherwise(0)
-    return F.when(F.coalesce(trusted, F.lit(False)), F.when(url.rlike(PDF), 50).otherwise(0) + holds(sku, 50) + holds(brand, 10) + _points(url, FALLBACK_WORDS)).otherwise(-1000).cast("int")
+    holds = lambda x, name, points: F.when((x[name] != "") & F.contains(x["url"], x[name]), points).otherwise(0)
+    named = let({"url": squash(url), "sku": squash(sku), "brand": squash(brand)}, lambda x: holds(x, "sku", 50) + holds(x, "brand", 10))
+    return F.when(F.coalesce(trusted, F.lit(False)), F.when(url.rlike(PDF), 50).otherwise(0) + named + _points(url, FALLBACK_WORDS)).otherwise(-1000).cast("int")
 
 
 def best_document(rows: DataFrame) -> DataFrame:
