@@ -107,9 +107,10 @@ def test_pairs_are_all_pairs(spark, monkeypatch):
 
     sets = {k: shingles(t or "") for k, t in docs}
     share = {(a, b): len(sets[a] & sets[b]) / max(len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b}
-    got = text.shingle_pairs(spark.createDataFrame(docs, "id int, text string")).collect()
+    got = text.shingle_pairs(spark.createDataFrame([*docs, (None, texts[0])], "id int, text string")).collect()
     want = {p: s for p, s in share.items() if s >= 0.8}
     assert len(want) > 150 and {(x.a, x.b): x.similarity for x in got} == want and len(got) == len(want)
+    assert text.shingle_pairs(spark.createDataFrame([], "id int, text string")).collect() == []
 
 
 def test_pairs_deal_few_shingles(spark, monkeypatch):
